@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from vicinal.llm.bpe import op5_bpe_round_trip
+from vicinal.llm.mixing import OP8_SQL, op8_mixing
 from vicinal.llm.simhash import op6_simhash_near_dedup
+from vicinal.llm.urlfilter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op4_url_filter": op4_url_filter,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_mixing": op8_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op8_mixing": OP8_SQL}
