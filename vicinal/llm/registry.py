@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from vicinal.llm.bpe import op5_bpe_round_trip
+from vicinal.llm.chat import OP3_SQL, op3_chat_format
+from vicinal.llm.media import op10_media
 from vicinal.llm.mixing import OP8_SQL, op8_mixing
 from vicinal.llm.simhash import op6_simhash_near_dedup
 from vicinal.llm.urlfilter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_mixing": op8_mixing,
+    "op10_media": op10_media,
 }
-ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op8_mixing": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_mixing": OP8_SQL}
