@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``durable``, in columns: for tables that are read again in part. Removed when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def binary_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a binary or string Arrow column without copying; nulls have length 0 unless their slot holds bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,9 +7,11 @@ from vicinal.llm.chat import OP3_SQL, op3_chat_format
 from vicinal.llm.media import op10_media
 from vicinal.llm.mixing import OP8_SQL, op8_mixing
 from vicinal.llm.simhash import op6_simhash_near_dedup
+from vicinal.llm.substring import op2_substring_dedup
 from vicinal.llm.urlfilter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
     "op5_bpe_round_trip": op5_bpe_round_trip,
