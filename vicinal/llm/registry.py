@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from vicinal.llm.bpe import op5_bpe_round_trip
 from vicinal.llm.chat import OP3_SQL, op3_chat_format
+from vicinal.llm.langid import op1_language_id
 from vicinal.llm.media import op10_media
 from vicinal.llm.mixing import OP8_SQL, op8_mixing
 from vicinal.llm.simhash import op6_simhash_near_dedup
@@ -11,6 +12,7 @@ from vicinal.llm.substring import op2_substring_dedup
 from vicinal.llm.urlfilter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
