@@ -1,6 +1,23 @@
-"""Queries of the engine's operators and their SQL."""
+"""Queries of the engine's operators and their SQL, filled by the modules that define them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame, with its DuckDB statement where there is one."""
+
+    def put(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+from vicinal.plans import clustering, dense, tables, text  # noqa: E402,F401
