@@ -6,7 +6,7 @@ with the id-to-piece table (fixed size: one row per vocabulary entry). Tables st
 bounded, and no text or word leaves its partition.
 
 Null texts are empty: no ids, the digest of no bytes. Repeated rows are returned as often as they come in; an empty table gives
-no rows; extra columns are ignored by the query and kept by ``encode``.
+no rows; extra columns are ignored by the query and kept by ``encode``, which replaces those named as its results.
 """
 
 from __future__ import annotations
@@ -133,13 +133,14 @@ def _tables(spark, path: str | None) -> Callable[[], WordTable]:
 
 
 def _mapped(docs: DataFrame, make: Callable[[], WordTable], add: list[tuple[str, str, pa.DataType]], work: Callable[[WordTable, list], list[list]]) -> DataFrame:
-    keep = [c for c in docs.columns if c != "text"]
-    schema = docs.drop("text")
+    names = [name for name, _, _ in add]
+    keep = [c for c in docs.columns if c not in ("text", *names)]
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep])
     for name, kind, _ in add:
         schema = schema.withColumn(name, F.lit(None).cast(kind))
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
     types = [t for _, _, t in add]
-    names = [*keep, *[name for name, _, _ in add]]
+    names = [*keep, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = None

@@ -32,9 +32,9 @@ SEGMENTS = (21, 21, 22)
 
 def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", out: str = "fp") -> DataFrame:
     """``docs`` without its text column plus ``out``: the signed 64-bit SimHash of the whole text."""
-    schema = docs.drop(text).withColumn(out, F.lit(0).cast("bigint")).schema
-    frame = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(f"`{text}`").alias("__text"))
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, out)]
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0).cast("bigint").alias(out)).schema
+    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,11 +111,13 @@ def near_groups(docs: DataFrame, width: int = 4, distance: int = DISTANCE, segme
 
 
 def near_dedup(docs: DataFrame, width: int = 4, distance: int = DISTANCE) -> DataFrame:
-    """One document of each group: that of the smallest doc_id, texts whole, all columns. Rows without a doc_id stay."""
-    slim = docs.select("doc_id", "text").filter("doc_id is not null")
-    keepers = near_groups(slim, width, distance).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each group: that of the smallest doc_id (and text hash), texts whole, all columns. Rows without a doc_id stay."""
+    slim = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    groups = near_groups(slim, width, distance)
+    keepers = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(keepers, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
