@@ -9,10 +9,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are cut into blocks of about so many bytes before vectorised work, whatever Arrow's batch size.
 BLOCK_BYTES = 4 << 20
 
+#: Rows of an Arrow batch, at most, when texts go to Python workers.
+ARROW_ROWS = 2000
+#: Rows of a side that is sent to all tasks, at most, and the salts of the join that serves beyond it.
+SENT_ROWS, SALTS = 50_000, 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +37,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``ARROW_ROWS`` rows, which bounds a worker's memory when rows are texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
+    return df
+
+
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row per key (a source, a language) that is small as a rule.
+
+    ``few`` is counted: up to ``SENT_ROWS`` rows it is sent to all tasks and ``rows`` stay where they are. Beyond that both sides
+    are shuffled by key and salt, so that a key with a third of all rows is spread over ``SALTS`` tasks.
+    """
+    few = durable(few)
+    if few.count() <= SENT_ROWS:
+        return rows.join(F.broadcast(few), keys, how)
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", (F.rand(1) * SALTS).cast("int")).join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder: lineage ends here and lost executors cost nothing."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -44,7 +71,16 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._vicinal_path = path
+    return again
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a ``written`` table that nothing reads any more."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df._vicinal_path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def binary_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
