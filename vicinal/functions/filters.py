@@ -107,31 +107,36 @@ def _false(c: Column) -> Column:
 
 
 def _all(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
+    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
 def _any(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, parts, F.lit(False))
+    return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
+
+
+def _as_is(c: Column) -> Column:
+    """Leaves of a predicate that is not negated: null drops a row as false does, and plain comparisons reach the scan."""
+    return c
 
 
 def _equals(field: Field, value: Any) -> Column:
     if value is None:
         return field.is_null()
     if isinstance(value, str):
-        return _false(field.text() == value)
+        return field.text() == value
     if isinstance(value, (bool, int, float)):
-        return _false(field.number() == F.lit(float(value) if isinstance(value, float) else int(value)))
+        return (field.number() == F.lit(float(value) if isinstance(value, float) else int(value)))
     return F.lit(False)
 
 
-def _order(field: Field, op: str, value: Any) -> Column:
+def _order(field: Field, op: str, value: Any, wrap: Callable[[Column], Column]) -> Column:
     if isinstance(value, str):
         left = field.text()
     elif isinstance(value, (bool, int, float)):
         left, value = field.number(), float(value) if isinstance(value, float) else int(value)
     else:
         return F.lit(False)
-    return _false({"$gt": left > value, "$gte": left >= value, "$lt": left < value, "$lte": left <= value}[op])
+    return wrap({"$gt": left > value, "$gte": left >= value, "$lt": left < value, "$lte": left <= value}[op])
 
 
 def _element(field: Field, value: Any) -> Callable[[Column], Column]:
@@ -141,76 +146,81 @@ def _element(field: Field, value: Any) -> Callable[[Column], Column]:
     return lambda x: VariantItem(x).same(value)
 
 
-def _contains(field: Field, value: Any) -> Column:
+def _contains(field: Field, value: Any, wrap: Callable[[Column], Column]) -> Column:
     parts = []
     if (items := field.items()) is not None:
-        parts.append(_false(F.exists(items, _element(field, value))))
+        parts.append(wrap(F.exists(items, _element(field, value))))
     if isinstance(value, str):
-        parts.append(_false(F.contains(field.text(), F.lit(value))))
+        parts.append(wrap(F.contains(field.text(), F.lit(value))))
     return _any(parts)
 
 
-def _regex(field: Field, pattern: Any) -> Column:
+def _regex(field: Field, pattern: Any, wrap: Callable[[Column], Column]) -> Column:
     if not isinstance(pattern, str):
         return F.lit(False)
     try:
         re.compile(pattern)
     except re.error:
         return F.lit(False)
-    return _false(field.text().rlike(pattern))
+    return wrap(field.text().rlike(pattern))
 
 
-def _operator(field: Field, op: str, value: Any) -> Column:
+def _operator(field: Field, op: str, value: Any, wrap: Callable[[Column], Column]) -> Column:
     match op:
         case "$eq":
-            return field.same(value) if field is not None else F.lit(value is None)
+            return wrap(field.same(value))
         case "$ne":
             return ~_false(field.same(value))
         case "$gt" | "$gte" | "$lt" | "$lte":
-            return _order(field, op, value)
+            return _order(field, op, value, wrap)
         case "$in":
-            return _any([_false(field.same(v)) for v in value]) if isinstance(value, (list, tuple, set)) else F.lit(False)
+            return _any([wrap(field.same(v)) for v in value]) if isinstance(value, (list, tuple, set)) else F.lit(False)
         case "$nin":
             return ~_any([_false(field.same(v)) for v in value]) if isinstance(value, (list, tuple, set)) else F.lit(False)
         case "$exists":
             return field.present() if value else ~field.present()
         case "$contains":
-            return _contains(field, value)
+            return _contains(field, value, wrap)
         case "$all":
             if not isinstance(value, (list, tuple, set)) or (items := field.items()) is None:
                 return F.lit(False)
-            return _false(items.isNotNull() & _all([_false(F.exists(items, _element(field, v))) for v in value]))
+            return wrap(items.isNotNull() & _all([wrap(F.exists(items, _element(field, v))) for v in value]))
         case "$regex":
-            return _regex(field, value)
+            return _regex(field, value, wrap)
         case _:  # unknown operators never match
             return F.lit(False)
 
 
-def _condition(field: Field | None, condition: Any) -> Column:
+def _condition(field: Field | None, condition: Any, wrap: Callable[[Column], Column]) -> Column:
     field = field if field is not None else TypedField(F.lit(None).cast("string"), "string")
     if not isinstance(condition, Mapping):
-        return _false(field.same(condition))
-    return _all([_operator(field, op, value) for op, value in condition.items()])
+        return wrap(field.same(condition))
+    return _all([_operator(field, op, value, wrap) for op, value in condition.items()])
+
 
+def compile_filter(expr: Mapping[str, Any] | None, resolve: Resolver | Column, two_valued: bool = False) -> Column:
+    """The predicate of a filter expression; ``resolve`` is a resolver or the VARIANT metadata column.
 
-def compile_filter(expr: Mapping[str, Any] | None, resolve: Resolver | Column) -> Column:
-    """The predicate of a filter expression; ``resolve`` is a resolver or the VARIANT metadata column."""
+    As it stands it is made for ``filter``, where null counts as false. With ``two_valued`` it is never null.
+    """
     if isinstance(resolve, Column):
         resolve = variant_resolver(resolve)
+    wrap = _false if two_valued else _as_is
+    branch = lambda v, two: compile_filter(v, resolve, two) if isinstance(v, Mapping) else F.lit(False)
     parts = []
     for key, value in (expr or {}).items():
-        branches = [compile_filter(v, resolve) if isinstance(v, Mapping) else F.lit(False) for v in value] if isinstance(value, (list, tuple)) else None
+        listed = isinstance(value, (list, tuple))
         match key:
             case "$and":
-                parts.append(F.lit(False) if branches is None else _all(branches))
+                parts.append(_all([branch(v, two_valued) for v in value]) if listed else F.lit(False))
             case "$or":
-                parts.append(F.lit(False) if branches is None else _any(branches))
+                parts.append(_any([branch(v, two_valued) for v in value]) if listed else F.lit(False))
             case "$nor":
-                parts.append(F.lit(False) if branches is None else ~_any(branches))
+                parts.append(~_any([branch(v, True) for v in value]) if listed else F.lit(False))
             case "$not":
-                parts.append(~compile_filter(value, resolve) if isinstance(value, Mapping) else F.lit(False))
+                parts.append(~branch(value, True) if isinstance(value, Mapping) else F.lit(False))
             case _:
-                parts.append(_condition(resolve(key), value))
+                parts.append(_condition(resolve(key), value, wrap))
     return _all(parts)
 
 
