@@ -47,3 +47,13 @@ def test_code_points_of_newer_unicode(library):
     texts = ["a՘b1", "x\U00010940y 2", "a࢏b", "漢字 かな　x", "é नमस्ते"]
     for text in texts:
         assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_joined_form_equals_the_tables(spark, messy, messy_rows, no_docs):
+    docs = messy.filter("doc_id is not null")
+    key = lambda df: sorted((r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in df.collect())
+    joined = bpe.encode_joined(docs)
+    assert key(joined) == key(bpe.encode(docs))
+    back = sorted((r["doc_id"], r["text"]) for r in bpe.decode_joined(joined).collect())
+    assert back == sorted((r[0], r[1] or "") for r in messy_rows if r[0] is not None)
+    assert bpe.encode_joined(no_docs).collect() == []

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.llm.common import bounded_batches
+
 #: Distinct words held by one task at most.
 MAX_WORDS = 1 << 18
 #: Words longer than this many characters are encoded but not held.
@@ -149,7 +151,7 @@ def _mapped(docs: DataFrame, make: Callable[[], WordTable], add: list[tuple[str,
             columns = work(words, batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, columns, types)], names=names)
 
-    return frame.mapInArrow(run, schema.schema)
+    return bounded_batches(frame).mapInArrow(run, schema.schema)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -173,6 +175,55 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return _mapped(docs, _tables(docs.sparkSession, vocabulary), [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], work)
 
 
+def encode_joined(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, ids, n_tokens) with one table of distinct words for the whole input, by shuffles.
+
+    Every word of every text becomes a row, each distinct word of the input is encoded once, and the ids are joined back by
+    position. It gives what ``encode`` gives and moves each word twice, which is many times the size of the texts; ``encode``
+    keeps a table for each task instead.
+    """
+    from vicinal.llm.common import written
+
+    make = _tables(docs.sparkSession, vocabulary)
+    rows = written(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text")))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in batches:
+            table = table or make()
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = table._words(text)
+                yield pa.RecordBatch.from_arrays([pa.array([rid] * len(words), pa.int64()), pa.array(range(len(words)), pa.int64()), pa.array(words, pa.string())], names=["rid", "pos", "word"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in batches:
+            table = table or make()
+            words = batch.column(0).to_pylist()
+            learnt = table._learn(words) if words else {}
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(learnt[w], "<i4") for w in words], pa.list_(pa.int32()))], names=["word", "ids"])
+
+    words = bounded_batches(rows.select("rid", "text")).mapInArrow(split, "rid bigint, pos bigint, word string")
+    distinct = words.select("word").distinct().mapInArrow(look_up, "word string, ids array<int>")
+    placed = words.join(distinct, "word").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    ids = F.flatten(F.transform("parts", lambda x: x["ids"]))
+    out = rows.select("rid", "doc_id").join(placed.select("rid", ids.alias("ids")), "rid", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    return out.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"))
+
+
+def decode_joined(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, text) of (doc_id, ids): ids joined with the id-to-piece table, whose rows are those of the vocabulary."""
+    spark = encoded.sparkSession
+    with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
+        pieces = WordTable(f.read()).pieces
+    table = F.broadcast(spark.createDataFrame(list(enumerate(map(bytearray, pieces))), "id int, piece binary"))
+    keyed = encoded.select("doc_id", F.xxhash64("ids").alias("h"), "ids").distinct()
+    rows = keyed.select("doc_id", "h", F.posexplode("ids").alias("pos", "id")).join(table, "id")
+    text = F.decode(F.aggregate(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x)), "UTF-8")
+    found = rows.groupBy("doc_id", "h").agg(text.alias("text"))
+    return encoded.select("doc_id", F.xxhash64("ids").alias("h")).join(found, ["doc_id", "h"], "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def op5_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digests(docs)
