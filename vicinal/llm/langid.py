@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinal.llm.bytegru import HIDDEN, SEGMENT, Net, new_net, pool, train
-from vicinal.llm.common import binary_views, blocks
+from vicinal.llm.common import binary_views, blocks, bounded_batches
 
 FOLDS = 5
 SAMPLE = 600
@@ -70,36 +70,38 @@ def fit(docs: DataFrame, hidden: int = HIDDEN, sample: int = SAMPLE, steps: int
     return net
 
 
-def predict(docs: DataFrame, net: Net | None, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, plus lang_pred and score. Only the text is an input of a prediction."""
+def predict(docs: DataFrame, net: Net | None, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` plus lang_pred and score, without ``text`` unless ``keep_text``. Only the text is an input of a prediction."""
     keep = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], body.rlike(r"\p{L}").alias("__letters"), body.cast("binary").alias("__text"))
-    schema = T.StructType([*frame.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    letters = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
+    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"), letters.alias("__letters"))
     n = len(keep)
+    shown = n + keep_text
+    schema = T.StructType([*frame.schema.fields[:shown], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters = batch.column(n).to_numpy(zero_copy_only=False).astype(bool)
+            letters = batch.column(n + 1).to_numpy(zero_copy_only=False).astype(bool)
             labels, scores = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch))
             if net is not None:
-                raw, off = binary_views(batch.column(n + 1))
-                for a, b in blocks(off, 1 << 21):
+                raw, off = binary_views(batch.column(n))
+                for a, b in blocks(off, 1 << 20):
                     p = pool(net, raw[off[a] : off[b]], off[a : b + 1] - off[a])
                     best = p.argmax(axis=1)
                     labels[a:b] = np.array(net.labels, object)[best]
                     scores[a:b] = p[np.arange(b - a), best].clip(0, 1)
                 labels[~letters], scores[~letters] = UNKNOWN, 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(labels.tolist(), pa.string()), pa.array(scores)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:shown], pa.array(labels.tolist(), pa.string()), pa.array(scores)], names=schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return bounded_batches(frame).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, net: Net | None, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs``, whole, whose language is recognised with a score of at least ``least``."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    kept = predict(rows, net).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
+    kept = predict(rows, net, keep_text=True).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
