@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinal.llm.common import written
+from vicinal.llm.common import bounded_batches, discard, written
 from vicinal.llm.tokenruns import fragments, window_hashes, word_hashes
 
 WINDOW = 50
@@ -40,7 +40,11 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructFie
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, th (names the text among rows of one doc_id) and the text as bytes."""
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+
+
+def _bytes(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid else np.empty(0, np.uint8)
 
 
 def path_fragments(keyed: DataFrame, window: int, k: int) -> DataFrame:
@@ -52,7 +56,7 @@ def path_fragments(keyed: DataFrame, window: int, k: int) -> DataFrame:
             ids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             rows, parts = [], []
             for i, text in enumerate(batch.column(2)):
-                found = fragments(word_hashes(np.frombuffer(text.as_buffer(), np.uint8)), window, k)
+                found = fragments(word_hashes(_bytes(text)), window, k)
                 rows.append(np.full(len(found.start), i))
                 parts.append(found)
             at = np.concatenate(rows) if rows else np.empty(0, np.int64)
@@ -61,7 +65,7 @@ def path_fragments(keyed: DataFrame, window: int, k: int) -> DataFrame:
             columns = [ids[at], ths[at], *[np.concatenate([getattr(p, c) for p in parts]) for c in ("start", "windows", "minimiser", "key", "check")]]
             yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=schema.names)
 
-    return keyed.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, schema)
+    return bounded_batches(keyed).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, schema)
 
 
 def _opened(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -76,7 +80,7 @@ def _opened(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             for i in np.flatnonzero(~np.asarray(batch.column(1).is_null())).tolist():
                 wanted = batch.column(1)[i].values
                 start, n, m, key = (wanted.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "m", "key"))
-                words = word_hashes(np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8))
+                words = word_hashes(_bytes(batch.column(2)[i]))
                 which = np.repeat(np.arange(len(n)), n)
                 off = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 edge = window_hashes(words, start[which] + off, window)
@@ -90,7 +94,9 @@ def repeated_spans(keyed: DataFrame, texts: DataFrame, window: int, k: int) -> D
     """(doc_id, th, spans): runs (s, n) of edges that start in a smaller document as well."""
     every = written(path_fragments(keyed, window, k))
     shared = every.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("hi > lo").select("m")
-    every = written(every.join(shared, "m", "left_semi"))
+    candidates = written(every.join(shared, "m", "left_semi"))
+    discard(every)
+    every = candidates
     source = F.min(F.struct("doc_id", "th", "start", "n", "check")).alias("src")
     contents = every.groupBy("m", "key").agg(source)
     back = contents.select("m", "key", F.col("src.doc_id").alias("src_doc"), F.col("src.n").alias("src_n"), F.col("src.check").alias("src_check"))
@@ -114,9 +120,9 @@ def _covered(n_words: int, spans: list, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _cut(text: bytes, spans: list | None, window: int) -> tuple[int, int, bytes]:
+def _cut(text: bytes | None, spans: list | None, window: int) -> tuple[int, int, bytes]:
     """(words, words removed, kept words joined by one space)."""
-    words = text.split()
+    words = (text or b"").split()
     if not spans:
         return len(words), 0, b" ".join(words)
     gone = _covered(len(words), spans, window)
@@ -124,34 +130,37 @@ def _cut(text: bytes, spans: list | None, window: int) -> tuple[int, int, bytes]
 
 
 def _cut_texts(docs: DataFrame, window: int, k: int, digest: bool) -> DataFrame:
-    """docs' columns (in a struct ``row``), n_words, n_removed and kept (text, or its sha256 if ``digest``; null where nothing was removed)."""
-    texts = _keyed(docs)
-    if len(docs.columns) > 2:
-        texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
+    """doc_id, ``row`` (a struct of docs' further columns, if any), n_words, n_removed, and kept: the sha256 of the kept words if ``digest``, else the text."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    more = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")] if others else []
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"), *more)
     spans = repeated_spans(_keyed(docs), texts, window, k)
-    more = ["row"] if len(docs.columns) > 2 else []
-    rows = texts.join(spans, ["doc_id", "th"], "left").select("doc_id", *more, "text", "spans")
-    schema = T.StructType([rows.schema["doc_id"], *[rows.schema[c] for c in more], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    at = 1 + len(more)
+    shown = ["row"] if others else []
+    rows = texts.join(spans, ["doc_id", "th"], "left").select("doc_id", *shown, "text", "spans")
+    schema = T.StructType([rows.schema["doc_id"], *[rows.schema[c] for c in shown], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    at = 1 + len(shown)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [_cut(t, s, window) for t, s in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist())]
-            kept = [hashlib.sha256(d[2]).hexdigest() if digest else d[2].decode("utf-8") if d[1] else None for d in done]
+            texts = batch.column(at).to_pylist()
+            done = [_cut(t, s, window) for t, s in zip(texts, batch.column(at + 1).to_pylist())]
+            if digest:
+                kept = [hashlib.sha256(d[2]).hexdigest() for d in done]
+            else:
+                kept = [d[2].decode() if d[1] else t if t is None else t.decode() for t, d in zip(texts, done)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return bounded_batches(rows).mapInArrow(run, schema)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = MINIMISER) -> DataFrame:
     """``docs`` with repeated passages cut from ``text`` (kept words joined by one space; other texts unchanged), and n_chars, where there is one, anew."""
     names = docs.columns
-    slim = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("all"))
-    cut = _cut_texts(slim, window, k, digest=False)
-    shown = {"text": F.coalesce("kept", F.col("row.all.text"))}
+    cut = _cut_texts(docs, window, k, digest=False)
+    shown = {"doc_id": F.col("doc_id"), "text": F.col("kept")}
     if "n_chars" in names:
-        shown["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.all.n_chars"))
-    return cut.select(*[shown[c].cast(docs.schema[c].dataType).alias(c) if c in shown else F.col(f"row.all.`{c}`").alias(c) for c in names])
+        shown["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars"))
+    return cut.select(*[shown[c].cast(docs.schema[c].dataType).alias(c) if c in shown else F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
