@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import durable
+from vicinal.llm.common import durable, join_few
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -99,7 +99,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     cuts = placed.filter("size > 0").groupBy("skey").agg(F.first("epochs").alias("epochs"), last.alias("cut"))
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumns({"skey": _source_key(F.col("row.source")), "key": _random_key(F.col("row.doc_id")), "size": n_words(F.col("row.text"))})
-    row = row.filter("size > 0").join(durable(cuts), "skey")
+    row = join_few(row.filter("size > 0"), cuts, ["skey"])
     part = F.when(F.col("key") < F.col("cut.key"), F.col("size")).when(F.col("key") == F.col("cut.key"), F.least("size", "cut.words")).otherwise(F.lit(0))
     copies = F.coalesce(F.col("epochs"), F.lit(0)) + (F.coalesce(part, F.lit(0)) > 0).cast("bigint")
     row = row.withColumn("part", F.coalesce(part, F.lit(0))).filter(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
