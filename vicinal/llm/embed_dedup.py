@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinal.llm.common import durable, written
+from vicinal.llm.common import durable, join_few, written
 from vicinal.llm.components import components
-from vicinal.llm.rabitq import encode, estimate, rotation
+from vicinal.llm.rabitq import Codes, encode, estimate, pack, rotation, unpack
 
 THRESHOLD = 0.95
 RECALL = 0.98
@@ -54,14 +55,20 @@ def classes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     return rows, rows.filter("v IS NOT NULL").groupBy("cid", "cid2").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
 
 
+@lru_cache(maxsize=8)
+def _turn(dim: int) -> np.ndarray:
+    return rotation(dim, SEED)
+
+
 def _turns(dim: int, bits: int) -> np.ndarray:
     """Rotations side by side, (dim, at least ``bits``)."""
     return np.concatenate([rotation(dim, SEED + i).T for i in range(max(1, -(-bits // dim)))], axis=1)
 
 
 def _bucketed(values: DataFrame, width: int, tables: int) -> DataFrame:
-    """A row for each class and table: table, bucket, dim, cid, n, v, and ``keys`` (the class's buckets in all tables)."""
-    schema = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("cid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("u", T.BinaryType()), T.StructField("keys", T.BinaryType())])
+    """A row for each class and table: t, bucket, dim, cid, n, u (the unit vector), keys (the class's buckets in all tables), code and factor."""
+    longs, blobs = ("bucket", "cid", "n"), ("u", "keys", "code")
+    schema = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("dim", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in longs], *[T.StructField(c, T.BinaryType()) for c in blobs], T.StructField("factor", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
@@ -72,22 +79,23 @@ def _bucketed(values: DataFrame, width: int, tables: int) -> DataFrame:
             flat = lists.flatten().to_numpy()
             begin = np.cumsum(lengths) - lengths
             for dim in np.unique(lengths).tolist():
-                own = np.flatnonzero(lengths == dim)
-                x = flat[begin[own][:, None] + np.arange(dim)]
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                u = x / np.linalg.norm(x, axis=1, keepdims=True)
                 if dim not in turns:
                     turns[dim] = _turns(dim, width * tables)
-                signs = (u @ turns[dim])[:, : width * tables] >= 0
-                keys = (signs.reshape(len(own), tables, width) * (1 << np.arange(width, dtype=np.int64))).sum(axis=2)
-                for at in range(0, len(own), 256):
-                    part = slice(at, at + 256)
-                    k = len(own[part])
-                    rows = np.tile(np.arange(k), tables)
-                    ub, kb = [r.tobytes() for r in u[part]], [r.tobytes() for r in keys[part]]
+                every = np.flatnonzero(lengths == dim)
+                for at in range(0, len(every), 512):
+                    own = every[at : at + 512]
+                    x = flat[begin[own][:, None] + np.arange(dim)]
+                    x = x / np.abs(x).max(axis=1, keepdims=True)
+                    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    turned = u @ turns[dim]
+                    codes = encode(turned[:, :dim])
+                    keys = ((turned[:, : width * tables] >= 0).reshape(len(own), tables, width) * (1 << np.arange(width, dtype=np.int64))).sum(axis=2)
+                    k = len(own)
+                    rows = pa.array(np.tile(np.arange(k), tables))
+                    wide = [pa.array([r.tobytes() for r in a], pa.binary()) for a in (u, keys, pack(codes))]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(np.arange(tables, dtype=np.int32), k)), pa.array(keys[part].T.reshape(-1)), pa.array(np.full(k * tables, dim, np.int32)),
-                        pa.array(cid[own[part]][rows]), pa.array(n[own[part]][rows]), pa.array([ub[i] for i in rows], pa.binary()), pa.array([kb[i] for i in rows], pa.binary()),
+                        pa.array(np.repeat(np.arange(tables, dtype=np.int32), k)), pa.array(np.full(k * tables, dim, np.int32)),
+                        pa.array(keys.T.reshape(-1)), *[pa.array(a[own]).take(rows) for a in (cid, n)], *[w.take(rows) for w in wide], pa.array(codes.factor).take(rows),
                     ], names=schema.names)
 
     return values.select("cid", "v", "n").mapInArrow(run, schema)
@@ -96,12 +104,12 @@ def _bucketed(values: DataFrame, width: int, tables: int) -> DataFrame:
 class _Block:
     """Classes of one bucket that meet others."""
 
-    def __init__(self, table: pa.Table, dim: int, tables: int):
-        self.cid, self.n = table["cid"].to_numpy(), table["n"].to_numpy()
-        self.u = np.frombuffer(b"".join(table["u"].to_pylist())).reshape(-1, dim)
-        self.keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64).reshape(-1, tables)
-        self.turned = self.u @ rotation(dim, SEED).T
-        self.codes = encode(self.turned)
+    def __init__(self, cid: np.ndarray, n: np.ndarray, u: np.ndarray, keys: np.ndarray, codes: Codes):
+        self.cid, self.n, self.u, self.keys, self.codes = cid, n, u, keys, codes
+        self.turned = u @ _turn(u.shape[1]).T
+
+    def take(self, at: np.ndarray) -> _Block:
+        return _Block(self.cid[at], self.n[at], self.u[at], self.keys[at], self.codes.take(at))
 
 
 def _meet(a: _Block, b: _Block, same: bool, t: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -142,37 +150,72 @@ def _forest(x: np.ndarray, y: np.ndarray) -> list[int]:
     return kept
 
 
+_CELL = ["t", "bucket", "dim", "p", "q"]
+
+
+def _cell(table: pa.Table, tables: int, threshold: float, out: list[tuple[list, list, list]]) -> None:
+    """All meetings of one cell: rows of one bucket, of parts p and q."""
+    t, dim, p, q = (table[c][0].as_py() for c in ("t", "dim", "p", "q"))
+    read = lambda c, kind, w: np.frombuffer(b"".join(table[c].to_pylist()), kind).reshape(-1, w)
+    codes = unpack(read("code", np.uint8, -(-dim // 8)), dim, table["factor"].to_numpy())
+    both = _Block(table["cid"].to_numpy(), table["n"].to_numpy(), read("u", np.float64, dim), read("keys", np.int64, tables), codes)
+    part = table["part"].to_numpy()
+    one, two = (both, both) if p == q else (both.take(part == p), both.take(part == q))
+    i, j = _meet(one, two, p == q, t, threshold)
+    if not len(i):
+        return
+    a, b, n = [], [], []
+    for ids, counts in ((one.cid, np.bincount(i, two.n[j], len(one.cid))), (two.cid, np.bincount(j, one.n[i], len(two.cid)))):
+        some = np.flatnonzero(counts)
+        a += ids[some].tolist()
+        b += [None] * len(some)
+        n += counts[some].astype(int).tolist()
+    x, y = one.cid[i], two.cid[j]
+    tree = _forest(x, y)
+    out.append((a + x[tree].tolist(), b + y[tree].tolist(), n + [0] * len(tree)))
+
+
 def link_rows(values: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Two kinds of rows over class ids: (a, null, n) adds n linked rows to class a; (a, b, 0) is a link of a spanning forest."""
-    total = values.count()
-    width, tables = plan_tables(total, threshold, recall)
+    """Two kinds of rows over class ids: (a, null, n) adds n linked rows to class a; (a, b, 0) is a link of a spanning forest.
+
+    Cells of a few hundred rows come sorted through the tasks and are worked off one after another, so that small buckets cost
+    no more than their pairs.
+    """
+    width, tables = plan_tables(values.count(), threshold, recall)
     rows = written(_bucketed(values, width, tables))
     group = ["t", "bucket", "dim"]
-    sizes = rows.groupBy(*group).count().filter("count > 1").withColumn("parts", F.ceil(F.col("count") / block).cast("int")).drop("count")
-    # a class of part p of a bucket of k parts goes to the meetings (p, 0..k-1) as one side or the other
-    cells = rows.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("cid", "t"), F.col("parts")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select(*group, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cid", "n", "u", "keys")
+    hot = rows.groupBy(*group).count().filter(F.col("count") > block).select(*group, F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    # a class of part x of a bucket of k parts goes to the cells (x, 0..k-1), on one side or the other
+    cells = join_few(rows, hot, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cells = cells.withColumn("part", F.pmod(F.xxhash64("cid", "t"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select(*group, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cid", "n", "u", "keys", "code", "factor")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "n")])
 
-    def meet(table: pa.Table) -> pa.Table:
-        t, dim = table["t"][0].as_py(), table["dim"][0].as_py()
-        p, q = table["p"][0].as_py(), table["q"][0].as_py()
-        part = table["part"].to_numpy()
-        one = _Block(table.filter(pa.array(part == p)), dim, tables)
-        two = one if p == q else _Block(table.filter(pa.array(part == q)), dim, tables)
-        i, j = _meet(one, two, p == q, t, threshold)
-        gain = {}
-        for ids, counts in ((one.cid, np.bincount(i, two.n[j], len(one.cid))), (two.cid, np.bincount(j, one.n[i], len(two.cid)))):
-            for k in np.flatnonzero(counts).tolist():
-                gain[int(ids[k])] = gain.get(int(ids[k]), 0) + int(counts[k])
-        x, y = one.cid[i], two.cid[j]
-        tree = _forest(x, y)
-        a = [*gain, *x[tree].tolist()]
-        b = [*[None] * len(gain), *y[tree].tolist()]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([*gain.values(), *[0] * len(tree)], pa.int64())})
-
-    return cells.groupBy(*group, "p", "q").applyInArrow(meet, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in _with_end(batches):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            table = table.combine_chunks()
+            ids = np.stack([table[c].to_numpy().astype(np.int64) for c in _CELL])
+            starts = np.flatnonzero(np.concatenate(([True], (ids[:, 1:] != ids[:, :-1]).any(axis=0))))
+            ends = [*starts[1:].tolist(), table.num_rows]
+            last = len(starts) if batch is None else len(starts) - 1  # the last cell may go on in the next batch
+            out: list[tuple[list, list, list]] = []
+            for s, e in zip(starts[:last].tolist(), ends):
+                if e - s > 1:
+                    _cell(table.slice(s, e - s), tables, threshold, out)
+            rest = table.slice(int(starts[-1])) if batch is not None else None
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([v for o in out for v in o[c]], pa.int64()) for c in range(3)], names=schema.names)
+
+    return cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(run, schema)
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
