@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -21,4 +28,22 @@ def get_spark(app: str = "vicinal", master: str | None = None, **conf: str) -> S
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the session's Python workers, once, so that they can import it wherever they start."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_vicinal_shipped", False):
+        body, package = io.BytesIO(), Path(__file__).parent
+        with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted(package.rglob("*.py")):
+                z.writestr(zipfile.ZipInfo(f"{package.name}/{path.relative_to(package)}"), path.read_bytes())
+        name = f"vicinal-{hashlib.sha256(body.getvalue()).hexdigest()[:16]}.zip"
+        local = os.path.join(tempfile.gettempdir(), name)  # the driver's copy, from which Spark serves every executor
+        if not os.path.exists(local):
+            Path(f"{local}.{os.getpid()}").write_bytes(body.getvalue())
+            os.replace(f"{local}.{os.getpid()}", local)
+        sc.addPyFile(local)
+        sc._vicinal_shipped = True
+    return spark
