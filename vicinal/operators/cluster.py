@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.distance import distance
+from vicinal.operators.knn import _distances, _matrix
 from vicinal.operators.lloyd import assign, seed_plus_plus, update
 from vicinal.schema import parse_metric
 
 DIAMETER_SAMPLE, SILHOUETTE_SAMPLE, TOP_VALUES = 50, 500, 5
+#: Rows whose distances to all others are summed by block products, at most; beyond it the pairs are joined.
+SENT_ROWS = 20_000
 FLAT = 1e-12
 
 
@@ -64,15 +69,57 @@ def silhouette(members: DataFrame, metric: str, sample: int | None = SILHOUETTE_
     """One row: silhouette_score over at most ``sample`` rows against all rows; 0 for at most one row or one cluster."""
     rows = members.select("id", "vector", by)
     some = _sampled(rows.withColumn("__all", F.lit(0)), ["__all"], sample).drop("__all") if sample else rows
-    i = some.select(F.col("id").alias("i"), F.col("vector").alias("vi"), F.col(by).alias("ci"))
-    j = rows.select(F.col("id").alias("j"), F.col("vector").alias("vj"), F.col(by).alias("cj"))
-    means = i.join(j, F.col("i") != F.col("j")).groupBy("i", "ci", "cj").agg(F.avg(distance(metric, F.col("vi"), F.col("vj"))).alias("m"))
+    if some.count() <= SENT_ROWS:
+        means = _mean_distances(some, rows, metric, by)
+    else:
+        i = some.select(F.col("id").alias("i"), F.col("vector").alias("vi"), F.col(by).alias("ci"))
+        j = rows.select(F.col("id").alias("j"), F.col("vector").alias("vj"), F.col(by).alias("cj"))
+        means = i.join(j, F.col("i") != F.col("j")).groupBy("i", "ci", "cj").agg(F.avg(distance(metric, F.col("vi"), F.col("vj"))).alias("m"))
     ab = means.groupBy("i").agg(F.min(F.when(F.col("ci") == F.col("cj"), F.col("m"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("m"))).alias("b"))
     top = F.greatest("a", "b")
     s = F.when(F.col("a").isNull() | F.col("b").isNull() | (top <= FLAT), 0.0).otherwise((F.col("b") - F.col("a")) / top)
     return ab.agg(F.coalesce(F.avg(s), F.lit(0.0)).alias("silhouette_score"))
 
 
+def _mean_distances(some: DataFrame, rows: DataFrame, metric: str, by: str) -> DataFrame:
+    """(i, ci, cj, m): mean distance of each row of ``some`` to the members of each cluster but itself; tasks return sums."""
+    block = some.select("id", F.col("vector").cast("array<double>").alias("vector"), F.col(by).cast("bigint").alias("c")).toArrow().combine_chunks()
+    if not block.num_rows:
+        return rows.sparkSession.createDataFrame([], "i bigint, ci bigint, cj bigint, m double")
+    sent = rows.sparkSession.sparkContext.broadcast(block)
+    slim = rows.select("id", F.col("vector").cast("array<double>").alias("vector"), F.col(by).cast("bigint").alias("c"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = sent.value["id"].to_pylist()
+        first = sent.value["vector"].chunk(0)
+        q, own = _matrix(first, len(first[0])), sent.value["c"].to_numpy()
+        place = {x: n for n, x in enumerate(ids)}
+        for batch in batches:
+            if not len(batch):
+                continue
+            c = batch.column(2).to_numpy()
+            clusters, at = np.unique(c, return_inverse=True)
+            member = np.eye(len(clusters))[at]
+            self_at = [(place[x], n) for n, x in enumerate(batch.column(0).to_pylist()) if x in place]
+            count = np.repeat(member.sum(axis=0)[None], len(q), axis=0)
+            total = np.empty_like(count)
+            x = _matrix(batch.column(1), q.shape[1])
+            for lo in range(0, len(q), 512):
+                d = _distances(metric, q[lo : lo + 512], x)
+                for i, n in self_at:
+                    if lo <= i < lo + len(d):
+                        d[i - lo, n] = 0.0
+                total[lo : lo + 512] = d @ member
+            for i, n in self_at:
+                count[i, at[n]] -= 1
+            k = len(clusters)
+            yield pa.RecordBatch.from_arrays([pa.array([v for v in ids for _ in range(k)], sent.value.schema.field("id").type), pa.array(np.repeat(own, k)), pa.array(np.tile(clusters, len(q))), pa.array(total.reshape(-1)), pa.array(count.reshape(-1))], names=["i", "ci", "cj", "s", "n"])
+
+    sums = slim.mapInArrow(run, f"i {kind}, ci bigint, cj bigint, s double, n double")
+    return sums.groupBy("i", "ci", "cj").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).filter("n > 0").select("i", "ci", "cj", (F.col("s") / F.col("n")).alias("m"))
+
+
 def top_metadata(values: DataFrame, keys: Sequence[str], n: int = TOP_VALUES, by: str = "cluster") -> DataFrame:
     """(by, key, value, count, rank): the n most frequent values of each key in each cluster; ties by value. ``keys`` are columns."""
     entries = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys]))
@@ -137,10 +184,6 @@ def kmeans(items: DataFrame, k: int = 3, metric: str = "cosine", max_iter: int =
 
 
 def _shift(metric: str, a: Sequence[float], b: Sequence[float]) -> float:
-    import numpy as np
-
-    from vicinal.operators.knn import _distances
-
     return float(_distances(metric, np.array([a], float), np.array([b], float))[0, 0])
 
 
