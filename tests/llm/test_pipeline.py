@@ -39,6 +39,9 @@ def test_each_stage_does_its_work(spark, written):
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].encode().split())
     assert got == taken
     assert encoded.count() == mixed.count() and encoded.filter("n_tokens <> size(ids)").count() == 0
+    from pyspark.sql import functions as F
+
+    assert encoded.select("doc_id", "decoded_sha256").exceptAll(mixed.select("doc_id", F.sha2("text", 256).alias("decoded_sha256"))).count() == 0
 
 
 def test_run_and_registry(spark, written):

@@ -1,9 +1,9 @@
 """BPE encoding and decoding through distinct-word tables.
 
-Texts are split into words by the tokenizer's own pattern. Each worker task keeps a table of the distinct words it has met and
-their ids; a word is encoded once, when the table first meets it, and the ids are joined back by position. Decoding joins ids
-with the id-to-piece table (fixed size: one row per vocabulary entry). Tables start anew at ``MAX_WORDS`` entries, so memory is
-bounded, and no text or word leaves its partition.
+Texts are split into words by the tokenizer's own pattern. Each worker keeps a table of the distinct words it has met and their
+ids; a word is encoded when the table meets it first, and the ids are joined back by position. Decoding joins ids with the
+id-to-piece table (fixed size: one row per vocabulary entry). A table holds ``MAX_WORDS`` words at most, those not met for long
+give way, and no text or word leaves its partition.
 
 Null texts are empty: no ids, the digest of no bytes. Repeated rows are returned as often as they come in; an empty table gives
 no rows; extra columns are ignored by the query and kept by ``encode``, which replaces those named as its results.
@@ -25,14 +25,19 @@ from pyspark.sql import functions as F
 
 from vicinal.llm.common import bounded_batches
 
-#: Distinct words held by one task at most.
+#: Distinct words held by one worker at most.
 MAX_WORDS = 1 << 18
+#: Words encoded as one running text.
+RUN_WORDS = 8192
 #: Words longer than this many characters are encoded but not held.
 LONG_WORD = 64
 #: Fixed values of the byte-level pre-tokenizer: its split pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+_TABLES: dict[str, WordTable] = {}
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -47,7 +52,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class WordTable:
-    """Distinct words and their ids, for one worker task."""
+    """Distinct words and their ids, for one worker, in two generations of at most half of ``MAX_WORDS`` words (and a group's)."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,6 +77,7 @@ class WordTable:
         # code points that newer Unicode tables class otherwise than the library's: its own splitter decides there
         self.beyond = regex.compile("[\u0558-\U0010ffff]").search
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _split(self, text: str) -> list[str]:
         if self.beyond(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
@@ -79,8 +85,23 @@ class WordTable:
         return self.split(text)
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        found = self.model.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found)}
+        """Ids of distinct words. Words of a space and letters are encoded as running text, which splits into just them."""
+        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        known: dict[str, bytes] = {}
+        for at in range(0, len(plain), RUN_WORDS):
+            known |= self._learn_run(plain[at : at + RUN_WORDS])
+        rest = [w for w in words if w not in known]
+        found = self.model.encode_batch(rest, add_special_tokens=False) if rest else []
+        return known | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, found)}
+
+    def _learn_run(self, words: list[str]) -> dict[str, bytes]:
+        found = self.model.encode("".join(words), add_special_tokens=False)
+        owner = np.array(found.word_ids)
+        starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        if len(starts) != len(words):  # split otherwise: one by one, then
+            return {}
+        raw, cuts = np.array(found.ids, "<u4").tobytes(), [*(starts * 4).tolist(), len(owner) * 4]
+        return {w: raw[i:j] for w, i, j in zip(words, cuts, cuts[1:])}
 
     def _words(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.special):
@@ -92,35 +113,32 @@ class WordTable:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        texts = [t or "" for t in texts]
-        known, out = self.table, [b""] * len(texts)
-        group: list[tuple[int, list[str]]] = []
-        missing: dict[str, None] = {}
+        out: list[bytes] = []
+        group: list[list[str]] = []
         held = 0
-
-        def flush() -> None:
-            nonlocal held
-            fresh = self._learn(list(missing)) if missing else {}
-            for i, words in group:
-                out[i] = b"".join([known[w] if w in known else fresh[w] for w in words])
-            for w, ids in fresh.items():
-                if len(w) <= LONG_WORD:
-                    known[w] = ids
-            if len(known) > MAX_WORDS:
-                known.clear()
-            group.clear()
-            missing.clear()
-            held = 0
-
-        for i, text in enumerate(texts):
-            words = self._words(text)
-            missing.update(dict.fromkeys([w for w in words if w not in known]))
-            group.append((i, words))
-            held += len(text)
+        for text in texts:
+            group.append(self._words(text or ""))
+            held += len(text or "")
             if held > 1 << 20:
-                flush()
-        flush()
-        return out
+                out += self._encode(group)
+                group, held = [], 0
+        return out + self._encode(group)
+
+    def _encode(self, group: list[list[str]]) -> list[bytes]:
+        """Ids of texts given as words: look up, learn what is missing at once, fill it in by position."""
+        look = self.table.get
+        found = [list(map(look, words)) for words in group]
+        gaps = [(words, ids, [i for i, x in enumerate(ids) if x is None]) for words, ids in zip(group, found) if None in ids]
+        missing = {words[i] for words, _, at in gaps for i in at}
+        known = {w: ids for w in missing if (ids := self.older.get(w)) is not None}
+        known |= self._learn([w for w in missing if w not in known])
+        for words, ids, at in gaps:
+            for i in at:
+                ids[i] = known[words[i]]
+        self.table.update((w, ids) for w, ids in known.items() if len(w) <= LONG_WORD)
+        if len(self.table) > MAX_WORDS // 2:  # words of the last generation come back when they are met again
+            self.table, self.older = {}, self.table
+        return [b"".join(ids) for ids in found]
 
     def decode(self, ids: bytes) -> str:
         pieces = self.pieces
@@ -131,7 +149,15 @@ def _tables(spark, path: str | None) -> Callable[[], WordTable]:
     """The vocabulary file is read on the driver and sent to the workers (its size is fixed, not that of the data)."""
     with open(path or default_vocabulary(), encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
-    return lambda: WordTable(definition.value)
+    return lambda: _held(definition.value)
+
+
+def _held(definition: str) -> WordTable:
+    """The worker's table for a vocabulary: tasks that run one after another in a worker share it."""
+    if definition not in _TABLES:
+        _TABLES.clear()
+        _TABLES[definition] = WordTable(definition)
+    return _TABLES[definition]
 
 
 def _mapped(docs: DataFrame, make: Callable[[], WordTable], add: list[tuple[str, str, pa.DataType]], work: Callable[[WordTable, list], list[list]]) -> DataFrame:
@@ -164,6 +190,16 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return _mapped(docs, _tables(docs.sparkSession, vocabulary), [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64())], work)
 
 
+def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """As ``encode``, plus decoded_sha256: the digest of the text that the ids decode to."""
+
+    def work(words: WordTable, texts: list) -> list[list]:
+        ids = words.encode(texts)
+        return [[np.frombuffer(x, "<i4") for x in ids], [len(x) // 4 for x in ids], [hashlib.sha256(words.decode(x).encode()).hexdigest() for x in ids]]
+
+    return _mapped(docs, _tables(docs.sparkSession, vocabulary), [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64()), ("decoded_sha256", "string", pa.string())], work)
+
+
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``docs`` with its text replaced by n_tokens, ids_sha256 and decoded_sha256 of a whole round trip."""
 
