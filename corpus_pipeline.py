@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, tested by a round trip in ``bpe.digests``."""
-    return bpe.encode(docs)
+    """Token ids of every document, and the digest of the text they decode to."""
+    return bpe.round_trip(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -42,7 +42,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("SimHash near-dedup", drop_near_copies),
     ("substring dedup", cut_repeated_passages),
     ("mixing sources", mix_sources),
-    ("BPE encoding", encode_texts),
+    ("BPE encoding and decoding", encode_texts),
 ]
 
 
