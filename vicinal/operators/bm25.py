@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vicinal.functions.text import TOKEN, tokenize
 from vicinal.operators.knn import ranked
 
+#: BM25's parameters.
 K1, B = 1.5, 0.75
 
 

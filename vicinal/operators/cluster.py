@@ -18,6 +18,7 @@ from vicinal.operators.knn import _distances, _matrix
 from vicinal.operators.lloyd import assign, seed_plus_plus, update
 from vicinal.schema import parse_metric
 
+#: Sample sizes of the report.
 DIAMETER_SAMPLE, SILHOUETTE_SAMPLE, TOP_VALUES = 50, 500, 5
 #: Rows whose distances to all others are summed by block products, at most; beyond it the pairs are joined.
 SENT_ROWS = 20_000

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vicinal.operators import bm25
 from vicinal.operators.knn import ranked, top_k
 
+#: The rank constant and the dense side's weight.
 RRF_K = 60
 ALPHA = 0.5
 FLAT = 1e-12

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vicinal.operators.knn import _distances, top_k
 from vicinal.schema import parse_metric
 
+#: Pool size and weight of relevance.
 FETCH_K, LAMBDA = 50, 0.5
 
 

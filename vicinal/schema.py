@@ -38,6 +38,9 @@ def parse_index(name: str) -> str:
     return key
 
 
+# The defaults of the graph and of inverted files.
+
+
 @dataclass(frozen=True)
 class HnswConfig:
     m: int = 16

@@ -13,7 +13,7 @@ from vicinal.service.api import Store, benchmark, diagnostics
 
 
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="vicinal", description="Vector search and retrieval analytics on Spark")
+    p = argparse.ArgumentParser(prog="vicinal", description="Similarity search and retrieval analytics on Spark")
     p.add_argument("--data-dir", default="./.vector_store")
     p.add_argument("--json", action="store_true", help="print JSON")
     p.add_argument("--quiet", action="store_true")

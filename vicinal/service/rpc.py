@@ -9,6 +9,7 @@ from typing import Any, TextIO
 from vicinal.functions.text import embed_text
 from vicinal.service.api import Store, diagnostics, quantize
 
+#: Protocol version and error codes of JSON-RPC, and the names by which agents call the tools.
 PROTOCOL = "2024-11-05"
 PARSE_ERROR, INVALID_REQUEST, UNKNOWN_METHOD, INTERNAL_ERROR = -32700, -32600, -32601, -32603
 
