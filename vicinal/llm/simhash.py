@@ -91,7 +91,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: tuple[int, ...] =
     first = durable(stored.select("key", F.col("fp").alias("a")).join(hubs, "key").filter(near & F.expr("a <> b")).select("a", "b").distinct())
     known = components(first)
     tagged = durable(fps.join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
-    p = _probes(tagged, segments, distance // len(segments), "root").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes a whole ball: no few tasks may hold them
+    p = _probes(tagged.repartition(tasks, "fp"), segments, distance // len(segments), "root").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
     s = _stored(tagged, segments, "root").select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
     # one direction is enough: the ball is symmetric
     found = p.join(s, (p.key == s.key) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
