@@ -106,3 +106,11 @@ def window_counts(spark, sf_dir):
 
     rows = counted(table(spark, sf_dir, "events"))
     return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("percentiles", "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(n)::BIGINT AS n, max(CASE WHEN rn = least(floor(n * 0.5) + 1, n) THEN value END) AS p50, max(CASE WHEN rn = least(floor(n * 0.95) + 1, n) THEN value END) AS p95, max(CASE WHEN rn = least(floor(n * 0.99) + 1, n) THEN value END) AS p99 FROM o GROUP BY event_type")
+def percentiles(spark, sf_dir):
+    """Percentiles by place, as the benchmark reports them."""
+    from vicinal.operators.stats import percentiles as by_place
+
+    return by_place(table(spark, sf_dir, "events"), "value", "event_type")

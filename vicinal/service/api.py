@@ -119,10 +119,9 @@ def benchmark(spark: SparkSession, n: int = 1000, dimension: int = 64, queries:
     """Graph search against the exact join on random unit vectors: build and query seconds, queries a second, recall."""
     from pyspark.sql import functions as F
 
-    from vicinal.functions.distance import normalize
-    from vicinal.operators import hnsw, knn
+    from vicinal.operators import hnsw, knn, stats
 
-    base = spark.range(n + queries).select("id", normalize(F.array(*[F.randn(seed + i) for i in range(dimension)])).alias("vector")).persist()
+    base = stats.with_random_vectors(spark.range(n + queries), dimension, seed).persist()
     items, asked = base.filter(F.col("id") < n), base.filter(F.col("id") >= n).withColumnRenamed("id", "query_id")
     base.count()
     t = time.perf_counter()
