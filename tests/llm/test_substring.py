@@ -94,3 +94,17 @@ def test_long_words_and_chunks(monkeypatch):
     monkeypatch.setattr(tokenruns, "CHUNK_WORDS", 100)
     g = fragments(whole, 20, 5)
     assert int(f.windows.sum()) == int(g.windows.sum()) == len(whole) - 19
+
+
+def test_recurring_phrases(spark):
+    """Phrases repeated over and over, in texts that share parts of such stretches."""
+    rng = random.Random(8)
+    rows = []
+    for d in range(40):
+        words = [rng.choice("uvwxyz") for _ in range(rng.randint(0, 8))]
+        for _ in range(rng.randint(1, 3)):
+            words += rng.choice(["a b", "a b c", "p q r s t k l m n o", "a"]).split() * rng.randint(1, 12) + [rng.choice("uvwxyz") for _ in range(rng.randint(0, 4))]
+        rows.append((d, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = shown(substring._cut_texts(df, 6, 3, digest=True).collect())
+    assert got == sorted((d, n, g, hashlib.sha256(k).hexdigest()) for d, n, g, k in brute(rows, 6))

@@ -35,7 +35,6 @@ from vicinal.llm.tokenruns import fragments, window_hashes, word_hashes
 WINDOW = 50
 #: Words of a minimiser. Fragments of differing content under one minimiser are opened, so it is long enough to be rare.
 MINIMISER = 16
-_SPANS = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("n", T.LongType())]))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -68,12 +67,30 @@ def path_fragments(keyed: DataFrame, window: int, k: int) -> DataFrame:
     return bounded_batches(keyed).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, schema)
 
 
+def _recurring(which: np.ndarray, off: np.ndarray, edge: np.ndarray) -> tuple:
+    """(which, off, n, step, edge): equal edges of one fragment in even steps as one row each, others one by one."""
+    order = np.lexsort((off, edge, which))
+    which, off, edge = which[order], off[order], edge[order]
+    new = np.concatenate(([True], (which[1:] != which[:-1]) | (edge[1:] != edge[:-1])))
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    count = np.diff(np.concatenate((starts, [len(off)])))
+    gap = np.concatenate(([0], np.diff(off)))
+    step = np.where(count > 1, gap[np.minimum(starts + 1, len(off) - 1)], 1)
+    uneven = np.add.reduceat((~new & (gap != step[group])).astype(np.int64), starts) > 0
+    kept = new | uneven[group]
+    times = np.where(uneven[group], 1, count[group])[kept]
+    return which[kept], off[kept], times, np.where(uneven[group], 1, step[group])[kept], edge[kept]
+
+
 def _opened(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The single edges of the wanted fragments: m, key, doc_id, off (place within the fragment), edge (hash of the window)."""
+    """The single edges of the wanted fragments: m, key, doc_id, off (place within the fragment), n, step, edge (hash of the window).
+
+    An edge that recurs n times in a fragment, ``step`` words apart, as in a phrase repeated over and over, is one row.
+    """
     by_text = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "m", "key")).alias("wanted"))
     # outer, as the spans' join is: both read one exchange of the texts
     rows = texts.join(by_text, ["doc_id", "th"], "left").select("doc_id", "wanted", "text")
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("m", "key", "doc_id", "off", "edge")])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("m", "key", "doc_id", "off", "n", "step", "edge")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,14 +101,15 @@ def _opened(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 which = np.repeat(np.arange(len(n)), n)
                 off = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 edge = window_hashes(words, start[which] + off, window)
-                doc = np.full(len(which), batch.column(0)[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (m[which], key[which], doc, off, edge)], names=schema.names)
+                at, off, times, step, edge = _recurring(which, off, edge)
+                doc = np.full(len(at), batch.column(0)[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (m[at], key[at], doc, off, times, step, edge)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def repeated_spans(keyed: DataFrame, texts: DataFrame, window: int, k: int) -> DataFrame:
-    """(doc_id, th, spans): runs (s, n) of edges that start in a smaller document as well."""
+    """(doc_id, th, spans): edges s, s + step, ... (n of them) that start in a smaller document as well."""
     every = written(path_fragments(keyed, window, k))
     shared = every.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("hi > lo").select("m")
     candidates = written(every.join(shared, "m", "left_semi"))
@@ -101,22 +119,27 @@ def repeated_spans(keyed: DataFrame, texts: DataFrame, window: int, k: int) -> D
     contents = every.groupBy("m", "key").agg(source)
     back = contents.select("m", "key", F.col("src.doc_id").alias("src_doc"), F.col("src.n").alias("src_n"), F.col("src.check").alias("src_check"))
     copies = every.join(back, ["m", "key"]).filter("doc_id > src_doc AND n = src_n AND check = src_check")
-    whole = copies.select("doc_id", "th", F.col("start").alias("s"), "n")
+    whole = copies.select("doc_id", "th", F.col("start").alias("s"), "n", F.lit(1).cast("bigint").alias("step"))
     branching = contents.groupBy("m").agg(F.count("*").alias("c"), F.min("src.doc_id").alias("lo"), F.max("src.doc_id").alias("hi")).filter("c > 1 AND hi > lo").select("m")
     wanted = contents.join(branching, "m").select("m", "key", "src.doc_id", "src.th", "src.start", "src.n")
     edges = _opened(texts, wanted, window)
     first = edges.groupBy("m", "edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("last > first").drop("last")
-    hit = edges.join(first, ["m", "edge"]).filter("doc_id > first").select("m", "key", F.col("doc_id").alias("src_doc"), "off")
-    single = every.join(hit, ["m", "key"]).filter("doc_id = src_doc").select("doc_id", "th", (F.col("start") + F.col("off")).alias("s"), F.lit(1).cast("bigint").alias("n"))
-    return whole.unionAll(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    hit = edges.join(first, ["m", "edge"]).filter("doc_id > first").select("m", "key", F.col("doc_id").alias("src_doc"), "off", F.col("n").alias("times"), "step")
+    single = every.join(hit, ["m", "key"]).filter("doc_id = src_doc").select("doc_id", "th", (F.col("start") + F.col("off")).alias("s"), F.col("times").alias("n"), "step")
+    return whole.unionAll(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "n", "step")).alias("spans"))
 
 
 def _covered(n_words: int, spans: list, window: int) -> np.ndarray:
     """Which words lie under a flagged edge."""
     step = np.zeros(n_words + 1, np.int64)
     for x in spans:
-        step[x["s"]] += 1
-        step[x["s"] + x["n"] + window - 1] -= 1
+        if x["step"] <= window:  # one stretch
+            step[x["s"]] += 1
+            step[x["s"] + (x["n"] - 1) * x["step"] + window] -= 1
+            continue
+        for s in range(x["s"], x["s"] + x["n"] * x["step"], x["step"]):
+            step[s] += 1
+            step[s + window] -= 1
     return np.cumsum(step[:-1]) > 0
 
 
@@ -166,3 +189,23 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = MINIMISER)
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return _cut_texts(docs, WINDOW, MINIMISER, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+OP2_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), edges AS (
+  SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS edge
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM texts WHERE len(words) >= 50)
+), firsts AS (
+  SELECT edge, min(doc_id) AS first FROM edges GROUP BY edge
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM edges JOIN firsts USING (edge), range(0, 50) AS r(k) WHERE doc_id > first
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM texts
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS words, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT t.doc_id, len(t.words)::BIGINT AS n_words, (len(t.words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.words, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+"""
