@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinal.llm.common import durable, join_few, written
+from vicinal.llm.common import discard, durable, join_few, written
 from vicinal.llm.components import components
 from vicinal.llm.rabitq import Codes, encode, estimate, pack, rotation, unpack
 
@@ -45,13 +45,13 @@ def plan_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) ->
     return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**width)))
 
 
-def classes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(rows: vec_id, v, cid; one row per value: cid, v, n). ``v`` is null for vectors that link with nothing; cid numbers values by content."""
+def classes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", salt: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows: vec_id, v, cid; one row per value: cid, cid2, v, n). ``v`` is null for vectors that link with nothing; cid is a salted hash of the value."""
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(fine, F.transform(v, lambda x: x + 0.0)).alias("v"))
-    rows = rows.withColumn("cid", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
-    rows = rows.withColumn("cid2", F.when(F.col("v").isNotNull(), F.hash("v")))
+    rows = rows.withColumn("cid", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(salt), "v")))
+    rows = rows.withColumn("cid2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(~salt), "v")))
     return rows, rows.filter("v IS NOT NULL").groupBy("cid", "cid2").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
 
 
@@ -65,9 +65,16 @@ def _turns(dim: int, bits: int) -> np.ndarray:
     return np.concatenate([rotation(dim, SEED + i).T for i in range(max(1, -(-bits // dim)))], axis=1)
 
 
-def _bucketed(values: DataFrame, width: int, tables: int) -> DataFrame:
-    """A row for each class and table: t, bucket, dim, cid, n, u (the unit vector), keys (the class's buckets in all tables), code and factor."""
-    longs, blobs = ("bucket", "cid", "n"), ("u", "keys", "code")
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Unit rows in double precision; scaled first, so that very large or small numbers do no harm."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _bucketed(values: DataFrame, width: int, tables: int, kind: type) -> DataFrame:
+    """A row for each class and table: t, bucket, dim, cid, n, x (the vector, in the table's own precision ``kind``), keys (the class's buckets in all tables), code and factor."""
+    longs, blobs = ("bucket", "cid", "n"), ("x", "keys", "code")
     schema = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("dim", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in longs], *[T.StructField(c, T.BinaryType()) for c in blobs], T.StructField("factor", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,14 +92,12 @@ def _bucketed(values: DataFrame, width: int, tables: int) -> DataFrame:
                 for at in range(0, len(every), 512):
                     own = every[at : at + 512]
                     x = flat[begin[own][:, None] + np.arange(dim)]
-                    x = x / np.abs(x).max(axis=1, keepdims=True)
-                    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    turned = u @ turns[dim]
+                    turned = _unit(x) @ turns[dim]
                     codes = encode(turned[:, :dim])
                     keys = ((turned[:, : width * tables] >= 0).reshape(len(own), tables, width) * (1 << np.arange(width, dtype=np.int64))).sum(axis=2)
                     k = len(own)
                     rows = pa.array(np.tile(np.arange(k), tables))
-                    wide = [pa.array([r.tobytes() for r in a], pa.binary()) for a in (u, keys, pack(codes))]
+                    wide = [pa.array([r.tobytes() for r in a], pa.binary()) for a in (x.astype(kind), keys, pack(codes))]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.repeat(np.arange(tables, dtype=np.int32), k)), pa.array(np.full(k * tables, dim, np.int32)),
                         pa.array(keys.T.reshape(-1)), *[pa.array(a[own]).take(rows) for a in (cid, n)], *[w.take(rows) for w in wide], pa.array(codes.factor).take(rows),
@@ -153,12 +158,12 @@ def _forest(x: np.ndarray, y: np.ndarray) -> list[int]:
 _CELL = ["t", "bucket", "dim", "p", "q"]
 
 
-def _cell(table: pa.Table, tables: int, threshold: float, out: list[tuple[list, list, list]]) -> None:
+def _cell(table: pa.Table, tables: int, threshold: float, kind: type, out: list[tuple[list, list, list]]) -> None:
     """All meetings of one cell: rows of one bucket, of parts p and q."""
     t, dim, p, q = (table[c][0].as_py() for c in ("t", "dim", "p", "q"))
     read = lambda c, kind, w: np.frombuffer(b"".join(table[c].to_pylist()), kind).reshape(-1, w)
     codes = unpack(read("code", np.uint8, -(-dim // 8)), dim, table["factor"].to_numpy())
-    both = _Block(table["cid"].to_numpy(), table["n"].to_numpy(), read("u", np.float64, dim), read("keys", np.int64, tables), codes)
+    both = _Block(table["cid"].to_numpy(), table["n"].to_numpy(), _unit(read("x", kind, dim)), read("keys", np.int64, tables), codes)
     part = table["part"].to_numpy()
     one, two = (both, both) if p == q else (both.take(part == p), both.take(part == q))
     i, j = _meet(one, two, p == q, t, threshold)
@@ -175,20 +180,20 @@ def _cell(table: pa.Table, tables: int, threshold: float, out: list[tuple[list,
     out.append((a + x[tree].tolist(), b + y[tree].tolist(), n + [0] * len(tree)))
 
 
-def link_rows(values: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def link_rows(values: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, kind: type = np.float64) -> DataFrame:
     """Two kinds of rows over class ids: (a, null, n) adds n linked rows to class a; (a, b, 0) is a link of a spanning forest.
 
     Cells of a few hundred rows come sorted through the tasks and are worked off one after another, so that small buckets cost
     no more than their pairs.
     """
     width, tables = plan_tables(values.count(), threshold, recall)
-    rows = written(_bucketed(values, width, tables))
+    rows = written(_bucketed(values, width, tables, kind))
     group = ["t", "bucket", "dim"]
     hot = rows.groupBy(*group).count().filter(F.col("count") > block).select(*group, F.ceil(F.col("count") / block).cast("int").alias("parts"))
     # a class of part x of a bucket of k parts goes to the cells (x, 0..k-1), on one side or the other
     cells = join_few(rows, hot, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     cells = cells.withColumn("part", F.pmod(F.xxhash64("cid", "t"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select(*group, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cid", "n", "u", "keys", "code", "factor")
+    cells = cells.select(*group, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cid", "n", "x", "keys", "code", "factor")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "n")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +210,7 @@ def link_rows(values: DataFrame, threshold: float = THRESHOLD, recall: float = R
             out: list[tuple[list, list, list]] = []
             for s, e in zip(starts[:last].tolist(), ends):
                 if e - s > 1:
-                    _cell(table.slice(s, e - s), tables, threshold, out)
+                    _cell(table.slice(s, e - s), tables, threshold, kind, out)
             rest = table.slice(int(starts[-1])) if batch is not None else None
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([v for o in out for v in o[c]], pa.int64()) for c in range(3)], names=schema.names)
@@ -220,11 +225,16 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
-    rows, values = classes(vectors)
-    rows, values = durable(rows.drop("v")), written(values)
-    if values.groupBy("cid").count().filter("count > 1").limit(1).count():
-        raise RuntimeError("two vectors share a content hash")
-    found = durable(link_rows(values, threshold, recall, block))
+    for salt in range(8):  # another one in the rare case that two values share a hash
+        rows, values = classes(vectors, salt=salt)
+        rows, values = durable(rows.drop("v")), written(values)
+        if values.groupBy("cid").count().filter("count > 1").isEmpty():
+            break
+        discard(values)
+    else:
+        raise RuntimeError("values share hashes under every salt")
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    found = durable(link_rows(values, threshold, recall, block, np.float32 if single else np.float64))
     gains = found.filter("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("gain"))
     roots = components(found.filter("b IS NOT NULL").select("a", "b"))
     named = values.select("cid", "n", "least").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -236,3 +246,23 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def op7_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings
+), good AS (
+  SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_inner_product(e, e) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM v
+  UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (
+  SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN least c USING (vec_id)
+"""
