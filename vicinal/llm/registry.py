@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from vicinal.llm.bpe import op5_bpe_round_trip
 from vicinal.llm.chat import OP3_SQL, op3_chat_format
-from vicinal.llm.embed_dedup import op7_embedding_dedup
+from vicinal.llm.embed_dedup import OP7_SQL, op7_embedding_dedup
 from vicinal.llm.langid import op1_language_id
 from vicinal.llm.media import op10_media
 from vicinal.llm.mixing import OP8_SQL, op8_mixing
 from vicinal.llm.quality import op9_quality
 from vicinal.llm.simhash import op6_simhash_near_dedup
-from vicinal.llm.substring import op2_substring_dedup
+from vicinal.llm.substring import OP2_SQL, op2_substring_dedup
 from vicinal.llm.urlfilter import OP4_SQL, op4_url_filter
 
 QUERIES = {
@@ -25,4 +25,10 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_media": op10_media,
 }
-ORACLES: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_mixing": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
+    "op3_chat_format": OP3_SQL,
+    "op4_url_filter": OP4_SQL,
+    "op7_embedding_dedup": OP7_SQL,
+    "op8_mixing": OP8_SQL,
+}
