@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vicinal.functions.filters import column_resolver, compile_filter
 from vicinal.plans.registry import query
 from vicinal.plans.views import ITEMS, documents, items, table
+from vicinal.session import shared_folder
 from vicinal.sources import dml, jsonl, vdb
 from vicinal.sources.collection import stats_frame
+from vicinal.sources.files import ensure_dir
 
 
 def _customers(spark, sf_dir):
@@ -65,11 +69,7 @@ def _as_items(spark, sf_dir):
 
 
 def _folder(spark, name):
-    import uuid
-
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getConf().get("spark.sql.warehouse.dir") or "/tmp"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 _BACK = f"WITH {ITEMS} SELECT id::VARCHAR AS id, label, round(list_sum(vector), 4) AS total, 'item ' || id AS document FROM items"
@@ -92,9 +92,7 @@ def vdb_roundtrip(spark, sf_dir):
     """Through binary files, one per task; vectors come back in single precision."""
     vdb.register(spark)
     path = _folder(spark, "vdb").removeprefix("file://").removeprefix("file:")
-    import os
-
-    os.makedirs(path, exist_ok=True)
+    ensure_dir(path)
     _as_items(spark, sf_dir).drop("ord").write.format("vdb").mode("append").option("config", '{"name": "t", "dimension": 64}').save(path)
     return _shown(spark.read.format("vdb").load(path))
 

@@ -47,3 +47,14 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(local)
         sc._vicinal_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; in local mode without it, a temporary one."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_vicinal_folder", None)
+    if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = sc._vicinal_folder = tempfile.mkdtemp(prefix="vicinal-")
+    return shared.rstrip("/")
