@@ -49,3 +49,17 @@ def test_run_and_registry(spark, written):
     key = lambda df: sorted((r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in df.collect())
     assert key(run) == key(written[-1][1])
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("which", ["messy", "no_docs"])
+def test_stages_on_odd_tables(spark, request, tmp_path, which):
+    """Nulls, repeated rows, clashing columns and empty tables pass through every stage."""
+    docs = request.getfixturevalue(which)
+    columns = docs.columns
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, "unused")
+        out.write.parquet(str(tmp_path / str(n)))
+        docs = spark.read.parquet(str(tmp_path / str(n)))
+        if n < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns
+    assert (docs.count() == 0) == (which == "no_docs")
