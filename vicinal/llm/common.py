@@ -55,7 +55,8 @@ def join_few(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner
     if few.count() <= SENT_ROWS:
         return rows.join(F.broadcast(few), keys, how)
     salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", (F.rand(1) * SALTS).cast("int")).join(salted, [*keys, "__salt"], how).drop("__salt")
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS)).cast("int")  # of the row itself: a task run again deals alike
+    return rows.withColumn("__salt", salt).join(salted, [*keys, "__salt"], how).drop("__salt")
 
 
 def durable(df: DataFrame) -> DataFrame:
