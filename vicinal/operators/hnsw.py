@@ -24,6 +24,8 @@ from vicinal.schema import HnswConfig
 
 #: Rows that one shard holds, about.
 SHARD_ROWS = 20_000
+#: Rows below which a table is not cut into more shards for the sake of parallel building.
+LEAST_SHARD = 500
 
 
 class Graph:
@@ -128,7 +130,9 @@ class Graph:
 def build(items: DataFrame, metric: str = "cosine", config: HnswConfig = HnswConfig(), shards: int | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """The graph table: shard, n, graph (a pickled Graph), ids, and stats (layer, nodes, links)."""
     slim = items.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    count = shards or max(1, math.ceil(slim.count() / SHARD_ROWS))
+    n = slim.count()
+    tasks = slim.sparkSession.sparkContext.defaultParallelism
+    count = shards or max(1, math.ceil(n / SHARD_ROWS), min(tasks, n // LEAST_SHARD))
     kind = slim.schema["id"].dataType.simpleString()
     sharded = slim.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
 
