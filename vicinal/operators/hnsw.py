@@ -142,7 +142,8 @@ def build(items: DataFrame, metric: str = "cosine", config: HnswConfig = HnswCon
         graph = Graph(np.stack(pdf["vector"].to_list()).astype(float), metric, config, config.seed + shard)
         return pd.DataFrame({"shard": [shard], "n": [len(pdf)], "graph": [pickle.dumps(graph)], "ids": [pdf["id"].tolist()], "stats": [[{"layer": a, "nodes": b, "links": c} for a, b, c in graph.links()]]})
 
-    return sharded.groupBy("shard").applyInPandas(make, f"shard int, n bigint, graph binary, ids array<{kind}>, stats array<struct<layer int, nodes bigint, links bigint>>")
+    # a fixed number of partitions: small as they are, shards are not to be built one after another in one task
+    return sharded.repartition(2 * count, "shard").groupBy("shard").applyInPandas(make, f"shard int, n bigint, graph binary, ids array<{kind}>, stats array<struct<layer int, nodes bigint, links bigint>>")
 
 
 def candidates(graphs: DataFrame, queries: Sequence[Sequence[float]], k: int, ef: int) -> DataFrame:
