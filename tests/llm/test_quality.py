@@ -91,3 +91,46 @@ def test_joined_scores_equal_the_table(spark, messy, messy_rows):
     one = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(docs, quality.fit(texts, 3), order=3).collect()}
     two = {r["doc_id"]: r["perplexity"] for r in quality.perplexities_joined(docs, quality.levels(texts, 3)).collect()}
     assert one.keys() == two.keys() and all(one[d] == pytest.approx(two[d], rel=1e-4) if one[d] is not None else two[d] is None for d in one)
+
+
+def test_word_model_grows_with_the_text_and_equals_the_definition(spark):
+    """More kinds of words than the symbol model has symbols make as many rows; probabilities are Kneser-Ney's, of the other texts."""
+    from vicinal.llm import wordlm
+
+    many = wordlm.fit(spark.createDataFrame([(" ".join(f"{t}w{i}" for i in range(500)),) for t in range(20)], "text string"))
+    assert many.words.count() == 10_001 and many.bigrams.count() == 20 * 501
+
+    texts = ["the cat sat on the mat", "the hat, the bat", "a cat and the mat"]
+    asked = [("the cat and the hat", None), ("unknown words", None), (" \n", None), *[(t, i) for i, t in enumerate(texts)]]
+    model = wordlm.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2))
+    rows = [(i, own is not None, t) for i, (t, own) in enumerate(asked)]
+    got = {r["key"]: r["perplexity"] for r in wordlm.perplexities(spark.createDataFrame([*rows, rows[0]], "key bigint, own boolean, text string"), model).collect()}
+    cut = lambda t: ["<s>", *t.replace(",", " ,").split(), "</s>"]
+    whole = Counter(p for t in texts for p in zip(cut(t), cut(t)[1:]))
+    ends = Counter(w for _, w in whole)
+    d2, d1 = (wordlm.discounts(Counter(v for v in c.values() if v <= 4)) for c in (whole, ends))
+
+    def p(v, w, pairs):
+        before = Counter(y for _, y in pairs)
+        left = sum(d1[min(c, 3) - 1] for c in before.values()) / sum(before.values())
+        low = ((before[w] - d1[min(before[w], 3) - 1]) / sum(before.values()) if w in before else 0) + left / (len(ends) + 1)
+        own = {y: c for (x, y), c in pairs.items() if x == v}
+        if not own:
+            return low
+        total = sum(own.values())
+        return (own[w] - d2[min(own[w], 3) - 1] if w in own else 0) / total + sum(d2[min(c, 3) - 1] for c in own.values()) / total * low
+
+    for i, (t, own) in enumerate(asked):
+        s = cut(t)
+        pairs = whole if own is None else Counter(p for j, x in enumerate(texts) if j != own for p in zip(cut(x), cut(x)[1:]))
+        assert got[i] == pytest.approx(math.prod(p(v, w, pairs) for v, w in zip(s, s[1:])) ** (-1 / (len(s) - 1)), rel=1e-9)
+
+
+def test_unlabelled_clean_texts_are_judged_as_trusted_ones(spark):
+    """A model that scores the texts it has read would reject clean texts it has not read."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), "en") for i in range(300)]
+    labels = [(i, 1, 0) for i in range(200)]
+    out = quality.classify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    assert np.mean([r["kept"] for r in out if r["doc_id"] >= 200]) > 0.9

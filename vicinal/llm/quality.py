@@ -1,11 +1,11 @@
-"""Quality classification with an interpolated modified Kneser-Ney n-gram model of trusted text.
+"""Quality classification with interpolated modified Kneser-Ney n-grams of trusted text.
 
-The model is over symbols: code points folded into ``SYMBOLS`` classes (letters, a capital, digits, kinds of punctuation, hashed
-classes for all other letters), with n-grams of ``ORDER`` symbols. Its counts cover every trusted document - one labelled of good
-quality and not toxic - whatever their number: tasks count their own texts and the counts are summed in shards. Continuation
-counts, context totals and discounts come from joins of the sharded count tables, one per order. The finished table has at most
-SYMBOLS ** ORDER rows however large the corpus is (10 MB), so it is sent to all tasks, and every whole text is scored where it
-lies. A document is kept if its perplexity is at most its language's threshold: a quantile of the trusted documents' own.
+The query scores by word bigrams (``wordlm``). Their counts cover every trusted document - one labelled of good quality and not
+toxic - whatever their number, in tables that grow with the trusted text and stay sharded; each document's distinct bigrams meet
+them in joins. A document is kept if its perplexity is at most its language's threshold: a quantile of the trusted documents' own.
+
+``fit``, ``levels``, ``perplexities`` and ``perplexities_joined`` are a smaller model that the query does not use: over symbols,
+code points folded into ``SYMBOLS`` classes, with n-grams of ``ORDER`` symbols, so that it has at most SYMBOLS ** ORDER rows.
 
 Null or empty texts have no perplexity and are not kept. A null language, or one without trusted documents, is judged by the
 quantile over all trusted documents; without any, everything that has text is kept. Null doc_ids are scored but not trusted.
@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vicinal.llm import wordlm
 from vicinal.llm.common import bounded_batches, durable, join_few, written
+from vicinal.llm.wordlm import discounts
 
 SYMBOLS = 40
 ORDER = 4
@@ -80,14 +82,6 @@ def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return bounded_batches(texts).mapInArrow(run, schema).groupBy("code").agg(F.sum("c").alias("c"))
 
 
-def discounts(of_counts: dict[int, int]) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and more, from how many n-grams have counts 1 to 4."""
-    n1, n2, n3, n4 = (of_counts.get(i, 0) for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    d = [i - (i + 1) * y * b / a if a else i * 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return tuple(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))
-
-
 def order_table(counts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """For counts (code, c) of order n: (code, p) discounted probabilities, (context, g) the weight left to the lower order.
 
@@ -186,12 +180,22 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).filter("q >= 1 AND t = 0 AND doc_id IS NOT NULL").select("doc_id")
 
 
+def word_perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(doc_id, lang, perplexity) of every row of ``docs`` (null for empty texts, 1 without trusted text)."""
+    # labels grow with the documents: the plan is the same at every size
+    model = wordlm.fit(docs.join(trusted.hint("merge"), "doc_id", "left_semi").select("text"))
+    if model is None:
+        return docs.select("doc_id", "lang", F.when(F.col("text") != "", F.lit(1.0)).alias("perplexity"))
+    marked = docs.join(trusted.withColumn("own", F.lit(True)).hint("merge"), "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    keyed = marked.withColumn("key", F.xxhash64("doc_id", "text"))  # repeated rows have one score
+    found = wordlm.perplexities(keyed, model)
+    return docs.withColumn("key", F.xxhash64("doc_id", "text")).select("doc_id", "lang", "key").join(found, "key", "left").select("doc_id", "lang", "perplexity")
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) of every row of ``docs`` (doc_id, text, lang)."""
     trusted = trusted_ids(labels)
-    # labels grow with the documents: the plan is the same at every size
-    model = fit(docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi").select("text"))
-    scores = written(perplexities(docs.select("doc_id", "lang", "text"), model))
+    scores = written(word_perplexities(docs.select("doc_id", "lang", "text"), trusted))
     known = scores.filter("perplexity IS NOT NULL").join(trusted, "doc_id", "left_semi")
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     by_lang = known.filter("lang IS NOT NULL").groupBy("lang").agg(at.alias("own"))

@@ -1,0 +1,203 @@
+"""Interpolated modified Kneser-Ney bigrams of words, in sharded tables that grow with the trusted text.
+
+Words are runs of letters, digits and underscores, and single other characters; a capital that only begins a word is read as the
+small letter. A text begins after a start mark and closes with an end mark. Every count of every trusted text is kept: bigrams, the weight each context leaves to the lower order, and continuation
+counts are tables sharded by 64-bit word hashes. None of them comes to the driver or to all tasks: only ``HOT`` keys of each do,
+so that rows under very common words are salted.
+
+A model knows the texts it has read far better than their like. So what a trusted text itself has added to counts, contexts and
+continuations is taken off again when it is scored: it is judged by all other trusted texts. Only the discounts and the number of
+words stay those of all.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vicinal.llm.common import bounded_batches, durable, written
+
+#: The most frequent keys of a table, whose rows are dealt over so many salts.
+HOT, SALTS = 1024, 16
+_WORD = re.compile(r"\w+|[^\w\s]")
+_BATCH_WORDS = 1 << 20
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Signed hashes of a text's words between the start and the end mark."""
+    digest = xxhash.xxh64_intdigest
+    words = ["<s>", *[w.lower() if w.istitle() else w for w in _WORD.findall(text)], "</s>"]
+    return np.array([digest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64).view(np.int64)
+
+
+def _distinct(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((w, v))
+    v, w = v[order], w[order]
+    starts = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+    return v[starts], w[starts], np.diff(np.append(starts, len(v)))
+
+
+def count_bigrams(texts: DataFrame) -> DataFrame:
+    """(v, w, c) over all rows of a one-column table of texts."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("v", "w", "c")])
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        v, w, c = _distinct(np.concatenate([h[:-1] for h in held]), np.concatenate([h[1:] for h in held]))
+        for at in range(0, len(v), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (v, w, c)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    held.append(word_hashes(text))
+                    size += len(held[-1])
+                    if size > _BATCH_WORDS:
+                        yield from flush(held)
+                        held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return bounded_batches(texts).mapInArrow(run, schema).groupBy("v", "w").agg(F.sum("c").alias("c"))
+
+
+def discounts(of_counts: dict[int, int]) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts of 1, 2 and more, from how many n-grams have counts 1 to 4."""
+    n1, n2, n3, n4 = (of_counts.get(i, 0) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+    d = [i - (i + 1) * y * b / a if a else i * 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return tuple(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))
+
+
+def _discounts(counts: DataFrame) -> tuple[float, float, float]:
+    return discounts({r["c"]: r["n"] for r in counts.filter("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()})
+
+
+def _off(d: tuple[float, float, float]) -> Column:
+    return F.when(F.col("c") == 1, F.lit(d[0])).when(F.col("c") == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
+
+
+@dataclass
+class Model:
+    """Tables of bigrams (v, w, c), contexts (v, c, freed) and words (w, c: how many different words stand before), and their sums."""
+
+    bigrams: DataFrame
+    contexts: DataFrame
+    words: DataFrame
+    d2: tuple[float, float, float]
+    d1: tuple[float, float, float]
+    total: int
+    freed: float
+    n_words: int
+
+
+def fit(texts: DataFrame) -> Model | None:
+    """The model of a one-column table of texts, None without text."""
+    bigrams = written(count_bigrams(texts))
+    if bigrams.isEmpty():
+        return None
+    d2 = _discounts(bigrams)
+    contexts = written(bigrams.groupBy("v").agg(F.sum("c").alias("c"), F.sum(_off(d2)).alias("freed")))
+    words = written(bigrams.groupBy("w").agg(F.count("*").alias("c")))
+    d1 = _discounts(words)
+    total, freed, n = words.agg(F.sum("c"), F.sum(_off(d1)), F.count("*")).first()
+    return Model(bigrams, contexts, words, d2, d1, total, freed, n)
+
+
+def _sharded(rows: DataFrame, counted: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` left joined with a table of counts (c, as ``name``), both sharded by ``keys``; the most frequent keys are salted."""
+    hot = F.broadcast(durable(counted.orderBy(F.desc("c"), *keys).limit(HOT).select(*keys, F.lit(SALTS).alias("__n"))))
+    salted = counted.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))).drop("__n")
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__n").isNull(), 0).otherwise(F.pmod(F.col("key"), F.lit(SALTS)).cast("int"))).drop("__n")
+    salted = salted.withColumnRenamed("c", name)
+    return dealt.join(salted.hint("merge"), [*keys, "__salt"], "left").drop("__salt")
+
+
+def _less(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(counts, 3)]
+
+
+def _scores(m: tuple, key, own, v, w, n, c, total, freed, before) -> tuple[np.ndarray, np.ndarray]:
+    """(key, perplexity) from the rows of whole documents; ``own`` marks those that the model has read."""
+    d2, d1, all_total, all_freed, n_words = m
+    order = np.lexsort((w, v, key))
+    key, own, v, w, n, c, total, freed, before = (x[order] for x in (key, own, v, w, n, c, total, freed, before))
+    new_doc = np.concatenate(([True], key[1:] != key[:-1]))
+    new_v = new_doc | np.concatenate(([True], v[1:] != v[:-1]))
+    new = np.flatnonzero(new_v | np.concatenate(([True], w[1:] != w[:-1])))  # rows of repeated documents are one
+    n = np.add.reduceat(n, new)
+    key, own, v, w, c, total, freed, before, new_doc, new_v = (x[new] for x in (key, own, v, w, c, total, freed, before, new_doc, new_v))
+    doc, of_v = np.cumsum(new_doc) - 1, np.cumsum(new_v) - 1
+    taken = np.where(own, n, 0)
+    rest = c - taken
+    total = total - np.bincount(of_v, taken)[of_v]
+    freed = freed - np.bincount(of_v, np.where(own, _less(c, d2) - _less(rest, d2), 0))[of_v]
+    gone = own & (rest == 0)
+    by_w = np.lexsort((w, doc))
+    new_w = np.concatenate(([True], (w[by_w][1:] != w[by_w][:-1]) | (doc[by_w][1:] != doc[by_w][:-1])))
+    of_w = np.empty(len(w), np.int64)
+    of_w[by_w] = np.cumsum(new_w) - 1
+    left_before = before - np.bincount(of_w, gone).astype(np.int64)[of_w]
+    first = by_w[new_w]
+    words_total = all_total - np.bincount(doc, gone)[doc]
+    words_freed = all_freed - np.bincount(doc[first], (_less(before, d1) - _less(left_before, d1))[first])[doc]
+    some = words_total > 0
+    low = np.where(some, (left_before - _less(left_before, d1) + words_freed / (n_words + 1)) / np.where(some, words_total, 1), 1 / (n_words + 1))
+    seen = total > 0
+    p = np.where(seen, (rest - _less(rest, d2) + freed * low) / np.where(seen, total, 1), low)
+    return key[new_doc], 2.0 ** (-np.bincount(doc, n * np.log2(p)) / np.bincount(doc, n))
+
+
+def perplexities(texts: DataFrame, model: Model) -> DataFrame:
+    """(key, perplexity) of ``texts`` (key bigint, own, text) that are not empty: each one's distinct bigrams meet the tables in joins.
+
+    ``own`` tells that the model has read the text. A document's rows come together at last, so they are bounded by its length.
+    """
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("own", T.BooleanType()), *[T.StructField(n, T.LongType()) for n in ("v", "w", "n")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for i, (key, own, text) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3))), 1):
+                if text:
+                    h = word_hashes(text)
+                    v, w, n = _distinct(h[:-1], h[1:])
+                    held.append((np.full(len(v), key, np.int64), np.full(len(v), own), v, w, n))
+                    size += len(v)
+                if held and (size > 50_000 or i == len(batch)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=schema.names)
+                    held, size = [], 0
+
+    rows = bounded_batches(texts.select("key", "own", "text")).mapInArrow(run, schema)
+    rows = _sharded(rows, model.bigrams, ["v", "w"], "c")
+    rows = _sharded(rows, model.contexts, ["v"], "total")
+    rows = _sharded(rows, model.words, ["w"], "before")
+    none = [F.coalesce(name, F.lit(0)).alias(name) for name in ("c", "total", "freed", "before")]
+    rows = rows.select("key", "own", "v", "w", "n", *none).repartition("key").sortWithinPartitions("key")
+    sums = (model.d2, model.d1, model.total, model.freed, model.n_words)
+    out = T.StructType([T.StructField("key", T.LongType()), T.StructField("perplexity", T.DoubleType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held.append(columns)
+            if sum(len(h[0]) for h in held) < 50_000 or columns[0][0] == columns[0][-1]:
+                continue
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last document may go on
+            whole = [np.concatenate([*[h[i] for h in held[:-1]], columns[i][:cut]]) for i in range(len(columns))]
+            held = [[c[cut:] for c in columns]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _scores(sums, *whole)], names=out.names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _scores(sums, *[np.concatenate(c) for c in zip(*held)])], names=out.names)
+
+    return rows.mapInArrow(score, out)
