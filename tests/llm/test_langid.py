@@ -82,3 +82,10 @@ def test_pooling_covers_every_position():
     assert p[0].sum() == 0 and np.allclose(p[1:].sum(axis=1), 1, atol=1e-5)
     alone = bytegru.pool(net, np.frombuffer(texts[2], np.uint8), np.array([0, len(texts[2])]))
     assert np.allclose(alone[0], p[2], atol=1e-5)
+
+
+def test_every_label_is_learnt(spark):
+    rows = [(10 * i + j, f"text {i} in words {j}", f"l{i:03}") for i in range(100) for j in range(10)]
+    crops = langid.training_crops(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 5)
+    assert len({lang for lang, _ in crops}) == 100
+    assert max(sum(1 for lang, _ in crops if lang == f"l{i:03}") for i in range(100)) <= 10 * langid.CROPS

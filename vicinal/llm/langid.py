@@ -1,7 +1,7 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network (``bytegru``) is trained in numpy on a bounded sample of labelled rows: about ``SAMPLE`` documents of each of the
-``MAX_LABELS`` most frequent languages, chosen by a hash of doc_id over the whole table, ``CROPS`` crops of ``SEGMENT`` characters
+The network (``bytegru``) is trained in numpy on a bounded sample of labelled rows: about ``SAMPLE`` documents of every
+language, chosen by a hash of doc_id over the whole table, ``CROPS`` crops of ``SEGMENT`` characters
 from each. It then labels every position of every whole text, and a document's probabilities are the mean over its positions.
 Documents whose crc32(doc_id as text) is a multiple of ``FOLDS`` are held out: never learnt from, but predicted as all others.
 
@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinal.llm.bytegru import HIDDEN, SEGMENT, Net, new_net, pool, train
-from vicinal.llm.common import binary_views, blocks, bounded_batches
+from vicinal.llm.common import binary_views, blocks, bounded_batches, join_few
 
 FOLDS = 5
 SAMPLE = 600
 CROPS = 4
-MAX_LABELS = 64
 STEPS, BATCH, RATE, SEED = 300, 192, 0.03, 42
 UNKNOWN = "und"
 #: Documents scored below this are rejected by the pipeline's stage.
@@ -40,14 +39,11 @@ def held_out(doc_id: Column) -> Column:
 def training_crops(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, bytes]]:
     """(language, crop) pairs, in an order that does not depend on partitions."""
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()
-    if not counts:
-        return []
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.2 * sample / r["count"]))) for r in counts], F.lit(0.0))
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20)
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.2 * sample) / F.count("*")).alias("share"))
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     room = F.greatest(F.lit(1), F.length("text") - SEGMENT)
     crops = F.array(*[F.substr("text", (F.pmod(F.xxhash64(F.lit(i), "doc_id"), room) + 1).cast("int"), F.lit(SEGMENT)) for i in range(CROPS)])
-    found = rows.filter(drawn).select("lang", crops.alias("crops")).collect()
+    found = join_few(rows.select("doc_id", "text", "lang"), shares, ["lang"]).filter(drawn).select("lang", crops.alias("crops")).collect()
     return sorted((r["lang"], c.encode()) for r in found for c in r["crops"])
 
 
