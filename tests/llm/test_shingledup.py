@@ -1,0 +1,48 @@
+import random
+
+import pytest
+from conftest import prose
+
+import corpus_pipeline
+from vicinal.llm import shingledup
+
+
+def jaccard(a, b):
+    x, y = (set(zip(*(t.lower().split()[i:] for i in range(5)))) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("least", [0.8, 0.9, 0.95])
+def test_planted_copies_go(spark, least):
+    """Copies of changed words, of a similarity just above ``least``, are found by the pipeline's stage; dissimilar ones stay."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        words = prose(rng, 200).split()
+        copy = words[:]
+        while True:
+            trial = copy[:]
+            trial[rng.randrange(len(trial))] = "changed"
+            if jaccard(" ".join(words), " ".join(trial)) < least:
+                break
+            copy = trial
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    rows += [(1000 + i, " ".join(prose(rng, 40).split() + rows[2 * i][1].split()[:120])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "unused").collect()}
+    assert len([i for i in range(60) if 2 * i + 1 not in kept]) >= 59
+    assert kept >= {2 * i for i in range(60)} | {1000 + i for i in range(20)}
+
+
+def test_groups_equal_brute_force(spark, messy, messy_rows):
+    rng = random.Random(6)
+    base = prose(rng, 90).split()
+    texts = [" ".join("other" if rng.random() < rng.choice([0.01, 0.03]) else w for w in base) for _ in range(40)]
+    root = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert {r["doc_id"] for r in shingledup.near_dedup(docs).collect()} == set(root)

@@ -1,0 +1,122 @@
+"""Near-dedup by exact Jaccard similarity of five-word shingles.
+
+Candidates are documents that share a band of their MinHash signatures: ``BANDS`` bands of ``ROWS`` minima find a pair of similarity
+0.8 with chance 0.9993, and more similar ones surely. (Fingerprints of 64 bits cannot: at 0.8 they differ in ten bits, up to
+sixteen, and no segments of 64 bits are selective at that distance.) Every candidate is verified by its whole shingle sets.
+
+Documents of equal shingle sets are one class. In each bucket classes are tried against the smallest one first; the full search
+then tries only classes that are not yet known to be connected, so that large groups are not listed pair by pair.
+
+Texts without words are one class. Rows without a doc_id stay.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vicinal.llm.common import bounded_batches, durable, written
+from vicinal.llm.components import components
+from vicinal.llm.simfinger import ascii_words, shingle_hashes
+
+WIDTH, LEAST = 5, 0.8
+BANDS, ROWS, SEED = 24, 6, 42
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    return np.unique(shingle_hashes(ascii_words(text), width))
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """A signed key for each band; none without shingles."""
+    if not len(shingles):
+        return []
+    least = np.full(len(_FACTORS), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(shingles), 4096):  # bounded memory on very long texts
+        least = np.minimum(least, (shingles[at : at + 4096, None] * _FACTORS).min(axis=0))
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, cls, keys) of ``docs`` (doc_id, th, text); cls is a hash of the shingle set, 0 without words."""
+    schema = T.StructType([*docs.select("doc_id", "th").schema.fields, T.StructField("cls", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
+            cls = [_signed(xxhash.xxh64_intdigest(s.tobytes())) if len(s) else 0 for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cls, pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=schema.names)
+
+    return bounded_batches(docs.select("doc_id", "th", "text")).mapInArrow(run, schema)
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(cls, set) of ``texts`` (cls, text), the set as bytes."""
+    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("set", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=schema.names)
+
+    return bounded_batches(texts.select("cls", "text")).mapInArrow(run, schema)
+
+
+def similar(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of at least ``least``."""
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    sets = written(shingle_sets(texts.join(ends, "cls", "left_semi")))
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                near = min(len(x), len(y)) >= least * max(len(x), len(y))  # no more than that can be common
+                common = len(np.intersect1d(x, y, assume_unique=True)) if near else 0
+                good.append(near and common >= least * (len(x) + len(y) - common))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return bounded_batches(both.select("a", "b", "sa", "sb")).mapInArrow(run, pairs.select("a", "b").schema)
+
+
+def links(classes: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b) pairs of classes (cls, keys) that connect what all similar candidate pairs connect."""
+    stored = classes.select(F.col("cls").alias("a"), F.explode("keys").alias("key"))
+    hubs = stored.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    tried = durable(stored.join(hubs, "key").filter("a <> b").select("a", "b").distinct())
+    first = durable(similar(tried, texts, least))
+    known = components(first).withColumnRenamed("node", "a")
+    shared = stored.join(hubs.select("key"), "key").join(known, "a", "left").select("a", "key", F.coalesce("root", "a").alias("ra"))
+    mixed = shared.groupBy("key").agg(F.min("ra").alias("x"), F.max("ra").alias("y")).filter("x <> y").select("key")
+    shared = durable(shared.join(mixed, "key"))
+    found = shared.join(shared.select(F.col("a").alias("b"), "key", F.col("ra").alias("rb")), "key").filter("a < b AND ra <> rb").select("a", "b").distinct()
+    found = durable(found.join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    return durable(first.unionAll(similar(found, texts, least)))
+
+
+def near_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """One document of each group of near copies: that of the smallest doc_id (and text hash), texts whole, all columns."""
+    slim = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    marked = written(signatures(slim))
+    classes = written(marked.groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("k"), F.any_value("keys").alias("keys")))
+    named = classes.select("cls", "k.doc_id", "k.th")
+    texts = slim.join(named, ["doc_id", "th"]).dropDuplicates(["cls"]).select("cls", "text")
+    roots = components(links(classes.select("cls", "keys"), texts, least))
+    groups = classes.select("cls", "k").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    keepers = groups.groupBy("root").agg(F.min("k").alias("k")).select("k.doc_id", "k.th")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(keepers, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
