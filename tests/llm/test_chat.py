@@ -59,6 +59,15 @@ def test_loss_mask_spans(spark):
         assert r["piece"][r["loss_start"] : r["loss_end"]].startswith("m")
 
 
+def test_loss_comes_from_the_mask(spark):
+    """What the mask covers is digested, whatever the roles say."""
+    pieces = chat.formatted(chat.choose(nodes(spark, [("c", 1, None, 0.0), ("c", 2, 1, 0.0)])))
+    assert chat.read_back(pieces).first()["loss_chars"] == 4
+    moved = pieces.selectExpr("conv_id", "ck", "branch", "depth", "piece", "IF(depth = 0, loss_start + 1, NULL) AS loss_start", "loss_end")
+    got = chat.read_back(moved).first()
+    assert (got["loss_chars"], got["loss_sha256"]) == (1, hashlib.sha256(b"1").hexdigest())
+
+
 def test_bad_trees_and_empty(spark):
     with pytest.raises(ValueError):
         chat.choose(nodes(spark, [("c", 1, 2, 0.0), ("c", 2, 1, 0.0), ("c", 3, 1, 0.0)]))

@@ -10,7 +10,8 @@ and digested as a stream; ``assemble`` joins the pieces of conversations that ar
 
 Nulls: a null text or role is empty; a null conversation id is a conversation of its own; messages whose parent is missing start
 a tree; a null score counts 0. Equal branch scores are ordered by leaf. Repeated rows of a table of turns are turns of their own,
-ordered by turn, role and text; repeated message ids raise an error, as does a reply cycle. Empty tables give no rows.
+ordered by turn, role and text; repeated message ids raise an error, as does a reply cycle. Empty tables give no rows; very long
+texts are turns of one piece. Further columns of a table of turns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -112,8 +113,13 @@ class _Reader:
         self.rest, self.turns, self.chars, self.loss_chars = "", 0, 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def feed(self, piece: str) -> None:
+    def feed(self, piece: str, start: int | None, end: int | None) -> None:
+        """``start`` and ``end`` bound what the loss mask covers in the piece; null covers nothing."""
         self.chars += len(piece)
+        if start is not None:
+            text = unescape(piece[start:end])
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
         self.rest += piece
         at = 0
         for turn in iter(lambda: _TURN.match(self.rest, at), None):
@@ -121,9 +127,6 @@ class _Reader:
             role, text = unescape(turn[1]), unescape(turn[2])
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode())
-            if role == TRAINED_ROLE:
-                self.loss_chars += len(text)
-                self.loss.update(text.encode())
         self.rest = self.rest[at:]
 
     def row(self) -> tuple:
@@ -135,9 +138,10 @@ class _Reader:
 def read_back(pieces: DataFrame) -> DataFrame:
     """conv_id, branch, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars of each formatted conversation.
 
-    A digest needs its conversation in order, so a conversation is streamed through one task, holding one turn at a time.
+    Turns are parsed from the text; the loss figures come from what the mask's spans cut out of it. A digest needs its
+    conversation in order, so a conversation is streamed through one task, holding one turn at a time.
     """
-    flow = pieces.select("ck", "branch", "depth", "conv_id", "piece").repartition("ck", "branch").sortWithinPartitions("ck", "branch", "depth")
+    flow = pieces.select("ck", "branch", "depth", "conv_id", "piece", "loss_start", "loss_end").repartition("ck", "branch").sortWithinPartitions("ck", "branch", "depth")
     schema = flow.select("conv_id", "branch").withColumns({"n_turns": F.lit(0).cast("bigint"), "turns_sha256": F.lit(""), "loss_chars": F.lit(0).cast("bigint"), "loss_sha256": F.lit(""), "formatted_chars": F.lit(0).cast("bigint")}).schema
     kind = flow.schema["conv_id"].dataType
 
@@ -151,12 +155,12 @@ def read_back(pieces: DataFrame) -> DataFrame:
 
         now, conv, reader, done = None, None, _Reader(), []
         for batch in batches:
-            for ck, branch, c, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for ck, branch, c, piece, start, end in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6))):
                 if (ck, branch) != now:
                     if now is not None:
                         done.append((conv, now[1], *reader.row()))
                     now, conv, reader = (ck, branch), c, _Reader()
-                reader.feed(piece)
+                reader.feed(piece, start, end)
             if len(done) > 1000:
                 yield out(done)
                 done = []
