@@ -56,6 +56,7 @@ def test_broken_files():
 def test_shots():
     dark, light = np.full((10, 576), 10, np.uint8), np.full((10, 576), 200, np.uint8)
     assert avi.shot_starts(np.concatenate([dark, light, dark])) == [0, 10, 20]
+    assert avi.shot_starts(np.concatenate([dark[:1], light])) == [0, 1]  # at the first difference
     assert avi.shot_starts(dark) == [0] and avi.shot_starts(dark[:0]) == []
 
 

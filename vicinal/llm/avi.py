@@ -183,7 +183,8 @@ def shot_starts(samples: np.ndarray, bins: int = 16, window: int = 8, factor: fl
     """First frame of each shot.
 
     A cut is where the histogram differs from the frame before by more than ``least`` (of all samples) and by more than the mean
-    plus ``factor`` standard deviations of the last ``window`` differences.
+    plus ``factor`` standard deviations of the last ``window`` differences. The first difference has none before it: ``least``
+    alone decides.
     """
     n = len(samples)
     if n == 0:
@@ -197,4 +198,4 @@ def shot_starts(samples: np.ndarray, bins: int = 16, window: int = 8, factor: fl
     k = np.maximum(1, i - lo)
     mean = (c1[i] - c1[lo]) / k
     spread = np.sqrt(np.maximum(0, (c2[i] - c2[lo]) / k - mean * mean))
-    return [0, *(np.flatnonzero((diff > least) & (diff > mean + factor * spread) & (i > 0)) + 1).tolist()]
+    return [0, *(np.flatnonzero((diff > least) & (diff > mean + factor * spread)) + 1).tolist()]
