@@ -1,4 +1,4 @@
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
 import pytest
@@ -54,15 +54,44 @@ def test_sql(messy, spark, tmp_path):
     assert got == want
 
 
+def taken_words(rows, plan):
+    """(source, doc_id) -> words, of a mix and of its plan."""
+    got, want = Counter(), Counter()
+    for r in rows:
+        got[r["source"], r["doc_id"]] += len(r["text"].encode().split())
+    for r in plan:
+        want[r["source"], r["doc_id"]] += r["taken"]
+    return got, +want
+
+
 def test_mixed_documents(messy):
-    docs = messy.filter("doc_id is not null AND NOT coalesce(text = 'another text of one id', false)").distinct()
-    plan = {r["doc_id"]: r for r in mixing.mix(mixing.sizes(docs)).collect()}
-    out = mixing.mixed_documents(docs)
-    assert out.columns == docs.columns
-    words = defaultdict(int)
-    for r in out.collect():
-        words[r["doc_id"]] += len(r["text"].encode().split())
-    assert dict(words) == {d: r["taken"] for d, r in plan.items() if r["taken"]}
+    plan = mixing.mix(mixing.sizes(messy)).collect()
+    out = mixing.mixed_documents(messy)
+    assert out.columns == messy.columns and out.dtypes == messy.dtypes
+    got, want = taken_words(out.collect(), plan)
+    assert got == want
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_cut_among_repeated_rows(spark, doc_id):
+    """A budget that ends among rows of one doc_id, of equal texts and of others, is met to the word."""
+    rows = [(doc_id, "a b c d e f g h i j", "a", i % 3) for i in range(100)] + [(doc_id, f"x{i} y", "a", 0) for i in range(9)]
+    rows += [(1000 + i, " ".join("w" * (i + 3)), "b", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, other int").repartition(3)
+    plan = mixing.mix(mixing.sizes(docs)).collect()
+    assert len(plan) == len(rows)
+    out = mixing.mixed_documents(docs).collect()
+    got, want = taken_words(out, plan)
+    assert got == want
+    assert sum(w for (s, _), w in got.items() if s == "a") == round(next(r["target"] for r in plan if r["source"] == "a"))
+    assert all(n <= 3 * 34 for n in Counter(r["other"] for r in out if r["source"] == "a" and len(r["text"].split()) == 10).values())
+
+
+def test_many_copies_of_a_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPY_ROWS", 7)
+    docs = spark.createDataFrame([(1, "a b", "a")] * 50 + [(2, "c", "b")] * 20, "doc_id bigint, text string, source string")
+    out = mixing.mix(mixing.sizes(docs)).collect()
+    assert len(out) == 70 and sum(r["taken"] for r in out) == 120 and sum(r["taken"] for r in out if r["doc_id"] == 2) == 60
 
 
 def test_empty(no_docs):

@@ -8,9 +8,13 @@ whole epochs first, then documents in key order until the rest is used up; the d
 Targets share 100 % of all words by weight, stop at ``max_epochs`` times their source's words, and the excess is shared again by
 weight until none is above.
 
-Nulls: a null text has size 0; a null source is a source of its own, last in order; a null doc_id is keyed as the empty string.
-Rows that repeat each count. Equal keys are ordered by doc_id and size. An empty table gives no rows. Sources without words have
-target 0. Reruns agree, whatever the partitioning.
+Rows of one doc_id and text are counted before they are sorted, so repeated rows cost one row however many they are.
+
+Nulls: a null text has size 0; a null source is a source of its own, last in order; a null doc_id is keyed by its text. Rows that
+repeat each count. Equal keys are ordered by doc_id, size and a hash of the text; rows equal in these are told apart by their
+other columns where a budget ends among them. Texts of any length are counted whole. An empty table gives no rows; extra columns
+are ignored by the query and kept by ``mixed_documents``. Sources without words have target 0. Reruns agree, whatever the
+partitioning.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 #: Rows of one source that one range bucket holds on average, at most.
 BUCKET_ROWS = 4096
+#: Rows of one doc_id and text that one task gives back in a row, at most.
+COPY_ROWS = 4096
+#: What rows are sorted by within a source.
+_TUPLE = ("key", "doc_id", "size", "th")
 
 
 def n_words(text: Column) -> Column:
@@ -35,8 +43,8 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
-def _random_key(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def _random_key(doc_id: Column, text: Column) -> Column:
+    return F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("")).cast("binary"))
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -56,57 +64,94 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
     return t.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share)).select("skey", "source_size", "target")
 
 
-def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, source, size) -> these plus source_size, target, epochs, rest, start and taken.
+def counted(sized: DataFrame) -> DataFrame:
+    """One row for each doc_id and text of a source of ``sized`` (see ``sizes``), and how many rows they are (copies)."""
+    rows = sized.groupBy("source", *_TUPLE).agg(F.count("*").alias("copies"))
+    return durable(rows.withColumns({"skey": _source_key(F.col("source")), "words": F.col("size") * F.col("copies")}))
+
+
+def placed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``rows`` (see ``counted``) plus source_size, target, epochs, rest and start.
 
-    ``epochs`` is how often the whole source is taken, ``rest`` the words of the last, partial epoch, ``start`` the document's
-    place in the source's prefix sum.
+    ``epochs`` is how often the whole source is taken, ``rest`` the words of the last, partial epoch, ``start`` the place of the
+    first of the copies in the source's prefix sum.
     """
-    rows = sized.withColumns({"skey": _source_key(F.col("source")), "key": _random_key(F.col("doc_id"))})
-    totals = rows.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    totals = rows.groupBy("skey").agg(F.sum("words").alias("source_size"), F.count("*").alias("n"))
     largest = totals.agg(F.max("n")).first()[0] or 0
     digits = 0
     while digits < 8 and largest > bucket_rows * 16**digits:
         digits += 1
     rows = rows.withColumn("bucket", F.substring("key", 1, digits))
-    buckets = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
+    buckets = rows.groupBy("skey", "bucket").agg(F.sum("words").alias("bucket_size"))
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
     plan = targets(totals.select("skey", "source_size"), weights, max_epochs)
     budget = F.round("target").cast("bigint")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
-    inside = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("upto", F.sum("size").over(inside)).join(offsets.join(plan, "skey"), ["skey", "bucket"])
-    placed = placed.withColumn("start", F.col("offset") + F.col("upto") - F.col("size"))
+    inside = Window.partitionBy("skey", "bucket").orderBy(*_TUPLE).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("upto", F.sum("words").over(inside)).join(offsets.join(plan, "skey"), ["skey", "bucket"])
+    return found.withColumn("start", F.col("offset") + F.col("upto") - F.col("words"))
+
+
+def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``sized`` plus source_size, target, epochs, rest, start (the row's own place) and taken."""
+    rows = counted(sized)
+    found = placed(rows, weights, max_epochs, bucket_rows)
+    found = found.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPY_ROWS).cast("bigint"))))
+    if not rows.filter(F.col("copies") > COPY_ROWS).isEmpty():
+        found = found.repartition("skey", "key", "block")
+    last = F.least(F.col("block") + COPY_ROWS, F.col("copies")) - 1
+    found = found.withColumn("copy", F.explode(F.sequence("block", last))).withColumn("start", F.col("start") + F.col("size") * F.col("copy"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
-    return placed.withColumn("taken", F.col("epochs") * F.col("size") + part)
+    return found.withColumn("taken", F.col("epochs") * F.col("size") + part)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size), written once: texts are read a single time."""
-    return durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    """(doc_id, source, key, size, th), written once: texts are read a single time."""
+    text = F.col("text")
+    return durable(docs.select("doc_id", "source", _random_key(F.col("doc_id"), text).alias("key"), n_words(text).alias("size"), F.xxhash64(text).alias("th")))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: each document as often as it is taken, all columns; the one at a cut with its first words only.
 
-    Which documents are in is told by one row per source (its epochs, the key at its cut and the words left there), so texts
-    are not moved unless that table is too large to send.
+    Which documents are in is told by one row per source (its epochs, where it is cut and the words left there), so texts are not
+    moved unless that table is too large to send. Where a cut falls among rows of one doc_id and text, these are counted off.
     """
-    placed = mix(sizes(docs), weights, max_epochs)
-    last = F.max(F.when(F.col("start") < F.col("rest"), F.struct("key", (F.col("rest") - F.col("start")).alias("words"))))
-    cuts = placed.filter("size > 0").groupBy("skey").agg(F.first("epochs").alias("epochs"), last.alias("cut"))
-    names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumns({"skey": _source_key(F.col("row.source")), "key": _random_key(F.col("row.doc_id")), "size": n_words(F.col("row.text"))})
-    row = join_few(row.filter("size > 0"), cuts, ["skey"])
-    part = F.when(F.col("key") < F.col("cut.key"), F.col("size")).when(F.col("key") == F.col("cut.key"), F.least("size", "cut.words")).otherwise(F.lit(0))
-    copies = F.coalesce(F.col("epochs"), F.lit(0)) + (F.coalesce(part, F.lit(0)) > 0).cast("bigint")
-    row = row.withColumn("part", F.coalesce(part, F.lit(0))).filter(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-    cut_here = (F.col("epoch") > F.col("epochs")) & (F.col("part") < F.col("size"))
-    text = F.when(cut_here, F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col("row.text"))
-    shown = {"text": text, "n_chars": F.when(cut_here, F.length(text).cast("bigint")).otherwise(F.col("row.n_chars"))} if "n_chars" in names else {"text": text}
-    return row.select(*[shown[c].cast(docs.schema[c].dataType).alias(c) if c in shown else F.col(f"row.`{c}`").alias(c) for c in names])
+    own = F.struct(*_TUPLE)
+    last = F.max(F.when(F.col("start") < F.col("rest"), F.struct(own.alias("at"), (F.col("rest") - F.col("start")).alias("left"), "copies")))
+    cuts = durable(placed(counted(sizes(docs)), weights, max_epochs).filter("size > 0").groupBy("skey").agg(F.any_value("epochs").alias("epochs"), last.alias("cut")))
+    names, text = docs.columns, F.col("row.text")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    shown = {"skey": _source_key(F.col("row.source")), "doc_id": F.col("row.doc_id"), "key": _random_key(F.col("row.doc_id"), text), "size": n_words(text), "th": F.xxhash64(text)}
+    row = join_few(row.withColumns(shown).filter("size > 0"), cuts, ["skey"])
+    part = F.when(own < F.col("cut.at"), F.col("size")).when(own == F.col("cut.at"), F.least("size", "cut.left"))
+    row = row.withColumn("part", F.coalesce(part, F.lit(0)))
+    among = F.coalesce((own == F.col("cut.at")) & (F.col("cut.copies") > 1) & (F.col("cut.left") < F.col("size") * F.col("cut.copies")), F.lit(False))
+    copies = F.col("epochs") + (F.col("part") > 0).cast("bigint")
+    taken = row.filter(~among & (copies > 0)).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+    taken = taken.select("row", F.when((F.col("epoch") <= F.col("epochs")) | (F.col("part") == F.col("size")), F.lit(None)).otherwise(F.col("part")).alias("part"))
+    if not cuts.filter("cut.copies > 1 AND cut.left < cut.at.size * cut.copies").isEmpty():
+        taken = taken.unionByName(_counted_off(row.filter(among)))
+    words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
+    cut_here = F.col("part").isNotNull()
+    out = {"text": F.when(cut_here, words).otherwise(text)}
+    if "n_chars" in names:
+        out["n_chars"] = F.when(cut_here, F.length(words).cast("bigint")).otherwise(F.col("row.n_chars"))
+    return taken.select(*[out[c].cast(docs.schema[c].dataType).alias(c) if c in out else F.col(f"row.`{c}`").alias(c) for c in names])
+
+
+def _counted_off(rows: DataFrame) -> DataFrame:
+    """(row, part) of the rows of one doc_id and text at each source's cut: equal ones are counted, then taken in order of a hash until the words are used up."""
+    alike = rows.groupBy("skey", F.xxhash64("row").alias("h")).agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("row", "size", "epochs", "cut")])
+    before = Window.partitionBy("skey").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("cut.left") - F.coalesce(F.sum("n").over(before), F.lit(0)) * F.col("size")
+    alike = alike.withColumn("left", F.least(F.greatest(left, F.lit(0)), F.col("n") * F.col("size")))
+    whole = F.col("n") * F.col("epochs") + F.floor(F.col("left") / F.col("size"))
+    kinds = F.array(F.struct(whole.alias("times"), F.lit(None).cast("bigint").alias("part")), F.struct((F.col("left") % F.col("size") > 0).cast("bigint").alias("times"), (F.col("left") % F.col("size")).alias("part")))
+    found = alike.select("row", F.explode(kinds).alias("kind")).filter("kind.times > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("kind.times"))))
+    return found.select("row", F.col("kind.part").alias("part"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
@@ -117,7 +162,7 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS key
+         md5(coalesce(doc_id::VARCHAR, text, '')) AS key
   FROM documents
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
