@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -89,3 +90,35 @@ def test_every_label_is_learnt(spark):
     crops = langid.training_crops(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 5)
     assert len({lang for lang, _ in crops}) == 100
     assert max(sum(1 for lang, _ in crops if lang == f"l{i:03}") for i in range(100)) <= 10 * langid.CROPS
+
+
+def test_the_sample_is_bounded(spark):
+    """Neither one document repeated over and over nor many languages draw more than the bounds."""
+    rows = [(1, "ever the same text", "en")] * 5000 + [(100 + i, f"text {i}", "en") for i in range(3000)] + [(9000 + i, f"texte {i}", "fr") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    drawn = Counter(lang for lang, _ in langid.training_crops(docs, 40))
+    assert drawn["en"] <= 40 * langid.CROPS and drawn["fr"] >= 30 * langid.CROPS
+    assert sum(Counter(lang for lang, _ in langid.training_crops(docs, 40, most=20)).values()) <= 20 * langid.CROPS
+
+
+def test_forward_pass_is_the_recurrence():
+    """Pooled probabilities against a plain loop over bytes."""
+    net = bytegru.new_net(["a", "b", "c"], 4, 2)
+    text = b"some bytes \xc3\xa9 and more" * 7
+    n, sigmoid = 4, lambda x: 1 / (1 + np.exp(-x))
+    total = np.zeros(3)
+    for at in range(0, len(text), bytegru.SEGMENT):
+        part, states = text[at : at + bytegru.SEGMENT], []
+        for way in (0, 1):
+            h, mine = np.zeros(n), {}
+            for t in range(len(part)) if way == 0 else range(len(part) - 1, -1, -1):
+                a, u = net.table[way][:, part[t]], net.recur[way] @ h
+                r, z = sigmoid(a[:n] + u[:n]), sigmoid(a[n : 2 * n] + u[n : 2 * n])
+                c = np.tanh(a[2 * n :] + r * (u[2 * n :] + net.bias[way]))
+                h = mine[t] = z * h + (1 - z) * c
+            states.append(mine)
+        for t in range(len(part)):
+            logits = net.out[0] @ states[0][t] + net.out[1] @ states[1][t] + net.out_bias
+            total += np.exp(logits) / np.exp(logits).sum()
+    got = bytegru.pool(net, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert np.allclose(got[0], total / len(text), atol=1e-4)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import bounded_batches
+from vicinal.llm.common import map_slices
 
 #: Distinct words held by one worker at most.
 MAX_WORDS = 1 << 18
@@ -177,7 +177,7 @@ def _mapped(docs: DataFrame, make: Callable[[], WordTable], add: list[tuple[str,
             columns = work(words, batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, columns, types)], names=names)
 
-    return bounded_batches(frame).mapInArrow(run, schema.schema)
+    return map_slices(frame, run, schema.schema)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -239,7 +239,7 @@ def encode_joined(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             learnt = table._learn(words) if words else {}
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(learnt[w], "<i4") for w in words], pa.list_(pa.int32()))], names=["word", "ids"])
 
-    words = bounded_batches(rows.select("rid", "text")).mapInArrow(split, "rid bigint, pos bigint, word string")
+    words = map_slices(rows.select("rid", "text"), split, "rid bigint, pos bigint, word string")
     distinct = words.select("word").distinct().mapInArrow(look_up, "word string, ids array<int>")
     placed = words.join(distinct, "word").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
     ids = F.flatten(F.transform("parts", lambda x: x["ids"]))

@@ -1,13 +1,14 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network (``bytegru``) is trained in numpy on a bounded sample of labelled rows: about ``SAMPLE`` documents of every
-language, chosen by a hash of doc_id over the whole table, ``CROPS`` crops of ``SEGMENT`` characters
+The network (``bytegru``) is trained in numpy on a bounded sample of labelled rows: at most ``SAMPLE`` documents of every
+language and ``MOST`` of all, the least by a hash of doc_id and text over the whole table, ``CROPS`` crops of ``SEGMENT`` characters
 from each. It then labels every position of every whole text, and a document's probabilities are the mean over its positions.
 Documents whose crc32(doc_id as text) is a multiple of ``FOLDS`` are held out: never learnt from, but predicted as all others.
 
 A null text, or one without a letter, is ``und`` with score 0, and so is everything if there is nothing to learn from. Null
 languages are not learnt from; null doc_ids are predicted, not learnt from, and not held out. Repeated rows are returned as
-often as they come in; an empty table gives no rows; extra columns are ignored by the query and kept by ``accepted``.
+often as they come in; an empty table gives no rows; extra columns are ignored by the query and kept by ``accepted``. Very long
+texts are labelled in blocks, at every position. Of equally likely languages the first in order of code points is named.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinal.llm.bytegru import HIDDEN, SEGMENT, Net, new_net, pool, train
-from vicinal.llm.common import binary_views, blocks, bounded_batches, join_few
+from vicinal.llm.common import binary_views, blocks, durable, join_few, map_slices
 
 FOLDS = 5
-SAMPLE = 600
+#: Documents learnt from: of each language, and of all together (but one of each), at most.
+SAMPLE, MOST = 600, 60_000
 CROPS = 4
 STEPS, BATCH, RATE, SEED = 300, 192, 0.03, 42
 UNKNOWN = "und"
@@ -36,15 +38,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def training_crops(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, bytes]]:
-    """(language, crop) pairs, in an order that does not depend on partitions."""
+def training_crops(docs: DataFrame, sample: int = SAMPLE, most: int = MOST) -> list[tuple[str, bytes]]:
+    """(language, crop) pairs, in an order that does not depend on partitions: ``CROPS`` of at most ``sample`` documents a language.
+
+    ``most`` bounds the documents of all languages together; each language keeps one at least. Repeated rows are drawn once.
+    """
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.2 * sample) / F.count("*")).alias("share"))
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    counts = durable(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    each = max(1, min(sample, most // max(1, counts.count())))
+    shares = counts.select("lang", F.least(F.lit(1.0), F.lit(1.2 * each) / F.col("n")).alias("share"))
+    drawn = F.pmod(F.col("h"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     room = F.greatest(F.lit(1), F.length("text") - SEGMENT)
-    crops = F.array(*[F.substr("text", (F.pmod(F.xxhash64(F.lit(i), "doc_id"), room) + 1).cast("int"), F.lit(SEGMENT)) for i in range(CROPS)])
-    found = join_few(rows.select("doc_id", "text", "lang"), shares, ["lang"]).filter(drawn).select("lang", crops.alias("crops")).collect()
-    return sorted((r["lang"], c.encode()) for r in found for c in r["crops"])
+    starts = [F.pmod(F.xxhash64(F.lit(i), "h"), room) + 1 for i in range(CROPS)]
+    crops = F.array(*[F.substr("text", at.cast("int"), F.lit(SEGMENT)) for at in starts])
+    hashed = rows.select("lang", "text", F.xxhash64(F.lit("sample"), "doc_id", "text").alias("h"))
+    found = join_few(hashed, shares, ["lang"]).filter(drawn).select("lang", "h", crops.alias("crops"))
+    least = Window.partitionBy("lang").orderBy("h")  # after one row a hash; every task sends its least ``each`` rows a language only
+    found = found.dropDuplicates(["lang", "h"]).withColumn("place", F.row_number().over(least)).filter(F.col("place") <= each)
+    return sorted((r["lang"], c.encode()) for r in found.collect() for c in r["crops"])
 
 
 def fit(docs: DataFrame, hidden: int = HIDDEN, sample: int = SAMPLE, steps: int = STEPS) -> Net | None:
@@ -89,7 +100,7 @@ def predict(docs: DataFrame, net: Net | None, text: str = "text", keep_text: boo
                 labels[~letters], scores[~letters] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns[:shown], pa.array(labels.tolist(), pa.string()), pa.array(scores)], names=schema.names)
 
-    return bounded_batches(frame).mapInArrow(run, schema)
+    return map_slices(frame, run, schema)
 
 
 def accepted(docs: DataFrame, net: Net | None, least: float = LEAST_SCORE) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinal.llm.avi import FPS, FRAME, decode_frames, encode_frames, read_avi, shot_starts, write_avi
-from vicinal.llm.common import bounded_batches
+from vicinal.llm.common import map_slices
 
 #: Frames coded by one array operation.
 BLOCK_FRAMES = 2048
@@ -56,7 +56,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
                 media = [to_media(v or b"") for v in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(media, pa.binary())], names=[*keep, "media"])
 
-    return bounded_batches(frame).mapInArrow(run, frame.schema)
+    return map_slices(frame, run, frame.schema)
 
 
 _RESULTS = (
@@ -89,7 +89,7 @@ def inspect(stored: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * len(_RESULTS)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, t) for c, (_, _, t) in zip(columns, _RESULTS)]], names=[*keep, *names])
 
-    return bounded_batches(frame).mapInArrow(run, schema)
+    return map_slices(frame, run, schema)
 
 
 def clips(stored: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def clips(stored: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * len(added)
             yield pa.RecordBatch.from_arrays([*taken, *[pa.array(c, t) for c, (_, _, t) in zip(columns, added)]], names=[*keep, *names])
 
-    return bounded_batches(frame).mapInArrow(run, schema)
+    return map_slices(frame, run, schema)
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinal.llm import wordlm
-from vicinal.llm.common import bounded_batches, durable, join_few, written
+from vicinal.llm.common import map_slices, durable, join_few, written
 from vicinal.llm.wordlm import discounts
 
 SYMBOLS = 40
@@ -79,7 +79,7 @@ def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
             part = seen[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=schema.names)
 
-    return bounded_batches(texts).mapInArrow(run, schema).groupBy("code").agg(F.sum("c").alias("c"))
+    return map_slices(texts, run, schema).groupBy("code").agg(F.sum("c").alias("c"))
 
 
 def order_table(counts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -142,7 +142,7 @@ def perplexities_joined(docs: DataFrame, model: list[tuple[int, DataFrame, DataF
                     seen, c = np.unique(np.concatenate(list(ngram_codes(text, order))), return_counts=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(seen))), pa.array(seen), pa.array(c)], names=schema.names)
 
-    grams = bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
+    grams = map_slices(docs.select("doc_id", "text"), run, schema)
     for n, probabilities, contexts in model:
         grams = grams.withColumn("code_n", F.col("code") % SYMBOLS**n).withColumn("context_n", F.floor(F.col("code_n") / SYMBOLS).cast("bigint"))
         grams = grams.join(probabilities.select(F.col("code").alias("code_n"), F.col("p").alias(f"p{n}")), "code_n", "left")
@@ -173,7 +173,7 @@ def perplexities(docs: DataFrame, model: np.ndarray | None, text: str = "text",
             values = [score(t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, pa.float64())], names=schema.names)
 
-    return bounded_batches(frame).mapInArrow(run, schema)
+    return map_slices(frame, run, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinal.llm.common import bounded_batches, durable, written
+from vicinal.llm.common import map_slices, durable, written
 from vicinal.llm.components import components
 from vicinal.llm.simfinger import ascii_words, shingle_hashes
 
@@ -59,7 +59,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             cls = [_signed(xxhash.xxh64_intdigest(s.tobytes())) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cls, pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=schema.names)
 
-    return bounded_batches(docs.select("doc_id", "th", "text")).mapInArrow(run, schema)
+    return map_slices(docs.select("doc_id", "th", "text"), run, schema)
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=schema.names)
 
-    return bounded_batches(texts.select("cls", "text")).mapInArrow(run, schema)
+    return map_slices(texts.select("cls", "text"), run, schema)
 
 
 def similar(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
@@ -89,7 +89,7 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFra
                 good.append(near and common >= least * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return bounded_batches(both.select("a", "b", "sa", "sb")).mapInArrow(run, pairs.select("a", "b").schema)
+    return map_slices(both.select("a", "b", "sa", "sb"), run, pairs.select("a", "b").schema)
 
 
 def links(classes: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import bounded_batches, durable
+from vicinal.llm.common import map_slices, durable
 from vicinal.llm.components import components
 from vicinal.llm.simfinger import fingerprint
 
@@ -42,7 +42,7 @@ def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", out: str =
             signed = pa.array([v - (1 << 64) if v >> 63 else v for v in values], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], signed], names=[*keep, out])
 
-    return bounded_batches(frame).mapInArrow(run, schema)
+    return map_slices(frame, run, schema)
 
 
 def _segment(fp: Column, i: int, segments: tuple[int, ...]) -> Column:

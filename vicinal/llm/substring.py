@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinal.llm.common import bounded_batches, discard, written
+from vicinal.llm.common import map_slices, discard, written
 from vicinal.llm.tokenruns import fragments, window_hashes, word_hashes
 
 WINDOW = 50
@@ -64,7 +64,7 @@ def path_fragments(keyed: DataFrame, window: int, k: int) -> DataFrame:
             columns = [ids[at], ths[at], *[np.concatenate([getattr(p, c) for p in parts]) for c in ("start", "windows", "minimiser", "key", "check")]]
             yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=schema.names)
 
-    return bounded_batches(keyed).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, schema)
+    return map_slices(keyed.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint")), run, schema)
 
 
 def _recurring(which: np.ndarray, off: np.ndarray, edge: np.ndarray) -> tuple:
@@ -173,7 +173,7 @@ def _cut_texts(docs: DataFrame, window: int, k: int, digest: bool) -> DataFrame:
                 kept = [d[2].decode() if d[1] else t if t is None else t.decode() for t, d in zip(texts, done)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
-    return bounded_batches(rows).mapInArrow(run, schema)
+    return map_slices(rows, run, schema)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = MINIMISER) -> DataFrame:

@@ -7,7 +7,8 @@ and a hit counts only if the stored string is equal, so colliding digests do no
 
 A rule fits its host and all subdomains if the url's path starts with the rule's; the longest rule wins (host and path together,
 then the longer host). Urls that no rule fits get ``default``. Null urls and urls without ``://`` have an empty host and path.
-Repeated rows are returned as often as they come in; an empty table gives no rows; no rules fit nothing. No row is moved.
+Repeated rows are returned as often as they come in; an empty table gives no rows; no rules fit nothing. Very long urls are judged
+whole; columns named as results are replaced. No row is moved.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vicinal.llm.common import map_slices
+
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 VERDICTS = ("allow", "block")
@@ -145,7 +148,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
             found = index.judge(batch.column(at).to_pylist(), default)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.string()) for c in found]], names=[*keep, *added])
 
-    return frame.mapInArrow(run, schema)
+    return map_slices(frame, run, schema)
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:

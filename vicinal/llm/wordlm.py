@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinal.llm.common import bounded_batches, durable, written
+from vicinal.llm.common import map_slices, durable, written
 
 #: The most frequent keys of a table, whose rows are dealt over so many salts.
 HOT, SALTS = 1024, 16
@@ -67,7 +67,7 @@ def count_bigrams(texts: DataFrame) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return bounded_batches(texts).mapInArrow(run, schema).groupBy("v", "w").agg(F.sum("c").alias("c"))
+    return map_slices(texts, run, schema).groupBy("v", "w").agg(F.sum("c").alias("c"))
 
 
 def discounts(of_counts: dict[int, int]) -> tuple[float, float, float]:
@@ -177,7 +177,7 @@ def perplexities(texts: DataFrame, model: Model) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=schema.names)
                     held, size = [], 0
 
-    rows = bounded_batches(texts.select("key", "own", "text")).mapInArrow(run, schema)
+    rows = map_slices(texts.select("key", "own", "text"), run, schema)
     rows = _sharded(rows, model.bigrams, ["v", "w"], "c")
     rows = _sharded(rows, model.contexts, ["v"], "total")
     rows = _sharded(rows, model.words, ["w"], "before")
