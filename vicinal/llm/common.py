@@ -19,6 +19,8 @@ BLOCK_BYTES = 4 << 20
 ARROW_ROWS = 2000
 #: Rows of a side that is sent to all tasks, at most, and the salts of the join that serves beyond it.
 SENT_ROWS, SALTS = 50_000, 64
+#: Rows of one key that one task reads, at most, where they can be salted.
+HOT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,21 @@ def join_few(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner
     return rows.withColumn("__salt", salt).join(salted, [*keys, "__salt"], how).drop("__salt")
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and in ``n`` how many of ``rows`` have it; both are shuffled by key.
+
+    Keys of more than ``HOT_ROWS`` rows are dealt over ``SALTS`` tasks.
+    """
+    hot = durable(table.filter(F.col(n) > HOT_ROWS).select(key, F.lit(SALTS).alias("__n")))
+    if hot.isEmpty():
+        return rows.join(table.drop(n).hint("merge"), key)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.coalesce("__n", F.lit(1))).cast("int")
+    dealt = join_few(rows, hot, [key], "left").withColumn("__salt", salt).drop("__n")
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))
+    each = join_few(table.drop(n), hot, [key], "left").withColumn("__salt", salts).drop("__n")
+    return dealt.join(each.hint("merge"), [key, "__salt"]).drop("__salt")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder: lineage ends here and lost executors cost nothing."""
     ensure_checkpoint_dir(df.sparkSession)

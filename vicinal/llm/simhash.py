@@ -6,12 +6,14 @@ segments, fetches the fingerprints stored under those segment values, and verifi
 
 Equal fingerprints collapse to one row first. Large groups of near copies are contracted before the full search: in each bucket
 every fingerprint is tried against the bucket's most frequent one, and the full search then returns only links between
-fingerprints that are not yet known to be connected. Links inside a group are thus never listed pair by pair, and none that
-connects two components is lost.
+fingerprints that are not yet known to be connected. Links inside a group are thus never listed pair by pair, a large group is
+not held against itself, and no link that connects two components is lost. The segments follow from how many fingerprints there
+are, so that buckets stay small.
 
 Nulls: a null text has fingerprint zero, as an empty one; rows with a null doc_id keep their fingerprint, get the component of
 their fingerprint, and never name one (a component of such rows only has a null id). Repeated rows are returned as often as they
-come in. An empty table gives no rows. Extra columns are ignored by the query and kept by ``near_dedup``.
+come in. A bit set in just half of the hashes is 0. Texts of any length are read whole. An empty table gives no rows. Extra columns
+are ignored by the query and kept by ``near_dedup``.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import map_slices, durable
+from vicinal.llm.common import durable, join_hot, map_slices
 from vicinal.llm.components import components
 from vicinal.llm.simfinger import fingerprint
 
 DISTANCE = 4
-SEGMENTS = (21, 21, 22)
+#: Segments for up to ``MANY`` distinct fingerprints, and beyond.
+SEGMENTS, WIDE_SEGMENTS, MANY = (21, 21, 22), (32, 32), 1 << 25
 
 
 def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", out: str = "fp") -> DataFrame:
@@ -78,37 +81,61 @@ def _probes(fps: DataFrame, segments: tuple[int, ...], radius: int, *more: str)
     return fps.select("fp", *more, F.explode(keys).alias("key"))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, segments: tuple[int, ...] = SEGMENTS) -> DataFrame:
+def plan_segments(n: int) -> tuple[int, ...]:
+    """Segments for n distinct fingerprints: buckets of 2**21 values until they hold too many of them, then of 2**32."""
+    return SEGMENTS if n <= MANY else WIDE_SEGMENTS
+
+
+def meet(probes: DataFrame, grouped: DataFrame, stored: DataFrame, near: Column) -> DataFrame:
+    """(a, b), a < b, that meet under a key, are ``near``, and are not known to be connected.
+
+    ``probes`` has key, a, ra and ``stored`` key, b, rb; ra and rb name what is known to be connected; ``near`` may use further
+    columns of both. ``grouped`` are the probes of what is connected with something. Those of a key's largest group meet the
+    others under it only, so that a large group is never held against itself.
+    """
+    sizes = stored.groupBy("key", "rb").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("rb", F.struct("n", "rb")).alias("d")).hint("merge")
+    new = probes.join(largest, "key").filter("ra <> d").drop("d").join(stored.hint("merge"), "key")
+    rest = stored.join(largest, "key").filter("rb <> d")
+    own = grouped.join(rest.hint("merge"), "key").filter("ra = d").drop("d")
+    found = new.filter((F.col("ra") != F.col("rb")) & near).select("a", "b").unionByName(own.filter(near).select("a", "b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, segments: tuple[int, ...] | None = None) -> DataFrame:
     """(a, b) pairs of distinct fingerprints of ``fps`` (fp, n) that connect everything that links at ``distance`` bits connect.
 
     ``n`` is how many documents have the fingerprint. Not every link within a component is listed.
     """
+    segments = segments or plan_segments(fps.count())
     if sum(segments) != 64:
         raise ValueError("segments must hold 64 bits")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     stored = _stored(fps, segments, "n")
-    hubs = stored.groupBy("key").agg(F.max_by("fp", F.struct("n", "fp")).alias("b"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    first = durable(stored.select("key", F.col("fp").alias("a")).join(hubs, "key").filter(near & F.expr("a <> b")).select("a", "b").distinct())
+    hubs = durable(stored.groupBy("key").agg(F.max_by("fp", F.struct("n", "fp")).alias("b"), F.count("*").alias("c")))
+    first = join_hot(stored.select("key", F.col("fp").alias("a")), hubs.filter("c > 1"), "key", "c")
+    first = durable(first.filter(near & F.expr("a <> b")).select("a", "b").distinct())
     known = components(first)
     tagged = durable(fps.join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes a whole ball: no few tasks may hold them
     p = _probes(tagged.repartition(tasks, "fp"), segments, distance // len(segments), "root").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
+    members = known.select(F.col("node").alias("fp"), "root")
+    g = _probes(members.repartition(tasks, "fp"), segments, distance // len(segments), "root").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
     s = _stored(tagged, segments, "root").select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    # one direction is enough: the ball is symmetric
-    found = p.join(s, (p.key == s.key) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
-    return durable(first.unionAll(found.select("ra", "rb").distinct()))
+    return durable(first.unionAll(meet(p, g, s, near)))
 
 
-def near_groups(docs: DataFrame, width: int = 4, distance: int = DISTANCE, segments: tuple[int, ...] = SEGMENTS) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 4, distance: int = DISTANCE, segments: tuple[int, ...] | None = None) -> DataFrame:
     """``docs`` without text, plus fp and component_id: the smallest doc_id reachable over linked fingerprints."""
     marked = durable(fingerprints(docs, width))
     classes = marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
     classes = durable(classes)
     roots = components(links(classes.select("fp", "n"), distance, segments))
-    joined = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = joined.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp")
+    joined = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    joined = durable(joined)
+    named = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
+    by_fp = join_hot(joined.select("fp", "n", "root"), named, "root", "c").select("fp", "n", "component_id")
+    return join_hot(marked, by_fp, "fp", "n")
 
 
 def near_dedup(docs: DataFrame, width: int = 4, distance: int = DISTANCE) -> DataFrame:
