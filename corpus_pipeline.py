@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinal.llm import bpe, common, langid, mixing, shingledup, substring
+from vicinal.llm import bpe, common, langid, mixing, nearcopies, substring
 
 #: Encoding, and the learnt network before it, cannot be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -18,8 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8) stays."""
-    return shingledup.near_dedup(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 and more) stays."""
+    return nearcopies.near_dedup(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
