@@ -108,3 +108,43 @@ def test_recurring_phrases(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = shown(substring._cut_texts(df, 6, 3, digest=True).collect())
     assert got == sorted((d, n, g, hashlib.sha256(k).hexdigest()) for d, n, g, k in brute(rows, 6))
+
+
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return bits[:n]
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Words of Thue-Morse bytes and their opposites collide under any polynomial modulo 2**64; so do sequences of two words."""
+    word = lambda bits, x, y: "".join(y if b else x for b in bits)
+    odd = [word(thue_morse(n), x, y) for n in (1024, 2048) for x, y in (("a", "b"), ("b", "a"))]
+    rng = random.Random(4)
+    plain = prose(rng, 60, "cdefg").split()
+    rows = [(i, " ".join([*plain[:30], odd[i % 4], *plain[30:]])) for i in range(8)]
+    rows += [(20 + i, " ".join("uv"[b ^ i % 2] for b in thue_morse(1200))) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = shown(substring._cut_texts(df, 50, 16, digest=True).collect())
+    assert got == sorted((d, n, g, hashlib.sha256(k).hexdigest()) for d, n, g, k in brute(rows, 50))
+
+
+def test_many_repeated_rows_and_long_copies(spark):
+    rng = random.Random(5)
+    long, passage = prose(rng, 4000, "abcdefgh"), prose(rng, 120, "abcdefgh")
+    rows = [(5, f"{prose(rng, 60, 'abcd')} {passage}")] * 1000 + [(1, passage), (9, long), (7, long), (8, f"{long} x"), (10, f"y {' '.join(long.split()[1000:3000])}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = substring.repeated_spans(substring._keyed(df), substring._keyed(df), 50, 16).collect()
+    spans = {r["doc_id"]: r["spans"] for r in found}
+    assert sum(s["n"] for s in spans[9]) == 3951 and len(spans[9]) < 20  # compacted paths, not single fragments
+    assert len(spans[5]) < 80  # however often the row repeats
+    got = shown(substring._cut_texts(df, 50, 16, digest=True).collect())
+    assert got == sorted((d, n, g, hashlib.sha256(k).hexdigest()) for d, n, g, k in brute(rows, 50))
+
+
+def test_source_digests_guard_the_cut():
+    words = substring.words_of(b"a b c d e f")
+    span = {"s": 1, "n": 2, "step": 1, "digest": substring._digest(words, 1, 2, 3)}
+    assert substring._covered(words, [span], 3).tolist() == [False, True, True, True, True, False]
+    assert not substring._covered(words, [span | {"digest": b"other"}], 3).any()

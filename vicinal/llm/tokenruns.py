@@ -1,7 +1,12 @@
-"""Vectorised hashing of word sequences (pure numpy): words of byte texts, token k-mers, and path fragments of equal minimiser."""
+"""Word sequences of byte texts (pure numpy): words and their places, path fragments of equal minimiser, digests of runs of words.
+
+The polynomial hashes here only choose minimisers, where a collision costs time and no result. What tells words apart is a
+cryptographic digest of their bytes.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,49 +85,61 @@ class Runs:
         return _mix(raw + np.asarray(lengths).astype(np.uint64) * np.uint64(_SECOND))
 
 
+@dataclass
+class Words:
+    """A text's words ``[^\\x20\\x09-\\x0D]+`` joined by one space, and where each begins and ends."""
+
+    joined: bytes
+    start: np.ndarray
+    end: np.ndarray
+
+    def run(self, first: int, n: int) -> bytes:
+        """n words from the first on; fewer where the text ends."""
+        last = min(first + n, len(self.start)) - 1
+        return self.joined[self.start[first] : self.end[last]]
+
+    def digests(self, first: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """16-byte digests of runs of words."""
+        text, digest = self.joined, hashlib.blake2b
+        return [digest(text[a:b], digest_size=16).digest() for a, b in zip(self.start[first].tolist(), self.end[first + n - 1].tolist())]
+
+
+def words_of(text: bytes | None) -> Words:
+    joined = b" ".join((text or b"").split())
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    if not joined:
+        return Words(b"", spaces, spaces)
+    return Words(joined, np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(joined)])))
+
+
 @dataclass
 class Fragments:
-    """Maximal runs of consecutive windows with one minimiser: start, windows, minimiser, and two hashes of their words."""
+    """Maximal runs of consecutive windows with one minimiser: first word, number of windows, minimiser."""
 
     start: np.ndarray
     windows: np.ndarray
     minimiser: np.ndarray
-    key: np.ndarray
-    check: np.ndarray
 
 
 def fragments(words: np.ndarray, window: int, k: int) -> Fragments:
-    """Path fragments of one text. Every window (edge) of the text is in exactly one fragment."""
+    """Path fragments of one text's word hashes. Every window (edge) of the text is in exactly one fragment."""
     parts = []
     n = len(words) - window + 1
     for at in range(0, max(n, 0), CHUNK_WORDS):
         parts.append(_fragments(words[at : at + CHUNK_WORDS + window - 1], at, window, k))
     if not parts:
         e = np.empty(0, np.int64)
-        return Fragments(e, e, *(np.empty(0, np.uint64),) * 3)
+        return Fragments(e, e, np.empty(0, np.uint64))
     return Fragments(*[np.concatenate(x) for x in zip(*parts)])
 
 
 def _fragments(words: np.ndarray, at: int, window: int, k: int) -> tuple:
     n = len(words) - window + 1
-    first, second = Runs(words), Runs(words, _SECOND)
-    low = first.hash(np.arange(len(words) - k + 1), k)
+    low = Runs(words).hash(np.arange(len(words) - k + 1), k)
     width, size = window - k + 1, 1
     while size * 2 <= width:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     least = np.minimum(low[:n], low[width - size : width - size + n])
     start = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    count = np.diff(np.concatenate((start, [n])))
-    length = count + window - 1
-    return start + at, count, least[start], first.hash(start, length), second.hash(start, length)
-
-
-def window_hashes(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """Hashes of the windows at ``starts``."""
-    out = np.empty(len(starts), np.uint64)
-    for at in range(0, len(words), CHUNK_WORDS):
-        own = (starts >= at) & (starts < at + CHUNK_WORDS)
-        if own.any():
-            out[own] = Runs(words[at : at + CHUNK_WORDS + window]).hash(starts[own] - at, window)
-    return out
+    return start + at, np.diff(np.concatenate((start, [n]))), least[start]
