@@ -51,30 +51,34 @@ def test_repeated_rows_and_empty(spark):
     assert embed_dedup.near_vectors(df.limit(0)).collect() == []
 
 
-def test_recall_of_the_production_plan(spark):
-    """Pairs at the threshold itself are the hardest."""
-    rng = np.random.default_rng(3)
-    base = rng.normal(size=(400, 64))
+def at_threshold(rng, n, dim=64):
+    """n pairs of a cosine just above the threshold, the hardest to meet."""
+    base = rng.normal(size=(n, dim))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
     side = rng.normal(size=base.shape)
     side -= (side * base).sum(axis=1, keepdims=True) * base
     side /= np.linalg.norm(side, axis=1, keepdims=True)
-    other = base * 0.951 + side * np.sqrt(1 - 0.951**2)
-    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(np.concatenate([base, other]))], "vec_id bigint, embedding array<double>")
+    return base, base * 0.951 + side * np.sqrt(1 - 0.951**2)
+
+
+@pytest.mark.parametrize("n", [200, 2000, 6000])
+def test_recall_of_the_production_plan(spark, n):
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(np.concatenate(at_threshold(np.random.default_rng(3), n)))], "vec_id bigint, embedding array<double>")
     found = embed_dedup.near_vectors(df).agg({"n_links": "sum"}).first()[0] / 2
-    assert 0.9 * 400 <= found <= 400
+    assert 0.96 * n <= found <= n
 
 
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(1)
-    x, q = rng.normal(size=(2000, 64)), rng.normal(size=(5, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q /= np.linalg.norm(q, axis=1, keepdims=True)
-    turn = rabitq.rotation(64, 9)
-    assert np.allclose(turn @ turn.T, np.eye(64))
-    codes = rabitq.encode(x @ turn.T)
-    guess, bound = rabitq.estimate(codes, q @ turn.T, 4.0)
-    error = guess - x @ q.T
-    assert abs(error.mean()) < 0.01 and (np.abs(error) <= bound[:, None]).mean() > 0.999
-    again = rabitq.unpack(rabitq.pack(codes), 64, codes.factor)
-    assert (again.signs == codes.signs).all()
+    turns = embed_dedup._turns(64, 1)
+    assert len(turns) == embed_dedup.ROTATIONS and all(np.allclose(t @ t.T, np.eye(64)) for t in turns)
+    x, q = at_threshold(rng, 3000)
+    one, two = (rabitq.encode(np.einsum("rde,ne->nrd", turns, v)) for v in (x, q))
+    again = rabitq.unpack(rabitq.pack(one), 64, embed_dedup.ROTATIONS)
+    assert (again.signs == one.signs).all() and (again.factor == one.factor).all()
+    a, b = (rabitq.Told(c, turns, 0.95) for c in (one, two))
+    for at in range(0, 3000, 500):
+        guess, bound = rabitq.estimate(a.take(slice(at, at + 500)), b.take(slice(at, at + 500)), embed_dedup.EPS)
+        error, pairs = guess - x[at : at + 500] @ q[at : at + 500].T, np.arange(500)
+        assert abs(error.mean()) < 0.005 and abs(error[pairs, pairs].mean()) < 0.005
+        assert (error[pairs, pairs] >= -bound[pairs, pairs]).mean() > 0.99

@@ -1,23 +1,25 @@
 """Embedding near-dedup with randomised-rotation binary codes.
 
-Vectors of one value are one class. Each class is turned by a few random rotations; the signs of the first rotation are its
-binary code, stored with its correction factor. Runs of sign bits, ``width`` a table, name the buckets in which classes meet:
-``width`` follows the logarithm of the number of classes and the number of tables follows from ``width``, so that a pair at the
-threshold is met with a chance of ``recall``. Within a bucket the codes give an unbiased estimate of each cosine and a confidence
-bound; only pairs whose bound reaches the threshold are recomputed exactly, in double precision.
+Vectors of one value are one class. Each class is turned by random rotations; the signs of the first ``ROTATIONS`` are its binary
+code, stored with its correction factors. Runs of sign bits, ``width`` a table, name the buckets in which classes meet: ``width``
+follows the logarithm of the number of classes and the number of tables follows from ``width``, so that a pair at the threshold
+is met with a chance of ``recall``. Only codes go to the buckets. There they give an unbiased estimate of each pair's cosine and
+a confidence bound; where a pair's bound reaches the threshold, both vectors come to the bucket as well, and what came is
+recomputed exactly, in double precision.
 
 No pair is emitted. Buckets are split into blocks of ``BLOCK`` classes at most, block meets block, and each meeting yields one
 count per class and one spanning forest of its links. A pair that meets in several tables counts in the first only.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing and are their own component; vectors of
 different lengths do not meet. A null vec_id takes part as any row, but never names a component that has another id. Repeated
-rows are rows of their own: each counts the other. An empty table gives no rows. Extra columns are ignored by the query.
+rows are rows of their own: each counts the other. Vectors may be of any length; a cosine of just the threshold links. An empty
+table gives no rows. Extra columns are ignored by the query.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinal.llm.common import discard, durable, join_few, written
+from vicinal.llm.common import discard, durable, join_few, join_hot, written
 from vicinal.llm.components import components
-from vicinal.llm.rabitq import Codes, encode, estimate, pack, rotation, unpack
+from vicinal.llm.rabitq import Told, encode, estimate, pack, rotation, unpack
 
 THRESHOLD = 0.95
 RECALL = 0.98
-#: Standard deviations (about) of the confidence bound.
-EPS = 4.0
+#: Rotations of a code, and standard deviations of the confidence bound.
+ROTATIONS, EPS = 3, 4.0
 BLOCK = 1024
 SEED = 7
 
@@ -47,22 +49,19 @@ def plan_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) ->
 
 def classes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", salt: int = 0) -> tuple[DataFrame, DataFrame]:
     """(rows: vec_id, v, cid; one row per value: cid, cid2, v, n). ``v`` is null for vectors that link with nothing; cid is a salted hash of the value."""
-    v = F.transform(F.col(embedding), lambda x: x.cast("double"))
+    single = isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType)  # kept as it is: half the size
+    v = F.transform(F.col(embedding), lambda x: x.cast("float" if single else "double"))
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(fine, F.transform(v, lambda x: x + 0.0)).alias("v"))
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(fine, F.transform(v, lambda x: x + F.lit(0).cast("float"))).alias("v"))
     rows = rows.withColumn("cid", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(salt), "v")))
     rows = rows.withColumn("cid2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(~salt), "v")))
     return rows, rows.filter("v IS NOT NULL").groupBy("cid", "cid2").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
 
 
 @lru_cache(maxsize=8)
-def _turn(dim: int) -> np.ndarray:
-    return rotation(dim, SEED)
-
-
 def _turns(dim: int, bits: int) -> np.ndarray:
-    """Rotations side by side, (dim, at least ``bits``)."""
-    return np.concatenate([rotation(dim, SEED + i).T for i in range(max(1, -(-bits // dim)))], axis=1)
+    """Rotations, (rotations, dim, dim): a code's, and as many as ``bits`` sign bits need."""
+    return np.stack([rotation(dim, SEED + i) for i in range(max(ROTATIONS, -(-bits // dim)))])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -72,68 +71,38 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _bucketed(values: DataFrame, width: int, tables: int, kind: type) -> DataFrame:
-    """A row for each class and table: t, bucket, dim, cid, n, x (the vector, in the table's own precision ``kind``), keys (the class's buckets in all tables), code and factor."""
-    longs, blobs = ("bucket", "cid", "n"), ("x", "keys", "code")
-    schema = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("dim", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in longs], *[T.StructField(c, T.BinaryType()) for c in blobs], T.StructField("factor", T.DoubleType())])
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all elements, where each row's begin, how many each row has) of a column of lists without nulls."""
+    lengths = np.asarray(column.value_lengths())
+    return column.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths, lengths
+
+
+def _keys(turned: np.ndarray, width: int, tables: int) -> np.ndarray:
+    """(n, tables) buckets of turned vectors (n, rotations, dim), the table's number above their bits."""
+    on = turned.reshape(len(turned), -1)[:, : width * tables] >= 0
+    bucket = (on.reshape(-1, tables, width) * (1 << np.arange(width, dtype=np.int64))).sum(axis=2)
+    return bucket | np.arange(tables, dtype=np.int64) << 48
+
+
+def coded(values: DataFrame, width: int, tables: int) -> DataFrame:
+    """One row per class: cid, dim, keys (its buckets) and code."""
+    schema = T.StructType([T.StructField("cid", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("code", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns: dict[int, np.ndarray] = {}
         for batch in batches:
-            cid, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            lists = batch.column(1)
-            lengths = np.diff(np.asarray(lists.offsets))
-            flat = lists.flatten().to_numpy()
-            begin = np.cumsum(lengths) - lengths
+            cid = batch.column(0).to_numpy()
+            flat, begin, lengths = _lists(batch.column(1))
             for dim in np.unique(lengths).tolist():
-                if dim not in turns:
-                    turns[dim] = _turns(dim, width * tables)
+                turns = _turns(dim, width * tables)
                 every = np.flatnonzero(lengths == dim)
                 for at in range(0, len(every), 512):
                     own = every[at : at + 512]
-                    x = flat[begin[own][:, None] + np.arange(dim)]
-                    turned = _unit(x) @ turns[dim]
-                    codes = encode(turned[:, :dim])
-                    keys = ((turned[:, : width * tables] >= 0).reshape(len(own), tables, width) * (1 << np.arange(width, dtype=np.int64))).sum(axis=2)
-                    k = len(own)
-                    rows = pa.array(np.tile(np.arange(k), tables))
-                    wide = [pa.array([r.tobytes() for r in a], pa.binary()) for a in (x.astype(kind), keys, pack(codes))]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(np.arange(tables, dtype=np.int32), k)), pa.array(np.full(k * tables, dim, np.int32)),
-                        pa.array(keys.T.reshape(-1)), *[pa.array(a[own]).take(rows) for a in (cid, n)], *[w.take(rows) for w in wide], pa.array(codes.factor).take(rows),
-                    ], names=schema.names)
-
-    return values.select("cid", "v", "n").mapInArrow(run, schema)
-
-
-class _Block:
-    """Classes of one bucket that meet others."""
-
-    def __init__(self, cid: np.ndarray, n: np.ndarray, u: np.ndarray, keys: np.ndarray, codes: Codes):
-        self.cid, self.n, self.u, self.keys, self.codes = cid, n, u, keys, codes
-        self.turned = u @ _turn(u.shape[1]).T
-
-    def take(self, at: np.ndarray) -> _Block:
-        return _Block(self.cid[at], self.n[at], self.u[at], self.keys[at], self.codes.take(at))
-
-
-def _meet(a: _Block, b: _Block, same: bool, t: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i of a, j of b) that link and meet first in table t."""
-    out_i, out_j = [], []
-    for at in range(0, len(a.cid), 256):
-        guess, bound = estimate(a.codes.take(slice(at, at + 256)), b.turned, EPS)
-        maybe = guess >= (threshold - bound)[:, None]
-        if same:
-            maybe &= np.arange(len(b.cid))[None, :] > np.arange(at, at + len(maybe))[:, None]
-        i, j = np.nonzero(maybe)
-        i += at
-        for lo in range(0, len(i), 1 << 15):
-            p, q = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
-            near = np.einsum("ij,ij->i", a.u[p], b.u[q]) >= threshold
-            near &= ~(a.keys[p, :t] == b.keys[q, :t]).any(axis=1)
-            out_i.append(p[near])
-            out_j.append(q[near])
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.empty(0, np.int64),) * 2
+                    turned = np.einsum("rde,ne->nrd", turns, _unit(flat[begin[own][:, None] + np.arange(dim)]), optimize=True)
+                    keys = pa.array(list(_keys(turned, width, tables)), pa.list_(pa.int64()))
+                    code = pa.array(pack(encode(turned[:, :ROTATIONS])), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[own]), pa.array(np.full(len(own), dim, np.int32)), keys, code], names=schema.names)
+
+    return values.select("cid", "v").mapInArrow(run, schema)
 
 
 def _forest(x: np.ndarray, y: np.ndarray) -> list[int]:
@@ -155,67 +124,112 @@ def _forest(x: np.ndarray, y: np.ndarray) -> list[int]:
     return kept
 
 
-_CELL = ["t", "bucket", "dim", "p", "q"]
-
-
-def _cell(table: pa.Table, tables: int, threshold: float, kind: type, out: list[tuple[list, list, list]]) -> None:
-    """All meetings of one cell: rows of one bucket, of parts p and q."""
-    t, dim, p, q = (table[c][0].as_py() for c in ("t", "dim", "p", "q"))
-    read = lambda c, kind, w: np.frombuffer(b"".join(table[c].to_pylist()), kind).reshape(-1, w)
-    codes = unpack(read("code", np.uint8, -(-dim // 8)), dim, table["factor"].to_numpy())
-    both = _Block(table["cid"].to_numpy(), table["n"].to_numpy(), _unit(read("x", kind, dim)), read("keys", np.int64, tables), codes)
-    part = table["part"].to_numpy()
-    one, two = (both, both) if p == q else (both.take(part == p), both.take(part == q))
-    i, j = _meet(one, two, p == q, t, threshold)
-    if not len(i):
-        return
-    a, b, n = [], [], []
-    for ids, counts in ((one.cid, np.bincount(i, two.n[j], len(one.cid))), (two.cid, np.bincount(j, one.n[i], len(two.cid)))):
-        some = np.flatnonzero(counts)
-        a += ids[some].tolist()
-        b += [None] * len(some)
-        n += counts[some].astype(int).tolist()
-    x, y = one.cid[i], two.cid[j]
-    tree = _forest(x, y)
-    out.append((a + x[tree].tolist(), b + y[tree].tolist(), n + [0] * len(tree)))
-
-
-def link_rows(values: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, kind: type = np.float64) -> DataFrame:
+#: A cell: parts p and q of a bucket.
+_CELL = ["key", "dim", "p", "q"]
+
+
+def _each_cell(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    """What ``work`` makes of each cell of two rows or more; rows come sorted by cell."""
+    rest: pa.Table | None = None
+    for batch in _with_end(batches):
+        table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if table is None or not table.num_rows:
+            continue
+        table = table.combine_chunks()
+        ids = np.stack([table[c].to_numpy().astype(np.int64) for c in _CELL])
+        starts = np.flatnonzero(np.concatenate(([True], (ids[:, 1:] != ids[:, :-1]).any(axis=0))))
+        ends = [*starts[1:].tolist(), table.num_rows]
+        last = len(starts) if batch is None else len(starts) - 1  # the last cell may go on in the next batch
+        made = [work(table.slice(s, e - s)) for s, e in zip(starts[:last].tolist(), ends) if e - s > 1]
+        rest = table.slice(int(starts[-1])) if batch is not None else None
+        if made := [m for m in made if m is not None and m.num_rows]:
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a cell's two sides: those of part p and of part q, or all twice."""
+    p, q, part = table["p"][0].as_py(), table["q"][0].as_py(), table["part"].to_numpy()
+    every = np.arange(table.num_rows)
+    return (every, every) if p == q else (np.flatnonzero(part == p), np.flatnonzero(part == q))
+
+
+def _maybe(table: pa.Table, bits: int, threshold: float) -> pa.RecordBatch | None:
+    """The rows of a cell that some other's bound lets reach the threshold, by their codes."""
+    dim = table["dim"][0].as_py()
+    codes = unpack(table["code"].to_pylist(), dim, ROTATIONS)
+    told = Told(codes, _turns(dim, bits)[:ROTATIONS], threshold)
+    one, two = _sides(table)
+    some = np.zeros(table.num_rows, bool)
+    right = told.take(two)
+    for at in range(0, len(one), 256):
+        rows = one[at : at + 256]
+        guess, bound = estimate(told.take(rows), right, EPS)
+        near = guess >= threshold - bound
+        near &= two[None, :] > rows[:, None] if len(one) == len(two) == table.num_rows else True
+        some[rows[near.any(axis=1)]] = True
+        some[two[near.any(axis=0)]] = True
+    if not some.any():
+        return None
+    return table.select([*_CELL, "part", "cid"]).filter(pa.array(some)).combine_chunks().to_batches()[0]
+
+
+_FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "n")])
+
+
+def _linked(table: pa.Table, width: int, tables: int, threshold: float) -> pa.RecordBatch | None:
+    """The links of a cell's vectors, each recomputed, that meet here first: rows of ``link_rows``."""
+    dim, t = table["dim"][0].as_py(), table["key"][0].as_py() >> 48
+    flat, begin, _ = _lists(table["v"].combine_chunks())
+    u = _unit(flat[begin[:, None] + np.arange(dim)])
+    keys = _keys(np.einsum("rde,ne->nrd", _turns(dim, width * tables), u, optimize=True), width, tables)
+    cid, weight = table["cid"].to_numpy(), table["n"].to_numpy()
+    one, two = _sides(table)
+    same = len(one) == len(two) == table.num_rows
+    xs, ys = [], []
+    for at in range(0, len(one), 256):
+        rows = one[at : at + 256]
+        near = u[rows] @ u[two].T >= threshold - 1e-9
+        if same:
+            near &= two[None, :] > rows[:, None]
+        i, j = np.nonzero(near)
+        for lo in range(0, len(i), 1 << 15):
+            x, y = rows[i[lo : lo + (1 << 15)]], two[j[lo : lo + (1 << 15)]]
+            good = np.einsum("ij,ij->i", u[x], u[y]) >= threshold
+            good &= ~(keys[x, :t] == keys[y, :t]).any(axis=1)
+            xs.append(x[good])
+            ys.append(y[good])
+    x, y = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (xs, ys))
+    if not len(x):
+        return None
+    gain = np.bincount(x, weight[y], len(u)) + np.bincount(y, weight[x], len(u))
+    some = np.flatnonzero(gain)
+    tree = _forest(cid[x], cid[y])
+    a = np.concatenate((cid[some], cid[x[tree]]))
+    b = pa.array([*[None] * len(some), *cid[y[tree]].tolist()], pa.int64())
+    n = np.concatenate((gain[some].astype(np.int64), np.zeros(len(tree), np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(n)], names=_FOUND.names)
+
+
+def link_rows(values: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """Two kinds of rows over class ids: (a, null, n) adds n linked rows to class a; (a, b, 0) is a link of a spanning forest.
 
-    Cells of a few hundred rows come sorted through the tasks and are worked off one after another, so that small buckets cost
-    no more than their pairs.
+    Cells come sorted through the tasks and are worked off one after another, so that small buckets cost no more than their pairs.
     """
     width, tables = plan_tables(values.count(), threshold, recall)
-    rows = written(_bucketed(values, width, tables, kind))
-    group = ["t", "bucket", "dim"]
-    hot = rows.groupBy(*group).count().filter(F.col("count") > block).select(*group, F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    codes = written(coded(values, width, tables))
+    rows = codes.select(F.explode("keys").alias("key"), "dim", "cid", "code")
+    hot = rows.groupBy("key", "dim").count().filter(F.col("count") > block).select("key", "dim", F.ceil(F.col("count") / block).cast("int").alias("parts"))
     # a class of part x of a bucket of k parts goes to the cells (x, 0..k-1), on one side or the other
-    cells = join_few(rows, hot, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    cells = cells.withColumn("part", F.pmod(F.xxhash64("cid", "t"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select(*group, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cid", "n", "x", "keys", "code", "factor")
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "n")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in _with_end(batches):
-            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if table is None or not table.num_rows:
-                continue
-            table = table.combine_chunks()
-            ids = np.stack([table[c].to_numpy().astype(np.int64) for c in _CELL])
-            starts = np.flatnonzero(np.concatenate(([True], (ids[:, 1:] != ids[:, :-1]).any(axis=0))))
-            ends = [*starts[1:].tolist(), table.num_rows]
-            last = len(starts) if batch is None else len(starts) - 1  # the last cell may go on in the next batch
-            out: list[tuple[list, list, list]] = []
-            for s, e in zip(starts[:last].tolist(), ends):
-                if e - s > 1:
-                    _cell(table.slice(s, e - s), tables, threshold, kind, out)
-            rest = table.slice(int(starts[-1])) if batch is not None else None
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([v for o in out for v in o[c]], pa.int64()) for c in range(3)], names=schema.names)
-
-    return cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(run, schema)
+    cells = join_few(rows, hot, ["key", "dim"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cells = cells.withColumn("part", F.pmod(F.xxhash64("cid", "key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("key", "dim", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cid", "code")
+    bits = width * tables
+    near = cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(lambda batches: _each_cell(batches, lambda table: _maybe(table, bits, threshold)), cells.drop("code").schema)
+    near = written(near)
+    discard(codes)
+    met = near.join(values.select("cid", "v", "n").hint("merge"), "cid").select(*_CELL, "part", "cid", "v", "n")
+    met = met.repartition(*_CELL).sortWithinPartitions(*_CELL)
+    return met.mapInArrow(lambda batches: _each_cell(batches, lambda table: _linked(table, width, tables, threshold)), _FOUND)
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -233,14 +247,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
         discard(values)
     else:
         raise RuntimeError("values share hashes under every salt")
-    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
-    found = durable(link_rows(values, threshold, recall, block, np.float32 if single else np.float64))
+    found = durable(link_rows(values, threshold, recall, block))
     gains = found.filter("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("gain"))
     roots = components(found.filter("b IS NOT NULL").select("a", "b"))
-    named = values.select("cid", "n", "least").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    result = named.join(least, "root").join(gains, "cid", "left").select("cid", (F.col("n") - 1 + F.coalesce("gain", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.join(result, "cid", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast("bigint").alias("component_id"))
+    named = durable(values.select("cid", "n", "least").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
+    result = join_hot(named, least, "root", "c").join(gains, "cid", "left").select("cid", "n", (F.col("n") - 1 + F.coalesce("gain", F.lit(0))).alias("n_links"), "component_id")
+    none = rows.filter("cid IS NULL").select("vec_id", "cid", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = join_hot(rows.filter("cid IS NOT NULL").select("vec_id", "cid"), durable(result), "cid", "n").select("vec_id", "cid", "n_links", "component_id").unionAll(none).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast("bigint").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -1,8 +1,10 @@
 """Randomised-rotation binary codes: unbiased inner-product estimates with confidence bounds (plain numpy).
 
-A unit vector o is turned by a random orthogonal matrix and reduced to the signs x of its entries, scaled to unit length; the
-stored correction factor is <x, o>. For another unit vector q, <x, q> / <x, o> estimates <o, q> without bias, and the error is
-below eps * sqrt((1 - <x, o>**2) / (<x, o>**2 * (d - 1))) but for a chance that falls off exponentially in eps**2.
+A unit vector o is turned by a few random orthogonal matrices; each time it is reduced to the signs x of its entries, scaled to
+unit length, and the correction factor f = <x, o> is stored. What the code says of o is x / f turned back: o itself plus an error
+that is at right angles to o, of squared length 1 / f**2 - 1 and of random direction. So for two vectors the inner product of
+what codes of *different* rotations say estimates <o, q> without bias, and the mean over all pairs of rotations has an error whose
+spread follows from the stored factors.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 
 @dataclass
 class Codes:
-    """Signs (n, d) as +1/-1 float32 and the correction factors (n,)."""
+    """Signs (n, rotations, d) as +1/-1 float32 and the correction factors (n, rotations)."""
 
     signs: np.ndarray
     factor: np.ndarray
@@ -30,24 +32,49 @@ class Codes:
 
 
 def encode(turned: np.ndarray) -> Codes:
-    """Codes of turned unit vectors."""
+    """Codes of unit vectors (n, rotations, d), turned by each rotation."""
     signs = np.where(turned >= 0, np.float32(1), np.float32(-1))
-    return Codes(signs, np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1]))
-
-
-def pack(codes: Codes) -> np.ndarray:
-    return np.packbits(codes.signs > 0, axis=1, bitorder="little")
-
-
-def unpack(bits: np.ndarray, dim: int, factor: np.ndarray) -> Codes:
-    on = np.unpackbits(bits, axis=1, count=dim, bitorder="little")
-    return Codes(on.astype(np.float32) * 2 - 1, factor)
-
-
-def estimate(codes: Codes, turned: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """(estimates (n, m) of the inner products of coded vectors with turned unit vectors, bound of each row's error)."""
-    dim = turned.shape[1]
-    raw = codes.signs @ turned.T.astype(np.float32) / np.float32(np.sqrt(dim))
-    f = codes.factor
-    bound = eps * np.sqrt(np.maximum(0, 1 - f * f) / (f * f * max(1, dim - 1)))
-    return raw / f[:, None].astype(np.float32), bound
+    return Codes(signs, (np.abs(turned).sum(axis=2) / np.sqrt(turned.shape[2])).astype(np.float32))
+
+
+def pack(codes: Codes) -> list[bytes]:
+    """One byte string a vector: its signs, then its factors in single precision."""
+    bits = np.packbits(codes.signs.reshape(len(codes.signs), -1) > 0, axis=1, bitorder="little")
+    return [b.tobytes() + f.tobytes() for b, f in zip(bits, codes.factor.astype("<f4"))]
+
+
+def unpack(packed: list[bytes], dim: int, rotations: int) -> Codes:
+    n_bits = rotations * dim
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -(-n_bits // 8) + 4 * rotations)
+    on = np.unpackbits(raw[:, : -4 * rotations], axis=1, count=n_bits, bitorder="little")
+    factor = np.ascontiguousarray(raw[:, -4 * rotations :]).view("<f4")
+    return Codes((on.astype(np.float32) * 2 - 1).reshape(-1, rotations, dim), factor)
+
+
+class Told:
+    """What codes say of their vectors, and how far that may be off for pairs of an inner product of ``threshold`` or more."""
+
+    def __init__(self, codes: Codes, turns: np.ndarray, threshold: float):
+        n, self.rotations, dim = codes.signs.shape
+        said = np.einsum("nrd,rde->nre", codes.signs / (np.sqrt(dim) * codes.factor)[:, :, None], turns.astype(np.float32), optimize=True)
+        total = said.sum(axis=1)
+        self.left = np.concatenate([total, said.reshape(n, -1)], axis=1)
+        self.right = np.concatenate([total, -said.reshape(n, -1)], axis=1)
+        off = np.maximum(0, 1 / codes.factor.astype(np.float64) ** 2 - 1).sum(axis=1)
+        free = max(1, dim - 1)
+        self.alone = off / self.rotations**2 * (1 - threshold**2) / free
+        self.both = off / (self.rotations * (self.rotations - 1) * np.sqrt(free))
+
+    def take(self, at) -> Told:
+        part = object.__new__(Told)
+        part.rotations = self.rotations
+        for name in ("left", "right", "alone", "both"):
+            setattr(part, name, getattr(self, name)[at])
+        return part
+
+
+def estimate(one: Told, two: Told, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """(estimates of the inner products of all of ``one`` with all of ``two``, bounds of their errors: ``eps`` standard deviations)."""
+    guess = one.left @ two.right.T / np.float32(one.rotations * (one.rotations - 1))
+    spread = one.alone[:, None] + two.alone[None, :] + one.both[:, None] * two.both[None, :]
+    return guess, eps * np.sqrt(spread)
