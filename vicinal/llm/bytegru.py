@@ -118,7 +118,7 @@ def _gradients(net: Net, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.n
         grads[3][way] = np.einsum("ktb,tnb->kn", p, states[way], optimize=True)
         down = np.einsum("kn,ktb->tnb", net.out[way], p, optimize=True)
         dh = np.zeros((n, batch), np.float32)
-        hot = np.zeros((256, 3 * n), np.float32)
+        into = np.empty((time, batch, 3 * n), p.dtype)
         for t, before, gates, cand, rec in reversed(kept[way]):
             dh = dh + down[t]
             r, z = gates[:n], gates[n:]
@@ -129,9 +129,11 @@ def _gradients(net: Net, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.n
             du = np.concatenate([dr, dz, dc * r])
             grads[1][way] += du @ before.T
             grads[2][way] += du[2 * n :].sum(axis=1)
-            np.add.at(hot, x[t], da.T)
+            into[t] = da.T
             dh = dh * z + net.recur[way].T @ du
-        grads[0][way] = hot.T
+        order = np.argsort(x, axis=None, kind="stable")
+        seen, first = np.unique(x.reshape(-1)[order], return_index=True)
+        grads[0][way][:, seen] = np.add.reduceat(into.reshape(-1, 3 * n)[order], first, axis=0).T
     return loss, grads
 
 
