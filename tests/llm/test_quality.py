@@ -5,74 +5,107 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vicinal.llm import quality
+from vicinal.llm import bytelm, quality
+
+
+def discounts(counts):
+    n = [sum(1 for c in counts if c == i) for i in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+    d = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else i * 0.5 for i in (1, 2, 3)]
+    return [min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1)]
 
 
 def slow_model(texts, order):
-    """Interpolated modified Kneser-Ney by its definition, over symbol tuples."""
-    table = quality.symbol_table()
-    grams = []
-    for t in texts:
-        s = [0] * (order - 1) + [int(table[ord(c)]) for c in t]
-        grams += [tuple(s[i : i + order]) for i in range(len(s) - order + 1)]
-    counts = {order: Counter(grams)}
+    """Interpolated modified Kneser-Ney by its definition, over tuples of bytes."""
+    cut = lambda t: [0] * (order - 1) + list(t.encode())
+    counts = {order: Counter(tuple(s[i : i + order]) for s in map(cut, texts) for i in range(len(s) - order + 1))}
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
+    off = {n: discounts(c.values()) for n, c in counts.items()}
 
     def p(gram):
         n = len(gram)
         if n == 0:
-            return 1 / quality.SYMBOLS
-        c = counts[n]
-        d = quality.discounts(Counter(v for v in c.values() if v <= 4))
-        own = {g: v for g, v in c.items() if g[:-1] == gram[:-1]}
+            return 1 / 256
+        own = {g: v for g, v in counts[n].items() if g[:-1] == gram[:-1]}
         if not own:
             return p(gram[1:])
         total = sum(own.values())
-        off = lambda v: d[min(v, 3) - 1]
-        freed = sum(off(v) for v in own.values()) / total
-        return max(0, own.get(gram, 0) - (off(own[gram]) if gram in own else 0)) / total + freed * p(gram[1:])
+        less = lambda v: off[n][min(v, 3) - 1]
+        return ((own[gram] - less(own[gram])) if gram in own else 0) / total + sum(map(less, own.values())) / total * p(gram[1:])
+
+    def perplexity(t):
+        s = cut(t)
+        bits = [math.log2(p(tuple(s[i : i + order]))) for i in range(len(s) - order + 1)]
+        return 2 ** (-sum(bits) / len(bits))
 
-    return p
+    return perplexity
 
 
-def code(gram):
-    out = 0
-    for s in gram:
-        out = out * quality.SYMBOLS + s
-    return out
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_perplexities_equal_the_definition(spark, order, monkeypatch):
+    monkeypatch.setattr(bytelm, "BUCKET_DOCS", 3)
+    texts = ["the cat sat", "the hat, the bat. THE END!", "a cat and a hat 123", "Ünïcödé\0 的", "the cat sat"]
+    docs = [(i, "en", t) for i, t in enumerate(texts)] + [(i, "fr", t) for i, t in enumerate(["a bat sat", "zzz", "", None, "the end " * 50], 10)]
+    df = spark.createDataFrame([*docs, docs[1], (None, "en", "cat")], "doc_id bigint, lang string, text string").repartition(2)
+    trusted = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 99)], "doc_id bigint")
+    got = sorted(((str(r["doc_id"]), r["lang"], r["perplexity"]) for r in bytelm.perplexities(df, trusted, order).collect()), key=str)
+    slow = slow_model([*texts[:4], texts[1]], order)
+    want = sorted(((str(d), lang, slow(t)) for d, lang, t in [*docs, docs[1], (None, "en", "cat")] if t), key=str)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-9)
 
 
-def test_probabilities_equal_the_definition(spark):
-    texts = ["the cat sat", "the hat, the bat. THE END!", "a cat and a hat 123"]
-    model = quality.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), 3)
-    p = slow_model(texts, 3)
-    rng = random.Random(1)
-    some = [tuple(rng.choice([0, 1, 20, 8, 5, 27, 28, rng.randrange(40)]) for _ in range(3)) for _ in range(300)]
-    for gram in some:
-        assert 2 ** model[code(gram)] == pytest.approx(p(gram), rel=1e-4)
-    assert np.allclose((2.0**model).reshape(-1, quality.SYMBOLS).sum(axis=1), 1, atol=1e-4)
+def test_gram_codes_and_blocks(monkeypatch):
+    import zlib
 
+    code, owner = bytelm.gram_codes([b"abc", b"", b"d"], 2)
+    assert code.tolist() == [97, 97 << 8 | 98, 98 << 8 | 99, 100] and owner.tolist() == [0, 0, 0, 2]
+    monkeypatch.setattr(bytelm, "_BLOCK", 4)
+    assert list(bytelm._blocks([zlib.compress(x) for x in (b"abc", b"de", b"f")])) == [(0, [b"abc", b"de"]), (2, [b"f"])]
 
-def test_blocks_do_not_change_codes(monkeypatch):
-    text = "Some téxt, with 12 things \U0001f600 漢字. " * 20
-    whole = np.concatenate(list(quality.ngram_codes(text)))
-    monkeypatch.setattr(quality, "_BLOCK", 7)
-    assert (np.concatenate(list(quality.ngram_codes(text))) == whole).all() and len(whole) == len(text)
+
+def test_tables_grow_with_the_text(spark):
+    docs = spark.createDataFrame([(i, "en", " ".join(f"{random.Random(i).getrandbits(60):x}" for _ in range(1)) * 3) for i in range(300)], "doc_id bigint, lang string, text string")
+    small, all_ = (bytelm.count_grams(*bytelm.bucketed(d, d.select("doc_id"))).filter("c > 0").select("g").distinct().count() for d in (docs.filter("doc_id < 30"), docs))
+    assert all_ > 8 * small
 
 
 def test_junk_goes_and_clean_text_stays(spark):
     rng = random.Random(4)
     clean = lambda: " ".join(rng.choice("the of and there water people little house small words".split()) for _ in range(60)).capitalize() + "."
     junk = lambda: "".join(rng.choice("#$%&*!|ABCXYZ 09") for _ in range(200))
-    rows = [(i, clean() if i % 4 else junk(), "en" if i % 3 else None) for i in range(200)]
-    labels = [(i, int(i % 4 != 0), 0) for i in range(100)]
+    rows = [(i, clean() if i % 4 else junk(), "en" if i % 3 else None) for i in range(1000)]
+    labels = [(i, int(i % 4 != 0), 0) for i in range(500)]
     out = quality.classify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
-    assert len(out) == 200
+    assert len(out) == 1000
     assert not any(r["kept"] for r in out if r["doc_id"] % 4 == 0)
     assert np.mean([r["kept"] for r in out if r["doc_id"] % 4]) > 0.95
 
 
+def test_thresholds_equal_brute_force(spark):
+    """Thresholds are quantiles of held-out trusted documents, by language where there are enough; kept follows from them."""
+    rng = random.Random(9)
+    words = {"en": "the of and with there", "fr": "le la être avec été", "xx": "qq zz"}
+    langs = ["en"] * 250 + ["fr"] * 250 + ["xx"] * 8
+    rows = [(i, " ".join(rng.choice(words[lang].split() + [str(rng.random())]) for _ in range(rng.randint(3, 30))), lang) for i, lang in enumerate(langs)]
+    labels = [(i, int(i % 5 != 0), 0) for i in range(0, len(rows), 2)]
+    out = quality.classify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), 0.9, 15, 3).collect()
+    ids = spark.createDataFrame([(i,) for i in range(len(rows))], "doc_id bigint").select("doc_id", quality.held_out(quality.F.col("doc_id")).alias("held"))
+    held = {r["doc_id"] for r in ids.filter("held").collect()}
+    trusted = {i for i, q, _ in labels if q}
+    slow = slow_model([t for i, t, _ in rows if i in trusted - held], 3)
+    score = {i: slow(t) for i, t, _ in rows}
+    quantile = lambda v: sorted(v)[max(0, math.ceil(0.9 * len(v)) - 1)]
+    of = {lang: [score[i] for i, _, x in rows if x == lang and i in trusted & held] for lang in words}
+    overall = quantile([v for x in of.values() for v in x])
+    assert len(of["en"]) >= 15 and len(of["fr"]) >= 15
+    for r in out:
+        want = quantile(of[r["lang"]]) if len(of[r["lang"]]) >= 15 else overall
+        assert r["perplexity"] == pytest.approx(score[r["doc_id"]], rel=1e-9) and r["threshold"] == pytest.approx(want, rel=1e-9)
+        assert r["kept"] == (r["perplexity"] <= r["threshold"])
+
+
 def test_messy_documents(spark, messy, messy_rows, no_docs):
     labels = spark.createDataFrame([(5, 1, 0), (8, 1, None), (8, 1, 0), (9, 1, 0), (9, 0, 0), (None, 1, 0), (10, None, None)], "doc_id bigint, quality int, toxic int")
     assert sorted(r["doc_id"] for r in quality.trusted_ids(labels).collect()) == [5, 8]
@@ -82,55 +115,15 @@ def test_messy_documents(spark, messy, messy_rows, no_docs):
     assert all(not r["kept"] for r in out if r["doc_id"] in (0, 1))
     unlabelled = quality.classify(messy.select("doc_id", "text", "lang"), labels.limit(0)).collect()
     assert all(r["kept"] == (r["doc_id"] not in (0, 1)) for r in unlabelled) and all(math.isinf(r["threshold"]) for r in unlabelled)
+    assert all(r["perplexity"] is None or r["perplexity"] == pytest.approx(256) for r in unlabelled)
     assert quality.classify(no_docs.select("doc_id", "text", "lang"), labels).collect() == []
 
 
-def test_joined_scores_equal_the_table(spark, messy, messy_rows):
-    texts = spark.createDataFrame([("the cat sat on the mat",), ("The hat! A bat, 12 rats.",)], "text string")
-    docs = messy.filter("doc_id is not null AND doc_id <> 8 AND doc_id not in (5, 6)").select("doc_id", "text")
-    one = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(docs, quality.fit(texts, 3), order=3).collect()}
-    two = {r["doc_id"]: r["perplexity"] for r in quality.perplexities_joined(docs, quality.levels(texts, 3)).collect()}
-    assert one.keys() == two.keys() and all(one[d] == pytest.approx(two[d], rel=1e-4) if one[d] is not None else two[d] is None for d in one)
-
-
-def test_word_model_grows_with_the_text_and_equals_the_definition(spark):
-    """More kinds of words than the symbol model has symbols make as many rows; probabilities are Kneser-Ney's, of the other texts."""
-    from vicinal.llm import wordlm
-
-    many = wordlm.fit(spark.createDataFrame([(" ".join(f"{t}w{i}" for i in range(500)),) for t in range(20)], "text string"))
-    assert many.words.count() == 10_001 and many.bigrams.count() == 20 * 501
-
-    texts = ["the cat sat on the mat", "the hat, the bat", "a cat and the mat"]
-    asked = [("the cat and the hat", None), ("unknown words", None), (" \n", None), *[(t, i) for i, t in enumerate(texts)]]
-    model = wordlm.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2))
-    rows = [(i, own is not None, t) for i, (t, own) in enumerate(asked)]
-    got = {r["key"]: r["perplexity"] for r in wordlm.perplexities(spark.createDataFrame([*rows, rows[0]], "key bigint, own boolean, text string"), model).collect()}
-    cut = lambda t: ["<s>", *t.replace(",", " ,").split(), "</s>"]
-    whole = Counter(p for t in texts for p in zip(cut(t), cut(t)[1:]))
-    ends = Counter(w for _, w in whole)
-    d2, d1 = (wordlm.discounts(Counter(v for v in c.values() if v <= 4)) for c in (whole, ends))
-
-    def p(v, w, pairs):
-        before = Counter(y for _, y in pairs)
-        left = sum(d1[min(c, 3) - 1] for c in before.values()) / sum(before.values())
-        low = ((before[w] - d1[min(before[w], 3) - 1]) / sum(before.values()) if w in before else 0) + left / (len(ends) + 1)
-        own = {y: c for (x, y), c in pairs.items() if x == v}
-        if not own:
-            return low
-        total = sum(own.values())
-        return (own[w] - d2[min(own[w], 3) - 1] if w in own else 0) / total + sum(d2[min(c, 3) - 1] for c in own.values()) / total * low
-
-    for i, (t, own) in enumerate(asked):
-        s = cut(t)
-        pairs = whole if own is None else Counter(p for j, x in enumerate(texts) if j != own for p in zip(cut(x), cut(x)[1:]))
-        assert got[i] == pytest.approx(math.prod(p(v, w, pairs) for v, w in zip(s, s[1:])) ** (-1 / (len(s) - 1)), rel=1e-9)
-
-
 def test_unlabelled_clean_texts_are_judged_as_trusted_ones(spark):
-    """A model that scores the texts it has read would reject clean texts it has not read."""
+    """A model that judged by the texts it has read would reject clean texts it has not read."""
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(3000)]
-    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), "en") for i in range(300)]
-    labels = [(i, 1, 0) for i in range(200)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), "en") for i in range(600)]
+    labels = [(i, 1, 0) for i in range(400)]
     out = quality.classify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
-    assert np.mean([r["kept"] for r in out if r["doc_id"] >= 200]) > 0.9
+    assert np.mean([r["kept"] for r in out if r["doc_id"] >= 400]) > 0.9

@@ -1,207 +1,58 @@
 """Quality classification with interpolated modified Kneser-Ney n-grams of trusted text.
 
-The query scores by word bigrams (``wordlm``). Their counts cover every trusted document - one labelled of good quality and not
-toxic - whatever their number, in tables that grow with the trusted text and stay sharded; each document's distinct bigrams meet
-them in joins. A document is kept if its perplexity is at most its language's threshold: a quantile of the trusted documents' own.
-
-``fit``, ``levels``, ``perplexities`` and ``perplexities_joined`` are a smaller model that the query does not use: over symbols,
-code points folded into ``SYMBOLS`` classes, with n-grams of ``ORDER`` symbols, so that it has at most SYMBOLS ** ORDER rows.
-
-Null or empty texts have no perplexity and are not kept. A null language, or one without trusted documents, is judged by the
-quantile over all trusted documents; without any, everything that has text is kept. Null doc_ids are scored but not trusted.
-Contradicting labels of a document make it untrusted. Repeated rows are returned as often as they come in; an empty table gives
-no rows; extra columns are ignored by the query.
+The model (``bytelm``) learns from trusted documents - labelled of good quality and not toxic - but those of one fold in
+``FOLDS``. A document is kept if its perplexity is at most its language's threshold: the ``QUANTILE`` of the perplexities of the
+trusted documents that were held out. Languages with fewer than ``LEAST_HELD`` of these are judged by the quantile over all
+languages.
+
+Null or empty texts have no perplexity and are not kept; texts of any length are scored whole. A null language is judged by the
+quantile over all; without held-out trusted documents everything that has text is kept. A perplexity of just the threshold is
+kept. Null doc_ids are scored but not trusted. Contradicting labels of a document make it untrusted. Repeated rows are returned
+as often as they come in (and learnt as often); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from vicinal.llm import wordlm
-from vicinal.llm.common import map_slices, durable, join_few, written
-from vicinal.llm.wordlm import discounts
+from vicinal.llm import bytelm
+from vicinal.llm.common import join_few, written
 
-SYMBOLS = 40
-ORDER = 4
 QUANTILE = 0.995
-_BLOCK = 1 << 18
-
-
-def symbol_table() -> np.ndarray:
-    """Class of each code point below 65536: 0 space, 1-26 letters, 27 capital, 28 digit, 29-30 sentence marks, 31-33 other ASCII, 34-39 the rest by hash."""
-    code = np.arange(1 << 16)
-    out = 34 + (code * 40503 >> 4) % 6
-    out[:128] = 31 + code[:128] % 3
-    out[[*range(9, 14), 32, 0xA0]] = 0
-    out[97:123] = np.arange(1, 27)
-    out[65:91] = 27
-    out[48:58] = 28
-    out[[ord("."), ord("!"), ord("?")]] = [29, 31, 32]
-    out[ord(",")] = 30
-    return out.astype(np.uint8)
-
-
-_TABLE = symbol_table()
-
-
-def ngram_codes(text: str, order: int = ORDER) -> Iterator[np.ndarray]:
-    """Codes (base SYMBOLS) of all n-grams of a text that starts after spaces, in blocks."""
-    tail = np.zeros(order - 1, np.int64)
-    for at in range(0, len(text), _BLOCK):
-        points = np.frombuffer(text[at : at + _BLOCK].encode("utf-32-le", "surrogatepass"), "<u4")
-        s = np.concatenate((tail, _TABLE[np.minimum(points, (1 << 16) - 1 - points % 7)]))
-        code = s[order - 1 :].astype(np.int64)
-        for back in range(1, order):
-            code = code + s[order - 1 - back : len(s) - back] * SYMBOLS**back
-        tail = s[len(s) - order + 1 :].astype(np.int64)
-        yield code
-
-
-def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(code, c) over all rows of a one-column table of texts."""
-    schema = T.StructType([T.StructField("code", T.LongType()), T.StructField("c", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**order, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for code in ngram_codes(text or "", order):
-                    seen, c = np.unique(code, return_counts=True)
-                    total[seen] += c
-        seen = np.flatnonzero(total)
-        for at in range(0, len(seen), 10_000):
-            part = seen[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=schema.names)
-
-    return map_slices(texts, run, schema).groupBy("code").agg(F.sum("c").alias("c"))
-
-
-def order_table(counts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """For counts (code, c) of order n: (code, p) discounted probabilities, (context, g) the weight left to the lower order.
-
-    Both sides of the join are sharded by context.
-    """
-    of = {r["c"]: r["n"] for r in counts.filter("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
-    d1, d2, d3 = discounts(of)
-    off = F.when(F.col("c") == 1, F.lit(d1)).when(F.col("c") == 2, F.lit(d2)).otherwise(F.lit(d3))
-    rows = counts.withColumn("context", F.floor(F.col("code") / SYMBOLS).cast("bigint")).withColumn("off", off)
-    contexts = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum("off").alias("freed"))
-    probabilities = rows.join(contexts, "context").select("code", ((F.col("c") - F.col("off")) / F.col("total")).alias("p"))
-    return probabilities, contexts.select("context", (F.col("freed") / F.col("total")).alias("g"))
-
-
-def levels(texts: DataFrame, order: int = ORDER) -> list[tuple[int, DataFrame, DataFrame]]:
-    """(n, probabilities, contexts) of every order from the highest down; empty without trusted text."""
-    counts = durable(count_ngrams(texts, order))
-    if counts.isEmpty():
-        return []
-    out = []
-    for n in range(order, 0, -1):
-        out.append((n, *order_table(counts, n)))
-        if n > 1:  # how many different symbols stand before: continuation counts
-            counts = durable(counts.groupBy((F.col("code") % SYMBOLS ** (n - 1)).alias("code")).agg(F.count("*").alias("c")))
-    return out
-
-
-def fit(texts: DataFrame, order: int = ORDER) -> np.ndarray | None:
-    """log2 P(last symbol | symbols before) of each n-gram code, None without trusted text."""
-    found = levels(texts, order)
-    if not found:
-        return None
-    p = np.full(1, 1.0 / SYMBOLS)
-    for n, probabilities, contexts in reversed(found):
-        own, left = np.zeros(SYMBOLS**n), np.ones(SYMBOLS ** (n - 1))
-        got = probabilities.toArrow()
-        own[got["code"].to_numpy()] = got["p"].to_numpy()
-        got = contexts.toArrow()
-        left[got["context"].to_numpy()] = got["g"].to_numpy()
-        lower = np.full(SYMBOLS, p[0]) if n == 1 else np.tile(p, SYMBOLS)
-        p = own + np.repeat(left, SYMBOLS) * lower
-    return np.log2(p).astype(np.float32)
-
-
-def perplexities_joined(docs: DataFrame, model: list[tuple[int, DataFrame, DataFrame]]) -> DataFrame:
-    """(doc_id, perplexity) by sharded count joins alone: every document's n-gram counts meet the tables of all orders.
-
-    It gives what ``perplexities`` gives, and moves a row for each document and distinct n-gram twice an order; ``perplexities``
-    looks the finished table up instead. Documents are told apart by doc_id, which must not repeat or be null.
-    """
-    order = model[0][0]
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("code", T.LongType()), T.StructField("c", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if text:
-                    seen, c = np.unique(np.concatenate(list(ngram_codes(text, order))), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(seen))), pa.array(seen), pa.array(c)], names=schema.names)
-
-    grams = map_slices(docs.select("doc_id", "text"), run, schema)
-    for n, probabilities, contexts in model:
-        grams = grams.withColumn("code_n", F.col("code") % SYMBOLS**n).withColumn("context_n", F.floor(F.col("code_n") / SYMBOLS).cast("bigint"))
-        grams = grams.join(probabilities.select(F.col("code").alias("code_n"), F.col("p").alias(f"p{n}")), "code_n", "left")
-        grams = grams.join(contexts.select(F.col("context").alias("context_n"), F.col("g").alias(f"g{n}")), "context_n", "left").drop("code_n", "context_n")
-    p = F.lit(1.0 / SYMBOLS)
-    for n in range(1, order + 1):
-        p = F.coalesce(f"p{n}", F.lit(0.0)) + F.coalesce(f"g{n}", F.lit(1.0)) * p
-    sums = grams.groupBy("doc_id").agg(F.sum(F.col("c") * F.log2(p)).alias("bits"), F.sum("c").alias("n"))
-    return docs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", F.pow(F.lit(2.0), -F.col("bits") / F.col("n")).alias("perplexity"))
-
-
-def perplexities(docs: DataFrame, model: np.ndarray | None, text: str = "text", order: int = ORDER) -> DataFrame:
-    """``docs`` without ``text``, plus perplexity (null for empty texts, 1 without a model)."""
-    keep = [c for c in docs.columns if c not in (text, "perplexity")]
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([*frame.schema.fields[: len(keep)], T.StructField("perplexity", T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(text: str | None) -> float | None:
-        if not text:
-            return None
-        if sent.value is None:
-            return 1.0
-        return float(2.0 ** (-sum(float(sent.value[c].sum(dtype=np.float64)) for c in ngram_codes(text, order)) / len(text)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [score(t) for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, pa.float64())], names=schema.names)
-
-    return map_slices(frame, run, schema)
+FOLDS = 5
+LEAST_HELD = 30
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).filter("q >= 1 AND t = 0 AND doc_id IS NOT NULL").select("doc_id")
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+    return good.filter("q >= 1 AND t = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"))
 
 
-def word_perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(doc_id, lang, perplexity) of every row of ``docs`` (null for empty texts, 1 without trusted text)."""
-    # labels grow with the documents: the plan is the same at every size
-    model = wordlm.fit(docs.join(trusted.hint("merge"), "doc_id", "left_semi").select("text"))
-    if model is None:
-        return docs.select("doc_id", "lang", F.when(F.col("text") != "", F.lit(1.0)).alias("perplexity"))
-    marked = docs.join(trusted.withColumn("own", F.lit(True)).hint("merge"), "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
-    keyed = marked.withColumn("key", F.xxhash64("doc_id", "text"))  # repeated rows have one score
-    found = wordlm.perplexities(keyed, model)
-    return docs.withColumn("key", F.xxhash64("doc_id", "text")).select("doc_id", "lang", "key").join(found, "key", "left").select("doc_id", "lang", "perplexity")
+def held_out(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), doc_id), F.lit(FOLDS)) == 0
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def thresholds(scores: DataFrame, quantile: float, least_held: int) -> tuple[DataFrame, float | None]:
+    """((lang, own) of languages with enough held-out ``scores`` (lang, perplexity), the quantile over all)."""
+    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
+    by_lang = scores.filter("lang IS NOT NULL").groupBy("lang").agg(at.alias("own"), F.count("*").alias("n"))
+    return by_lang.filter(F.col("n") >= least_held).select("lang", "own"), scores.agg(at).first()[0]
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least_held: int = LEAST_HELD, order: int = bytelm.ORDER) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) of every row of ``docs`` (doc_id, text, lang)."""
     trusted = trusted_ids(labels)
-    scores = written(word_perplexities(docs.select("doc_id", "lang", "text"), trusted))
-    known = scores.filter("perplexity IS NOT NULL").join(trusted, "doc_id", "left_semi")
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    by_lang = known.filter("lang IS NOT NULL").groupBy("lang").agg(at.alias("own"))
-    overall = known.agg(at).first()[0]
-    joined = join_few(scores, by_lang, ["lang"], "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double"), F.lit(float("inf"))))
-    return joined.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    found = bytelm.perplexities(rows, trusted.filter(~held_out(F.col("doc_id"))), order)
+    empty = rows.filter("coalesce(text, '') = ''").select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"))
+    scores = written(found.unionAll(empty))
+    held = scores.filter("perplexity IS NOT NULL").filter(held_out(F.col("doc_id"))).join(trusted.hint("merge"), "doc_id", "left_semi")
+    by_lang, overall = thresholds(held, quantile, least_held)
+    threshold = F.coalesce("own", F.lit(overall).cast("double"), F.lit(float("inf")))
+    joined = join_few(scores, by_lang, ["lang"], "left").withColumn("threshold", threshold)
+    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
+    return joined.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "lang", "perplexity", "threshold", kept.alias("kept"))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
