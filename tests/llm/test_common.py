@@ -32,3 +32,11 @@ def test_views_and_blocks():
     assert [bytes(raw[a:b]) for a, b in zip(off, off[1:])] == [b"", b"", b"defg"]
     assert list(common.blocks(np.array([0, 3, 3, 100, 101, 104]), 5)) == [(0, 2), (2, 3), (3, 5)]
     assert list(common.blocks(np.array([0]), 5)) == []
+
+
+def test_hot_keys_are_salted_and_nothing_is_lost(spark):
+    rows = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(3000)], "k bigint, v int")
+    table = rows.groupBy("k").count().withColumn("w", common.F.col("k") * 2)
+    got = common.join_hot(rows, table, "k", "count")
+    assert got.columns == ["k", "v", "w"] and got.count() == 3000 and got.filter("w <> 2 * k").count() == 0
+    assert common.join_hot(rows.limit(0), table.limit(0), "k", "count").count() == 0

@@ -6,8 +6,8 @@ is joined: the tables of counts of all orders are sharded by gram, every bucket'
 log probabilities return to the bucket. Nothing of the model comes to the driver or to all tasks but the discounts of each order,
 and no gram is dropped or folded: the tables hold as many rows as there are different grams.
 
-One plan does it all, so that the texts are shuffled once and read twice. A bucket is held by one task as packed texts; documents
-of a doc_id that repeats more than ``HOT_ROWS`` times are spread over buckets.
+One plan does it all, so that the texts are shuffled once and read twice. A bucket is held by one task as packed texts; rows of a
+doc_id that over one row in ``HOT_SHARE`` has are spread over buckets.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import HOT_ROWS, SALTS, durable, join_few, map_slices
+from vicinal.llm.common import HOT_SHARE, SALTS, durable, map_slices
 
 ORDER = 5
 BUCKET_DOCS = 8192
@@ -58,13 +58,15 @@ def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 def bucketed(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts: p, doc_id, lang, z; labels: p, doc_id): the bucket of each text that is not empty and of each trusted doc_id."""
-    buckets = max(1, -(-docs.count() // BUCKET_DOCS))
-    hot = durable(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter(F.col("count") > HOT_ROWS).select("doc_id", F.lit(SALTS).alias("__n")))
+    n = docs.count()
+    buckets = max(1, -(-n // BUCKET_DOCS))
+    often = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter((F.col("count") * HOT_SHARE > n) & (F.col("count") > 1))
+    hot = F.broadcast(durable(often.select("doc_id", F.lit(SALTS).alias("__n"))))  # fewer than HOT_SHARE
     place = lambda own, salt: F.pmod(F.xxhash64(own, salt), F.lit(buckets)).cast("int").alias("p")
     rid = F.monotonically_increasing_id()  # deals out rows of one doc_id or of none, and means nothing else
     salt = F.pmod(F.col("rid"), F.coalesce("__n", F.lit(1)).cast("bigint")).cast("int")
     rows = docs.select("doc_id", "lang", F.col("text").cast("binary").alias("z"), rid.alias("rid")).filter("length(z) > 0")
-    rows = join_few(rows, hot, ["doc_id"], "left").select(place(F.coalesce("doc_id", "rid"), salt), "doc_id", "lang", "z")
+    rows = rows.join(hot, "doc_id", "left").select(place(F.coalesce("doc_id", "rid"), salt), "doc_id", "lang", "z")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +74,7 @@ def bucketed(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], z], names=batch.schema.names)
 
     salts = F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))
-    labels = join_few(trusted, hot, ["doc_id"], "left").withColumn("salt", salts)
+    labels = trusted.join(hot, "doc_id", "left").withColumn("salt", salts)
     return map_slices(rows, pack, rows.schema), labels.select(place(F.col("doc_id"), F.col("salt")), "doc_id")
 
 

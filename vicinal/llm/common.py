@@ -14,13 +14,15 @@ from pyspark.sql import types as T
 
 #: Texts are cut into blocks of about so many bytes before vectorised work, whatever Arrow's batch size.
 BLOCK_BYTES = 4 << 20
+#: Bytes of an Arrow batch, at most, in sessions that do not set their own limit.
+BATCH_BYTES = 8 << 20
 
 #: Rows of a slice of an Arrow batch, at most, where texts are worked on.
 ARROW_ROWS = 2000
 #: Rows of a side that is sent to all tasks, at most, and the salts of the join that serves beyond it.
 SENT_ROWS, SALTS = 50_000, 64
-#: Rows of one key that one task reads, at most, where they can be salted.
-HOT_ROWS = 1000
+#: A key with over one row in so many is hot.
+HOT_SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +45,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def map_slices(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``df.mapInArrow(run, schema)`` with batches cut to ``ARROW_ROWS`` rows and ``BLOCK_BYTES`` bytes, but for single longer rows.
 
-    Spark bounds what it sends at once (maxBytesPerBatch); the slices bound what a worker makes of it. No setting is touched.
+    Spark's maxBytesPerBatch bounds what it sends at once, and the slices what a worker makes of it. Where that setting has the
+    value Spark comes with, it is lowered to ``BATCH_BYTES``: an executor holds each batch twice, in the JVM and in the worker.
     """
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name) in ("67108864b", "67108864", "64MB"):
+        conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(lambda batches: run(slices(batches)), schema)
 
 
@@ -78,15 +84,15 @@ def join_few(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner
 def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
     """``rows`` joined with ``table``, which has one row a key and in ``n`` how many of ``rows`` have it; both are shuffled by key.
 
-    Keys of more than ``HOT_ROWS`` rows are dealt over ``SALTS`` tasks.
+    Keys with over one row in ``HOT_SHARE`` - there are fewer than ``HOT_SHARE`` of them at every size, so they are sent to all
+    tasks - are dealt over ``SALTS`` tasks.
     """
-    hot = durable(table.filter(F.col(n) > HOT_ROWS).select(key, F.lit(SALTS).alias("__n")))
-    if hot.isEmpty():
-        return rows.join(table.drop(n).hint("merge"), key)
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(durable(table.filter(F.col(n) * HOT_SHARE > total).select(key, F.lit(SALTS).alias("__n"))))
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.coalesce("__n", F.lit(1))).cast("int")
-    dealt = join_few(rows, hot, [key], "left").withColumn("__salt", salt).drop("__n")
+    dealt = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__n")
     salts = F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))
-    each = join_few(table.drop(n), hot, [key], "left").withColumn("__salt", salts).drop("__n")
+    each = table.drop(n).join(hot, key, "left").withColumn("__salt", salts).drop("__n")
     return dealt.join(each.hint("merge"), [key, "__salt"]).drop("__salt")
 
 

@@ -34,8 +34,9 @@ from vicinal.llm.simfinger import ascii_words, bit_counts, shingle_hashes, widen
 from vicinal.llm.simhash import meet
 
 WIDTH, LEAST, RECALL = 5, 0.8, 0.98
-#: Bits that only verify, and how many of them may differ: 3.6 standard deviations above the mean at the threshold.
-CHECK_BITS, CHECK_MOST = 128, 34
+#: Bits that only verify, and how many of the first word's and of all may differ: 3.6 standard deviations above the mean at the
+#: threshold.
+CHECK_BITS, WORD_MOST, CHECK_MOST = 128, 20, 34
 SMALL = 16
 _SMALL_TAG = 1 << 62
 
@@ -116,7 +117,7 @@ def _tagged(segment: Column, i: Column) -> Column:
 def _stored(classes: DataFrame, end: str, *more: str) -> DataFrame:
     """key, the class as ``end``, its check bits and ``more``, for each segment and small key."""
     keys = F.concat(F.transform("segs", _tagged), F.col("small"))
-    return classes.select(F.explode(keys).alias("key"), F.col("cls").alias(end), F.col("c1").alias(f"{end}1"), F.col("c2").alias(f"{end}2"), *more)
+    return classes.select(F.explode(keys).alias("key"), F.col("cls").alias(end), F.col("c1").alias(f"{end}1"), *more)
 
 
 def _probes(classes: DataFrame, shape: tuple[int, int, int], *more: str) -> DataFrame:
@@ -133,12 +134,19 @@ def _probes(classes: DataFrame, shape: tuple[int, int, int], *more: str) -> Data
 
     ball = F.transform(F.sequence(F.lit(0), F.lit(segments * 2**unsure - 1)), value)
     keys = F.concat(F.when(F.size("segs") > 0, ball).otherwise(F.array().cast("array<bigint>")), F.col("small"))
-    return classes.select(F.explode(keys).alias("key"), F.col("cls").alias("a"), F.col("c1").alias("a1"), F.col("c2").alias("a2"), *more)
+    return classes.select(F.explode(keys).alias("key"), F.col("cls").alias("a"), F.col("c1").alias("a1"), *more)
 
 
 def _near() -> Column:
-    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    return (differ <= CHECK_MOST) | (F.col("key") >= _SMALL_TAG)
+    return (F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= WORD_MOST) | (F.col("key") >= _SMALL_TAG)
+
+
+def _checked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) that all check bits let pass; small sets pass anyway."""
+    of = lambda end: classes.select(F.col("cls").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("c1", "c2")], (F.size("small") > 0).alias(f"{end}_small"))
+    both = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
+    differ = F.bit_count(F.col("a_c1").bitwiseXOR(F.col("b_c1"))) + F.bit_count(F.col("a_c2").bitwiseXOR(F.col("b_c2")))
+    return both.filter((differ <= CHECK_MOST) | (F.col("a_small") & F.col("b_small"))).select("a", "b")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -186,17 +194,17 @@ def links(classes: DataFrame, texts: DataFrame, shape: tuple[int, int, int], lea
     """(a, b) pairs of classes that connect what all similar pairs that meet connect."""
     named = classes.select("cls", "k.doc_id", "k.th")
     stored = _stored(classes, "a")
-    b = F.min(F.struct(F.col("a").alias("b"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))).alias("hub")
+    b = F.min(F.struct(F.col("a").alias("b"), F.col("a1").alias("b1"))).alias("hub")
     hubs = durable(stored.groupBy("key").agg(b, F.count("*").alias("c")).filter("c > 1").select("key", "c", F.col("c").alias("full"), "hub.*"))
     tried = join_hot(stored, hubs, "key", "c").filter(_near() & F.expr("a <> b")).groupBy("a").agg(F.max_by("b", F.struct("full", "b")).alias("b"))
-    first = similar(durable(tried), named, texts, least)
+    first = similar(durable(_checked(tried, classes)), named, texts, least)
     known = components(first).withColumnRenamed("node", "cls")
-    marked = written(classes.drop("k").join(known.withColumn("grouped", F.lit(True)), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    marked = written(classes.drop("k").join(known.withColumn("grouped", F.lit(True)), "cls", "left"))
     root = F.col("root").alias("ra")
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes many: no few tasks may hold them
     dealt = marked.repartition(tasks, "cls")
     found = meet(_probes(dealt, shape, root), _probes(dealt.filter("grouped"), shape, root), _stored(marked, "b", F.col("root").alias("rb")), _near())
-    return durable(first.unionAll(similar(durable(found), named, texts, least)))
+    return durable(first.unionAll(similar(durable(_checked(found, classes)), named, texts, least)))
 
 
 def near_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:

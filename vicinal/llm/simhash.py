@@ -89,16 +89,17 @@ def plan_segments(n: int) -> tuple[int, ...]:
 def meet(probes: DataFrame, grouped: DataFrame, stored: DataFrame, near: Column) -> DataFrame:
     """(a, b), a < b, that meet under a key, are ``near``, and are not known to be connected.
 
-    ``probes`` has key, a, ra and ``stored`` key, b, rb; ra and rb name what is known to be connected; ``near`` may use further
-    columns of both. ``grouped`` are the probes of what is connected with something. Those of a key's largest group meet the
-    others under it only, so that a large group is never held against itself.
+    ``probes`` has key, a, ra and ``stored`` key, b, rb; ra and rb name what is known to be connected with a and b, null where
+    nothing is; ``near`` may use further columns of both. ``grouped`` are the probes of what is connected with something. Those of
+    a key's largest group meet the others under it only, so that a large group is never held against itself.
     """
-    sizes = stored.groupBy("key", "rb").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("rb", F.struct("n", "rb")).alias("d")).hint("merge")
-    new = probes.join(largest, "key").filter("ra <> d").drop("d").join(stored.hint("merge"), "key")
-    rest = stored.join(largest, "key").filter("rb <> d")
-    own = grouped.join(rest.hint("merge"), "key").filter("ra = d").drop("d")
-    found = new.filter((F.col("ra") != F.col("rb")) & near).select("a", "b").unionByName(own.filter(near).select("a", "b"))
+    ra, rb = F.coalesce("ra", "a"), F.coalesce("rb", "b")
+    sizes = stored.groupBy("key", rb.alias("d")).agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("d", F.struct("n", "d")).alias("d")).hint("merge")
+    new = probes.join(largest, "key").filter(ra != F.col("d")).drop("d").join(stored.hint("merge"), "key")
+    rest = stored.join(largest, "key").filter(rb != F.col("d"))
+    own = grouped.join(rest.hint("merge"), "key").filter(ra == F.col("d")).drop("d")
+    found = new.filter((ra != rb) & near).select("a", "b").unionByName(own.filter(near).select("a", "b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -116,7 +117,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: tuple[int, ...] |
     first = join_hot(stored.select("key", F.col("fp").alias("a")), hubs.filter("c > 1"), "key", "c")
     first = durable(first.filter(near & F.expr("a <> b")).select("a", "b").distinct())
     known = components(first)
-    tagged = durable(fps.join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    tagged = durable(fps.join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "root"))
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes a whole ball: no few tasks may hold them
     p = _probes(tagged.repartition(tasks, "fp"), segments, distance // len(segments), "root").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
     members = known.select(F.col("node").alias("fp"), "root")
