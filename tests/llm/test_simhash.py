@@ -1,5 +1,6 @@
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -42,7 +43,9 @@ def test_groups_equal_brute_force(messy, messy_rows):
     assert len({c for _, _, c in got}) < len(got) - 5  # near copies were found
 
 
-def test_links_of_random_fingerprints(spark):
+@pytest.mark.parametrize("n", [60, 1 << 30])
+def test_links_of_random_fingerprints(spark, n):
+    """Of the plans of small and of large tables."""
     import random
 
     rng = random.Random(1)
@@ -53,7 +56,7 @@ def test_links_of_random_fingerprints(spark):
     fps = sorted(set(fps))
     signed = [f - 2**64 if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f, 1) for f in signed], "fp bigint, n bigint")
-    roots = {r["node"]: r["root"] for r in components(simhash.links(df)).collect()}
+    roots = {r["node"]: r["root"] for r in components(simhash.links(df, segments=simhash.plan_segments(n))).collect()}
     got = [roots.get(f, f) for f in signed]
     want = slow_components(list(zip(signed, fps)))
     assert {frozenset(i for i, g in enumerate(got) if g == x) for x in got} == {frozenset(i for i, g in enumerate(want) if g == x) for x in want}

@@ -128,8 +128,8 @@ def _forest(x: np.ndarray, y: np.ndarray) -> list[int]:
 _CELL = ["key", "dim", "p", "q"]
 
 
-def _each_cell(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
-    """What ``work`` makes of each cell of two rows or more; rows come sorted by cell."""
+def _by_cells(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, list[tuple[int, int]]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What ``work`` makes of runs of whole cells, given where those of two rows or more begin and end; rows come sorted by cell."""
     rest: pa.Table | None = None
     for batch in _with_end(batches):
         table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
@@ -140,10 +140,10 @@ def _each_cell(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.
         starts = np.flatnonzero(np.concatenate(([True], (ids[:, 1:] != ids[:, :-1]).any(axis=0))))
         ends = [*starts[1:].tolist(), table.num_rows]
         last = len(starts) if batch is None else len(starts) - 1  # the last cell may go on in the next batch
-        made = [work(table.slice(s, e - s)) for s, e in zip(starts[:last].tolist(), ends) if e - s > 1]
+        cells = [(s, e) for s, e in zip(starts[:last].tolist(), ends) if e - s > 1]
         rest = table.slice(int(starts[-1])) if batch is not None else None
-        if made := [m for m in made if m is not None and m.num_rows]:
-            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+        if cells:
+            yield from work(table, cells)
 
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -153,24 +153,32 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return (every, every) if p == q else (np.flatnonzero(part == p), np.flatnonzero(part == q))
 
 
-def _maybe(table: pa.Table, bits: int, threshold: float) -> pa.RecordBatch | None:
-    """The rows of a cell that some other's bound lets reach the threshold, by their codes."""
-    dim = table["dim"][0].as_py()
-    codes = unpack(table["code"].to_pylist(), dim, ROTATIONS)
-    told = Told(codes, _turns(dim, bits)[:ROTATIONS], threshold)
-    one, two = _sides(table)
+def _maybe(table: pa.Table, cells: list[tuple[int, int]], bits: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows that some other's bound lets reach the threshold in their cell, by their codes."""
     some = np.zeros(table.num_rows, bool)
-    right = told.take(two)
-    for at in range(0, len(one), 256):
-        rows = one[at : at + 256]
-        guess, bound = estimate(told.take(rows), right, EPS)
-        near = guess >= threshold - bound
-        near &= two[None, :] > rows[:, None] if len(one) == len(two) == table.num_rows else True
-        some[rows[near.any(axis=1)]] = True
-        some[two[near.any(axis=0)]] = True
-    if not some.any():
-        return None
-    return table.select([*_CELL, "part", "cid"]).filter(pa.array(some)).combine_chunks().to_batches()[0]
+    dims, p, q, part = (table[c].to_numpy() for c in ("dim", "p", "q", "part"))
+    for dim in np.unique(dims).tolist():
+        own = np.flatnonzero(dims == dim)
+        place = np.cumsum(dims == dim) - 1
+        codes = unpack(table["code"].take(pa.array(own)).to_pylist(), dim, ROTATIONS)
+        told = Told(codes, _turns(dim, bits)[:ROTATIONS], threshold)
+        for s, e in cells:
+            if dims[s] != dim:
+                continue
+            every = np.arange(s, e)
+            same = p[s] == q[s]
+            one, two = (every, every) if same else (every[part[s:e] == p[s]], every[part[s:e] == q[s]])
+            right = told.take(place[two])
+            for at in range(0, len(one), 256):
+                rows = one[at : at + 256]
+                guess, bound = estimate(told.take(place[rows]), right, EPS)
+                near = guess >= threshold - bound
+                if same:
+                    near &= two[None, :] > rows[:, None]
+                some[rows[near.any(axis=1)]] = True
+                some[two[near.any(axis=0)]] = True
+    if some.any():
+        yield from table.select([*_CELL, "part", "cid"]).filter(pa.array(some)).combine_chunks().to_batches()
 
 
 _FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "n")])
@@ -224,12 +232,18 @@ def link_rows(values: DataFrame, threshold: float = THRESHOLD, recall: float = R
     cells = cells.withColumn("part", F.pmod(F.xxhash64("cid", "key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("key", "dim", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cid", "code")
     bits = width * tables
-    near = cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(lambda batches: _each_cell(batches, lambda table: _maybe(table, bits, threshold)), cells.drop("code").schema)
+    near = cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(lambda batches: _by_cells(batches, lambda table, at: _maybe(table, at, bits, threshold)), cells.drop("code").schema)
     near = written(near)
     discard(codes)
     met = near.join(values.select("cid", "v", "n").hint("merge"), "cid").select(*_CELL, "part", "cid", "v", "n")
     met = met.repartition(*_CELL).sortWithinPartitions(*_CELL)
-    return met.mapInArrow(lambda batches: _each_cell(batches, lambda table: _linked(table, width, tables, threshold)), _FOUND)
+
+    def linked(table: pa.Table, at: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        made = [_linked(table.slice(s, e - s), width, tables, threshold) for s, e in at]
+        if made := [m for m in made if m is not None]:
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+
+    return met.mapInArrow(lambda batches: _by_cells(batches, linked), _FOUND)
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

@@ -1,8 +1,8 @@
 """SimHash near-dedup by multi-index hashing.
 
-A fingerprint's 64 bits are cut into segments. Two fingerprints that differ in at most ``distance`` bits differ in at most
-``distance // segments`` bits of some segment, so each distinct fingerprint enumerates the small Hamming ball around each of its
-segments, fetches the fingerprints stored under those segment values, and verifies the complete distance inside the join.
+A fingerprint's 64 bits are cut into segments, each with a radius. Two fingerprints that differ in at most ``distance`` bits
+differ in no more bits than the radius in some segment, so each distinct fingerprint enumerates the small Hamming ball around each
+of its segments, fetches the fingerprints stored under those segment values, and verifies the complete distance inside the join.
 
 Equal fingerprints collapse to one row first. Large groups of near copies are contracted before the full search: in each bucket
 every fingerprint is tried against the bucket's most frequent one, and the full search then returns only links between
@@ -29,8 +29,10 @@ from vicinal.llm.components import components
 from vicinal.llm.simfinger import fingerprint
 
 DISTANCE = 4
-#: Segments for up to ``MANY`` distinct fingerprints, and beyond.
-SEGMENTS, WIDE_SEGMENTS, MANY = (21, 21, 22), (32, 32), 1 << 25
+Segments = tuple[tuple[int, int], ...]
+#: (bits, radius of the balls) of each segment, for up to ``MANY`` distinct fingerprints and beyond. Radii and segments add up to
+#: more than the distance, so that two fingerprints cannot differ in more bits than the radius in every segment.
+SEGMENTS, WIDE_SEGMENTS, MANY = ((22, 1), (22, 1), (20, 0)), ((34, 2), (30, 1)), 1 << 25
 
 
 def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", out: str = "fp") -> DataFrame:
@@ -48,9 +50,9 @@ def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", out: str =
     return map_slices(frame, run, schema)
 
 
-def _segment(fp: Column, i: int, segments: tuple[int, ...]) -> Column:
+def _segment(fp: Column, i: int, segments: Segments) -> Column:
     """The i-th segment's bits, tagged with i above them."""
-    shift, width = sum(segments[:i]), segments[i]
+    shift, width = sum(w for w, _ in segments[:i]), segments[i][0]
     return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << 40))
 
 
@@ -62,7 +64,7 @@ def _ball(width: int, radius: int) -> list[int]:
     return sorted(masks)
 
 
-def _stored(fps: DataFrame, segments: tuple[int, ...], *more: str) -> DataFrame:
+def _stored(fps: DataFrame, segments: Segments, *more: str) -> DataFrame:
     keys = F.explode(F.array(*[_segment(F.col("fp"), i, segments) for i in range(len(segments))]))
     return fps.select("fp", *more, keys.alias("key"))
 
@@ -71,9 +73,9 @@ def _flip(own: Column):
     return lambda mask: own.bitwiseXOR(mask)
 
 
-def _probes(fps: DataFrame, segments: tuple[int, ...], radius: int, *more: str) -> DataFrame:
+def _probes(fps: DataFrame, segments: Segments, *more: str) -> DataFrame:
     around = []
-    for i, width in enumerate(segments):
+    for i, (width, radius) in enumerate(segments):
         own = _segment(F.col("fp"), i, segments)
         masks = F.array(*[F.lit(m).cast("bigint") for m in _ball(width, radius)])
         around.append(F.transform(masks, _flip(own)))
@@ -81,8 +83,8 @@ def _probes(fps: DataFrame, segments: tuple[int, ...], radius: int, *more: str)
     return fps.select("fp", *more, F.explode(keys).alias("key"))
 
 
-def plan_segments(n: int) -> tuple[int, ...]:
-    """Segments for n distinct fingerprints: buckets of 2**21 values until they hold too many of them, then of 2**32."""
+def plan_segments(n: int) -> Segments:
+    """Segments for n distinct fingerprints: buckets of some 2**22 values until they hold too many of them, then of 2**30 and more."""
     return SEGMENTS if n <= MANY else WIDE_SEGMENTS
 
 
@@ -103,14 +105,14 @@ def meet(probes: DataFrame, grouped: DataFrame, stored: DataFrame, near: Column)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, segments: tuple[int, ...] | None = None) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, segments: Segments | None = None) -> DataFrame:
     """(a, b) pairs of distinct fingerprints of ``fps`` (fp, n) that connect everything that links at ``distance`` bits connect.
 
     ``n`` is how many documents have the fingerprint. Not every link within a component is listed.
     """
     segments = segments or plan_segments(fps.count())
-    if sum(segments) != 64:
-        raise ValueError("segments must hold 64 bits")
+    if sum(w for w, _ in segments) != 64 or sum(r + 1 for _, r in segments) <= distance:
+        raise ValueError("segments must hold 64 bits, and their balls must reach the distance")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     stored = _stored(fps, segments, "n")
     hubs = durable(stored.groupBy("key").agg(F.max_by("fp", F.struct("n", "fp")).alias("b"), F.count("*").alias("c")))
@@ -119,14 +121,14 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: tuple[int, ...] |
     known = components(first)
     tagged = durable(fps.join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "root"))
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes a whole ball: no few tasks may hold them
-    p = _probes(tagged.repartition(tasks, "fp"), segments, distance // len(segments), "root").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
+    p = _probes(tagged.repartition(tasks, "fp"), segments, "root").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
     members = known.select(F.col("node").alias("fp"), "root")
-    g = _probes(members.repartition(tasks, "fp"), segments, distance // len(segments), "root").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
+    g = _probes(members.repartition(tasks, "fp"), segments, "root").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
     s = _stored(tagged, segments, "root").select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
     return durable(first.unionAll(meet(p, g, s, near)))
 
 
-def near_groups(docs: DataFrame, width: int = 4, distance: int = DISTANCE, segments: tuple[int, ...] | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 4, distance: int = DISTANCE, segments: Segments | None = None) -> DataFrame:
     """``docs`` without text, plus fp and component_id: the smallest doc_id reachable over linked fingerprints."""
     marked = durable(fingerprints(docs, width))
     classes = marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
