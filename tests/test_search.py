@@ -144,3 +144,60 @@ def test_recall(spark):
     truth = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 7), (2, 2, 8)], "query_id int, rank int, id int")
     found = spark.createDataFrame([(1, 1, 6), (1, 2, 5), (2, 1, 9), (2, 2, 8)], "query_id int, rank int, id int")
     assert tuple(knn.recall_at_k(found, truth, 2).first()) == (2, 0.75)
+
+
+def test_batch_searches(spark):
+    """Joins over inverted files and graphs against the exact join; null vectors meet nothing."""
+    import numpy as np
+
+    from vicinal.operators import hnsw, ivf
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
+    items = spark.createDataFrame([*rows, (900, None), (901, [1.0, None] * 4)], "id bigint, vector array<double>")
+    asked = spark.createDataFrame([*rows[:40], (950, None)], "query_id bigint, vector array<double>")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["id"]) for r in df.collect())
+    truth = knn.knn_join(asked, items, 5, same_table=True)
+    assert len(key(truth)) == 200
+    fine = items.filter("id < 900")
+    centroids = [rows[i][1] for i in range(6)]
+    indexed = ivf.layout(fine, centroids, "cosine")
+    assert key(ivf.knn_join(indexed, centroids, asked, 5, nprobe=6, same_table=True)) == key(truth)
+    some = ivf.knn_join(indexed, centroids, asked, 5, nprobe=3, same_table=True)
+    assert knn.recall_at_k(some, truth, 5).first()["recall"] > 0.6
+    graphs = hnsw.build(fine, "cosine", shards=2).persist()
+    found = hnsw.knn_join(graphs, asked.filter("vector is not null"), 5, same_table=True)
+    assert knn.recall_at_k(found, truth, 5).first()["recall"] >= 0.9
+    graphs.unpersist()
+
+
+def test_graphs_are_plain_arrays():
+    import numpy as np
+
+    from vicinal.operators.hnsw import Graph
+    from vicinal.schema import HnswConfig
+
+    x = np.random.default_rng(1).normal(size=(60, 4))
+    graph = Graph(x, "euclidean", HnswConfig(), 3)
+    again = Graph.load(graph.dump(), "euclidean", HnswConfig())
+    assert again.layers == graph.layers and again.entry == graph.entry and again.search(x[5], 3, 10) == graph.search(x[5], 3, 10)
+    empty = Graph.load(Graph(x[:0], "euclidean", HnswConfig(), 3).dump(), "euclidean", HnswConfig())
+    assert empty.search(x[0], 3, 10) == []
+
+
+def test_null_vectors_have_no_cluster(spark):
+    from vicinal.operators.lloyd import assign
+
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, None]), (4, [0.0, 2.0])], "id int, vector array<double>").coalesce(1)
+    assert [(r["id"], r["cluster"]) for r in assign(df, [[1.0, 0.0], [0.0, 1.0]], "euclidean").orderBy("id").collect()] == [(1, 0), (2, None), (3, None), (4, 1)]
+
+
+def test_stored_postings_give_the_same_ranking(spark, tmp_path):
+    from vicinal.operators import bm25
+
+    docs = spark.createDataFrame([(1, "the red fox"), (2, "the the dog"), (3, None), (4, ""), (5, "a fox, a dog and a fox")], "id bigint, document string")
+    bm25.write_index(docs, str(tmp_path / "index"))
+    for text in ("fox the", "dog", "none", ""):
+        want = [(r["rank"], r["id"], round(r["score"], 9)) for r in bm25.search(docs, text, 3).filter("score > 0").orderBy("rank").collect()]
+        got = [(r["rank"], r["id"], round(r["score"], 9)) for r in bm25.search_index(spark, str(tmp_path / "index"), text, 3).orderBy("rank").collect()]
+        assert [(a, str(b), c) for a, b, c in got] == [(a, str(b), c) for a, b, c in want]

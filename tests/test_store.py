@@ -144,7 +144,7 @@ def test_rpc(store):
     assert tool("vector_quantize", vector=[1, -1, 0.5], mode="binary")["code_hex"] == "a0" and tool("vector_collection_stats", collection="docs")["count"] == 7
     assert len(tool("vector_list_collections")["collections"]) == 1 and "spark" in tool("vector_diagnostics") and tool("vector_embed_text", text="x", dim=8)["dimension"] == 8
     assert tool("vector_create_collection", name="z", dimension=2)["dimension"] == 2 and len(tool("vector_cluster_analysis", collection="docs", k=2)["clusters"]) == 2
-    assert json.loads(ask("resources/read", uri="vector://collections")["result"]["contents"][0]["text"]) and "docs" in ask("prompts/get", name="cluster_review", arguments={"collection": "docs"})["result"]["messages"][0]["content"]["text"]
+    assert json.loads(ask("resources/read", uri="vector://collections")["result"]["contents"][0]["text"]) and "red foxes" in ask("prompts/get", name="vector_rag_retrieval_prompt", arguments={"query": "red foxes"})["result"]["messages"][0]["content"]["text"]
     codes = [server.handle(x) for x in ("{", "[]", '{"id": 1, "method": "none"}', '{"method": "ping"}')]
     assert [c and c["error"]["code"] for c in codes] == [-32700, -32600, -32601, None]
     assert ask("tools/call", name="nope")["error"]["code"] == -32603

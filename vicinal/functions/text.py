@@ -17,9 +17,8 @@ def tokenize(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def features(text: Column) -> Column:
-    """Structs (t, w): each word, and each 3-gram of words of three characters or more."""
-    words = tokenize(F.trim(text))
+def features(words: Column) -> Column:
+    """Structs (t, w) of an array of words: each word, and each 3-gram of words of three characters or more."""
     grams = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
     tag = lambda a, weight: F.transform(a, lambda t: F.struct(t.alias("t"), F.lit(weight).alias("w")))
     return F.concat(tag(words, WORD_WEIGHT), tag(grams, GRAM_WEIGHT))
@@ -33,9 +32,11 @@ def hash32(token: Column) -> Column:
 def embed(df: DataFrame, text: str, key: str, dimension: int = 64, normalized: bool = True) -> DataFrame:
     """(key, vector): each feature adds its weight, signed by bit 31, at hash modulo ``dimension`` for three salted hashes."""
     dimension = dimension if dimension > 0 else 64
-    rows = df.select(F.col(key).alias("key"), F.explode(features(F.col(text))).alias("f"))
+    words = df.select(F.col(key).alias("key"), F.explode(tokenize(F.trim(F.col(text)))).alias("t"))
+    words = words.groupBy("key", "t").agg(F.count("*").cast("double").alias("n"))  # a word is hashed once a text
+    rows = words.select("key", "n", F.explode(features(F.array("t"))).alias("f"))
     salted = F.array(*[F.struct(hash32(F.concat(F.col("f.t"), F.lit(s))).alias("h"), F.lit(w).alias("m")) for s, w in SALTS])
-    rows = rows.select("key", "f.w", F.explode(salted).alias("s"))
+    rows = rows.select("key", (F.col("n") * F.col("f.w")).alias("w"), F.explode(salted).alias("s"))
     sign = F.when(F.shiftright(F.col("s.h"), 31) % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
     sums = rows.groupBy("key", (F.col("s.h") % dimension).cast("int").alias("i")).agg(F.sum(sign * F.col("w") * F.col("s.m")).alias("x"))
     sparse = sums.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.functions.text import TOKEN, tokenize
@@ -13,6 +14,8 @@ from vicinal.operators.knn import ranked
 
 #: BM25's parameters.
 K1, B = 1.5, 0.75
+#: Folders of a stored index.
+TERM_BUCKETS = 64
 
 
 def query_terms(text: str) -> Counter:
@@ -70,22 +73,50 @@ def _equals(term: str):
     return lambda w: w == F.lit(term)
 
 
-def search_postings(post: DataFrame, lengths: DataFrame, text: str, k: int, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """The same ranking from stored postings and lengths; ``allowed`` (id) are the rows that pass a filter."""
+def stored_postings(docs: DataFrame, id_col: str = "id", text_col: str = "document", tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
+    """(term, id, tf, dl, bucket): postings as they are stored, by ranges of a term's hash, each with its text's length."""
+    rows = indexed(docs, id_col, text_col).select("id", tokenizer(F.col("document")).alias("words"))
+    rows = rows.select("id", F.size("words").cast("bigint").alias("dl"), F.explode("words").alias("term"))
+    return rows.groupBy("term", "id").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl")).withColumn("bucket", term_bucket(F.col("term")))
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "document", tokenizer: Callable[[Column], Column] = tokenize) -> None:
+    """Postings in one folder a bucket, sorted by term, so that a query's terms prune folders and row groups; and one row of totals."""
+    post = stored_postings(docs, id_col, text_col, tokenizer)
+    post.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lengths = doc_lengths(docs, id_col, text_col, tokenizer)
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def search_index(spark: SparkSession, path: str, text: str, k: int | None, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """``search`` over a stored index: only the query's terms are read. ``allowed`` (id) are the rows that pass a filter."""
+    terms = sorted(query_terms(text))
+    buckets = [zlib.crc32(t.encode()) % TERM_BUCKETS for t in terms]
+    post = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(buckets))
+    return search_postings(post, None, text, k, allowed, k1, b, spark.read.parquet(f"{path}/totals"))
+
+
+def search_postings(post: DataFrame, lengths: DataFrame | None, text: str, k: int | None, allowed: DataFrame | None = None, k1: float = K1, b: float = B, totals: DataFrame | None = None) -> DataFrame:
+    """The same ranking from postings and lengths (id, dl), or from postings that hold their dl and one row of totals (n, avgdl); ``allowed`` (id) are the rows that pass a filter. k None: all, without ranks."""
     spark = post.sparkSession
     wanted = query_terms(text)
     if not wanted:
         return spark.createDataFrame([], "rank bigint, id string, score double, distance double")
     hits = post.filter(F.col("term").isin(list(wanted)))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")) if totals is None else totals
     dfs = hits.groupBy("term").agg(F.count("*").alias("df"))
     qtf = F.element_at(F.create_map(*[x for t, c in wanted.items() for x in (F.lit(t), F.lit(c))]), F.col("term"))
     joined = hits.join(F.broadcast(dfs), "term")  # at most one row for each term of the query
     if allowed is not None:
         joined = joined.join(allowed.select("id"), "id", "left_semi")
-    joined = joined.join(lengths, "id").join(F.broadcast(totals))
+    joined = (joined if lengths is None else joined.join(lengths, "id")).join(F.broadcast(totals))  # one row
     raw = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
     below = F.greatest(F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1e-6))), F.lit(1e-6))
     scored = joined.groupBy("id").agg(F.sum(qtf * (idf * (F.col("tf") * (k1 + 1)) / below)).alias("score"))
-    return ranked(scored, k, by="score", ascending=False).select("rank", "id", "score", (1 / (1 + F.col("score"))).alias("distance"))
+    scored = scored.withColumn("distance", 1 / (1 + F.col("score")))
+    return scored if k is None else ranked(scored, k, by="score", ascending=False).select("rank", "id", "score", "distance")

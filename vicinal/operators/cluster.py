@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -12,16 +12,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vicinal.functions.distance import distance
-from vicinal.operators.knn import _distances, _matrix
+from vicinal.operators.blocks import grid
+from vicinal.operators.knn import _distances, _matrix, usable
 from vicinal.operators.lloyd import assign, seed_plus_plus, update
 from vicinal.schema import parse_metric
 
 #: Sample sizes of the report.
 DIAMETER_SAMPLE, SILHOUETTE_SAMPLE, TOP_VALUES = 50, 500, 5
-#: Rows whose distances to all others are summed by block products, at most; beyond it the pairs are joined.
-SENT_ROWS = 20_000
+#: Members of one part of a cluster, about, whose distances to another part are one task's work.
+PART_ROWS = 1024
 FLAT = 1e-12
 
 
@@ -57,67 +59,68 @@ def describe(members: DataFrame, centroids: DataFrame, metric: str, sample: int
 
 
 def diameters(members: DataFrame, metric: str, sample: int | None = DIAMETER_SAMPLE, by: str = "cluster") -> DataFrame:
-    """(by, diameter): the largest distance between two members; 0 for a single one."""
-    rows = members.select(by, "id", "vector")
+    """(by, diameter): the largest distance between two members; 0 for a single one.
+
+    Clusters are split into parts of about ``PART_ROWS`` members, part meets part in a task, and each meeting yields one number.
+    """
+    rows = members.filter(usable(F.col("vector"))).select(by, "id", F.col("vector").cast("array<double>").alias("vector"))
     rows = _sampled(rows, [by], sample) if sample else rows
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.id") < F.col("b.id")))
-    far = pairs.groupBy(F.col(f"a.{by}").alias(by)).agg(F.max(distance(metric, F.col("a.vector"), F.col("b.vector"))).alias("diameter"))
-    return rows.select(by).distinct().join(far, by, "left").select(by, F.coalesce("diameter", F.lit(0.0)).alias("diameter"))
+    parts = rows.groupBy(by).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    cells = rows.join(parts, by).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select(by, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "vector")
+    kind = members.schema[by].dataType
+
+    def widest(cell: pa.Table) -> pa.Table:
+        part, vectors = cell["part"].to_numpy(), cell["vector"].combine_chunks()
+        x = _matrix(vectors, len(vectors[0]))
+        p, q = cell["p"][0].as_py(), cell["q"][0].as_py()
+        one, two = x[part == p], x[part == q]
+        far = max((float(_distances(metric, one[lo : lo + 256], two).max()) for lo in range(0, len(one), 256) if len(two)), default=0.0)
+        return pa.table({by: cell[by].slice(0, 1), "diameter": pa.array([far])})
+
+    far = cells.groupBy(by, "p", "q").applyInArrow(widest, T.StructType([T.StructField(by, kind), T.StructField("diameter", T.DoubleType())]))
+    return far.groupBy(by).agg(F.max("diameter").alias("diameter"))
 
 
 def silhouette(members: DataFrame, metric: str, sample: int | None = SILHOUETTE_SAMPLE, by: str = "cluster") -> DataFrame:
     """One row: silhouette_score over at most ``sample`` rows against all rows; 0 for at most one row or one cluster."""
-    rows = members.select("id", "vector", by)
+    rows = members.filter(usable(F.col("vector"))).select("id", F.col("vector").cast("array<double>").alias("vector"), F.col(by).cast("bigint").alias("c"))
     some = _sampled(rows.withColumn("__all", F.lit(0)), ["__all"], sample).drop("__all") if sample else rows
-    if some.count() <= SENT_ROWS:
-        means = _mean_distances(some, rows, metric, by)
-    else:
-        i = some.select(F.col("id").alias("i"), F.col("vector").alias("vi"), F.col(by).alias("ci"))
-        j = rows.select(F.col("id").alias("j"), F.col("vector").alias("vj"), F.col(by).alias("cj"))
-        means = i.join(j, F.col("i") != F.col("j")).groupBy("i", "ci", "cj").agg(F.avg(distance(metric, F.col("vi"), F.col("vj"))).alias("m"))
+    means = _mean_distances(some, rows, metric)
     ab = means.groupBy("i").agg(F.min(F.when(F.col("ci") == F.col("cj"), F.col("m"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("m"))).alias("b"))
     top = F.greatest("a", "b")
     s = F.when(F.col("a").isNull() | F.col("b").isNull() | (top <= FLAT), 0.0).otherwise((F.col("b") - F.col("a")) / top)
     return ab.agg(F.coalesce(F.avg(s), F.lit(0.0)).alias("silhouette_score"))
 
 
-def _mean_distances(some: DataFrame, rows: DataFrame, metric: str, by: str) -> DataFrame:
-    """(i, ci, cj, m): mean distance of each row of ``some`` to the members of each cluster but itself; tasks return sums."""
-    block = some.select("id", F.col("vector").cast("array<double>").alias("vector"), F.col(by).cast("bigint").alias("c")).toArrow().combine_chunks()
-    if not block.num_rows:
-        return rows.sparkSession.createDataFrame([], "i bigint, ci bigint, cj bigint, m double")
-    sent = rows.sparkSession.sparkContext.broadcast(block)
-    slim = rows.select("id", F.col("vector").cast("array<double>").alias("vector"), F.col(by).cast("bigint").alias("c"))
+def _mean_distances(some: DataFrame, rows: DataFrame, metric: str) -> DataFrame:
+    """(i, ci, cj, m): mean distance of each row of ``some`` to the members of each cluster but itself; blocks meet blocks and return sums."""
+    a, b = grid(some, rows, "id", "id")
     kind = rows.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = sent.value["id"].to_pylist()
-        first = sent.value["vector"].chunk(0)
-        q, own = _matrix(first, len(first[0])), sent.value["c"].to_numpy()
-        place = {x: n for n, x in enumerate(ids)}
-        for batch in batches:
-            if not len(batch):
-                continue
-            c = batch.column(2).to_numpy()
-            clusters, at = np.unique(c, return_inverse=True)
-            member = np.eye(len(clusters))[at]
-            self_at = [(place[x], n) for n, x in enumerate(batch.column(0).to_pylist()) if x in place]
-            count = np.repeat(member.sum(axis=0)[None], len(q), axis=0)
-            total = np.empty_like(count)
-            x = _matrix(batch.column(1), q.shape[1])
-            for lo in range(0, len(q), 512):
-                d = _distances(metric, q[lo : lo + 512], x)
-                for i, n in self_at:
-                    if lo <= i < lo + len(d):
-                        d[i - lo, n] = 0.0
-                total[lo : lo + 512] = d @ member
-            for i, n in self_at:
-                count[i, at[n]] -= 1
-            k = len(clusters)
-            yield pa.RecordBatch.from_arrays([pa.array([v for v in ids for _ in range(k)], sent.value.schema.field("id").type), pa.array(np.repeat(own, k)), pa.array(np.tile(clusters, len(q))), pa.array(total.reshape(-1)), pa.array(count.reshape(-1))], names=["i", "ci", "cj", "s", "n"])
-
-    sums = slim.mapInArrow(run, f"i {kind}, ci bigint, cj bigint, s double, n double")
+    def run(asked: pa.Table, members: pa.Table) -> pa.Table:
+        if not asked.num_rows or not members.num_rows:
+            return pa.table({"i": asked["id"].slice(0, 0), "ci": pa.array([], pa.int64()), "cj": pa.array([], pa.int64()), "s": pa.array([], pa.float64()), "n": pa.array([], pa.float64())})
+        ids, first = asked["id"].to_pylist(), asked["vector"].combine_chunks()
+        q, own = _matrix(first, len(first[0])), asked["c"].to_numpy()
+        x, place = _matrix(members["vector"].combine_chunks(), q.shape[1]), {v: n for n, v in enumerate(ids)}
+        clusters, at = np.unique(members["c"].to_numpy(), return_inverse=True)
+        member = np.eye(len(clusters))[at]
+        count = np.repeat(member.sum(axis=0)[None], len(q), axis=0)
+        total = np.empty_like(count)
+        selves = [(place[v], n) for n, v in enumerate(members["id"].to_pylist()) if v in place]
+        for lo in range(0, len(q), 256):
+            d = _distances(metric, q[lo : lo + 256], x)
+            for i, n in selves:
+                if lo <= i < lo + len(d):
+                    d[i - lo, n] = 0.0
+            total[lo : lo + 256] = d @ member
+        for i, n in selves:
+            count[i, at[n]] -= 1
+        k = len(clusters)
+        return pa.table({"i": pa.array([v for v in ids for _ in range(k)], asked["id"].type), "ci": np.repeat(own, k), "cj": np.tile(clusters, len(q)), "s": total.reshape(-1), "n": count.reshape(-1)})
+
+    sums = a.groupBy("qb", "ib").cogroup(b.groupBy("qb", "ib")).applyInArrow(run, f"i {kind}, ci bigint, cj bigint, s double, n double")
     return sums.groupBy("i", "ci", "cj").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).filter("n > 0").select("i", "ci", "cj", (F.col("s") / F.col("n")).alias("m"))
 
 

@@ -8,16 +8,18 @@ by an anti-join on results until the next build.
 from __future__ import annotations
 
 import heapq
+import io
 import math
-import pickle
 import random
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vicinal.operators.blocks import QUERY_ROWS
 from vicinal.operators.knn import _distances, ranked, top_k
 from vicinal.functions.distance import score
 from vicinal.schema import HnswConfig
@@ -122,13 +124,36 @@ class Graph:
             at = self.beam(q, at, 1, layer)
         return self.beam(q, at, max(k, ef), 0)
 
+    def dump(self) -> bytes:
+        """Vectors, layers and entry as plain arrays."""
+        arrays = {"vectors": self.vectors, "head": np.array([self.entry, len(self.layers)])}
+        for i, layer in enumerate(self.layers):
+            arrays[f"nodes{i}"] = np.array(list(layer), np.int32)
+            arrays[f"sizes{i}"] = np.array([len(v) for v in layer.values()], np.int32)
+            arrays[f"links{i}"] = np.array([n for v in layer.values() for n in v], np.int32)
+        out = io.BytesIO()
+        np.savez(out, **arrays)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, raw: bytes, metric: str, config: HnswConfig) -> Graph:
+        """What ``dump`` has written; nothing in it is run."""
+        graph = cls(np.empty((0, 0)), metric, config, config.seed)
+        with np.load(io.BytesIO(raw), allow_pickle=False) as arrays:
+            graph.vectors = arrays["vectors"]
+            graph.entry, layers = (int(x) for x in arrays["head"])
+            for i in range(layers):
+                cuts = np.cumsum(arrays[f"sizes{i}"])[:-1]
+                graph.layers.append({int(n): part.tolist() for n, part in zip(arrays[f"nodes{i}"], np.split(arrays[f"links{i}"], cuts))})
+        return graph
+
     def links(self) -> list[tuple[int, int, int]]:
         """(layer, nodes, links)."""
         return [(i, len(nodes), sum(map(len, nodes.values()))) for i, nodes in enumerate(self.layers)]
 
 
 def build(items: DataFrame, metric: str = "cosine", config: HnswConfig = HnswConfig(), shards: int | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """The graph table: shard, n, graph (a pickled Graph), ids, and stats (layer, nodes, links)."""
+    """The graph table: shard, n, graph (a ``Graph`` as arrays), ids, and stats (layer, nodes, links)."""
     slim = items.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     n = slim.count()
     tasks = slim.sparkSession.sparkContext.defaultParallelism
@@ -140,31 +165,47 @@ def build(items: DataFrame, metric: str = "cosine", config: HnswConfig = HnswCon
         pdf = pdf.sort_values("id", kind="stable")
         shard = int(pdf["shard"].iloc[0])
         graph = Graph(np.stack(pdf["vector"].to_list()).astype(float), metric, config, config.seed + shard)
-        return pd.DataFrame({"shard": [shard], "n": [len(pdf)], "graph": [pickle.dumps(graph)], "ids": [pdf["id"].tolist()], "stats": [[{"layer": a, "nodes": b, "links": c} for a, b, c in graph.links()]]})
+        return pd.DataFrame({"shard": [shard], "n": [len(pdf)], "graph": [graph.dump()], "ids": [pdf["id"].tolist()], "stats": [[{"layer": a, "nodes": b, "links": c} for a, b, c in graph.links()]]})
 
     # a fixed number of partitions: small as they are, shards are not to be built one after another in one task
     return sharded.repartition(2 * count, "shard").groupBy("shard").applyInPandas(make, f"shard int, n bigint, graph binary, ids array<{kind}>, stats array<struct<layer int, nodes bigint, links bigint>>")
 
 
-def candidates(graphs: DataFrame, queries: Sequence[Sequence[float]], k: int, ef: int) -> DataFrame:
-    """(q, id, distance): beam results of every query in every shard. ``q`` is the query's place."""
-    kind = graphs.schema["ids"].dataType.elementType.simpleString()
-    block = np.array(queries, float)
+def candidates(graphs: DataFrame, queries: DataFrame, k: int, ef: int, metric: str = "cosine", config: HnswConfig = HnswConfig()) -> DataFrame:
+    """(query_id, id, distance): beam results of every query (query_id, vector) in every shard of a stored graph table. Blocks of queries meet shards in tasks."""
+    kind, own = graphs.schema["ids"].dataType.elementType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    blocks = max(1, math.ceil(queries.count() / QUERY_ROWS))
+    shards = graphs.select("shard", "graph", "ids").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"))
+    last = graphs.agg(F.max("shard")).first()[0] or 0
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))  # every block goes to every shard
+
+    def run(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        for raw, ids in zip(shard["graph"].to_pylist(), shard["ids"].to_pylist()):
+            graph = Graph.load(raw, metric, config)
+            for q, v in zip(asked["query_id"].to_pylist(), asked["vector"].to_pylist()):
+                rows += [(q, ids[n], d) for d, n in graph.search(np.array(v, float), k, ef)]
+        columns = list(zip(*rows)) or [[], [], []]
+        return pa.table({"query_id": pa.array(columns[0], asked["query_id"].type), "id": pa.array(columns[1], shard["ids"].type.value_type), "distance": pa.array(columns[2], pa.float64())})
+
+    return asked.groupBy("qb", "shard").cogroup(shards.groupBy("qb", "shard")).applyInArrow(run, f"query_id {own}, id {kind}, distance double")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for blob, ids in zip(pdf["graph"], pdf["ids"]):
-                graph = pickle.loads(blob)  # written by ``build``
-                rows = [(i, ids[n], d) for i, q in enumerate(block) for d, n in graph.search(q, k, ef)]
-                yield pd.DataFrame(rows, columns=["q", "id", "distance"])
 
-    return graphs.select("graph", "ids").mapInPandas(run, f"q bigint, id {kind}, distance double")
+def knn_join(graphs: DataFrame, queries: DataFrame, k: int, ef: int | None = None, metric: str = "cosine", config: HnswConfig = HnswConfig(), same_table: bool = False) -> DataFrame:
+    """query_id, rank, id, distance of the k nearest that the graphs find for each query; ``same_table`` leaves out the query's own id."""
+    found = candidates(graphs, queries, k + same_table, max(k + same_table, ef or config.ef_search), metric, config)
+    if same_table:
+        found = found.filter("query_id <> id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
 def search(graphs: DataFrame, items: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", where: Column | None = None, ef_search: int | None = None, config: HnswConfig = HnswConfig(), id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """rank, id, distance, score. Filters apply to what the beams found; if fewer than k are left, the filtered table is searched exactly."""
     ef = max(k, ef_search or config.ef_search)
-    found = candidates(graphs, [query], k, ef).select("id", "distance")
+    asked = items.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, vector array<double>")
+    found = candidates(graphs, asked, k, ef, metric, config).select("id", "distance")
     allowed = items.filter(where) if where is not None else items
     found = found.join(allowed.select(F.col(id_col).alias("id")), "id", "left_semi")
     if where is not None and found.limit(k).count() < k:

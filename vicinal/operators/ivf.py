@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vicinal.operators.knn import _distances, top_k
+from vicinal.operators.knn import _distances, _matrix, _nearest, top_k, usable
 from vicinal.operators.lloyd import assign, seed_plus_plus, update
 from vicinal.schema import IvfConfig
 
 #: Rows that centroids are trained on, at most; all rows are indexed.
 TRAIN_ROWS = 200_000
+#: Items of one part of a list, about, that one task holds against its queries.
+PART_ROWS = 16_384
 
 
 def train(items: DataFrame, metric: str, config: IvfConfig = IvfConfig(), start: Sequence[Sequence[float]] | None = None, vector: str = "vector", order: str = "id") -> list[list[float]]:
@@ -66,6 +71,33 @@ def search(indexed: DataFrame, centroids: Sequence[Sequence[float]], query: Sequ
     return top_k(near, query, k, metric, where, id_col, vector_col, include_vector)
 
 
+def knn_join(indexed: DataFrame, centroids: Sequence[Sequence[float]], queries: DataFrame, k: int, metric: str = "cosine", nprobe: int = 4, same_table: bool = False) -> DataFrame:
+    """query_id, rank, id, distance of each query's k nearest items in its ``nprobe`` nearest lists; queries: query_id, vector.
+
+    Queries are dealt to their lists, lists are split into parts of about ``PART_ROWS`` items, and each part's queries meet it in
+    a task. The centroids (a bounded list) are in the tasks' closures.
+    """
+    c, probed = np.array(centroids, float), min(nprobe, len(centroids))
+    asked = queries.select(F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("v")).filter(usable(F.col("v")))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = np.round(_distances(metric, _matrix(batch.column(1), c.shape[1]), c), 12)
+            lists = np.argsort(d, axis=1, kind="stable")[:, :probed].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(lists), pa.list_(pa.int32()))], names=["id", "v", "lists"])
+
+    asked = asked.mapInArrow(near, T.StructType([*asked.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType()))]))
+    parts = F.broadcast(list_sizes(indexed).select(F.col("centroid_id").cast("int").alias("list"), F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")))
+    asked = asked.select("id", "v", F.explode("lists").alias("list")).join(parts, "list")
+    asked = asked.select("id", "v", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    known = indexed.select("id", F.col("vector").cast("array<double>").alias("v"), F.col("centroid_id").cast("int").alias("list")).join(parts, "list")
+    known = known.select("id", "v", "list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", indexed.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    found = asked.groupBy("list", "part").cogroup(known.groupBy("list", "part")).applyInArrow(_nearest(k, metric, same_table), schema)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
 def list_sizes(indexed: DataFrame) -> DataFrame:
     return indexed.groupBy("centroid_id").agg(F.count("*").alias("n"))
 

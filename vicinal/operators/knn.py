@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinal.functions.distance import distance, score
+from vicinal.operators.blocks import grid
 from vicinal.schema import METRICS, parse_metric
 
-#: Queries that are sent to all tasks at once; larger sets are worked off in groups of this many.
-QUERY_BLOCK = 4096
-
-
 def check_dimension(query: Sequence[float], dimension: int) -> None:
     if len(query) != dimension:
         raise ValueError(f"query has {len(query)} dimensions, the collection {dimension}")
@@ -69,60 +66,53 @@ def _distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
+    """(rows, dimension); the column has no nulls."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector can be compared: not null, nor any of its components."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull()), F.lit(False))
+
+
 def knn_join(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "vector", same_table: bool = False) -> DataFrame:
     """query_id, rank, id, distance of each query's k nearest items (ties by id); ``same_table`` leaves out the query's own id.
 
-    Queries go to the tasks in groups of ``QUERY_BLOCK`` rows; each task multiplies them with its items block by block and keeps
-    k candidates a query, which are merged by a group-limited window. Work is queries x items by nature; rows moved are
-    queries x k x tasks. Sets of many queries are better served by ``ivf``.
+    Blocks of queries meet blocks of items in tasks, each of which keeps k candidates a query; a group-limited window merges
+    them. Work is queries x items by nature; nothing is collected. Null vectors and vectors with null components meet nothing.
     """
     metric = parse_metric(metric)
-    id_type = items.schema[id_col].dataType
-    rows = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).toArrow()
-    schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("id", id_type), T.StructField("distance", T.DoubleType())])
-    slim = items.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    parts = []
-    for at in range(0, max(rows.num_rows, 1), QUERY_BLOCK):
-        block = rows.slice(at, QUERY_BLOCK).combine_chunks()
-        sent = items.sparkSession.sparkContext.broadcast(block)
-        parts.append(slim.mapInArrow(_nearest(sent, k, metric, same_table), schema))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionAll(more)
+    schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("id", items.schema[id_col].dataType), T.StructField("distance", T.DoubleType())])
+    slim = lambda df, key, v: df.select(F.col(key).alias("id"), F.col(v).cast("array<double>").alias("v")).filter(usable(F.col("v")))
+    asked, known = grid(slim(queries, query_id, query_vector), slim(items, id_col, vector_col), "id", "id")
+    found = asked.groupBy("qb", "ib").cogroup(known.groupBy("qb", "ib")).applyInArrow(_nearest(k, metric, same_table), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def _nearest(sent, k: int, metric: str, same_table: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
-        if not block.num_rows or k <= 0:
-            return
-        ids = block["q"].to_pylist()
-        first = block["v"].combine_chunks() if isinstance(block["v"], pa.ChunkedArray) else block["v"]
-        first = first.chunk(0) if isinstance(first, pa.ChunkedArray) else first
+def _nearest(k: int, metric: str, same_table: bool):
+    def run(queries: pa.Table, items: pa.Table) -> pa.Table:
+        """A cell's k candidates of each query."""
+        empty = pa.table({"query_id": queries["id"].slice(0, 0), "id": items["id"].slice(0, 0), "distance": pa.array([], pa.float64())})
+        if not queries.num_rows or not items.num_rows or k <= 0:
+            return empty
+        asked, first = queries["id"].to_pylist(), queries["v"].combine_chunks()
         dimension = len(first[0])
-        q = _matrix(first, dimension)
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch.column(1), dimension)
-            own = np.array(batch.column(0).to_pylist(), dtype=object)
-            order = np.argsort(own, kind="stable")
-            x, own = x[order], own[order]
-            keep = min(len(own), k + same_table)
-            for lo in range(0, len(q), 256):
-                d = _distances(metric, q[lo : lo + 256], x)
-                near = np.argsort(d, axis=1, kind="stable")[:, :keep]
-                who = np.repeat(np.arange(lo, lo + len(d)), keep)
-                at = near.reshape(-1)
-                if same_table:
-                    other = np.array([ids[w] != own[a] for w, a in zip(who, at)])
-                    who, at = who[other], at[other]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[w] for w in who], block.schema.field("q").type), pa.array(own[at].tolist(), batch.column(0).type), pa.array(d[who - lo, at])], names=["query_id", "id", "distance"])
+        q, x = _matrix(first, dimension), _matrix(items["v"].combine_chunks(), dimension)
+        own = np.array(items["id"].to_pylist(), dtype=object)
+        order = np.argsort(own, kind="stable")
+        x, own = x[order], own[order]
+        keep = min(len(own), k + same_table)
+        parts = [empty]
+        for lo in range(0, len(q), 256):
+            d = _distances(metric, q[lo : lo + 256], x)
+            near = np.argsort(d, axis=1, kind="stable")[:, :keep]
+            who, at = np.repeat(np.arange(lo, lo + len(d)), keep), near.reshape(-1)
+            if same_table:
+                other = np.array([asked[w] != own[a] for w, a in zip(who, at)])
+                who, at = who[other], at[other]
+            parts.append(pa.table({"query_id": pa.array([asked[w] for w in who], queries["id"].type), "id": pa.array(own[at].tolist(), items["id"].type), "distance": pa.array(d[who - lo, at])}))
+        return pa.concat_tables(parts)
 
     return run
 
@@ -135,11 +125,12 @@ def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, metric: str = "euclidean") -> DataFrame:
-    """Pairs (left_id, right_id, distance) of ``id``, ``vector`` tables within ``radius``; the right side is sent if it is small, as Spark decides."""
+    """Pairs (left_id, right_id, distance) of ``id``, ``vector`` tables within ``radius``, blocks of one side meeting blocks of the other."""
     a = left.select(F.col("id").alias("left_id"), F.col("vector").alias("a"))
     b = right.select(F.col("id").alias("right_id"), F.col("vector").alias("b"))
+    a, b = grid(a, b, "left_id", "right_id")
     d = distance(metric, F.col("a"), F.col("b"))
-    return a.join(b, d <= radius).select("left_id", "right_id", d.alias("distance"))
+    return a.join(b, ["qb", "ib"]).filter(d <= radius).select("left_id", "right_id", d.alias("distance"))
 
 
-__all__ = ["METRICS", "check_dimension", "knn_join", "radius_join", "ranked", "recall_at_k", "top_k"]
+__all__ = ["METRICS", "check_dimension", "knn_join", "radius_join", "ranked", "recall_at_k", "top_k", "usable"]

@@ -24,7 +24,10 @@ def nearest(metric: str, v: Column, centroids: Centroids) -> Column:
 
 
 def assign(items: DataFrame, centroids: Centroids, metric: str, vector: str = "vector") -> DataFrame:
-    """``items`` plus cluster and cluster_distance, by block matrix products; the centroids (a bounded list) are sent to all tasks."""
+    """``items`` plus cluster and cluster_distance, by block matrix products; the centroids (a bounded list) are sent to all tasks.
+
+    Rows whose vector is null or holds a null get neither.
+    """
     schema = T.StructType([*items.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("cluster_distance", T.DoubleType())])
     sent = items.sparkSession.sparkContext.broadcast(np.array(centroids, float))
     at = items.columns.index(vector)
@@ -34,9 +37,12 @@ def assign(items: DataFrame, centroids: Centroids, metric: str, vector: str = "v
         for batch in batches:
             if not len(batch):
                 continue
-            d = np.round(_distances(metric, _matrix(batch.column(at), c.shape[1]), c), 12)
-            best = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(d[np.arange(len(d)), best])], names=schema.names)
+            vectors = batch.column(at)
+            fine = np.array([v.is_valid and not v.values.null_count for v in vectors]) if vectors.null_count or vectors.flatten().null_count else np.ones(len(batch), bool)
+            d = np.round(_distances(metric, _matrix(vectors.filter(pa.array(fine)), c.shape[1]), c), 12)
+            cluster, far = np.zeros(len(batch), np.int32), np.zeros(len(batch))
+            cluster[fine], far[fine] = d.argmin(axis=1), d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster, mask=~fine), pa.array(far, mask=~fine)], names=schema.names)
 
     return items.mapInArrow(run, schema)
 
@@ -47,9 +53,9 @@ def update(assigned: DataFrame, metric: str, vector: str = "vector", by: str = "
     return means.withColumn("centroid", normalize(F.col("centroid"))) if metric == "cosine" else means
 
 
-def pick(items: DataFrame, vector: str, place: int, order: str) -> list[float]:
-    """The vector at a place of the table's order."""
-    row = items.orderBy(order).select(vec(F.col(vector))).offset(place).limit(1).first()
+def pick(items: DataFrame, vector: str, draw: int, order: str) -> list[float]:
+    """The vector of the row whose id and ``draw`` have the least hash: a draw at random in one pass."""
+    row = items.orderBy(F.xxhash64(F.lit(draw), F.col(order).cast("string")), order).select(vec(F.col(vector))).first()
     return [float(x) for x in row[0]]
 
 

@@ -87,7 +87,7 @@ def jsonl_roundtrip(spark, sf_dir):
     return _shown(jsonl.read_jsonl(spark, path))
 
 
-@query("vdb_roundtrip")
+@query("vdb_roundtrip", f"WITH {ITEMS} SELECT id::VARCHAR AS id, label, round(list_sum([x::FLOAT::DOUBLE for x in vector]), 4) AS total, 'item ' || id AS document FROM items")
 def vdb_roundtrip(spark, sf_dir):
     """Through binary files, one per task; vectors come back in single precision."""
     vdb.register(spark)

@@ -8,6 +8,7 @@ from vicinal.functions.distance import set_jaccard
 from vicinal.functions.filters import column_resolver, compile_filter
 from vicinal.functions.text import embed, tokenize
 from vicinal.operators import bm25, fusion
+from vicinal.operators.blocks import grid
 from vicinal.plans.registry import query
 from vicinal.plans.views import ITEMS, META, PAIRED, distance, documents, joined, joined_sql, rounded, score, table, text_items
 
@@ -115,7 +116,7 @@ def bm25_from_postings(spark, sf_dir):
     post, lengths = bm25.postings(docs, "doc_id", "text"), bm25.doc_lengths(docs, "doc_id", "text")
     from vicinal.operators.knn import ranked
 
-    every = bm25.search_postings(post, lengths, TEXT, 1 << 30).withColumn("r", F.round("score", 9)).drop("rank")
+    every = bm25.search_postings(post, lengths, TEXT, None).withColumn("r", F.round("score", 9))
     return rounded(ranked(every, K, by="r", ascending=False).select("rank", "id", "score"), "score")
 
 
@@ -164,24 +165,30 @@ def hybrid_rrf_filtered(spark, sf_dir):
     return _hybrid(spark, sf_dir, "rrf", {"lang": "en"})
 
 
-@query("set_jaccard", "WITH w AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS words FROM benchmark) SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.words, b.words))::DOUBLE / len(list_distinct(list_concat(a.words, b.words))), 6) AS jaccard FROM w a JOIN w b ON a.id < b.id")
+_WORD_SETS = "w AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS words FROM documents)"
+
+
+@query("set_jaccard", f"""WITH {_WORD_SETS}, p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.words, b.words)) AS common, len(a.words) + len(b.words) AS both FROM w a JOIN w b ON a.id % 50 = 0 AND a.id <> b.id)
+SELECT a, b, round(CASE WHEN both = 0 THEN 1 ELSE common::DOUBLE / (both - common) END, 6) AS jaccard FROM p""")
 def set_jaccard_query(spark, sf_dir):
-    """Word sets of the benchmark items (a table of fixed size), pair by pair."""
-    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_distinct(tokenize(F.col("text"))).alias("words"))
-    a, b = words.alias("a"), words.alias("b")
-    pairs = a.join(b, F.col("a.id") < F.col("b.id"))
-    return rounded(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), set_jaccard(F.col("a.words"), F.col("b.words")).alias("jaccard")), "jaccard")
+    """Word sets of every document whose id is a multiple of 50 against those of all documents, blocks meeting blocks."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("b"), F.array_distinct(tokenize(F.col("text"))).alias("wb"))
+    asked, known = grid(words.filter("b % 50 = 0").select(F.col("b").alias("a"), F.col("wb").alias("wa")), words, "a", "b")
+    pairs = asked.join(known, ["qb", "ib"]).filter("a <> b")
+    return rounded(pairs.select("a", "b", set_jaccard(F.col("wa"), F.col("wb")).alias("jaccard")), "jaccard")
 
 
-_EMBED = f"""WITH w AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(trim(text)), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM benchmark),
-f AS (SELECT id, t, 1.0::DOUBLE AS w FROM w UNION ALL SELECT id, substr(t, i::INT, 3), 0.4::DOUBLE FROM w, range(1, 40) r(i) WHERE length(t) >= 3 AND i <= length(t) - 2),
+_EMBED = f"""WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(trim(text)), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM documents),
+c AS (SELECT id, t, count(*)::DOUBLE AS n FROM w GROUP BY id, t),
+f AS (SELECT id, t, n AS w FROM c UNION ALL SELECT id, substr(t, i::INT, 3), n * 0.4::DOUBLE FROM (SELECT id, t, n, unnest(range(1, length(t) - 1)) AS i FROM c WHERE length(t) >= 3)),
 s(salt, m) AS (VALUES ('', 1.2::DOUBLE), ('_salt1', 0.8::DOUBLE), ('_salt2', 0.5::DOUBLE)),
 h AS (SELECT id, w * m AS w, ('0x' || substr(md5(t || salt), 1, 8))::UBIGINT AS h FROM f, s),
 g AS (SELECT id, (h % 64)::INT AS i, sum(CASE WHEN h >= 2147483648 THEN -w ELSE w END) AS x FROM h GROUP BY ALL),
-d AS (SELECT b.item_id AS id, list(coalesce(g.x, 0) ORDER BY r.i) AS v FROM benchmark b CROSS JOIN range(0, 64) r(i) LEFT JOIN g ON g.id = b.item_id AND g.i = r.i GROUP BY b.item_id)
+d AS (SELECT b.doc_id AS id, list(coalesce(g.x, 0) ORDER BY r.i) AS v FROM documents b CROSS JOIN range(0, 64) r(i) LEFT JOIN g ON g.id = b.doc_id AND g.i = r.i GROUP BY b.doc_id)
 SELECT id, {joined_sql('CASE WHEN ' + 'list_inner_product(v, v)' + ' > 0 THEN [x / sqrt(list_inner_product(v, v)) for x in v] ELSE v END')} AS vector FROM d"""
 
 
 @query("embed_text", _EMBED)
 def embed_text(spark, sf_dir):
-    return embed(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), "text", "id").select("id", joined(F.col("vector")).alias("vector"))
+    """Every document's whole text."""
+    return embed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "text", "id").select("id", joined(F.col("vector")).alias("vector"))

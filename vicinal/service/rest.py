@@ -18,7 +18,8 @@ def local_origin(origin: str | None) -> bool:
     if not origin:
         return True
     try:
-        return urlsplit(origin).hostname in LOCAL
+        found = urlsplit(origin)
+        return found.scheme in ("http", "https") and found.hostname in LOCAL
     except ValueError:
         return False
 

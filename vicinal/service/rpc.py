@@ -7,7 +7,7 @@ from collections.abc import Callable
 from typing import Any, TextIO
 
 from vicinal.functions.text import embed_text
-from vicinal.service.api import Store, diagnostics, quantize
+from vicinal.service.api import Store, benchmark, diagnostics, quantize
 
 #: Protocol version and error codes of JSON-RPC, and the names by which agents call the tools.
 PROTOCOL = "2024-11-05"
@@ -29,9 +29,10 @@ TOOLS: dict[str, tuple[str, dict, dict]] = {
     "vector_cluster_analysis": ("Clusters of a collection.", {"collection": _STR}, {"k": _INT, "method": _STR, "filter": _OBJ, "max_iter": _INT, "seed": _INT}),
 }
 METRICS_GUIDE = "cosine: angle; euclidean: length of the difference; dot_product: inner product, larger is nearer; manhattan: sum of differences; hamming: share of differing places; jaccard: sum of minima over sum of maxima."
+#: Names and arguments of the prompts are fixed values.
 PROMPTS = {
-    "semantic_search": ("Search a collection by meaning.", ("collection", "question"), "Use vector_query on the collection {collection} to answer: {question}"),
-    "cluster_review": ("Describe the groups in a collection.", ("collection",), "Run vector_cluster_analysis on {collection} and describe each cluster by its medoid and metadata."),
+    "vector_semantic_search_prompt": ("Plan a collection for search by meaning.", ("dataset_type", "domain"), "Plan a vector collection for this kind of data: {dataset_type} (field: {domain}). Say how to cut the texts, which metric and index to take, and create it with vector_create_collection."),
+    "vector_rag_retrieval_prompt": ("Set up retrieval for answering questions.", ("query", "use_hybrid"), "Find passages that answer: {query}. Search by words as well as vectors: {use_hybrid}. Filter by metadata where it helps, fuse the rankings, and answer from the passages found."),
 }
 
 
@@ -45,7 +46,7 @@ class Server:
             "tools/call": self._call,
             "resources/list": lambda p: {"resources": [{"uri": "vector://collections", "name": "collections", "mimeType": "application/json"}, {"uri": "vector://metrics/guide", "name": "metrics", "mimeType": "text/plain"}]},
             "resources/read": self._read,
-            "prompts/list": lambda p: {"prompts": [{"name": n, "description": d, "arguments": [{"name": a, "required": True} for a in args]} for n, (d, args, _) in PROMPTS.items()]},
+            "prompts/list": lambda p: {"prompts": [{"name": n, "description": d, "arguments": [{"name": a, "required": False} for a in args]} for n, (d, args, _) in PROMPTS.items()]},
             "prompts/get": self._prompt,
             "logging/setLevel": lambda p: {},
         }
@@ -78,7 +79,8 @@ class Server:
             case "list_collections":
                 return {"collections": self.store.list(a.get("filter_name", ""))}
             case "diagnostics":
-                return diagnostics(self.store.spark)
+                found = diagnostics(self.store.spark)
+                return found | {"benchmarks": benchmark(self.store.spark)} if a.get("include_benchmarks") else found
             case _:
                 return self.store.cluster(a["collection"], a.get("k", 3), a.get("method", "kmeans"), where, a.get("max_iter", 50), a.get("seed", 42))
 

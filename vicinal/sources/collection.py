@@ -155,7 +155,10 @@ class Collection:
         return self._payload(mmr.diverse_top_k(self.items(), vector, k, self.config.metric, self.where(where), fetch_k, lam), False)
 
     def text_search(self, text: str, k: int = 10, where: Mapping[str, Any] | None = None) -> DataFrame:
-        return self._payload(bm25.search(self.items(), text, k, self.where(where)), False)
+        """BM25 over the stored postings of this version, which are written on the first search."""
+        pred = self.where(where)
+        allowed = self.items().filter(pred).select("id") if pred is not None else None
+        return self._payload(bm25.search_index(self.spark, self._sparse(), text, k, allowed), False)
 
     def hybrid(self, vector: Sequence[float], text: str, k: int = 10, where: Mapping[str, Any] | None = None, fusion_method: str = "rrf", alpha: float = fusion.ALPHA, rrf_k: int = fusion.RRF_K) -> DataFrame:
         knn.check_dimension(vector, self.config.dimension)
@@ -176,6 +179,12 @@ class Collection:
             files.atomic_write(folder / "centroids.json", json.dumps(centroids))
         return (ivf.read(self.spark, str(folder / "lists")) if centroids else self.items().withColumn("centroid_id", F.lit(0))), centroids
 
+    def _sparse(self) -> str:
+        folder = self._folder(self.version(), "bm25")
+        if not (Path(folder) / "totals" / "_SUCCESS").exists():
+            bm25.write_index(self.items(), folder)
+        return folder
+
     def _hnsw(self) -> DataFrame:
         folder = Path(self._folder(self.version(), "hnsw"))
         if not (folder / "_SUCCESS").exists():
@@ -195,6 +204,10 @@ class Collection:
         if c.index_type == "hnsw" and (folder / "_SUCCESS").exists():
             layers = hnsw.graph_stats(self.spark.read.parquet(str(folder))).collect()
             out |= {"layers_count": len(layers), "avg_links_per_node": sum(r["links"] for r in layers) / max(1, sum(r["nodes"] for r in layers))}
+        lists = Path(self._folder(self.version(), "ivf")) / "lists"
+        if c.index_type == "ivf" and (lists / "_SUCCESS").exists():
+            sizes = {r["centroid_id"]: r["n"] for r in ivf.list_sizes(ivf.read(self.spark, str(lists))).collect()}
+            out |= {"clusters": len(sizes), "cluster_sizes": dict(sorted(sizes.items()))}
         return out
 
     # files
