@@ -60,6 +60,28 @@ def test_shots():
     assert avi.shot_starts(dark) == [0] and avi.shot_starts(dark[:0]) == []
 
 
+def slow_shots(samples):
+    """The rule, difference by difference."""
+    hists = [[sum(1 for v in frame if v // 16 == b) for b in range(16)] for frame in samples.tolist()]
+    diffs = [sum(abs(x - y) for x, y in zip(a, b)) / (2 * samples.shape[1]) for a, b in zip(hists, hists[1:])]
+    starts = [0] if len(samples) else []
+    for i, d in enumerate(diffs):
+        last = diffs[max(0, i - 8) : i]
+        mean = sum(last) / len(last) if last else 0.0
+        spread = (sum((x - mean) ** 2 for x in last) / len(last)) ** 0.5 if last else 0.0
+        if d > 0.1 and d > mean + 2 * spread + 1e-12:
+            starts.append(i + 1)
+    return starts
+
+
+def test_shots_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        parts = [np.clip(rng.normal(rng.integers(0, 256), rng.integers(1, 40), (rng.integers(1, 12), 300)), 0, 255) for _ in range(6)]
+        samples = np.concatenate(parts).astype(np.uint8)
+        assert avi.shot_starts(samples) == slow_shots(samples)
+
+
 def test_query(messy, messy_rows, no_docs):
     out = media.inspect(media.store(messy)).collect()
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in out)

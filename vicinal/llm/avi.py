@@ -1,6 +1,6 @@
 """AVI motion-JPEG containers in plain numpy: writing and reading RIFF indexes, and coding intra frames without loss.
 
-Frames are 24 x 24 grey lossless JPEGs (process SOF3, 8 bits, predictor 1). The Huffman code of a difference of s bits has
+Frames written here are 24 x 24 grey lossless JPEGs (process SOF3, 8 bits, predictor 1). The Huffman code of a difference of s bits has
 9 - s bits, so every sample takes exactly nine bits and whole batches of frames are coded and decoded by array operations.
 """
 
@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from vicinal.llm import jpeg
+
 SIDE = 24
 FRAME = SIDE * SIDE
 FPS = 25
@@ -90,8 +92,6 @@ def parse_jpeg(frame: bytes) -> Jpeg:
         at += 2 + length
         if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
             process, height, width = kind, *struct.unpack(">HH", body[1:5])
-            if body[0] != 8 or body[5] != 1:
-                raise ValueError("only grey frames of 8 bits are supported")
         elif kind == 0xC4:
             nine = _segment(kind, body) == _DHT
         elif kind == 0xDA:
@@ -103,16 +103,29 @@ def parse_jpeg(frame: bytes) -> Jpeg:
 
 
 def decode_frames(frames: list[bytes]) -> np.ndarray:
-    """Samples (frames, FRAME) of lossless JPEGs as written here."""
+    """Samples (frames, pixels). Frames as written here are decoded together by array operations, others one by one (see ``jpeg``)."""
+    try:
+        return _decode_own(frames)
+    except _OtherFrames:
+        found = [jpeg.decode(frame) for frame in frames]
+    if len({x.shape for x in found}) > 1:
+        raise ValueError("frames of different sizes")
+    return np.stack([x.reshape(-1) for x in found])
+
+
+class _OtherFrames(Exception):
+    """Frames that were not written here."""
+
+
+def _decode_own(frames: list[bytes]) -> np.ndarray:
     scans = []
     for frame in frames:
         head = parse_jpeg(frame)
         if (head.process, head.width, head.height, head.predictor, head.nine_bits) != (0xC3, SIDE, SIDE, 1, True):
-            raise ValueError("only lossless 24 x 24 frames with the nine-bit table are supported")
-        end = frame.rindex(TAIL)
-        scan = frame[head.scan_at : end].replace(b"\xff\x00", b"\xff")
+            raise _OtherFrames
+        scan = frame[head.scan_at : frame.rindex(TAIL)].replace(b"\xff\x00", b"\xff")
         if len(scan) != _SCAN:
-            raise ValueError("scan of a wrong length")
+            raise _OtherFrames
         scans.append(scan)
     b = np.frombuffer(b"".join(scans), np.uint8).reshape(-1, 9).astype(np.uint16)
     c = np.empty((len(b), 8), np.uint16)

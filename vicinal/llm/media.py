@@ -2,7 +2,8 @@
 
 ``store`` writes each text's UTF-8 bytes, filled up with bytes 255 to a positive multiple of 576, as the samples of 24 x 24
 lossless intra frames. ``inspect`` parses the stored bytes, decodes every frame and detects shots by adaptive histogram
-differences; ``clips`` gives one timed row per shot. Nothing is shuffled; a long text is coded in blocks of its own.
+differences; ``clips`` gives one timed row per shot. Both read other motion-JPEG files as well: baseline or lossless frames of any
+one size (``jpeg``). Nothing is shuffled; a long text is coded in blocks of its own.
 
 A null text is empty (one frame of padding). A null media value gives null results in ``inspect`` and no clips. Repeated rows
 are returned as often as they come in; an empty table gives no rows; extra columns are kept, and columns named as results are replaced.
@@ -41,6 +42,8 @@ def from_media(media: bytes) -> tuple[np.ndarray, int, float]:
     """(samples of all frames, unpadded length, frames a second)."""
     frames, length, fps = read_avi(media)
     parts = [decode_frames(frames[at : at + BLOCK_FRAMES]) for at in range(0, len(frames), BLOCK_FRAMES)]
+    if len({p.shape[1] for p in parts}) > 1:
+        raise ValueError("frames of different sizes")
     return (np.concatenate(parts) if parts else np.empty((0, FRAME), np.uint8)), length, fps
 
 
