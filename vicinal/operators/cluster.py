@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,8 @@ class Clustering:
     clusters: DataFrame
     summary: dict = field(default_factory=dict)
     centroids: list[list[float]] = field(default_factory=list)
+    #: Those that the assignments were made by: of the round before the last update.
+    assigned_by: list[list[float]] = field(default_factory=list)
 
 
 def _sampled(rows: DataFrame, by: Sequence[str], n: int, id_col: str = "id") -> DataFrame:
@@ -175,7 +176,8 @@ def kmeans(items: DataFrame, k: int = 3, metric: str = "cosine", max_iter: int =
         if shift < tolerance:
             converged = True
             break
-    assigned = assign(items, before if iterations else centroids, metric)
+    last = before if iterations else centroids
+    assigned = assign(items, last, metric)
     frame = _centroid_frame(items, centroids)
     clusters = describe(assigned.select("id", "vector", "cluster"), frame, metric)
     summary = {"method": "kmeans", "k": k, "metric": metric, "iterations": iterations, "converged": converged}
@@ -184,38 +186,67 @@ def kmeans(items: DataFrame, k: int = 3, metric: str = "cosine", max_iter: int =
         summary["silhouette_score"] = round(silhouette(assigned, metric).first()[0], 4)
     summary["duration_ms"] = round((time.time() - began) * 1000, 2)
     slim.unpersist()
-    return Clustering(assigned, clusters, summary, centroids)
+    return Clustering(assigned, clusters, summary, centroids, last)
 
 
 def _shift(metric: str, a: Sequence[float], b: Sequence[float]) -> float:
     return float(_distances(metric, np.array([a], float), np.array([b], float))[0, 0])
 
 
+def _descended(rows: DataFrame, tree: dict[str, list[list[float]]], metric: str) -> DataFrame:
+    """``rows`` plus node: the path that each takes down a tree of centroids, in one pass whatever its depth."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.StringType())])
+    at = rows.columns.index("vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            node, todo = np.full(len(batch), "", object), {""} & tree.keys()
+            while todo:
+                path = todo.pop()
+                own, c = np.flatnonzero(node == path), np.array(tree[path], float)
+                if len(own):
+                    d = np.round(_distances(metric, _matrix(batch.column(at).take(pa.array(own)), c.shape[1]), c), 12)
+                    node[own] = [f"{path}/{i}" for i in d.argmin(axis=1)]
+                    todo |= set(node[own]) & tree.keys()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node.tolist(), pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def hierarchical(items: DataFrame, branch_factor: int = 2, max_depth: int = 3, min_leaf_size: int = 4, metric: str = "cosine", seed: int = 42, report: bool = True) -> Clustering:
-    """Recursive splits by k-means (15 rounds, seed + 31 * depth); a node of ``min_leaf_size`` rows or fewer, or one that does not split, is a leaf."""
+    """Recursive splits by k-means (15 rounds, seed + 31 * depth); a node of ``min_leaf_size`` rows or fewer, or one that does not split, is a leaf.
+
+    Splits are kept as a tree of centroids (at most branch_factor ** max_depth nodes), down which rows find their node in one pass.
+    """
     began, metric = time.time(), parse_metric(metric)
-    rows = items.select("id", F.col("vector").cast("array<double>").alias("vector"), *[c for c in items.columns if c not in ("id", "vector")])
-    leaves: list[DataFrame] = []
+    rows = items.select("id", F.col("vector").cast("array<double>").alias("vector"), *[c for c in items.columns if c not in ("id", "vector")]).filter(usable(F.col("vector")))
+    leaves: list[str] = []
+    tree: dict[str, list[list[float]]] = {}
 
-    def split(node: DataFrame, depth: int) -> None:
+    def split(path: str, depth: int) -> None:
+        node = _descended(rows, dict(tree), metric).filter(F.col("node") == path).drop("node")
         n = node.count()
         if not n:
             return
         if depth >= max_depth or n <= min_leaf_size:
-            leaves.append(node)
+            leaves.append(path)
             return
         found = kmeans(node, branch_factor, metric, 15, seed=seed + 31 * depth, report=False)
         sizes = {r["cluster"]: r["count"] for r in found.assignments.groupBy("cluster").count().collect()}
         if len(sizes) < 2:
-            leaves.append(node)
+            leaves.append(path)
             return
+        tree[path] = found.assigned_by
         for c in sorted(sizes):
-            split(found.assignments.filter(F.col("cluster") == c).drop("cluster", "cluster_distance"), depth + 1)
+            split(f"{path}/{c}", depth + 1)
 
-    split(rows, 0)
+    split("", 0)
     if not leaves:
         return kmeans(rows, branch_factor, metric)
-    assigned = reduce(DataFrame.unionAll, [leaf.withColumn("cluster", F.lit(i)) for i, leaf in enumerate(leaves)])
+    number = F.create_map(*[x for i, leaf in enumerate(leaves) for x in (F.lit(leaf), F.lit(i))])
+    assigned = _descended(rows, tree, metric).withColumn("cluster", number[F.col("node")]).drop("node")
     centroids = update(assigned, metric).select("cluster", "centroid")
     clusters = describe(assigned.select("id", "vector", "cluster"), centroids, metric, sample=None)
     summary = {"method": "hierarchical", "k": len(leaves), "metric": metric, "iterations": max_depth, "converged": True}

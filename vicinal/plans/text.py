@@ -168,8 +168,8 @@ def hybrid_rrf_filtered(spark, sf_dir):
 _WORD_SETS = "w AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS words FROM documents)"
 
 
-@query("set_jaccard", f"""WITH {_WORD_SETS}, p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.words, b.words)) AS common, len(a.words) + len(b.words) AS both FROM w a JOIN w b ON a.id % 50 = 0 AND a.id <> b.id)
-SELECT a, b, round(CASE WHEN both = 0 THEN 1 ELSE common::DOUBLE / (both - common) END, 6) AS jaccard FROM p""")
+@query("set_jaccard", f"""WITH {_WORD_SETS}, p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.words, b.words)) AS common, len(a.words) + len(b.words) AS sizes FROM w a JOIN w b ON a.id % 50 = 0 AND a.id <> b.id)
+SELECT a, b, round(CASE WHEN sizes = 0 THEN 1 ELSE common::DOUBLE / (sizes - common) END, 6) AS jaccard FROM p""")
 def set_jaccard_query(spark, sf_dir):
     """Word sets of every document whose id is a multiple of 50 against those of all documents, blocks meeting blocks."""
     words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("b"), F.array_distinct(tokenize(F.col("text"))).alias("wb"))
