@@ -8,7 +8,7 @@ then verified by the whole shingle sets. ``plan`` gives a pair at the threshold
 have a better one. Sets of at most ``SMALL`` shingles, whose bits say little, also meet under the set and under all that lack one shingle,
 which is exact for up to nine.
 
-Documents of equal shingle sets are one class. Each class is tried against the smallest class of its fullest bucket first; the
+Documents of equal shingle sets are one class. Each class is tried against the smallest classes of its fullest buckets first; the
 full search then tries only classes that are not yet known to be connected, and no large group is held against itself.
 
 Null texts and texts without words are one class. Rows without a doc_id stay, and so does one row of each group: that of the
@@ -38,6 +38,8 @@ WIDTH, LEAST, RECALL = 5, 0.8, 0.98
 #: threshold.
 CHECK_BITS, WORD_MOST, CHECK_MOST = 128, 20, 34
 SMALL = 16
+#: Buckets whose smallest class each class is tried against before the full search.
+HUBS = 3
 _SMALL_TAG = 1 << 62
 
 
@@ -196,7 +198,9 @@ def links(classes: DataFrame, texts: DataFrame, shape: tuple[int, int, int], lea
     stored = _stored(classes, "a")
     b = F.min(F.struct(F.col("a").alias("b"), F.col("a1").alias("b1"))).alias("hub")
     hubs = durable(stored.groupBy("key").agg(b, F.count("*").alias("c")).filter("c > 1").select("key", "c", F.col("c").alias("full"), "hub.*"))
-    tried = join_hot(stored, hubs, "key", "c").filter(_near() & F.expr("a <> b")).groupBy("a").agg(F.max_by("b", F.struct("full", "b")).alias("b"))
+    tried = join_hot(stored, hubs, "key", "c").filter(_near() & F.expr("a <> b")).groupBy("a", "b").agg(F.max("full").alias("full"))
+    fullest = F.slice(F.sort_array(F.collect_list(F.struct("full", "b")), asc=False), 1, HUBS)  # of one a segment and small key
+    tried = tried.groupBy("a").agg(fullest.alias("hub")).select("a", F.explode("hub.b").alias("b"))
     first = similar(durable(_checked(tried, classes)), named, texts, least)
     known = components(first).withColumnRenamed("node", "cls")
     marked = written(classes.drop("k").join(known.withColumn("grouped", F.lit(True)), "cls", "left"))
