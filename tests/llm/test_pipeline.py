@@ -64,7 +64,7 @@ def test_run_and_registry(spark, written):
     run = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     key = lambda df: sorted((r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in df.collect())
     assert key(run) == key(written[-1][1])
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("which", ["messy", "no_docs"])

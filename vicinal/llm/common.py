@@ -48,10 +48,15 @@ def map_slices(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     Spark's maxBytesPerBatch bounds what it sends at once, and the slices what a worker makes of it. Where that setting has the
     value Spark comes with, it is lowered to ``BATCH_BYTES``: an executor holds each batch twice, in the JVM and in the worker.
     """
-    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(lambda batches: run(slices(batches)), schema)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` at most, unless the session has its own limit."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf
     if conf.get(name) in ("67108864b", "67108864", "64MB"):
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(lambda batches: run(slices(batches)), schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,15 +110,21 @@ def durable(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """As ``durable``, in columns: for tables that are read again in part. Removed when the session's JVM ends."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     again = spark.read.schema(df.schema).parquet(path)
     again._vicinal_path = path
     return again
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session's JVM ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Remove a ``written`` table that nothing reads any more."""
     spark = df.sparkSession
