@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.filters import column_resolver, compile_filter, parse_metadata, parse_vector
 
-VALUES = [{}, *[{"f": v} for v in (None, "12", 12, 12.0, True, False, ["a", 1], [], {"x": 1}, "abc", 0, -1.5)], {"a.b": 1, "f": "q"}]
+VALUES = [{}, *[{"f": v} for v in (None, "12", 12, 12.0, True, False, ["a", 1], [], {"x": 1}, "abc", 0, -1.5, 2**53, 2**53 + 1, -(2**53) - 1, 2.0**53, 2**63 + 1, 10**37, 1e300, "a[b", "aXbXb", "line\n", "é1")], {"a.b": 1, "f": "q"}]
+BIG = [2**53, 2**53 + 1, 2.0**53, -(2**53) - 1, 2**63 + 1, 10**37, 10**400, 1e300]
+PATTERNS = ["(?P<y>b)", "[[]", "(?P<first_one>X)b(?P=first_one)b$", r"e\Z", r"\Ae", "[]x]", "[^]a]b", "[a&&b]X", "[[:a]b", "(?P<n>", "(?<n", "[", "*", r"[\]\[]b"]
 OPERANDS = {
     "$eq": [None, "12", 12, 12.0, True, 1, 0, "abc"], "$ne": [None, "12", 12, True], "$gt": [5, "1", 0.5], "$gte": [12, "12"], "$lt": [13, "b"], "$lte": [0, -1.5],
-    "$in": [[12, "abc"], [None], [], "abc", [True]], "$nin": [[12, "abc"], [None], [], "abc"], "$exists": [True, False], "$contains": ["a", "b", 1, "12"],
-    "$all": [["a"], ["a", 1], [], "a", ["a", "z"]], "$regex": ["^a", "b", "(", 5], "$what": [1],
+    "$in": [[12, "abc"], [None], [], "abc", [True], [2**53 + 1]], "$nin": [[12, "abc"], [None], [], "abc", [2**53 + 1, 10**37]], "$exists": [True, False], "$contains": ["a", "b", 1, "12"],
+    "$all": [["a"], ["a", 1], [], "a", ["a", "z"]], "$regex": ["^a", "b", "(", 5, *PATTERNS], "$what": [1],
 }
+for _op in ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte"):
+    OPERANDS[_op] = [*OPERANDS[_op], *BIG]
 
 
 def same(a, b):

@@ -2,21 +2,30 @@
 
 Every leaf is two-valued: what cannot be compared is false, and negations negate that. Missing fields equal null, but only
 ``$exists`` tells them apart. Numbers and booleans compare with one another, strings only with strings. An ordering between
-unlike types is false. Patterns of ``$regex`` follow Java's dialect; one that does not compile is false.
+unlike types is false. Whole numbers are compared exactly, however large. Patterns of ``$regex`` run in Java's dialect, with named
+groups, classes and ``\\Z`` written as Python has them read likewise; one that does not compile is false.
 """
 
 from __future__ import annotations
 
 import json
-import re
+import math
+import operator
 from collections.abc import Callable, Mapping
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NUMBER = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
+_WHOLE = r"(?i)^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\([0-9]+, ?0\))$"
+#: Whole numbers of at most so many digits are compared as decimals.
+_DIGITS = 38
 
 
 class VariantField:
@@ -43,6 +52,9 @@ class VariantField:
     def number(self) -> Column:
         return F.when(self.kind == "BOOLEAN", self._get("boolean").cast("double")).when(self.kind.rlike(_NUMBER), self._get("double"))
 
+    def whole(self) -> Column:
+        return F.when(self.kind.rlike(_WHOLE), self._get(f"decimal({_DIGITS},0)"))
+
     def items(self) -> Column:
         return F.when(self.kind.startswith("ARRAY"), self._get("array<variant>"))
 
@@ -80,6 +92,9 @@ class TypedField:
             return self.column.cast("int")
         return self.column if self.type != "string" and not self.type.startswith("array") else F.lit(None).cast("double")
 
+    def whole(self) -> Column | None:
+        return None if self.type in ("double", "float", "boolean") or self.type.startswith("decimal") and not self.type.endswith(",0)") else self.number()
+
     def items(self) -> Column | None:
         return self.column if self.type.startswith("array") else None
 
@@ -125,18 +140,47 @@ def _equals(field: Field, value: Any) -> Column:
     if isinstance(value, str):
         return field.text() == value
     if isinstance(value, (bool, int, float)):
-        return (field.number() == F.lit(float(value) if isinstance(value, float) else int(value)))
+        return _compared(field, "==", value)
     return F.lit(False)
 
 
+_COMPARE: dict[str, Callable[[Any, Any], Any]] = {"==": operator.eq, "$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}
+
+
+def _compared(field: Field, op: str, value: bool | int | float) -> Column:
+    """A number of the field against ``value``, exactly: whole numbers as such, others as doubles against what ``value`` rounds to."""
+    if isinstance(value, float) and not value.is_integer():
+        return _COMPARE[op](field.number(), F.lit(value))
+    exact = int(value)
+    small = abs(exact) < 2**63
+    try:
+        rounded = float(exact)
+    except OverflowError:
+        rounded = math.inf if exact > 0 else -math.inf
+    near = rounded if not math.isinf(rounded) else exact + (1 if exact > 0 else -1)
+    if near == exact:
+        double = _COMPARE[op](field.number(), F.lit(rounded))
+    elif op == "==":
+        double = field.number().isNotNull() & F.lit(False)
+    else:  # no double equals it: one is above if it is above, or is, what rounding down gave
+        strict = "$gt" if op in ("$gt", "$gte") else "$lte"
+        loose = "$gte" if op in ("$gt", "$gte") else "$lt"
+        double = _COMPARE[strict if near < exact else loose](field.number(), F.lit(rounded))
+    whole = field.whole()
+    if whole is None:
+        return double
+    if isinstance(field, TypedField):  # the column as it is, so that the predicate can reach the scan
+        return _COMPARE[op](whole, F.lit(exact if small else Decimal(exact)))
+    if len(str(abs(exact))) > _DIGITS:
+        fits = F.lit({"==": False, "$gt": exact < 0, "$gte": exact < 0, "$lt": exact > 0, "$lte": exact > 0}[op])
+        return F.when(whole.isNotNull(), fits).otherwise(double)
+    return F.when(whole.isNotNull(), _COMPARE[op](whole, F.lit(Decimal(exact)))).otherwise(double)
+
+
 def _order(field: Field, op: str, value: Any, wrap: Callable[[Column], Column]) -> Column:
     if isinstance(value, str):
-        left = field.text()
-    elif isinstance(value, (bool, int, float)):
-        left, value = field.number(), float(value) if isinstance(value, float) else int(value)
-    else:
-        return F.lit(False)
-    return wrap({"$gt": left > value, "$gte": left >= value, "$lt": left < value, "$lte": left <= value}[op])
+        return wrap(_COMPARE[op](field.text(), F.lit(value)))
+    return wrap(_compared(field, op, value)) if isinstance(value, (bool, int, float)) else F.lit(False)
 
 
 def _element(field: Field, value: Any) -> Callable[[Column], Column]:
@@ -155,14 +199,49 @@ def _contains(field: Field, value: Any, wrap: Callable[[Column], Column]) -> Col
     return _any(parts)
 
 
-def _regex(field: Field, pattern: Any, wrap: Callable[[Column], Column]) -> Column:
-    if not isinstance(pattern, str):
-        return F.lit(False)
+def java_pattern(pattern: str) -> str:
+    """``pattern`` in Java's dialect: named groups get plain names, a bracket or && within a class is itself, and ``\\Z`` is the very end."""
+    out, names, at, inside = [], {}, 0, False
+    while at < len(pattern):
+        rest, taken = pattern[at:], 1
+        if rest[0] == "\\":
+            taken = 2
+            out.append("\\z" if rest[:2] == "\\Z" and not inside else rest[:2])
+        elif inside:
+            taken = 2 if rest[:2] == "&&" else 1
+            out.append("&\\&" if taken == 2 else "\\[" if rest[0] == "[" else rest[0])
+            inside = rest[0] != "]"
+        elif rest[0] == "[":
+            start = "[^" if rest[:2] == "[^" else "["
+            taken, inside = len(start), True
+            out.append(start)
+            if rest[taken : taken + 1] == "]":  # the first one of a class stands for itself
+                taken += 1
+                out.append("\\]")
+        elif rest[:4] in ("(?P<", "(?P=") and (end := rest.find(">" if rest[3] == "<" else ")")) > 0:
+            name = names.setdefault(rest[4:end], f"g{len(names) + 1}")
+            taken = end + 1
+            out.append(f"(?<{name}>" if rest[3] == "<" else f"\\k<{name}>")
+        else:
+            out.append(rest[0])
+        at += taken
+    return "".join(out)
+
+
+def _compiles(pattern: str) -> bool:
+    """Whether the engine that will run the pattern takes it."""
+    jvm = SparkContext._active_spark_context._jvm
     try:
-        re.compile(pattern)
-    except re.error:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except (IllegalArgumentException, Py4JJavaError):
+        return False
+    return True
+
+
+def _regex(field: Field, pattern: Any, wrap: Callable[[Column], Column]) -> Column:
+    if not isinstance(pattern, str) or not _compiles(java := java_pattern(pattern)):
         return F.lit(False)
-    return wrap(field.text().rlike(pattern))
+    return wrap(field.text().rlike(java))
 
 
 def _operator(field: Field, op: str, value: Any, wrap: Callable[[Column], Column]) -> Column:
