@@ -64,3 +64,18 @@ def test_many_rules(tmp_path):
     index = urlfilter.DigestIndex(str(path))
     urls = [f"http://a.host{i}.net/{'p' * (i % 9)}/x" for i in range(600)]
     assert list(zip(*index.judge(urls, "allow"))) == [slow(u, rules) for u in urls]
+
+
+def test_very_long_urls(tmp_path):
+    """Hosts and paths of 100 KB and many labels take memory in proportion."""
+    import tracemalloc
+
+    (tmp_path / "rules").write_bytes(urlfilter.index_bytes(urlfilter.RULES))
+    index = urlfilter.DigestIndex(str(tmp_path / "rules"))
+    urls = [f"http://{'a.' * 50_000}{end}" for end in ("example.org/es/" + "b/" * 50_000, "xexample.org/es/", "com/de/" + "c" * 100_000, "com.evil/de/")] + [f"http://{'a' * 100_000}.com/fr/", "http://" + "." * 100_000]
+    tracemalloc.start()
+    found = list(zip(*index.judge(urls, "allow")))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [slow(u) for u in urls]
+    assert peak < 30 * sum(map(len, urls))

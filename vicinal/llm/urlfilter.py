@@ -2,13 +2,13 @@
 
 Rules (host, path, verdict) are stored in one file: sorted 64-bit xxhash keys of host + path, then the full strings and verdicts
 in the same order. The file goes to every executor once (``SparkContext.addFile``), where each worker memory-maps it. A batch's
-candidate strings - every domain above a host, with every stored path length - are probed together by vectorised binary search,
+candidate strings - every domain above a host that is no longer than the longest rule's, with every stored path length - are probed together by vectorised binary search,
 and a hit counts only if the stored string is equal, so colliding digests do no harm.
 
 A rule fits its host and all subdomains if the url's path starts with the rule's; the longest rule wins (host and path together,
 then the longer host). Urls that no rule fits get ``default``. Null urls and urls without ``://`` have an empty host and path.
 Repeated rows are returned as often as they come in; an empty table gives no rows; no rules fit nothing. Very long urls are judged
-whole; columns named as results are replaced. No row is moved.
+whole, in time and memory that grow with their length; columns named as results are replaced. No row is moved.
 """
 
 from __future__ import annotations
@@ -80,6 +80,7 @@ class DigestIndex:
         size = os.path.getsize(path) - 16 - words.nbytes
         self.blob = np.memmap(path, np.uint8, "r", offset=16 + words.nbytes, shape=(size,)) if size else np.empty(0, np.uint8)
         self.digest = digest
+        self.longest = int(self.hosts.max()) if n else 0
 
     def text(self, i: int) -> bytes:
         return self.blob[self.ends[i] : self.ends[i + 1]].tobytes()
@@ -109,6 +110,9 @@ class DigestIndex:
         for host, path in split:
             own = []
             paths = [path[:n] for n in self.lengths if n <= len(path)]
+            if len(host) > self.longest:  # no rule has a longer one
+                dot = host.find(".", len(host) - self.longest - 1)
+                host = host[dot + 1 :] if dot >= 0 else ""
             while host and paths:
                 own += [strings.setdefault((host + p).encode("utf-8", "surrogatepass"), len(strings)) for p in paths]
                 dot = host.find(".")
