@@ -115,3 +115,49 @@ def test_seeds_are_drawn_by_squared_distance(spark):
     rows = spark.createDataFrame([(i, [float(i == 9) * 100.0 + i * 1e-3]) for i in range(10)], "id bigint, vector array<double>")
     picks = [lloyd.seed_plus_plus(rows, 2, "euclidean", seed) for seed in range(6)]
     assert all(any(v[0] > 50 for v in p) for p in picks)
+
+
+def test_step_plan_and_nulls(spark):
+    """A Lloyd round is one Python pass that gives a row a cluster and task; rows without a whole vector do not count."""
+    from vicinal.operators.lloyd import step
+
+    rows = [(i, [float(i % 3), 1.0 + i]) for i in range(600)] + [(900, None), (901, [1.0, None])]
+    frame = spark.createDataFrame(rows, "id bigint, vector array<double>").repartition(4)
+    out = step(frame, [[0.0, 0.0], [1.0, 300.0], [0.0, 1e9]], "euclidean")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    got = {r["cluster"]: (r["n"], r["centroid"]) for r in out.collect()}
+    near = [min((0, 1, 2), key=lambda c: (round(((v[0] - (0, 1, 0)[c]) ** 2 + (v[1] - (0, 300, 1e9)[c]) ** 2) ** 0.5, 12), c)) for _, v in rows[:600]]
+    for c in set(near):
+        own = [v for (_, v), x in zip(rows, near) if x == c]
+        assert got[c][0] == len(own)
+        assert all(abs(a - sum(col) / len(own)) < 1e-9 for a, col in zip(got[c][1], zip(*own)))
+    assert set(got) == set(near) == {0, 1}
+    assert step(frame.filter("id < 0"), [[0.0, 0.0]], "euclidean").collect() == []
+
+
+def test_hierarchy_by_levels(spark, monkeypatch):
+    """Passes follow depth and rounds, not nodes; groups are told apart; every row has a leaf."""
+    import random
+
+    from vicinal.operators import cluster as C
+
+    rng = random.Random(3)
+    middle = [[rng.gauss(0, 30) for _ in range(6)] for _ in range(16)]
+    rows = [(i, [x + rng.gauss(0, 0.5) for x in middle[i % 16]]) for i in range(640)]
+    frame = spark.createDataFrame(rows, "id bigint, vector array<double>").repartition(3)
+    passes = []
+    real = C.summed
+    monkeypatch.setattr(C, "summed", lambda *a, **b: passes.append(1) or real(*a, **b))
+    found = C.hierarchical(frame, 4, 2, 4, "euclidean", report=False)
+    leaves = {r["id"]: r["cluster"] for r in found.assignments.select("id", "cluster").collect()}
+    assert len(leaves) == 640 and sorted(set(leaves.values())) == list(range(len(set(leaves.values()))))
+    assert len(passes) <= 2 * C.ROUNDS + 1  # of up to 1 + 4 nodes with 15 rounds each
+    inertia = sum(r["inertia"] for r in found.clusters.collect())
+    whole = C.kmeans(frame, 1, "euclidean", report=False).clusters.first()["inertia"]
+    assert inertia < 0.35 * whole
+    assert sum(r["size"] for r in found.clusters.collect()) == 640
+    few = C.hierarchical(frame.limit(3), 2, 3, 4, "euclidean", report=False)
+    assert {r["cluster"] for r in few.assignments.collect()} == {0}
+    same = C.hierarchical(spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], frame.schema), 2, 3, 4, "euclidean", report=False)
+    assert {r["cluster"] for r in same.assignments.collect()} == {0}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from vicinal.functions.distance import distance
+from vicinal.functions.distance import distance, normalize
 from vicinal.operators.blocks import grid
 from vicinal.operators.knn import _distances, _matrix, usable
-from vicinal.operators.lloyd import assign, seed_plus_plus, update
+from vicinal.operators.lloyd import assign, pick, seed_plus_plus, step, summed
 from vicinal.schema import parse_metric
 
 #: Sample sizes of the report.
@@ -24,6 +25,8 @@ DIAMETER_SAMPLE, SILHOUETTE_SAMPLE, TOP_VALUES = 50, 500, 5
 #: Members of one part of a cluster, about, whose distances to another part are one task's work.
 PART_ROWS = 1024
 FLAT = 1e-12
+#: Lloyd rounds of a split, and the shift below which centroids stop.
+ROUNDS, TOLERANCE = 15, 1e-4
 
 
 @dataclass
@@ -149,7 +152,7 @@ def _centroid_frame(items: DataFrame, centroids: Sequence[Sequence[float]]) -> D
     return items.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cluster int, centroid array<double>")
 
 
-def kmeans(items: DataFrame, k: int = 3, metric: str = "cosine", max_iter: int = 50, tolerance: float = 1e-4, seed: int = 42, start: Sequence[Sequence[float]] | None = None, report: bool = True) -> Clustering:
+def kmeans(items: DataFrame, k: int = 3, metric: str = "cosine", max_iter: int = 50, tolerance: float = TOLERANCE, seed: int = 42, start: Sequence[Sequence[float]] | None = None, report: bool = True) -> Clustering:
     """Lloyd rounds from k-means++ seeds (or ``start``) until the largest shift, in the metric, is below ``tolerance``.
 
     Under cosine, centroids are unit vectors. An empty cluster is given a random item and does not count for the shift. Only
@@ -165,11 +168,9 @@ def kmeans(items: DataFrame, k: int = 3, metric: str = "cosine", max_iter: int =
     slim = items.select("id", "vector").persist()
     centroids = [list(map(float, c)) for c in start] if start is not None else seed_plus_plus(slim, k, metric, seed)
     iterations, converged = 0, False
-    from vicinal.operators.lloyd import pick
-
     for _ in range(max_iter):
         iterations += 1
-        got = {r["cluster"]: [float(x) for x in r["centroid"]] for r in update(assign(slim, centroids, metric), metric).collect()}
+        got = {r["cluster"]: [float(x) for x in r["centroid"]] for r in step(slim, centroids, metric).collect()}
         shift = max((_shift(metric, centroids[c], v) for c, v in got.items()), default=0.0)
         last = [got[c] if c in got else pick(slim, "vector", rng.randrange(n), "id") for c in range(len(centroids))]
         centroids, before = last, centroids
@@ -215,39 +216,113 @@ def _descended(rows: DataFrame, tree: dict[str, list[list[float]]], metric: str)
     return rows.mapInArrow(run, schema)
 
 
-def hierarchical(items: DataFrame, branch_factor: int = 2, max_depth: int = 3, min_leaf_size: int = 4, metric: str = "cosine", seed: int = 42, report: bool = True) -> Clustering:
-    """Recursive splits by k-means (15 rounds, seed + 31 * depth); a node of ``min_leaf_size`` rows or fewer, or one that does not split, is a leaf.
+@dataclass
+class _Node:
+    """A node of one level while it is split: its centroids, those its rows were last assigned by, and how many rows each got."""
+
+    path: str
+    n: int
+    centroids: list[list[float]]
+    before: list[list[float]]
+    sizes: dict[int, int]
+    done: bool = False
+
+
+def _placed(tree: dict[str, list[list[float]]], ends: dict[str, tuple[int, list[list[float]]]], metric: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Takes vectors down the tree to ``ends``: each gets its end's number plus that of its nearest centroid there, if there are any; -1 elsewhere."""
+    tree = {path: np.array(c, float) for path, c in tree.items()}
+
+    def near(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+        return np.round(_distances(metric, vectors, centroids), 12).argmin(axis=1)
+
+    def place(vectors: np.ndarray) -> np.ndarray:
+        out, path, todo = np.full(len(vectors), -1, np.int64), np.full(len(vectors), "", object), {""}
+        while todo:
+            at = todo.pop()
+            own = np.flatnonzero(path == at)
+            if at in tree:
+                path[own] = [f"{at}/{i}" for i in near(vectors[own], tree[at])]
+                todo |= set(path[own])
+            elif at in ends:
+                number, centroids = ends[at]
+                out[own] = number + (near(vectors[own], np.array(centroids, float)) if centroids else 0)
+        return out
+
+    return place
+
+
+def _drawn(rows: DataFrame, tree: dict[str, list[list[float]]], nodes: Sequence[_Node], metric: str, seed: int, draw: int) -> dict[str, list[float]]:
+    """For each node the vector that wins a draw: at random while it has no centroid, else by squared distance to its nearest one.
+
+    The draw is the race of ``seed_plus_plus``, run for all nodes in one pass; each task gives its best row a node.
+    """
+    chosen = {x.path: np.array(x.centroids, float) for x in nodes}
+    schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("key", T.DoubleType()), rows.schema["id"], T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
-    Splits are kept as a tree of centroids (at most branch_factor ** max_depth nodes), down which rows find their node in one pass.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple] = {}
+        for batch in batches:
+            ids, path = batch.column(0).to_pylist(), np.array(batch.column(3).to_pylist(), object)
+            vectors, u = _matrix(batch.column(1), dimension), (np.array(batch.column(2)) % (1 << 52) + 1) / float(1 << 52)
+            for node in set(path) & chosen.keys():
+                own = np.flatnonzero(path == node)
+                w = np.ones(len(own))
+                if len(chosen[node]):
+                    w = np.round(_distances(metric, vectors[own], chosen[node]), 12).min(axis=1) ** 2
+                with np.errstate(divide="ignore"):
+                    key = np.where(w > 1e-12, -np.log(u[own]) / w, np.inf)  # copies of what is chosen come last
+                for i in np.flatnonzero(key == key.min()).tolist():
+                    row = (float(key[i]), ids[own[i]], vectors[own[i]].tolist())
+                    if node not in best or row[:2] < best[node][:2]:
+                        best[node] = row
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), *[pa.array([best[n][j] for n in best], t) for j, t in enumerate((pa.float64(), arrow_id, pa.list_(pa.float64())))]], names=schema.names)
+
+    dimension = len(rows.select("vector").first()[0])
+    arrow_id = to_arrow_type(rows.schema["id"].dataType)
+    hashed = rows.select("id", "vector", F.pmod(F.xxhash64(F.lit(seed), F.lit(draw), F.col("id").cast("string")), F.lit(1 << 52)).alias("u"))
+    found = _descended(hashed, tree, metric).mapInArrow(run, schema)
+    return {r["node"]: list(r["vector"]) for r in found.groupBy("node").agg(F.min_by("vector", F.struct("key", "id")).alias("vector")).collect()}
+
+
+def hierarchical(items: DataFrame, branch_factor: int = 2, max_depth: int = 3, min_leaf_size: int = 4, metric: str = "cosine", seed: int = 42, report: bool = True, starts: Callable[[DataFrame], DataFrame] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Clustering:
+    """Splits by k-means (``rounds``, seed + 31 * depth), a level at a time; a node of ``min_leaf_size`` rows or fewer, or one that does not split, is a leaf.
+
+    Splits are kept as a tree of centroids (at most branch_factor ** max_depth nodes), down which rows find their node. All nodes of
+    a level are seeded and moved together, so passes over the table grow with depth times rounds, not with nodes: one for the sizes,
+    one a seed, one a Lloyd round, in which a task gives one row a centroid. A node stops when its centroids do, and is kept out of
+    further rounds; an empty cluster gets a row of its node by draw. ``starts`` gives the first centroids instead of the draws: a
+    function of the rows with their node to (node, place, vector).
     """
     began, metric = time.time(), parse_metric(metric)
     rows = items.select("id", F.col("vector").cast("array<double>").alias("vector"), *[c for c in items.columns if c not in ("id", "vector")]).filter(usable(F.col("vector")))
+    slim = rows.select("id", "vector").persist()
     leaves: list[str] = []
     tree: dict[str, list[list[float]]] = {}
-
-    def split(path: str, depth: int) -> None:
-        node = _descended(rows, dict(tree), metric).filter(F.col("node") == path).drop("node")
-        n = node.count()
-        if not n:
-            return
-        if depth >= max_depth or n <= min_leaf_size:
-            leaves.append(path)
-            return
-        found = kmeans(node, branch_factor, metric, 15, seed=seed + 31 * depth, report=False)
-        sizes = {r["cluster"]: r["count"] for r in found.assignments.groupBy("cluster").count().collect()}
-        if len(sizes) < 2:
-            leaves.append(path)
-            return
-        tree[path] = found.assigned_by
-        for c in sorted(sizes):
-            split(f"{path}/{c}", depth + 1)
-
-    split("", 0)
+    level, n = [""], slim.count()
+    sizes = {"": n} if n else {}
+    for depth in range(max_depth + 1):
+        nodes = [_Node(path, sizes[path], [], [], {}) for path in level if sizes.get(path)]
+        leaves += [x.path for x in nodes if depth >= max_depth or x.n <= min_leaf_size]
+        nodes = [x for x in nodes if depth < max_depth and x.n > min_leaf_size]
+        if not nodes:
+            break
+        _split_level(slim, tree, nodes, branch_factor, metric, seed + 31 * depth, starts, rounds, tolerance)
+        leaves += [x.path for x in nodes if len(x.sizes) < 2]
+        for x in nodes:
+            if len(x.sizes) >= 2:
+                tree[x.path] = x.before
+        level = [f"{x.path}/{c}" for x in nodes if len(x.sizes) >= 2 for c in sorted(x.sizes)]
+        sizes = {f"{x.path}/{c}": m for x in nodes for c, m in x.sizes.items()}
+    slim.unpersist()
     if not leaves:
         return kmeans(rows, branch_factor, metric)
+    leaves.sort(key=lambda path: [int(x) for x in path.split("/")[1:]])
     number = F.create_map(*[x for i, leaf in enumerate(leaves) for x in (F.lit(leaf), F.lit(i))])
     assigned = _descended(rows, tree, metric).withColumn("cluster", number[F.col("node")]).drop("node")
-    centroids = update(assigned, metric).select("cluster", "centroid")
+    ends = {path: (i, []) for i, path in enumerate(leaves)}
+    means = summed(rows, _placed(tree, ends, metric), len(rows.select("vector").first()[0]))
+    mean = F.transform("total", lambda x: x / F.col("n"))
+    centroids = means.select(F.col("place").cast("int").alias("cluster"), (normalize(mean) if metric == "cosine" else mean).alias("centroid"))
     clusters = describe(assigned.select("id", "vector", "cluster"), centroids, metric, sample=None)
     summary = {"method": "hierarchical", "k": len(leaves), "metric": metric, "iterations": max_depth, "converged": True}
     if report:
@@ -257,6 +332,42 @@ def hierarchical(items: DataFrame, branch_factor: int = 2, max_depth: int = 3, m
     return Clustering(assigned, clusters, summary)
 
 
+def _split_level(rows: DataFrame, tree: dict[str, list[list[float]]], nodes: list[_Node], k: int, metric: str, seed: int, starts: Callable[[DataFrame], DataFrame] | None, rounds: int, tolerance: float) -> None:
+    """Seeds and Lloyd rounds of all ``nodes`` at once; leaves before and sizes in them."""
+    if starts is None:
+        for draw in range(k):
+            won = _drawn(rows, tree, [x for x in nodes if len(x.centroids) < min(k, x.n)], metric, seed, draw)
+            for x in nodes:
+                x.centroids += [won[x.path]] if x.path in won else []
+    else:
+        for r in starts(_descended(rows, tree, metric)).orderBy("node", "place").collect():  # k rows a node
+            for x in nodes:
+                if x.path == r["node"]:
+                    x.centroids.append([float(v) for v in r["vector"]])
+    dimension = len(nodes[0].centroids[0])
+    for turn in range(rounds):
+        moving = [x for x in nodes if not x.done]
+        if not moving:
+            return
+        for x in moving:
+            x.before, x.sizes = x.centroids, {}
+        got: dict[str, dict[int, list[float]]] = {x.path: {} for x in moving}
+        ends = {x.path: (i * k, x.centroids) for i, x in enumerate(moving)}
+        for r in summed(rows, _placed(tree, ends, metric), dimension).collect():  # k rows a node
+            x, c = moving[r["place"] // k], r["place"] % k
+            mean = np.array(r["total"]) / r["n"]
+            length = np.linalg.norm(mean)
+            got[x.path][c] = (mean / length if metric == "cosine" and length > 0 else mean * (metric != "cosine")).tolist()
+            x.sizes[c] = r["n"]
+        lost = [x for x in moving if len(got[x.path]) < len(x.centroids)]
+        spare = _drawn(rows, tree, [_Node(x.path, x.n, [], [], {}) for x in lost], metric, seed, k + turn) if lost else {}
+        for x in moving:
+            own = got[x.path]
+            shift = max((_shift(metric, x.centroids[c], v) for c, v in own.items()), default=0.0)
+            x.centroids = [own[c] if c in own else spare[x.path] for c in range(len(x.centroids))]
+            x.done = shift < tolerance
+
+
 def cluster(items: DataFrame, k: int = 3, method: str = "kmeans", where: Column | None = None, metric: str = "cosine", max_iter: int = 50, seed: int = 42) -> Clustering:
     """``hierarchical`` splits max(2, k) ways to depth 3; every other method name is k-means."""
     rows = items.filter(where) if where is not None else items

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinal.operators.knn import _distances, _matrix, _nearest, top_k, usable
-from vicinal.operators.lloyd import assign, seed_plus_plus, update
+from vicinal.operators.lloyd import assign, seed_plus_plus, step
 from vicinal.schema import IvfConfig
 
 #: Rows that centroids are trained on, at most; all rows are indexed.
@@ -29,7 +29,7 @@ def train(items: DataFrame, metric: str, config: IvfConfig = IvfConfig(), start:
         centroids = [list(c) for c in start] if start is not None else seed_plus_plus(sample, config.nlist, "euclidean", config.seed)
         for _ in range(config.max_iterations):
             moved = False
-            for r in update(assign(sample, centroids, metric), "none").collect():  # nlist rows
+            for r in step(sample, centroids, metric, unit=False).collect():  # nlist rows
                 new = [float(x) for x in r["centroid"]]
                 moved |= new != centroids[r["cluster"]]
                 centroids[r["cluster"]] = new

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinal.functions.distance import centroid, distance, normalize, vec
+from vicinal.functions.distance import distance, normalize, vec
 from vicinal.operators.knn import _distances, _matrix
 
 Centroids = Sequence[Sequence[float]]
@@ -37,9 +37,8 @@ def assign(items: DataFrame, centroids: Centroids, metric: str, vector: str = "v
         for batch in batches:
             if not len(batch):
                 continue
-            vectors = batch.column(at)
-            fine = np.array([v.is_valid and not v.values.null_count for v in vectors]) if vectors.null_count or vectors.flatten().null_count else np.ones(len(batch), bool)
-            d = np.round(_distances(metric, _matrix(vectors.filter(pa.array(fine)), c.shape[1]), c), 12)
+            fine, vectors = vectors_of(batch.column(at), c.shape[1])
+            d = np.round(_distances(metric, vectors, c), 12)
             cluster, far = np.zeros(len(batch), np.int32), np.zeros(len(batch))
             cluster[fine], far[fine] = d.argmin(axis=1), d.min(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster, mask=~fine), pa.array(far, mask=~fine)], names=schema.names)
@@ -47,10 +46,52 @@ def assign(items: DataFrame, centroids: Centroids, metric: str, vector: str = "v
     return items.mapInArrow(run, schema)
 
 
-def update(assigned: DataFrame, metric: str, vector: str = "vector", by: str = "cluster") -> DataFrame:
-    """(by, centroid, n): the mean of each cluster's vectors, made a unit vector under cosine."""
-    means = centroid(assigned, vector, [by]).join(assigned.groupBy(by).agg(F.count("*").alias("n")), by)
-    return means.withColumn("centroid", normalize(F.col("centroid"))) if metric == "cosine" else means
+def vectors_of(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows have a vector without nulls, their vectors)."""
+    fine = np.ones(len(column), bool)
+    if column.null_count or column.flatten().null_count:
+        fine = np.array([v.is_valid and not v.values.null_count for v in column])
+    return fine, _matrix(column.filter(pa.array(fine)), dimension)
+
+
+def summed(items: DataFrame, place: Callable[[np.ndarray], np.ndarray], dimension: int, vector: str = "vector") -> DataFrame:
+    """(place, n, total): how many vectors ``place`` puts at each number, and their sum. Negative places do not count.
+
+    Each task adds up its own batches and gives a row a place, so what is shuffled follows the tasks and places, not the items.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, int] = {}
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            vectors = vectors_of(batch.column(0), dimension)[1]
+            if not len(vectors):
+                continue
+            at = place(vectors)
+            order = np.argsort(at, kind="stable")
+            numbers, starts, n = np.unique(at[order], return_index=True, return_counts=True)
+            for number, many, total in zip(numbers.tolist(), n.tolist(), np.add.reduceat(vectors[order], starts, axis=0)):
+                if number >= 0:
+                    counts[number] = counts.get(number, 0) + many
+                    totals[number] = totals[number] + total if number in totals else total
+        numbers = sorted(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([counts[i] for i in numbers], pa.int64()), pa.array([totals[i] for i in numbers], pa.list_(pa.float64()))], names=["place", "n", "total"])
+
+    parts = items.select(F.col(vector).cast("array<double>").alias("vector")).mapInArrow(run, "place bigint, n bigint, total array<double>")
+    cells = parts.select("place", "n", F.posexplode("total").alias("pos", "x")).groupBy("place", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    return cells.groupBy("place").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("total"))
+
+
+def step(items: DataFrame, centroids: Centroids, metric: str, unit: bool | None = None, vector: str = "vector") -> DataFrame:
+    """(cluster, centroid, n) of one Lloyd round: items go to their nearest centroid and each cluster's mean is its next.
+
+    Means are made unit vectors if ``unit`` (by default under cosine). A cluster without items has no row.
+    """
+    c = np.array(centroids, float)
+    sent = items.sparkSession.sparkContext.broadcast(c)
+    found = summed(items, lambda v: np.round(_distances(metric, v, sent.value), 12).argmin(axis=1), c.shape[1], vector)
+    mean = F.transform("total", lambda x: x / F.col("n"))
+    return found.select(F.col("place").cast("int").alias("cluster"), normalize(mean).alias("centroid") if (metric == "cosine" if unit is None else unit) else mean.alias("centroid"), "n")
 
 
 def pick(items: DataFrame, vector: str, draw: int, order: str) -> list[float]:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.distance import centroid
 from vicinal.operators import cluster as C
-from vicinal.operators.lloyd import assign, update
+from vicinal.operators.lloyd import assign, step
 from vicinal.plans.dense import _assign_sql, _update_sql
 from vicinal.plans.registry import query
-from vicinal.plans.views import ITEMS, distance, first_vectors, items, joined, joined_sql, rounded, table
+from vicinal.plans.views import ITEMS, distance, dot, first_vectors, items, joined, joined_sql, rounded, table
 
 _MEANS = "means AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(vector[i]) AS x FROM items, range(1, 65) r(i) GROUP BY label, i) GROUP BY label)"
 _TO_MEAN = f"far AS (SELECT items.id, items.label, round({distance('euclidean', 'items.vector', 'means.v')}, 9) AS d FROM items JOIN means USING (label))"
@@ -76,8 +77,7 @@ def kmeans_assign(spark, sf_dir):
 @query("kmeans_update", f"WITH {ITEMS}, {_STARTS}, {_assign_sql('a0', 'c0')}, {_update_sql('c1', 'a0', 'c0', True)} SELECT c AS cluster, {joined_sql('cv')} AS centroid FROM c1")
 def kmeans_update(spark, sf_dir):
     """Under cosine the new centroids are unit vectors."""
-    rows = assign(items(spark, sf_dir), first_vectors(spark, sf_dir, STARTS), "cosine")
-    return update(rows, "cosine").select("cluster", joined(F.col("centroid")).alias("centroid"))
+    return step(items(spark, sf_dir), first_vectors(spark, sf_dir, STARTS), "cosine").select("cluster", joined(F.col("centroid")).alias("centroid"))
 
 
 _ROUNDS = ", ".join(f"{_assign_sql(f'a{i}', f'c{i}')}, {_update_sql(f'c{i + 1}', f'a{i}', f'c{i}', True)}" for i in range(ROUNDS))
@@ -101,3 +101,28 @@ def hierarchical_rows(spark, sf_dir):
     """Leaves of the hierarchical clustering and how many rows each has."""
     found = C.hierarchical(items(spark, sf_dir).select("id", "vector"), 2, 2, report=False)
     return found.assignments.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def _of_node(n: int) -> str:
+    """One more round within the nodes: rows to their node's centroids, and these to the means."""
+    nearer = f"round({distance('cosine', 'i.vector', 'k.cv')}, 12)"
+    assigned = f"e{n} AS (SELECT id, vector, node, c FROM (SELECT i.id, i.vector, i.node, k.c, row_number() OVER (PARTITION BY i.id ORDER BY {nearer}, k.c) AS n FROM n1 i JOIN s{n} k USING (node)) WHERE n = 1)"
+    mean = f"(SELECT node, c, list(x ORDER BY i) AS v FROM (SELECT node, c, i, avg(vector[i]) AS x FROM e{n}, range(1, 65) r(i) GROUP BY node, c, i) GROUP BY node, c)"
+    return f"{assigned}, s{n + 1} AS (SELECT b.node, b.c, coalesce([x / sqrt({dot('m.v', 'm.v')}) for x in m.v], b.cv) AS cv FROM s{n} b LEFT JOIN {mean} m USING (node, c))"
+
+
+_HALVES = "c0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS c, vector AS cv FROM (SELECT * FROM items ORDER BY id LIMIT 2))"
+_FIRST = ", ".join(f"{_assign_sql(f'a{i}', f'c{i}')}, {_update_sql(f'c{i + 1}', f'a{i}', f'c{i}', True)}" for i in range(2))
+_SECOND = "n1 AS (SELECT id, vector, c AS node FROM a1), s0 AS (SELECT node, (n - 1)::INT AS c, vector AS cv FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY id) AS n FROM n1) WHERE n <= 2)"
+
+
+@query("hierarchical_fixed_init", f"WITH {ITEMS}, {_HALVES}, {_FIRST}, {_SECOND}, {_of_node(0)}, {_of_node(1)} SELECT id, (dense_rank() OVER (ORDER BY node, c) - 1)::INT AS cluster FROM e1")
+def hierarchical_fixed_init(spark, sf_dir):
+    """Two levels of two rounds each, every node from its first two rows; all nodes of a level move in the same passes."""
+
+    def starts(rows):
+        place = F.row_number().over(Window.partitionBy("node").orderBy("id")) - 1
+        return rows.withColumn("place", place).filter("place < 2").select("node", "place", "vector")
+
+    found = C.hierarchical(items(spark, sf_dir).select("id", "vector"), 2, 2, report=False, starts=starts, rounds=2, tolerance=0.0)
+    return found.assignments.select("id", "cluster")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vicinal.functions import distance as D
 from vicinal.functions import quantize as Q
 from vicinal.operators import hnsw, ivf, knn, mmr, quantized
-from vicinal.operators.lloyd import assign, update
+from vicinal.operators.lloyd import assign, step
 from vicinal.plans.registry import query
 from vicinal.plans.views import ITEMS, distance, dot, first_vectors, items, joined, joined_sql, rounded, score
 from vicinal.schema import IvfConfig
@@ -272,8 +272,7 @@ def ivf_assign_step(spark, sf_dir):
 
 @query("ivf_update_step", f"WITH {ITEMS}, {_C0}, {_assign_sql('a0', 'c0')}, m AS (SELECT c, list(x ORDER BY i) AS v, max(n)::BIGINT AS n FROM (SELECT c, i, avg(vector[i]) AS x, count(*) AS n FROM a0, range(1, 65) r(i) GROUP BY c, i) GROUP BY c) SELECT c AS cluster, n, {joined_sql('v')} AS centroid FROM m")
 def ivf_update_step(spark, sf_dir):
-    rows = assign(items(spark, sf_dir), first_vectors(spark, sf_dir, NLIST), "cosine")
-    return update(rows, "none").select("cluster", "n", joined(F.col("centroid")).alias("centroid"))
+    return step(items(spark, sf_dir), first_vectors(spark, sf_dir, NLIST), "cosine", unit=False).select("cluster", "n", joined(F.col("centroid")).alias("centroid"))
 
 
 _PROBE = f"{QUERY_VECTOR}, probe AS (SELECT c FROM c{ROUNDS}, q ORDER BY round({distance('cosine', 'qv', 'cv')}, 12), c LIMIT 2)"
