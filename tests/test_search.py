@@ -201,3 +201,100 @@ def test_stored_postings_give_the_same_ranking(spark, tmp_path):
         want = [(r["rank"], r["id"], round(r["score"], 9)) for r in bm25.search(docs, text, 3).filter("score > 0").orderBy("rank").collect()]
         got = [(r["rank"], r["id"], round(r["score"], 9)) for r in bm25.search_index(spark, str(tmp_path / "index"), text, 3).orderBy("rank").collect()]
         assert [(a, str(b), c) for a, b, c in got] == [(a, str(b), c) for a, b, c in want]
+
+
+def _files(path):
+    """Every data file below a folder, with when it was written and what it holds."""
+    return {str(f.relative_to(path)): (f.stat().st_mtime_ns, f.read_bytes()) for f in path.rglob("*.parquet")}
+
+
+def _points(n, seed=4, dimension=12):
+    rng = np.random.default_rng(seed)
+    return [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(n, dimension)))]
+
+
+def test_graph_upkeep(spark, tmp_path):
+    """A fifth goes and a fifth comes: recall holds, nothing that is gone is found, and other shards' files stay as they were."""
+    from vicinal.operators import hnsw, knn
+
+    frame = spark.createDataFrame(_points(1200), "id bigint, vector array<double>").persist()
+    path = tmp_path / "graphs"
+    hnsw.write(hnsw.build(frame.filter("id % 5 <> 4"), "euclidean", shards=4), str(path))
+    hnsw.upkeep(spark, str(path), frame.filter("id % 5 = 4"), frame.filter("id % 5 = 1").select("id"), "euclidean")
+    now, asked = frame.filter("id % 5 <> 1"), frame.filter("id % 20 = 0").selectExpr("id AS query_id", "vector")
+    found = hnsw.knn_join(hnsw.read(spark, str(path)), asked, 10, metric="euclidean", same_table=True).persist()
+    truth = knn.knn_join(asked, now, 10, "euclidean", same_table=True)
+    assert knn.recall_at_k(found, truth, 10).first()["recall"] >= 0.9
+    assert found.filter("id % 5 = 1").count() == 0
+    stored = hnsw.read(spark, str(path)).select(F.explode("ids").alias("id"))
+    assert stored.exceptAll(now.select("id")).count() == 0 and now.select("id").exceptAll(stored).count() == 0
+    # a moved vector and a deletion in one shard each
+    before = _files(path)
+    shard = {r["id"]: r["shard"] for r in hnsw.read(spark, str(path)).select("shard", F.explode("ids").alias("id")).collect()}
+    gone, moved = [i for i in sorted(shard) if shard[i] == 0][:1], [i for i in sorted(shard) if shard[i] == 2][:1]
+    hnsw.upkeep(spark, str(path), spark.createDataFrame([(moved[0], [50.0] * 12)], frame.schema), spark.createDataFrame([(i,) for i in gone + moved], "id bigint"), "euclidean")
+    after = _files(path)
+    same = {f for f in before if f in after and before[f] == after[f]}
+    assert {f.split("/")[0] for f in before.keys() - same} == {"shard=0", "shard=2"} == {f.split("/")[0] for f in after.keys() - same}
+    far = hnsw.knn_join(hnsw.read(spark, str(path)), spark.createDataFrame([(0, [49.0] * 12)], "query_id int, vector array<double>"), 1, metric="euclidean").first()
+    assert far["id"] == moved[0]
+    # all rows of all shards go, and some come back
+    hnsw.upkeep(spark, str(path), frame.limit(0), frame.select("id"), "euclidean")
+    assert hnsw.read(spark, str(path)).agg(F.sum("n")).first()[0] == 0
+    assert hnsw.knn_join(hnsw.read(spark, str(path)), asked, 10, metric="euclidean").collect() == []
+    hnsw.upkeep(spark, str(path), frame.filter("id < 50"), frame.limit(0).select("id"), "euclidean")
+    back = hnsw.knn_join(hnsw.read(spark, str(path)), asked.filter("query_id < 50"), 1, metric="euclidean").collect()
+    assert sorted(r["id"] for r in back) == [0, 20, 40]
+
+
+@pytest.mark.parametrize("share", [0.2, 0.6, 0.95])
+def test_graph_removal(share):
+    """Whatever share goes, the graph stays in one piece from its entry, and its lists hold only rows that are left."""
+    from vicinal.operators.hnsw import Graph
+    from vicinal.schema import HnswConfig
+
+    vectors = np.array([v for _, v in _points(300)])
+    graph = Graph(vectors, "euclidean", HnswConfig(), 1)
+    gone = set(np.random.default_rng(2).choice(300, int(300 * share), replace=False).tolist()) | {graph.entry}
+    kept = [i for i in range(300) if i not in gone]
+    graph.remove(gone)
+    assert np.array_equal(graph.vectors, vectors[kept]) and 0 <= graph.entry < len(kept)
+    for layer in graph.layers:
+        assert all(0 <= x < len(kept) and x != n for n, own in layer.items() for x in own) and layer.keys() >= {x for own in layer.values() for x in own}
+    assert set(graph.layers[0]) == set(range(len(kept)))
+    hits = 0
+    for q in range(0, len(kept), 5):
+        near = set(np.argsort(((graph.vectors - graph.vectors[q]) ** 2).sum(axis=1), kind="stable")[:5].tolist())
+        hits += len(near & {n for _, n in graph.search(graph.vectors[q], 5, 64)[:5]})
+    assert hits >= 0.9 * min(5, len(kept)) * len(range(0, len(kept), 5))
+    again = Graph.load(graph.dump(), "euclidean", HnswConfig())
+    again.add(vectors[sorted(gone)])
+    assert len(again.vectors) == 300 and again.search(vectors[min(gone)], 1, 32)[0][1] == len(kept)
+
+
+def test_list_upkeep(spark, tmp_path):
+    """Changes rewrite the folders of their lists only, and answers are those of lists laid out anew."""
+    from vicinal.operators import ivf
+
+    frame = spark.createDataFrame(_points(800), "id bigint, vector array<double>").persist()
+    centroids = ivf.train(frame, "euclidean", IvfConfig(nlist=8, max_iterations=4))
+    path = tmp_path / "lists"
+    ivf.write(frame.filter("id < 700"), centroids, "euclidean", str(path))
+    own = {r["id"]: r["centroid_id"] for r in ivf.layout(frame, centroids, "euclidean").collect()}
+    out, come = [i for i in range(700) if own[i] == 2][:9], [i for i in range(700, 800) if own[i] in (2, 5)]
+    before = _files(path)
+    touched = ivf.upkeep(spark, str(path), centroids, frame.filter(F.col("id").isin(come)), spark.createDataFrame([(i,) for i in out], "id bigint"), "euclidean")
+    after = _files(path)
+    assert touched == sorted({own[i] for i in out + come})
+    same = {f for f in before if f in after and before[f] == after[f]}
+    assert {f.split("/")[0] for f in before.keys() - same} == {f"centroid_id={c}" for c in touched}
+    now = frame.filter((F.col("id") < 700) & ~F.col("id").isin(out) | F.col("id").isin(come))
+    fresh = ivf.layout(now, centroids, "euclidean")
+    for q in (3, 77, come[0]):
+        vector = frame.filter(F.col("id") == q).first()["vector"]
+        for nprobe in (1, 3, 8):
+            assert ivf.search(ivf.read(spark, str(path)), centroids, vector, 10, "euclidean", nprobe=nprobe).collect() == ivf.search(fresh, centroids, vector, 10, "euclidean", nprobe=nprobe).collect()
+    # a list that loses all its rows loses its folder
+    ivf.upkeep(spark, str(path), centroids, frame.limit(0), frame.filter(F.col("id").isin([i for i in own if own[i] == 5])).select("id"), "euclidean")
+    assert not (path / "centroid_id=5").exists() and ivf.read(spark, str(path)).filter("centroid_id = 5").count() == 0
+    assert ivf.upkeep(spark, str(path), centroids, frame.limit(0), frame.limit(0).select("id"), "euclidean") == []

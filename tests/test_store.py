@@ -207,3 +207,55 @@ def test_streams(made, spark, tmp_path):
     query = ingest.window_counts(stream).writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM w").first()[0] == ingest.filtered(events, {"k": {"$gte": 50}}, "props").count()
+
+
+@pytest.mark.parametrize("index", ["ivf", "hnsw"])
+def test_indexes_follow_changes(spark, tmp_path, index):
+    """Inserts, upserts and deletes are put into the index that is there: it is not built again, and answers as a flat collection does."""
+    import random
+
+    from vicinal.operators import hnsw, ivf
+    from vicinal.schema import IvfConfig
+
+    rng = random.Random(8)
+    point = lambda: [rng.uniform(-1, 1) for _ in range(4)]
+    c = Collection.create(spark, tmp_path, CollectionConfig("c", 4, "euclidean", index, ivf=IvfConfig(nlist=5, nprobe=5)))
+    flat = Collection.create(spark, tmp_path, CollectionConfig("flat", 4, "euclidean", "flat"))
+    q = point()
+
+    def same():
+        key = lambda x: [(r["rank"], r["id"], round(r["distance"], 9)) for r in x.query(q, 12).orderBy("rank").collect()]
+        assert key(c) == key(flat)
+
+    rows = [{"id": f"i{n}", "vector": point(), "metadata": {"n": n}} for n in range(150)]
+    for x in (c, flat):
+        x.insert(x.from_rows(rows))
+    same()
+    kind = ivf if index == "ivf" else hnsw
+    built = []
+    real = kind.write
+    kind.write = lambda *a, **b: built.append(1) or real(*a, **b)
+    try:
+        more = [{"id": f"j{n}", "vector": point()} for n in range(40)]
+        moved = [{"id": f"i{n}", "vector": point()} for n in range(0, 60, 3)] + [{"id": "new", "vector": q}, {"id": "i3", "vector": q}]
+        for x in (c, flat):
+            x.insert(x.from_rows(more))
+        same()
+        for x in (c, flat):
+            x.upsert(x.from_rows(moved))
+        same()
+        assert {r["id"] for r in c.query(q, 2).collect()} == {"new", "i3"}
+        for x in (c, flat):
+            assert x.delete(["new", *[f"i{n}" for n in range(30)], "nobody"]) == 31
+        same()
+        assert c.stats()["count"] == 160 and not built
+        for x in (c, flat):
+            x.clear()
+            assert x.query(q, 3).collect() == []
+            x.insert(x.from_rows(rows[:5]))
+        same()
+        assert built
+        (tmp_path / "c" / "index" / f"{index}.version").unlink()  # an upkeep that broke off
+        same()
+    finally:
+        kind.write = real

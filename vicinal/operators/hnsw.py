@@ -1,8 +1,9 @@
 """Graph search: one seeded navigable-small-world graph per hash shard, searched shard by shard and merged.
 
 A graph over all rows would need a shuffle for each hop, so rows are spread over shards of bounded size, each shard's graph is
-built and stored by one task as a row of the graph table, and a query runs over all shards at once. Deleted rows are taken out
-by an anti-join on results until the next build.
+built and stored by one task as a row of the graph table, and a query runs over all shards at once. Changes are put into a
+stored table shard by shard: new rows are inserted into their shard's graph, deleted ones taken out with their neighbours linked
+anew, and only the folders of shards that a change touches are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinal.operators.blocks import QUERY_ROWS
@@ -34,7 +35,7 @@ class Graph:
     """One shard's layers of neighbour lists."""
 
     def __init__(self, vectors: np.ndarray, metric: str, config: HnswConfig, seed: int):
-        self.vectors, self.metric, self.config = vectors, metric, config
+        self.vectors, self.metric, self.config, self.seed = vectors, metric, config, seed
         self.rng = random.Random(seed)
         self.layers: list[dict[int, list[int]]] = []
         self.entry = -1
@@ -116,6 +117,64 @@ class Graph:
             self.layers += [{node: []} for _ in range(top + 1 - len(self.layers))]
             self.entry = node
 
+    def add(self, vectors: np.ndarray) -> None:
+        """Inserts further rows behind those there are. Levels are drawn from the seed and how many there were."""
+        first = len(self.vectors)
+        self.rng = random.Random(f"{self.seed}:{first}")
+        self.vectors = np.concatenate([self.vectors, vectors]) if first else vectors
+        for node in range(first, len(self.vectors)):
+            self._insert(node)
+
+    def remove(self, gone: set[int]) -> None:
+        """Takes rows out. Who was linked with one is linked with those behind it instead; rows that nothing leads to any more get a link back.
+
+        The rows that stay move up in order. If the entry goes, one of the highest layer that is left takes its stead.
+        """
+        kept = [n for n in range(len(self.vectors)) if n not in gone]
+        for i, links in enumerate(self.layers):
+            most, left = self.config.m0 if i == 0 else self.config.m, {}
+            for node, own in links.items():
+                if node not in gone:
+                    left[node] = self._bridged(node, own, links, gone, most) if gone.intersection(own) else own
+            self._found_again(left)
+            self.layers[i] = left
+        while self.layers and not self.layers[-1]:
+            self.layers.pop()
+        if self.entry in gone:
+            self.entry = min(self.layers[-1], default=-1) if self.layers else -1
+        place = {n: i for i, n in enumerate(kept)}
+        self.layers = [{place[n]: [place[x] for x in own] for n, own in links.items()} for links in self.layers]
+        self.entry = place.get(self.entry, -1)
+        self.vectors = self.vectors[kept]
+
+    def _bridged(self, node: int, own: list[int], links: dict[int, list[int]], gone: set[int], most: int) -> list[int]:
+        """The node's links where some are gone: chosen among those left and what is behind the gone ones, as far as it takes to find any."""
+        near, lost = {n for n in own if n not in gone}, [n for n in own if n in gone]
+        seen = set(lost)
+        while lost:
+            behind = {n for x in lost for n in links.get(x, ())} - seen
+            near |= behind - gone - {node}
+            seen |= behind
+            lost = [] if near else sorted(behind & gone)
+        order = sorted(near)
+        if not order:
+            return []
+        return self.choose(sorted(zip(self.distances(self.vectors[node], order).tolist(), order)), most)
+
+    def _found_again(self, links: dict[int, list[int]]) -> None:
+        """Nodes of a layer that no other leads to are linked from their nearest neighbour, or from the nearest of all."""
+        led_to = {n for node, own in links.items() for n in own if n != node}
+        nodes = sorted(links)
+        for node in nodes if len(nodes) > 1 else ():
+            if node in led_to and links[node]:
+                continue
+            near = links[node] or [n for n in nodes if n != node]
+            d = self.distances(self.vectors[node], near)
+            other = near[int(d.argmin())]
+            links[node] = links[node] or [other]
+            if node not in links[other]:
+                links[other].append(node)
+
     def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
         if self.entry < 0:
             return []
@@ -152,23 +211,78 @@ class Graph:
         return [(i, len(nodes), sum(map(len, nodes.values()))) for i, nodes in enumerate(self.layers)]
 
 
+def _schema(kind: str) -> str:
+    return f"shard int, shards int, n bigint, graph binary, ids array<{kind}>, stats array<struct<layer int, nodes bigint, links bigint>>"
+
+
+def _row(shard: int, shards: int, graph: Graph, ids: list) -> pd.DataFrame:
+    stats = [{"layer": a, "nodes": b, "links": c} for a, b, c in graph.links()]
+    return pd.DataFrame({"shard": [shard], "shards": [shards], "n": [len(ids)], "graph": [graph.dump()], "ids": [ids], "stats": [stats]})
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
+
+
 def build(items: DataFrame, metric: str = "cosine", config: HnswConfig = HnswConfig(), shards: int | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """The graph table: shard, n, graph (a ``Graph`` as arrays), ids, and stats (layer, nodes, links)."""
+    """The graph table: shard, shards (how many there are), n, graph (a ``Graph`` as arrays), ids, and stats (layer, nodes, links)."""
     slim = items.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     n = slim.count()
     tasks = slim.sparkSession.sparkContext.defaultParallelism
     count = shards or max(1, math.ceil(n / SHARD_ROWS), min(tasks, n // LEAST_SHARD))
     kind = slim.schema["id"].dataType.simpleString()
-    sharded = slim.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         shard = int(pdf["shard"].iloc[0])
-        graph = Graph(np.stack(pdf["vector"].to_list()).astype(float), metric, config, config.seed + shard)
-        return pd.DataFrame({"shard": [shard], "n": [len(pdf)], "graph": [graph.dump()], "ids": [pdf["id"].tolist()], "stats": [[{"layer": a, "nodes": b, "links": c} for a, b, c in graph.links()]]})
+        return _row(shard, count, Graph(np.stack(pdf["vector"].to_list()).astype(float), metric, config, config.seed + shard), pdf["id"].tolist())
 
     # a fixed number of partitions: small as they are, shards are not to be built one after another in one task
-    return sharded.repartition(2 * count, "shard").groupBy("shard").applyInPandas(make, f"shard int, n bigint, graph binary, ids array<{kind}>, stats array<struct<layer int, nodes bigint, links bigint>>")
+    return slim.select("*", _shard(count)).repartition(2 * count, "shard").groupBy("shard").applyInPandas(make, _schema(kind))
+
+
+def write(graphs: DataFrame, path: str) -> None:
+    """A folder for each shard."""
+    graphs.write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def updated(graphs: DataFrame, added: DataFrame, removed: DataFrame, metric: str = "cosine", config: HnswConfig = HnswConfig()) -> DataFrame:
+    """The rows of a graph table that change when the ids of ``removed`` go and ``added`` (id, vector) comes: those of the shards of these ids.
+
+    Rows go before others come, so an id that is in both is replaced; of ids that are added though they are there, or twice, the
+    last by order of vectors stays. A shard that gets empty keeps a row without nodes.
+    """
+    first = graphs.select("shards").first()
+    count, kind = (first[0] if first else 1), added.schema["id"].dataType.simpleString()
+    coming = added.select("id", F.col("vector").cast("array<double>").alias("vector")).groupBy("id").agg(F.max("vector").alias("vector"))
+    changes = coming.select("id", "vector").unionByName(removed.select("id").distinct().withColumn("vector", F.lit(None).cast("array<double>"))).select("*", _shard(count))
+    touched = graphs.join(F.broadcast(changes.select("shard").distinct()), "shard", "left_semi")  # as many as there are shards, at most
+
+    def change(key: tuple, rows: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        shard = int(key[0])
+        ids = list(stored["ids"].iloc[0]) if len(stored) else []
+        graph = Graph.load(stored["graph"].iloc[0], metric, config) if len(stored) else Graph(np.empty((0, 0)), metric, config, config.seed)
+        graph.seed = config.seed + shard
+        new = rows[rows["vector"].notna()].sort_values("id", kind="stable")
+        out = set(rows["id"])
+        gone = {i for i, x in enumerate(ids) if x in out}
+        if gone:
+            graph.remove(gone)
+            ids = [x for i, x in enumerate(ids) if i not in gone]
+        if len(new):
+            graph.add(np.stack(new["vector"].to_list()).astype(float))
+        return _row(shard, count, graph, ids + new["id"].tolist())
+
+    return changes.groupBy("shard").cogroup(touched.groupBy("shard")).applyInPandas(change, _schema(kind))
+
+
+def upkeep(spark: SparkSession, path: str, added: DataFrame, removed: DataFrame, metric: str = "cosine", config: HnswConfig = HnswConfig()) -> None:
+    """Puts changes into a table that ``write`` has written; only the folders of touched shards are replaced."""
+    updated(read(spark, path), added, removed, metric, config).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
 
 
 def candidates(graphs: DataFrame, queries: DataFrame, k: int, ef: int, metric: str = "cosine", config: HnswConfig = HnswConfig()) -> DataFrame:

@@ -47,8 +47,37 @@ def layout(items: DataFrame, centroids: Sequence[Sequence[float]], metric: str,
 
 def write(items: DataFrame, centroids: Sequence[Sequence[float]], metric: str, path: str) -> None:
     """One folder per list; large lists are spread over several files."""
-    out = layout(items, centroids, metric)
-    out.repartition(F.col("centroid_id"), F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("centroid_id").parquet(path)
+    _written(layout(items, centroids, metric), path, "static")
+
+
+def _written(rows: DataFrame, path: str, mode: str) -> None:
+    dealt = rows.repartition(F.col("centroid_id"), F.pmod(F.xxhash64("id"), F.lit(8)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("centroid_id").parquet(path)
+
+
+def upkeep(spark: SparkSession, path: str, centroids: Sequence[Sequence[float]], added: DataFrame, removed: DataFrame, metric: str) -> list[int]:
+    """Puts changes into the lists that ``write`` has written: the ids of ``removed`` go, then the rows of ``added`` come.
+
+    Only folders of lists that held such an id, or get such a row, are written anew, by dynamic partition overwrite; lists that lose
+    all rows lose their folder. Returns the touched lists (there are as many as centroids, at most). Centroids stay as they are.
+    """
+    stored = read(spark, path)
+    new = layout(added, centroids, metric).select(*stored.columns).persist()
+    try:
+        gone = removed.select("id").distinct()
+        hit = stored.select("id", "centroid_id").join(gone, "id", "left_semi").select("centroid_id")
+        touched = sorted(r[0] for r in hit.unionAll(new.select("centroid_id")).distinct().collect() if r[0] is not None)
+        if touched:
+            left = stored.filter(F.col("centroid_id").isin(touched)).join(gone, "id", "left_anti").select(*stored.columns).unionByName(new)
+            there = {r[0] for r in left.select("centroid_id").distinct().collect()}
+            _written(left, path, "dynamic")
+            for number in touched:
+                if number not in there:
+                    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/centroid_id={number}")
+                    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        return touched
+    finally:
+        new.unpersist()
 
 
 def probes(query: Sequence[float], centroids: Sequence[Sequence[float]], nprobe: int, metric: str) -> list[int]:

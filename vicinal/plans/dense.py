@@ -298,6 +298,29 @@ def rebuild_equiv(spark, sf_dir):
     return rounded(ivf.search(indexed, centroids, _first(rows), K, nprobe=NLIST), "distance", "score")
 
 
+@query("ivf_upkeep", f"WITH {_IVF}, {_PROBE}, m AS (SELECT id, {distance('cosine', 'vector', 'qv')} AS d FROM lists, q WHERE id % 10 <> 3 AND c IN (SELECT c FROM probe)) {_TOP.format(m='m')}")
+def ivf_upkeep(spark, sf_dir):
+    """Stored lists after a tenth of the rows has come and another has gone answer as lists laid out anew."""
+    rows, centroids, _ = _ivf(spark, sf_dir)
+    path = f"{shared_folder(spark)}/ivf-{uuid.uuid4().hex}"
+    ivf.write(rows.filter("id % 10 <> 7"), centroids, "cosine", path)
+    ivf.upkeep(spark, path, centroids, rows.filter("id % 10 = 7"), rows.filter("id % 10 = 3").select("id"), "cosine")
+    return rounded(ivf.search(ivf.read(spark, path), centroids, _first(rows), K, nprobe=2), "distance", "score")
+
+
+@query("hnsw_upkeep", "SELECT count(*)::BIGINT AS asked, TRUE AS recalled FROM embeddings WHERE vec_id % 50 = 0")
+def hnsw_upkeep(spark, sf_dir):
+    """Whether stored graphs, after a fifth of the rows has gone and another has come, find at least 0.9 of the true neighbours."""
+    rows = items(spark, sf_dir).select("id", "vector")
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    path = f"{shared_folder(spark)}/hnsw-{uuid.uuid4().hex}"
+    hnsw.write(hnsw.build(rows.filter("id % 5 <> 4"), "cosine"), path)
+    hnsw.upkeep(spark, path, rows.filter("id % 5 = 4"), rows.filter("id % 5 = 1").select("id"), "cosine")
+    found = hnsw.knn_join(hnsw.read(spark, path), asked, K, same_table=True)
+    truth = knn.knn_join(asked, rows.filter("id % 5 <> 1"), K, "cosine", same_table=True)
+    return knn.recall_at_k(found, truth, K).select(F.col("n_queries").alias("asked"), (F.col("recall") >= 0.9).alias("recalled"))
+
+
 @query("hnsw_recall")
 def hnsw_recall(spark, sf_dir):
     """Share of true neighbours the graphs find at the default beam, over every row whose id is a multiple of 50; its own id left out."""

@@ -1,7 +1,9 @@
 """Collections: keyed items in immutable Parquet versions, with dense, sparse and fused queries over them.
 
-A change writes a new version folder and then flips the ``CURRENT`` file, so readers see the old or the new version. Index
-layouts belong to a version and are built on demand.
+A change writes a new version folder and then flips the ``CURRENT`` file, so readers see the old or the new version. Inverted
+lists and graphs are built on demand and kept up by later changes: only the folders of lists and shards that a change touches
+are replaced. A mark beside each says which version it is of; it is taken away before an upkeep and set after, so an index whose
+upkeep broke off is built anew. Postings belong to a version.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from vicinal.operators import bm25, cluster, fusion, hnsw, ivf, knn, mmr
 from vicinal.schema import ITEM, CollectionConfig, HnswConfig, IvfConfig, parse_index
 from vicinal.sources import dml, files, jsonl, vdb
 
+#: Growth since training, or beyond a shard's size, at which an index is built anew instead of kept up.
+GROWTH = 4
+
 
 class Collection:
     """One collection below ``root``. All queries return DataFrames."""
@@ -58,11 +63,43 @@ class Collection:
     def _folder(self, version: int, what: str = "items") -> str:
         return str(self.path / f"v{version}" / what)
 
-    def _commit(self, items: DataFrame) -> None:
+    def _commit(self, items: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        """Writes a version. ``added`` (items) and ``removed`` (ids) say what has changed, so that indexes can follow; else they are built anew when asked for."""
         version = self.version() + 1 if (self.path / "CURRENT").exists() else 1
+        kept = [kind for kind in ("ivf", "hnsw") if self._is_fresh(kind)] if added is not None or removed is not None else []
         items.select(*[f.name for f in ITEM]).write.mode("overwrite").parquet(self._folder(version))
         files.atomic_write(self.path / "config.json", json.dumps(self.config.to_dict(), indent=2))
         files.atomic_write(self.path / "CURRENT", str(version))
+        for kind in kept:
+            self._keep_up(kind, version, added, removed)
+
+    def _index(self, kind: str) -> Path:
+        return self.path / "index" / kind
+
+    def _mark(self, kind: str) -> Path:
+        return self.path / "index" / f"{kind}.version"
+
+    def _is_fresh(self, kind: str) -> bool:
+        """Whether the index is there and of this version."""
+        mark = self._mark(kind)
+        return mark.exists() and mark.read_text() == str(self.version())
+
+    def _keep_up(self, kind: str, version: int, added: DataFrame | None, removed: DataFrame | None) -> None:
+        added = self.items().limit(0) if added is None else added
+        removed = self.items().limit(0) if removed is None else removed
+        self._mark(kind).unlink()
+        if kind == "ivf":
+            trained = files.safe_json_read(self._index(kind) / "centroids.json") or {}
+            if not trained.get("centroids") or self.count() > GROWTH * trained["n"]:
+                return  # of too few rows: trained anew on the next search
+            ivf.upkeep(self.spark, str(self._index(kind) / "lists"), trained["centroids"], added, removed, self.config.metric)
+        elif not any(self._index(kind).glob("shard=*")):
+            return  # nothing has been written of no items
+        else:
+            hnsw.upkeep(self.spark, str(self._index(kind)), added, removed, self.config.metric, self.config.hnsw)
+            if (hnsw.read(self.spark, str(self._index(kind))).agg(F.max("n")).first()[0] or 0) > GROWTH * hnsw.SHARD_ROWS:
+                return  # shards have outgrown their size: dealt anew on the next search
+        files.atomic_write(self._mark(kind), str(version))
 
     def items(self) -> DataFrame:
         return self.spark.read.schema(ITEM).parquet(self._folder(self.version()))
@@ -94,16 +131,17 @@ class Collection:
         twice = dml.duplicates(self.items(), rows).select("id").union(rows.groupBy("id").count().filter("count > 1").select("id")).first()
         if twice:
             raise ValueError(f"id {twice[0]!r} exists")
-        self._commit(self.items().unionByName(rows))
+        self._commit(self.items().unionByName(rows), rows)
 
     def upsert(self, rows: DataFrame) -> None:
-        self._commit(dml.upsert(self.items(), self._checked(rows)))
+        rows = self._checked(rows)
+        self._commit(dml.upsert(self.items(), rows), dml.newest(rows).select(*[f.name for f in ITEM]), rows.select("id"))
 
     def delete(self, ids: Sequence[str]) -> int:
         gone = dml.requests(self.spark, ids).select("id").distinct()
         n = self.items().join(gone, "id", "left_semi").count()
         if n:
-            self._commit(dml.delete(self.items(), gone))
+            self._commit(dml.delete(self.items(), gone), removed=gone)
         return n
 
     def clear(self) -> None:
@@ -168,15 +206,16 @@ class Collection:
         return cluster.cluster(self.items(), k, method, self.where(where), self.config.metric, max_iter, seed)
 
     def _ivf(self) -> tuple[DataFrame, list[list[float]]]:
-        folder = Path(self._folder(self.version(), "ivf"))
-        centroids = files.safe_json_read(folder / "centroids.json")
-        if centroids is None:
+        folder, version = self._index("ivf"), self.version()
+        if not self._is_fresh("ivf"):
             n = self.count()
             few = IvfConfig(**{**self.config.to_dict()["ivf"], "nlist": max(1, min(self.config.ivf.nlist, n))})
             centroids = ivf.train(self.items(), self.config.metric, few) if n else []
             if centroids:
                 ivf.write(self.items(), centroids, self.config.metric, str(folder / "lists"))
-            files.atomic_write(folder / "centroids.json", json.dumps(centroids))
+            files.atomic_write(folder / "centroids.json", json.dumps({"centroids": centroids, "n": n}))
+            files.atomic_write(self._mark("ivf"), str(version))
+        centroids = files.safe_json_read(folder / "centroids.json")["centroids"]
         return (ivf.read(self.spark, str(folder / "lists")) if centroids else self.items().withColumn("centroid_id", F.lit(0))), centroids
 
     def _sparse(self) -> str:
@@ -186,10 +225,12 @@ class Collection:
         return folder
 
     def _hnsw(self) -> DataFrame:
-        folder = Path(self._folder(self.version(), "hnsw"))
-        if not (folder / "_SUCCESS").exists():
-            hnsw.build(self.items(), self.config.metric, self.config.hnsw).write.mode("overwrite").parquet(str(folder))
-        return self.spark.read.parquet(str(folder))
+        folder, version = str(self._index("hnsw")), self.version()
+        if not self._is_fresh("hnsw"):
+            hnsw.write(hnsw.build(self.items(), self.config.metric, self.config.hnsw), folder)
+            files.atomic_write(self._mark("hnsw"), str(version))
+        # nothing has been written of no items
+        return hnsw.read(self.spark, folder) if any(Path(folder).glob("shard=*")) else hnsw.build(self.items(), self.config.metric, self.config.hnsw)
 
     def rebuild_index(self, index_type: str, hnsw_config: HnswConfig | None = None, ivf_config: IvfConfig | None = None) -> None:
         """Switch the access path; answers of exact paths stay the same."""
@@ -200,13 +241,11 @@ class Collection:
     def stats(self) -> dict[str, Any]:
         c, s = self.config, stats_frame(self.items(), self.config.dimension).first()
         out = {"name": c.name, "count": s["count"], "dimension": c.dimension, "metric": c.metric, "index_type": c.index_type, "memory_bytes": s["memory_bytes"], "has_sparse_index": s["n_documents"] > 0, "layers_count": 0, "avg_links_per_node": 0.0}
-        folder = Path(self._folder(self.version(), "hnsw"))
-        if c.index_type == "hnsw" and (folder / "_SUCCESS").exists():
-            layers = hnsw.graph_stats(self.spark.read.parquet(str(folder))).collect()
+        if c.index_type == "hnsw" and self._is_fresh("hnsw"):
+            layers = hnsw.graph_stats(self._hnsw()).collect()
             out |= {"layers_count": len(layers), "avg_links_per_node": sum(r["links"] for r in layers) / max(1, sum(r["nodes"] for r in layers))}
-        lists = Path(self._folder(self.version(), "ivf")) / "lists"
-        if c.index_type == "ivf" and (lists / "_SUCCESS").exists():
-            sizes = {r["centroid_id"]: r["n"] for r in ivf.list_sizes(ivf.read(self.spark, str(lists))).collect()}
+        if c.index_type == "ivf" and self._is_fresh("ivf"):
+            sizes = {r["centroid_id"]: r["n"] for r in ivf.list_sizes(self._ivf()[0]).collect()}
             out |= {"clusters": len(sizes), "cluster_sizes": dict(sorted(sizes.items()))}
         return out
 

@@ -13,11 +13,16 @@ def duplicates(base: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
     return batch.join(base.select(key), key, "left_semi").groupBy(key).agg(F.count("*").alias("n"))
 
 
+def newest(batch: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
+    """The last row of each key by ``order``."""
+    last = F.max_by(F.struct(*[F.col(c) for c in batch.columns if c != key]), F.col(order))
+    return batch.groupBy(key).agg(last.alias("r")).select(key, "r.*")
+
+
 def upsert(base: DataFrame, batch: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
     """``base`` with the rows of ``batch`` put in; the last of ``batch`` by ``order`` wins and takes the old row's stead."""
-    last = F.max_by(F.struct(*[F.col(c) for c in batch.columns if c != key]), F.col(order))
-    newest = batch.groupBy(key).agg(last.alias("r")).select(key, "r.*")
-    return base.join(newest.select(key), key, "left_anti").unionByName(newest.select(*base.columns))
+    last = newest(batch, key, order)
+    return base.join(last.select(key), key, "left_anti").unionByName(last.select(*base.columns))
 
 
 def delete(base: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
