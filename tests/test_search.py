@@ -298,3 +298,35 @@ def test_list_upkeep(spark, tmp_path):
     ivf.upkeep(spark, str(path), centroids, frame.limit(0), frame.filter(F.col("id").isin([i for i in own if own[i] == 5])).select("id"), "euclidean")
     assert not (path / "centroid_id=5").exists() and ivf.read(spark, str(path)).filter("centroid_id = 5").count() == 0
     assert ivf.upkeep(spark, str(path), centroids, frame.limit(0), frame.limit(0).select("id"), "euclidean") == []
+
+
+def test_routed_graphs(spark, tmp_path):
+    """Queries read a quarter of the shards at most - the others' files are spoilt - and still find 0.9; changes find their shards."""
+    from vicinal.operators import hnsw, ivf, knn
+
+    rng = np.random.default_rng(6)
+    middles = rng.normal(scale=2.0, size=(40, 8))
+    rows = [(i, [float(x) for x in middles[i % 40] + rng.normal(scale=0.6, size=8)]) for i in range(1600)]
+    frame = spark.createDataFrame(rows, "id bigint, vector array<double>").persist()
+    centroids = ivf.train(frame, "euclidean", IvfConfig(nlist=12, max_iterations=8))
+    path = tmp_path / "graphs"
+    hnsw.write(hnsw.build(frame.filter("id % 5 <> 4"), "euclidean", centroids=centroids), str(path))
+    hnsw.upkeep(spark, str(path), frame.filter("id % 5 = 4"), frame.filter("id % 5 = 1").select("id"), "euclidean", centroids=centroids)
+    stored = hnsw.read(spark, str(path)).select("shard", F.explode("ids").alias("id")).collect()
+    assert {r["id"] for r in stored} == {i for i, _ in rows if i % 5 != 1} and 1280 < len(stored) < 2 * 1280
+    now, asked = frame.filter("id % 5 <> 1"), frame.filter("id % 40 = 0").selectExpr("id AS query_id", "vector")
+    truth = knn.knn_join(asked, now, 10, "euclidean", same_table=True)
+    found = hnsw.knn_join(hnsw.read(spark, str(path)), asked, 10, metric="euclidean", same_table=True, centroids=centroids, nprobe=3)
+    got = found.collect()
+    assert len({(r["query_id"], r["id"]) for r in got}) == len(got)
+    assert knn.recall_at_k(spark.createDataFrame(got, found.schema), truth, 10).first()["recall"] >= 0.9
+    one = frame.filter("id = 0").first()["vector"]
+    near = ivf.probes(one, centroids, 3, "euclidean")
+    before = [r["id"] for r in hnsw.search(hnsw.read(spark, str(path)), now, one, 10, "euclidean", centroids=centroids, nprobe=3).collect()]
+    table = hnsw.read(spark, str(path))
+    for file in path.glob("shard=*/*.parquet"):
+        if int(file.parent.name.split("=")[1]) not in near:
+            file.write_bytes(b"spoilt")
+    assert [r["id"] for r in hnsw.search(table, now, one, 10, "euclidean", centroids=centroids, nprobe=3).collect()] == before
+    with pytest.raises(Exception):
+        hnsw.search(table, now, one, 10, "euclidean").collect()

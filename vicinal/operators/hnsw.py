@@ -4,6 +4,10 @@ A graph over all rows would need a shuffle for each hop, so rows are spread over
 built and stored by one task as a row of the graph table, and a query runs over all shards at once. Changes are put into a
 stored table shard by shard: new rows are inserted into their shard's graph, deleted ones taken out with their neighbours linked
 anew, and only the folders of shards that a change touches are replaced.
+
+Shards are dealt by a hash of the id, so that every query asks all of them, or by ``centroids``: a row is in the shard of its
+nearest one, and in that of its second nearest too if this is hardly farther (``SLACK``). Then a query asks the ``nprobe`` shards
+nearest to it, and reads their folders only.
 """
 
 from __future__ import annotations
@@ -12,23 +16,29 @@ import heapq
 import io
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vicinal.operators.blocks import QUERY_ROWS
-from vicinal.operators.knn import _distances, ranked, top_k
 from vicinal.functions.distance import score
+from vicinal.operators.blocks import QUERY_ROWS
+from vicinal.operators.knn import _distances, _matrix, ranked, top_k, usable
+from vicinal.operators.lloyd import Centroids
 from vicinal.schema import HnswConfig
 
 #: Rows that one shard holds, about.
 SHARD_ROWS = 20_000
 #: Rows below which a table is not cut into more shards for the sake of parallel building.
 LEAST_SHARD = 500
+#: A row is in a second shard as well if its centroid is at most so many times as far as the nearest.
+SLACK = 1.15
+#: Shards of a routed table that a query asks.
+NPROBE = 4
 
 
 class Graph:
@@ -224,12 +234,37 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
 
 
-def build(items: DataFrame, metric: str = "cosine", config: HnswConfig = HnswConfig(), shards: int | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """The graph table: shard, shards (how many there are), n, graph (a ``Graph`` as arrays), ids, and stats (layer, nodes, links)."""
+def routed(rows: DataFrame, centroids: Centroids, metric: str, most: int, slack: float | None = None) -> DataFrame:
+    """``rows`` (vector, and others) with the shards of the ``most`` nearest centroids (ties by number), a row for each; with ``slack``, of those at most so many times as far as the nearest."""
+    sent = rows.sparkSession.sparkContext.broadcast(np.array(centroids, float))
+    at, names = rows.columns.index("vector"), [*rows.columns, "__shards"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            d = np.round(_distances(metric, _matrix(batch.column(at), c.shape[1]), c), 12)
+            near = np.argsort(d, axis=1, kind="stable")[:, :most].astype(np.int32)
+            far = np.take_along_axis(d, near.astype(np.int64), axis=1)
+            fine = far <= far[:, :1] * slack if slack is not None else np.ones_like(near, bool)
+            fine[:, 0] = True
+            lists = [row[ok].tolist() for row, ok in zip(near, fine)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=names)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("__shards", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(run, schema).withColumn("shard", F.explode("__shards")).drop("__shards")
+
+
+def build(items: DataFrame, metric: str = "cosine", config: HnswConfig = HnswConfig(), shards: int | None = None, id_col: str = "id", vector_col: str = "vector", centroids: Centroids | None = None) -> DataFrame:
+    """The graph table: shard, shards (how many there are), n, graph (a ``Graph`` as arrays), ids, and stats (layer, nodes, links).
+
+    With ``centroids`` there is a shard for each, else ``shards`` of them, or as many as the rows ask for.
+    """
     slim = items.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     n = slim.count()
     tasks = slim.sparkSession.sparkContext.defaultParallelism
-    count = shards or max(1, math.ceil(n / SHARD_ROWS), min(tasks, n // LEAST_SHARD))
+    count = len(centroids) if centroids is not None else shards or max(1, math.ceil(n / SHARD_ROWS), min(tasks, n // LEAST_SHARD))
     kind = slim.schema["id"].dataType.simpleString()
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -238,7 +273,8 @@ def build(items: DataFrame, metric: str = "cosine", config: HnswConfig = HnswCon
         return _row(shard, count, Graph(np.stack(pdf["vector"].to_list()).astype(float), metric, config, config.seed + shard), pdf["id"].tolist())
 
     # a fixed number of partitions: small as they are, shards are not to be built one after another in one task
-    return slim.select("*", _shard(count)).repartition(2 * count, "shard").groupBy("shard").applyInPandas(make, _schema(kind))
+    dealt = slim.select("*", _shard(count)) if centroids is None else routed(slim.filter(usable(F.col("vector"))), centroids, metric, 2, SLACK)
+    return dealt.repartition(2 * count, "shard").groupBy("shard").applyInPandas(make, _schema(kind))
 
 
 def write(graphs: DataFrame, path: str) -> None:
@@ -250,7 +286,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def updated(graphs: DataFrame, added: DataFrame, removed: DataFrame, metric: str = "cosine", config: HnswConfig = HnswConfig()) -> DataFrame:
+def updated(graphs: DataFrame, added: DataFrame, removed: DataFrame, metric: str = "cosine", config: HnswConfig = HnswConfig(), centroids: Centroids | None = None) -> DataFrame:
     """The rows of a graph table that change when the ids of ``removed`` go and ``added`` (id, vector) comes: those of the shards of these ids.
 
     Rows go before others come, so an id that is in both is replaced; of ids that are added though they are there, or twice, the
@@ -258,9 +294,15 @@ def updated(graphs: DataFrame, added: DataFrame, removed: DataFrame, metric: str
     """
     first = graphs.select("shards").first()
     count, kind = (first[0] if first else 1), added.schema["id"].dataType.simpleString()
-    coming = added.select("id", F.col("vector").cast("array<double>").alias("vector")).groupBy("id").agg(F.max("vector").alias("vector"))
-    changes = coming.select("id", "vector").unionByName(removed.select("id").distinct().withColumn("vector", F.lit(None).cast("array<double>"))).select("*", _shard(count))
-    touched = graphs.join(F.broadcast(changes.select("shard").distinct()), "shard", "left_semi")  # as many as there are shards, at most
+    coming = added.select("id", F.col("vector").cast("array<double>").alias("vector")).groupBy("id").agg(F.max("vector").alias("vector")).select("id", "vector")
+    leaving = removed.select("id").distinct().withColumn("vector", F.lit(None).cast("array<double>"))
+    if centroids is None:
+        changes = coming.unionByName(leaving).select("*", _shard(count))
+    else:  # where a row that goes, or that comes though it is there, has been dealt to is told by the shards' own lists of ids
+        there = graphs.select(F.col("shard").cast("int").alias("shard"), F.explode("ids").alias("id"))
+        out = leaving.unionByName(coming.select("id").withColumn("vector", F.lit(None).cast("array<double>"))).distinct().join(there, "id")
+        changes = routed(coming.filter(usable(F.col("vector"))), centroids, metric, 2, SLACK).unionByName(out.select("id", "vector", "shard"))
+    touched = graphs.join(changes.select("shard").distinct(), "shard", "left_semi")
 
     def change(key: tuple, rows: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
@@ -280,19 +322,28 @@ def updated(graphs: DataFrame, added: DataFrame, removed: DataFrame, metric: str
     return changes.groupBy("shard").cogroup(touched.groupBy("shard")).applyInPandas(change, _schema(kind))
 
 
-def upkeep(spark: SparkSession, path: str, added: DataFrame, removed: DataFrame, metric: str = "cosine", config: HnswConfig = HnswConfig()) -> None:
+def upkeep(spark: SparkSession, path: str, added: DataFrame, removed: DataFrame, metric: str = "cosine", config: HnswConfig = HnswConfig(), centroids: Centroids | None = None) -> None:
     """Puts changes into a table that ``write`` has written; only the folders of touched shards are replaced."""
-    updated(read(spark, path), added, removed, metric, config).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    updated(read(spark, path), added, removed, metric, config, centroids).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+
 
+def candidates(graphs: DataFrame, queries: DataFrame, k: int, ef: int, metric: str = "cosine", config: HnswConfig = HnswConfig(), centroids: Centroids | None = None, nprobe: int = NPROBE) -> DataFrame:
+    """(query_id, id, distance): beam results of the queries (query_id, vector) in a stored graph table, in every shard or, with ``centroids``, in the ``nprobe`` nearest.
 
-def candidates(graphs: DataFrame, queries: DataFrame, k: int, ef: int, metric: str = "cosine", config: HnswConfig = HnswConfig()) -> DataFrame:
-    """(query_id, id, distance): beam results of every query (query_id, vector) in every shard of a stored graph table. Blocks of queries meet shards in tasks."""
+    Blocks of queries meet shards in tasks. Of a routed table only shards that some query asks are read.
+    """
     kind, own = graphs.schema["ids"].dataType.elementType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     blocks = max(1, math.ceil(queries.count() / QUERY_ROWS))
-    shards = graphs.select("shard", "graph", "ids").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"))
-    last = graphs.agg(F.max("shard")).first()[0] or 0
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))  # every block goes to every shard
+    if centroids is None:
+        last = graphs.agg(F.max("shard")).first()[0] or 0
+        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))  # every block goes to every shard
+        shards = graphs.select("shard", "graph", "ids").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    else:
+        asked = routed(asked.filter(usable(F.col("vector"))), centroids, metric, nprobe).persist()
+        wanted = asked.select(F.col("shard").alias("shard"), F.col("qb").alias("qb")).distinct()
+        numbers = [r[0] for r in wanted.select("shard").distinct().collect()]  # centroids are a bounded list
+        shards = graphs.filter(F.col("shard").isin(numbers)).select("shard", "graph", "ids").join(wanted, "shard")
 
     def run(asked: pa.Table, shard: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -306,20 +357,22 @@ def candidates(graphs: DataFrame, queries: DataFrame, k: int, ef: int, metric: s
     return asked.groupBy("qb", "shard").cogroup(shards.groupBy("qb", "shard")).applyInArrow(run, f"query_id {own}, id {kind}, distance double")
 
 
-def knn_join(graphs: DataFrame, queries: DataFrame, k: int, ef: int | None = None, metric: str = "cosine", config: HnswConfig = HnswConfig(), same_table: bool = False) -> DataFrame:
+def knn_join(graphs: DataFrame, queries: DataFrame, k: int, ef: int | None = None, metric: str = "cosine", config: HnswConfig = HnswConfig(), same_table: bool = False, centroids: Centroids | None = None, nprobe: int = NPROBE) -> DataFrame:
     """query_id, rank, id, distance of the k nearest that the graphs find for each query; ``same_table`` leaves out the query's own id."""
-    found = candidates(graphs, queries, k + same_table, max(k + same_table, ef or config.ef_search), metric, config)
+    found = candidates(graphs, queries, k + same_table, max(k + same_table, ef or config.ef_search), metric, config, centroids, nprobe)
+    if centroids is not None:  # a row near a border is in two shards
+        found = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     if same_table:
         found = found.filter("query_id <> id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def search(graphs: DataFrame, items: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", where: Column | None = None, ef_search: int | None = None, config: HnswConfig = HnswConfig(), id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def search(graphs: DataFrame, items: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", where: Column | None = None, ef_search: int | None = None, config: HnswConfig = HnswConfig(), id_col: str = "id", vector_col: str = "vector", centroids: Centroids | None = None, nprobe: int = NPROBE) -> DataFrame:
     """rank, id, distance, score. Filters apply to what the beams found; if fewer than k are left, the filtered table is searched exactly."""
     ef = max(k, ef_search or config.ef_search)
     asked = items.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, vector array<double>")
-    found = candidates(graphs, asked, k, ef, metric, config).select("id", "distance")
+    found = candidates(graphs, asked, k, ef, metric, config, centroids, nprobe).groupBy("id").agg(F.min("distance").alias("distance"))
     allowed = items.filter(where) if where is not None else items
     found = found.join(allowed.select(F.col(id_col).alias("id")), "id", "left_semi")
     if where is not None and found.limit(k).count() < k:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.functions import distance as D
@@ -321,6 +323,29 @@ def hnsw_upkeep(spark, sf_dir):
     return knn.recall_at_k(found, truth, K).select(F.col("n_queries").alias("asked"), (F.col("recall") >= 0.9).alias("recalled"))
 
 
+ROUTED = 16
+
+
+@query("hnsw_routed")
+def hnsw_routed(spark, sf_dir):
+    """Recall of graphs dealt by centroid where each query asks a quarter, half and three quarters of the shards.
+
+    How few shards do depends on the data: vectors in groups are found in a few (tests hold a quarter to 0.9), while these have
+    hardly any near neighbours, so that true ones lie in many.
+    """
+    rows = items(spark, sf_dir).select("id", "vector")
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    centroids = ivf.train(rows, "cosine", IvfConfig(nlist=ROUTED, max_iterations=8))
+    path = f"{shared_folder(spark)}/hnsw-{uuid.uuid4().hex}"
+    hnsw.write(hnsw.build(rows, "cosine", centroids=centroids), path)
+    truth = knn.knn_join(asked, rows, K, "cosine", same_table=True).persist()
+    parts = []
+    for shards in (ROUTED // 4, ROUTED // 2, ROUTED * 3 // 4):
+        found = hnsw.knn_join(hnsw.read(spark, path), asked, K, same_table=True, centroids=centroids, nprobe=shards)
+        parts.append(knn.recall_at_k(found, truth, K).select(F.lit(shards).alias("shards_asked"), "n_queries", "recall"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("hnsw_recall")
 def hnsw_recall(spark, sf_dir):
     """Share of true neighbours the graphs find at the default beam, over every row whose id is a multiple of 50; its own id left out."""
