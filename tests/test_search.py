@@ -330,3 +330,28 @@ def test_routed_graphs(spark, tmp_path):
     assert [r["id"] for r in hnsw.search(table, now, one, 10, "euclidean", centroids=centroids, nprobe=3).collect()] == before
     with pytest.raises(Exception):
         hnsw.search(table, now, one, 10, "euclidean").collect()
+
+
+def test_stored_postings(spark, tmp_path):
+    """Blocks that cannot hold one of the best are left out and the ranking stays that of a full search, filtered or not."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 40), p=np.arange(40, 0, -1) / 820)) for _ in range(900)]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("none", None), ("empty", ""), ("marks", "!!")], "id string, document string").persist()
+    path = str(tmp_path / "index")
+    bm25.write_index(docs, path, block_docs=4)
+    allowed = docs.filter("id LIKE '%7%'").select("id")
+    for text, k in (("w39 w38", 3), ("w0 w1 W1", 10), ("w39 nowhere", 5), ("nowhere", 3), ("w20", 2000), ("", 4)):
+        for only in (None, allowed):
+            got = [(r["id"], round(r["score"], 9)) for r in bm25.search_index(spark, path, text, k, only).orderBy("rank").collect()]
+            every = bm25.search(docs, text, None, F.col("id").like("%7%") if only is not None else None).select("id", "score").collect()
+            assert got == sorted(((r["id"], round(r["score"], 9)) for r in every), key=lambda x: (-x[1], x[0]))[:k]
+    seen = []
+    real = bm25.search_postings
+    bm25.search_postings = lambda post, *a, **b: seen.append(post) or real(post, *a, **b)
+    try:
+        bm25.search_index(spark, path, "w39 w2", 3).collect()
+    finally:
+        bm25.search_postings = real
+    whole = docs.filter(F.col("document").rlike(r"\bw(39|2)\b")).count()
+    assert seen[-1].select("id").distinct().count() < whole / 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vicinal.functions.distance import set_jaccard
@@ -11,6 +13,7 @@ from vicinal.operators import bm25, fusion
 from vicinal.operators.blocks import grid
 from vicinal.plans.registry import query
 from vicinal.plans.views import ITEMS, META, PAIRED, distance, documents, joined, joined_sql, rounded, score, table, text_items
+from vicinal.session import shared_folder
 
 K = 10
 #: name -> (filter, SQL predicate over documents with their labels; ``tags`` are lang and source)
@@ -25,6 +28,8 @@ FILTERS = {
     "filter_contains_array": ({"tags": {"$contains": "src3"}}, "'src3' IN (lang, source)"),
     "filter_all": ({"tags": {"$all": ["fr", "src3"]}}, "lang = 'fr' AND source = 'src3'"),
     "filter_regex": ({"source": {"$regex": "^src1[0-9]$"}}, "regexp_matches(source, '^src1[0-9]$')"),
+    "filter_regex_classes": ({"source": {"$regex": r"^(?P<a_word>[[s]rc)(?:[0-4]|9)\Z"}}, "regexp_matches(source, '^src([0-4]|9)$')"),
+    "filter_whole_numbers": ({"$and": [{"big": {"$gt": 2**53 + 101}}, {"big": {"$ne": 2**53 + 103}}, {"big": {"$nin": [2**53 + 105, float(2**53)]}}, {"big": {"$lte": 2**53 + 301}}]}, "id > 101 AND id NOT IN (103, 105) AND id <= 301"),
     "filter_and_or": ({"$and": [{"lang": "en"}, {"$or": [{"quality": 1}, {"n_chars": {"$gt": 5000}}]}]}, "lang = 'en' AND (coalesce(quality = 1, false) OR n_chars > 5000)"),
     "filter_not_nor": ({"$not": {"lang": "en"}, "$nor": [{"quality": 0}, {"toxic": 1}]}, "lang <> 'en' AND NOT (coalesce(quality = 0, false) OR coalesce(toxic = 1, false))"),
 }
@@ -150,6 +155,31 @@ def _hybrid(spark, sf_dir, kind, where=None):
     return rounded(fused, "combined_score", "dense_score", "sparse_score")
 
 
+def _stored(spark, rows):
+    path = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+    bm25.write_index(rows, path)
+    return path
+
+
+@query("text_search_stored", f"WITH {_bm25_sql(_WORDS, K)} SELECT rank, id, round(score, 6) AS score, round(1 / (1 + score), 6) AS distance FROM sparse")
+def text_search_stored(spark, sf_dir):
+    """The best matches by a stored index: of the query's terms, and of blocks that can hold one of them."""
+    return rounded(bm25.search_index(spark, _stored(spark, documents(spark, sf_dir)), TEXT, K), "score", "distance")
+
+
+@query("hybrid_stored", _hybrid_sql(K, _RRF))
+def hybrid_stored(spark, sf_dir):
+    """Vectors and stored postings fused."""
+    from vicinal.operators.knn import top_k
+
+    rows = text_items(spark, sf_dir)
+    q = [float(x) for x in rows.filter("id = 0").select("vector").first()[0]]
+    pool = fusion.pool_rows(K)
+    sparse = bm25.search_index(spark, _stored(spark, documents(spark, sf_dir)), TEXT, pool)
+    fused = fusion.fuse(top_k(rows.filter("vector IS NOT NULL"), q, pool, "cosine"), sparse, K)
+    return rounded(fused, "combined_score", "dense_score", "sparse_score")
+
+
 @query("hybrid_rrf", _hybrid_sql(K, _RRF))
 def hybrid_rrf(spark, sf_dir):
     return _hybrid(spark, sf_dir, "rrf")

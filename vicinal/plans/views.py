@@ -28,7 +28,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their labels as JSON metadata; unlabelled ones lack the keys."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     joined = d.join(labels, "doc_id", "left")
-    meta = F.to_json(F.struct("lang", "source", "n_chars", "quality", "toxic", F.array("lang", "source").alias("tags")))
+    meta = F.to_json(F.struct("lang", "source", "n_chars", "quality", "toxic", F.array("lang", "source").alias("tags"), (F.col("doc_id") + 2**53).alias("big")))
     return joined.select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "lang", "source", "n_chars", F.parse_json(meta).alias("metadata"))
 
 

@@ -177,16 +177,18 @@ class Collection:
     def query(self, vector: Sequence[float], k: int = 10, where: Mapping[str, Any] | None = None, include_vector: bool = False, nprobe: int | None = None, ef_search: int | None = None) -> DataFrame:
         """rank, id, distance, score, metadata, document by the collection's index."""
         knn.check_dimension(vector, self.config.dimension)
-        pred, items, metric = self.where(where), self.items(), self.config.metric
+        return self._payload(self._top(vector, k, self.where(where), nprobe, ef_search), include_vector)
+
+    def _top(self, vector: Sequence[float], k: int, pred: Column | None, nprobe: int | None = None, ef_search: int | None = None) -> DataFrame:
+        items, metric = self.items(), self.config.metric
         match self.config.index_type:
             case "ivf":
                 indexed, centroids = self._ivf()
-                top = ivf.search(indexed, centroids, vector, k, metric, pred, nprobe or self.config.ivf.nprobe)
+                return ivf.search(indexed, centroids, vector, k, metric, pred, nprobe or self.config.ivf.nprobe)
             case "hnsw":
-                top = hnsw.search(self._hnsw(), items, vector, k, metric, pred, ef_search, self.config.hnsw)
+                return hnsw.search(self._hnsw(), items, vector, k, metric, pred, ef_search, self.config.hnsw)
             case _:
-                top = knn.top_k(items, vector, k, metric, pred)
-        return self._payload(top, include_vector)
+                return knn.top_k(items, vector, k, metric, pred)
 
     def diverse_query(self, vector: Sequence[float], k: int = 10, where: Mapping[str, Any] | None = None, fetch_k: int = mmr.FETCH_K, lam: float = mmr.LAMBDA) -> DataFrame:
         knn.check_dimension(vector, self.config.dimension)
@@ -194,13 +196,17 @@ class Collection:
 
     def text_search(self, text: str, k: int = 10, where: Mapping[str, Any] | None = None) -> DataFrame:
         """BM25 over the stored postings of this version, which are written on the first search."""
-        pred = self.where(where)
+        return self._payload(self._matching(text, k, self.where(where)), False)
+
+    def _matching(self, text: str, k: int, pred: Column | None) -> DataFrame:
         allowed = self.items().filter(pred).select("id") if pred is not None else None
-        return self._payload(bm25.search_index(self.spark, self._sparse(), text, k, allowed), False)
+        return bm25.search_index(self.spark, self._sparse(), text, k, allowed)
 
     def hybrid(self, vector: Sequence[float], text: str, k: int = 10, where: Mapping[str, Any] | None = None, fusion_method: str = "rrf", alpha: float = fusion.ALPHA, rrf_k: int = fusion.RRF_K) -> DataFrame:
+        """The collection's index and its stored postings, each with a pool of max(3k, 20) rows, fused."""
         knn.check_dimension(vector, self.config.dimension)
-        return self._payload(fusion.hybrid(self.items(), vector, text, k, self.config.metric, self.where(where), fusion_method, alpha, rrf_k), False)
+        pred, pool = self.where(where), fusion.pool_rows(k)
+        return self._payload(fusion.fuse(self._top(vector, pool, pred), self._matching(text, pool, pred), k, fusion_method, alpha, rrf_k), False)
 
     def cluster(self, k: int = 3, method: str = "kmeans", where: Mapping[str, Any] | None = None, max_iter: int = 50, seed: int = 42) -> cluster.Clustering:
         return cluster.cluster(self.items(), k, method, self.where(where), self.config.metric, max_iter, seed)
