@@ -259,3 +259,22 @@ def test_indexes_follow_changes(spark, tmp_path, index):
         same()
     finally:
         kind.write = real
+
+
+def test_command_options(monkeypatch):
+    """Counts of vectors and of queries, long names and versions."""
+    from vicinal.service import cli
+
+    asked = []
+    monkeypatch.setattr(cli, "benchmark", lambda spark, *a, **b: asked.append((a, b["config"])) or {})
+    store = type("S", (), {"spark": None})()
+    cli.run(cli.parser().parse_args(["benchmark", "--count", "300", "--queries", "7", "--dim", "8", "--top-k", "3", "--m", "6", "--ef-search", "40"]), store)
+    (a, config), = asked
+    assert a == (300, 8, 7, 3, "cosine") and (config.m, config.ef_search, config.ef_construction) == (6, 40, 64)
+    args = cli.parser().parse_args(["--no-color", "query", "c", "--top-k", "9", "-v", "1,2"])
+    assert args.k == 9 and args.vector == "1,2"
+    assert cli.parser().parse_args(["insert", "c", "--embed", "-d", "text"]).doc == "text"
+    assert cli.parser().parse_args(["serve", "--open-browser"]).open_browser
+    with pytest.raises(SystemExit) as ended:
+        cli.parser().parse_args(["--version"])
+    assert ended.value.code == 0

@@ -114,7 +114,7 @@ def diagnostics(spark: SparkSession) -> dict[str, Any]:
     return {"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "master": spark.sparkContext.master, "job_ms": round((time.perf_counter() - began) * 1000, 2)}
 
 
-def benchmark(spark: SparkSession, n: int = 1000, dimension: int = 64, queries: int = 100, k: int = 10, metric: str = "cosine", seed: int = 42) -> dict[str, Any]:
+def benchmark(spark: SparkSession, n: int = 1000, dimension: int = 64, queries: int = 100, k: int = 10, metric: str = "cosine", seed: int = 42, config: HnswConfig = HnswConfig()) -> dict[str, Any]:
     """Graph search against the exact join on random unit vectors: build and query seconds, queries a second, recall."""
     from pyspark.sql import functions as F
 
@@ -128,11 +128,11 @@ def benchmark(spark: SparkSession, n: int = 1000, dimension: int = 64, queries:
     truth.count()
     exact = time.perf_counter() - t
     t = time.perf_counter()
-    graphs = hnsw.build(items, metric, HnswConfig()).persist()
+    graphs = hnsw.build(items, metric, config).persist()
     graphs.count()
     build = time.perf_counter() - t
     t = time.perf_counter()
-    found = hnsw.knn_join(graphs, asked, k, max(k, 32), metric).persist()
+    found = hnsw.knn_join(graphs, asked, k, max(k, config.ef_search), metric, config).persist()
     found.count()
     ann = time.perf_counter() - t
     recall = knn.recall_at_k(found, truth, k).first()["recall"]

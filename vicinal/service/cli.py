@@ -9,7 +9,9 @@ from typing import Any
 
 from vicinal.functions.filters import parse_metadata, parse_vector
 from vicinal.functions.text import embed_text
-from vicinal.service.api import Store, benchmark, diagnostics
+from vicinal.service.api import HnswConfig, Store, benchmark, diagnostics
+
+VERSION = "0.3.0"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -17,6 +19,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data-dir", default="./.vector_store")
     p.add_argument("--json", action="store_true", help="print JSON")
     p.add_argument("--quiet", action="store_true")
+    p.add_argument("--no-color", action="store_true", help="output has no colours anyway")
+    p.add_argument("-V", "--version", action="version", version=f"vicinal {VERSION}")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, *aliases: str, collection: bool = True) -> argparse.ArgumentParser:
@@ -27,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     c = command("create")
-    c.add_argument("-d", "--dimension", type=int, default=64)
+    c.add_argument("-d", "--dim", "--dimension", dest="dimension", type=int, default=64)
     c.add_argument("-m", "--metric", default="cosine")
     c.add_argument("-i", "--index", default="hnsw")
     for name, value in (("--m", 16), ("--ef-construction", 64), ("--ef-search", 32), ("--nlist", 16)):
@@ -35,13 +39,14 @@ def parser() -> argparse.ArgumentParser:
     c = command("insert")
     c.add_argument("--id")
     c.add_argument("-v", "--vector")
-    c.add_argument("--doc", "--text", dest="doc")
+    c.add_argument("-d", "--doc", "--text", dest="doc")
+    c.add_argument("--embed", action="store_true", help="embed the text where there is no vector, as is done anyway")
     c.add_argument("--meta", "--metadata", dest="meta")
     c.add_argument("-f", "--batch", help="a JSON file with a list of items")
     c = command("query")
     c.add_argument("-v", "--vector")
     c.add_argument("-t", "--text")
-    c.add_argument("-k", type=int, default=5)
+    c.add_argument("-k", "--top-k", dest="k", type=int, default=5)
     c.add_argument("-f", "--filter")
     c.add_argument("--include-vector", action="store_true")
     c.add_argument("--ef-search", type=int)
@@ -50,19 +55,23 @@ def parser() -> argparse.ArgumentParser:
     c = command("hybrid")
     c.add_argument("text")
     c.add_argument("-v", "--vector")
-    c.add_argument("-k", type=int, default=5)
+    c.add_argument("-k", "--top-k", dest="k", type=int, default=5)
     c.add_argument("-a", "--alpha", type=float, default=0.5)
     c.add_argument("--fusion", default="rrf")
     c.add_argument("--rrf-k", type=int, default=60)
     c.add_argument("-f", "--filter")
     c = command("embed", collection=False)
     c.add_argument("text")
-    c.add_argument("-d", "--dimension", type=int, default=64)
+    c.add_argument("-d", "--dim", "--dimension", dest="dimension", type=int, default=64)
     c.add_argument("--no-normalize", action="store_true")
     c = command("benchmark", collection=False)
-    for short, name, value in (("-d", "--dimension", 64), ("-n", "--num", 1000), ("-c", "--count", 100), ("-k", "--k", 10)):
-        c.add_argument(short, name, type=int, default=value)
+    c.add_argument("-d", "--dim", "--dimension", dest="dimension", type=int, default=64)
+    c.add_argument("-n", "--count", "--num-vectors", "--num", dest="count", type=int, default=1000, help="vectors")
+    c.add_argument("-c", "--queries", type=int, default=100)
+    c.add_argument("-k", "--top-k", "--k", dest="k", type=int, default=10)
     c.add_argument("-m", "--metric", default="cosine")
+    for name, value in (("--m", 16), ("--ef-construction", 64), ("--ef-search", 32)):
+        c.add_argument(name, type=int, default=value)
     command("stats")
     c = command("list", collection=False)
     c.add_argument("--contains", default="")
@@ -78,6 +87,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("serve", collection=False)
     c.add_argument("--host", default="127.0.0.1")
     c.add_argument("-p", "--port", type=int, default=8000)
+    c.add_argument("--open", "--open-browser", dest="open_browser", action="store_true")
     command("mcp", collection=False)
     command("diagnostics", "doctor", "platform", collection=False)
     command("test", collection=False)
@@ -105,7 +115,8 @@ def run(args: argparse.Namespace, store: Store) -> Any:
         case "embed":
             return {"vector": embed_text(args.text, args.dimension, not args.no_normalize)}
         case "benchmark":
-            return benchmark(store.spark, args.num, args.dimension, args.count, args.k, args.metric)
+            config = HnswConfig(m=args.m, ef_construction=args.ef_construction, ef_search=args.ef_search)
+            return benchmark(store.spark, args.count, args.dimension, args.queries, args.k, args.metric, config=config)
         case "stats":
             return store.open(args.collection).stats()
         case "list":
@@ -159,6 +170,11 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "serve":
             from vicinal.service.rest import serve
 
+            if args.open_browser:
+                import threading
+                import webbrowser
+
+                threading.Timer(1.0, webbrowser.open, [f"http://{args.host}:{args.port}/"]).start()
             serve(store, args.host, args.port)
         elif args.command == "mcp":
             from vicinal.service.rpc import Server
