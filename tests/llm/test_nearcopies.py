@@ -95,3 +95,51 @@ def test_large_group_and_messy_rows(spark, messy, messy_rows, no_docs):
     assert kept.columns == messy.columns and ids.count(None) == 1 and ids.count(8) == 2 and len(set(ids)) == len(ids) - 1
     assert {0, 3, 4, 8, 13} <= set(ids) and not {1, 2, 9, 10, 11, 12} & set(ids)
     assert nearcopies.near_dedup(no_docs).collect() == []
+
+
+def brute_force(texts):
+    """The least place of each group of texts of a similarity of 0.8 or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            common = len(x & y)
+            if root[i] != root[j] and common >= 0.8 * (len(x) + len(y) - common):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return set(root)
+
+
+def template(rng, n, base, changed):
+    """Texts that share a template but for words of their own."""
+    for i in range(n):
+        text = base[:]
+        for k, at in enumerate(rng.sample(range(len(base)), changed)):
+            text[at] = f"own{i}x{k}"
+        yield " ".join(text)
+
+
+@pytest.mark.parametrize("n", [400, 1600])
+def test_family_below_the_threshold(spark, n, monkeypatch):
+    """A family of texts that are alike below the threshold is verified without listing its pairs: rows grow with the documents."""
+    rng = random.Random(4)
+    texts = list(template(rng, n, prose(rng, 200).split(), 4))
+    pairs, listed = nearcopies.similar, []
+    monkeypatch.setattr(nearcopies, "similar", lambda p, *more: listed.append(p.count()) or pairs(p, *more))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    kept = {r["doc_id"] for r in nearcopies.near_dedup(docs).collect()}
+    assert listed[0] <= 20 * n
+    if n == 400:
+        assert kept == brute_force(texts)
+    assert len(kept) > 0.9 * n
+
+
+def test_families_of_many_cells(spark):
+    """Families cut into many cells, with a group of copies that fills several, give the groups of brute force."""
+    rng = random.Random(5)
+    base = prose(rng, 120).split()
+    texts = list(template(rng, 120, base, 1)) + list(template(rng, 60, prose(rng, 120).split(), 3)) + list(template(rng, 60, base, 3))
+    texts += [t + " and then some more" for t in texts[120:240:7]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    for block in (20_000, 100_000):
+        assert {r["doc_id"] for r in nearcopies.near_dedup(docs, block=block).collect()} == brute_force(texts)

@@ -8,8 +8,9 @@ then verified by the whole shingle sets. ``plan`` gives a pair at the threshold
 have a better one. Sets of at most ``SMALL`` shingles, whose bits say little, also meet under the set and under all that lack one shingle,
 which is exact for up to nine.
 
-Documents of equal shingle sets are one class. Each class is tried against the smallest classes of its fullest buckets first; the
-full search then tries only classes that are not yet known to be connected, and no large group is held against itself.
+Documents of equal shingle sets are one class. Each class is tried against the smallest classes of its fullest buckets first; what
+passes there is a family, and the full search then tries only classes of different families, so that no large family is listed
+pair by pair. Families are verified in cells, where each whole shingle set comes once and a spanning forest is what goes out.
 
 Null texts and texts without words are one class. Rows without a doc_id stay, and so does one row of each group: that of the
 smallest doc_id, then the smallest text hash. Texts of any length are read whole. Repeated rows are one; an empty table gives no
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinal.llm.common import SENT_ROWS, discard, durable, join_hot, map_slices, written
+from vicinal.llm.common import SENT_ROWS, binary_views, bound_batches, discard, durable, join_few, join_hot, map_slices, written
 from vicinal.llm.components import components
 from vicinal.llm.simfinger import ascii_words, bit_counts, shingle_hashes, widened
 from vicinal.llm.simhash import meet
@@ -40,6 +41,8 @@ CHECK_BITS, WORD_MOST, CHECK_MOST = 128, 20, 34
 SMALL = 16
 #: Buckets whose smallest class each class is tried against before the full search.
 HUBS = 3
+#: Bytes of shingle sets in a cell, and how many sets it may hold at most.
+BLOCK, CELL_ROWS = 16 << 20, 4096
 _SMALL_TAG = 1 << 62
 
 
@@ -163,55 +166,155 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return map_slices(texts.select("cls", "text"), run, schema)
 
 
-def similar(pairs: DataFrame, named: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of at least ``least``.
+_CELL = ("fam", "p", "q")
+_FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
 
-    ``named`` tells the doc_id and th of a class's text. Texts move only if more than ``SENT_ROWS`` classes are in pairs.
-    """
-    ends = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).groupBy("cls").agg(F.count("*").alias("n"))
-    ends = durable(named.join(ends.select("cls"), "cls"))
-    few = ends.count() <= SENT_ROWS
-    found = texts.join(F.broadcast(ends) if few else ends.hint("merge"), ["doc_id", "th"]).select("cls", "text")
-    sets = written(shingle_sets(found).dropDuplicates(["cls"]))
-    of_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")).hint("merge"), "a")
-    b = pairs.groupBy("b").agg(F.count("*").alias("n")).join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")).hint("merge"), "b")
-    both = join_hot(of_a, b, "b", "n")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                near = min(len(x), len(y)) >= least * max(len(x), len(y))  # no more than that can be common
-                common = len(np.intersect1d(x, y, assume_unique=True)) if near else 0
-                good.append(near and common >= least * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    out = durable(map_slices(both.select("a", "b", "sa", "sb"), run, pairs.select("a", "b").schema))
+def _forest(sets: list[np.ndarray], bits: np.ndarray, small: np.ndarray, part: np.ndarray, known: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Places of similar sets, as few as connect what all similar pairs of the cell connect with what is ``known`` to be.
+
+    ``bits`` has two words of check bits a set. Where a cell has two parts, only sets of different parts are compared. A set marks
+    its shingles in a table of the cell's, and those of all others that may be similar are counted there at once.
+    """
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark, known, two = np.zeros(int(ids.max()) + 1, np.int32), known.copy(), part.min() != part.max()
+    for i in range(len(sets) - 1):
+        rest = slice(i + 1, None)
+        near = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1) <= CHECK_MOST
+        near |= small[rest] & small[i]
+        near &= (known[rest] != known[i]) & (np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i]))
+        if two:
+            near &= part[rest] != part[i]
+        others = np.flatnonzero(near) + i + 1
+        if not len(others):
+            continue
+        own = ids[start[i] : start[i] + size[i]]
+        mark[own] = 1
+        lengths = size[others]
+        begin = np.cumsum(lengths) - lengths
+        common = np.add.reduceat(mark[ids[np.repeat(start[others] - begin, lengths) + np.arange(lengths.sum())]], begin)
+        mark[own] = 0
+        hits = others[common >= least * (size[i] + lengths - common)]
+        groups, first = np.unique(known[hits], return_index=True)
+        for j in hits[first].tolist():
+            yield i, j
+        if len(groups):
+            known[np.isin(known, groups)] = known[i]
+
+
+def _by_cells(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The forests of cells, which come sorted and are held one at a time."""
+    rest: pa.Table | None = None
+    for batch in _with_end(batches):
+        table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if table is None or not table.num_rows:
+            continue
+        ids = np.stack([table[c].to_numpy().astype(np.int64) for c in _CELL])
+        starts = np.flatnonzero(np.concatenate(([True], (ids[:, 1:] != ids[:, :-1]).any(axis=0))))
+        ends = [*starts[1:].tolist(), table.num_rows]
+        last = len(starts) if batch is None else len(starts) - 1  # the last cell may go on in the next batch
+        rest = table.slice(int(starts[-1])) if batch is not None else None
+        if not last:
+            continue
+        done = table.slice(0, ends[last - 1]).combine_chunks()
+        raw, off = binary_views(done["set"])
+        cls, known, part, small = (done[c].to_numpy() for c in ("cls", "root", "part", "small"))
+        bits = np.stack([done[c].to_numpy().view(np.uint64) for c in ("c1", "c2")], axis=1)
+        found = []
+        for s, e in zip(starts[:last].tolist(), ends):
+            if e - s > 1:
+                sets = [raw[off[i] : off[i + 1]].view(np.uint64) for i in range(s, e)]
+                found += [(cls[s + i], cls[s + j]) for i, j in _forest(sets, bits[s:e], small[s:e], part[s:e], known[s:e], least)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=_FOUND.names)
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _worked(cells: DataFrame, least: float) -> DataFrame:
+    bound_batches(cells.sparkSession)
+    rows = cells.select(*_CELL, "part", "cls", "root", "c1", "c2", "small", "set")
+    return durable(rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(lambda batches: _by_cells(batches, least), _FOUND))
+
+
+def _apart(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` in cells of about ``block`` bytes of a family, each part with itself only; the families of several parts)."""
+    many = durable(rows.groupBy("fam").agg(F.sum("weight").alias("w")).filter(F.col("w") > block).select("fam", F.ceil(F.col("w") / block).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("cls"), F.coalesce("parts", F.lit(1))).cast("int")
+    return join_few(rows, many, ["fam"], "left").withColumns({"part": part, "p": part, "q": part}), many
+
+
+def _rooted(rows: DataFrame, edges: DataFrame, how: str) -> DataFrame:
+    roots = components(edges).withColumnRenamed("node", "cls")
+    return rows.drop("root").join(roots.hint("merge"), "cls", how).withColumn("root", F.coalesce("root", "cls"))
+
+
+def _across(rows: DataFrame, block: int) -> DataFrame:
+    """Cells in which each row of a family meets all that have another root: parts of the largest root meet the other parts only."""
+    sums = rows.groupBy("fam", "root").agg(F.sum("weight").alias("w"))
+    largest = sums.groupBy("fam").agg(F.max_by("root", F.struct("w", "root")).alias("largest"), F.max("w").alias("wl"), F.sum("w").alias("w"))
+    parts = lambda w: F.ceil(w / block).cast("int")
+    split = largest.filter("w > wl").select("fam", "largest", parts(F.col("w") - F.col("wl")).alias("others"), parts(F.col("wl")).alias("own"))
+    split = split.withColumn("in_all", F.col("others") + F.col("own"))
+    dealt = join_few(rows, split, ["fam"])
+    is_largest, h = F.col("root") == F.col("largest"), F.xxhash64("cls", F.lit("across"))
+    part = F.when(is_largest, F.col("others") + F.pmod(h, "own")).otherwise(F.pmod(h, "others")).cast("int")
+    dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_largest, F.col("others")).otherwise(F.col("in_all")) - 1)))
+    return dealt.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+
+
+def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """(a, b) links between classes that connect what all ``pairs`` (a, b) with a Jaccard similarity of at least ``least`` connect.
+
+    What pairs connect is a family. A family's shingle sets are dealt to cells of about ``block`` bytes, in which all sets meet whose
+    check bits let them: a set moves once, however many pairs it is in, and only a spanning forest comes out. Families of several
+    cells then let the least set of each group found meet those of other cells, and last whole cells meet cells, but for those of
+    the family's largest group. Only the last step moves a set more than once: as often as the family has cells.
+    """
+    families = components(pairs).select(F.col("node").alias("cls"), F.col("root").alias("fam"))
+    named = classes.select("cls", "k.doc_id", "k.th", "c1", "c2", (F.size("small") > 0).alias("small"))
+    named = durable(named.join(families.hint("merge"), "cls"))
+    ends = named.select("cls", "doc_id", "th")
+    found = texts.join(F.broadcast(ends) if ends.count() <= SENT_ROWS else ends.hint("merge"), ["doc_id", "th"]).select("cls", "text")
+    sets = shingle_sets(found).dropDuplicates(["cls"]).join(named.drop("doc_id", "th").hint("merge"), "cls")
+    sets = written(sets.withColumns({"weight": F.greatest(F.length("set"), F.lit(block // CELL_ROWS)), "root": F.col("cls")}))
+    cells, many = _apart(sets, block)
+    edges = _worked(cells, least)
+    if not many.isEmpty():
+        rows = join_few(sets, many.select("fam"), ["fam"])
+        leasts = _rooted(rows, edges, "inner").filter("cls = root")
+        edges = durable(edges.unionAll(_worked(_apart(leasts, block)[0], least)))
+        edges = durable(edges.unionAll(_worked(_across(_rooted(rows, edges, "left"), block), least)))
     discard(sets)
-    return out
+    return edges
 
 
-def links(classes: DataFrame, texts: DataFrame, shape: tuple[int, int, int], least: float = LEAST) -> DataFrame:
+def links(classes: DataFrame, texts: DataFrame, shape: tuple[int, int, int], least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(a, b) pairs of classes that connect what all similar pairs that meet connect."""
-    named = classes.select("cls", "k.doc_id", "k.th")
     stored = _stored(classes, "a")
     b = F.min(F.struct(F.col("a").alias("b"), F.col("a1").alias("b1"))).alias("hub")
     hubs = durable(stored.groupBy("key").agg(b, F.count("*").alias("c")).filter("c > 1").select("key", "c", F.col("c").alias("full"), "hub.*"))
     tried = join_hot(stored, hubs, "key", "c").filter(_near() & F.expr("a <> b")).groupBy("a", "b").agg(F.max("full").alias("full"))
     fullest = F.slice(F.sort_array(F.collect_list(F.struct("full", "b")), asc=False), 1, HUBS)  # of one a segment and small key
     tried = tried.groupBy("a").agg(fullest.alias("hub")).select("a", F.explode("hub.b").alias("b"))
-    first = similar(durable(_checked(tried, classes)), named, texts, least)
+    first = durable(_checked(tried, classes))
     known = components(first).withColumnRenamed("node", "cls")
     marked = written(classes.drop("k").join(known.withColumn("grouped", F.lit(True)), "cls", "left"))
     root = F.col("root").alias("ra")
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes many: no few tasks may hold them
     dealt = marked.repartition(tasks, "cls")
     found = meet(_probes(dealt, shape, root), _probes(dealt.filter("grouped"), shape, root), _stored(marked, "b", F.col("root").alias("rb")), _near())
-    return durable(first.unionAll(similar(durable(_checked(found, classes)), named, texts, least)))
+    pairs = durable(first.unionAll(_checked(found, classes)))
+    discard(marked)
+    return similar(pairs, classes, texts, least, block)
 
 
-def near_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def near_dedup(docs: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id (and text hash), texts whole, all columns."""
     slim = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
     shape = plan(docs.count(), least)
@@ -224,7 +327,7 @@ def near_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
         discard(classes)
     else:
         raise RuntimeError("shingle sets share hashes under every salt")
-    roots = components(links(classes, slim, shape, least))
+    roots = components(links(classes, slim, shape, least, block))
     groups = classes.select("cls", "k").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     keepers = groups.groupBy("root").agg(F.min("k").alias("k")).select("k.doc_id", "k.th")
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
