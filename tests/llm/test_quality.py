@@ -44,7 +44,8 @@ def slow_model(texts, order):
 
 @pytest.mark.parametrize("order", [1, 3, 5])
 def test_perplexities_equal_the_definition(spark, order, monkeypatch):
-    monkeypatch.setattr(bytelm, "BUCKET_DOCS", 3)
+    monkeypatch.setattr(bytelm, "BUCKET_BYTES", 40)
+    monkeypatch.setattr(bytelm, "PIECE_BYTES", 13)
     texts = ["the cat sat", "the hat, the bat. THE END!", "a cat and a hat 123", "Ünïcödé\0 的", "the cat sat"]
     docs = [(i, "en", t) for i, t in enumerate(texts)] + [(i, "fr", t) for i, t in enumerate(["a bat sat", "zzz", "", None, "the end " * 50], 10)]
     df = spark.createDataFrame([*docs, docs[1], (None, "en", "cat")], "doc_id bigint, lang string, text string").repartition(2)
@@ -59,12 +60,79 @@ def test_perplexities_equal_the_definition(spark, order, monkeypatch):
 def test_gram_codes_and_blocks(monkeypatch):
     import zlib
 
-    code, owner = bytelm.gram_codes([b"abc", b"", b"d"], 2)
+    code, owner = bytelm.gram_codes([b"\0abc", b"\0", b"\0d"], 2)
     assert code.tolist() == [97, 97 << 8 | 98, 98 << 8 | 99, 100] and owner.tolist() == [0, 0, 0, 2]
     monkeypatch.setattr(bytelm, "_BLOCK", 4)
     assert list(bytelm._blocks([zlib.compress(x) for x in (b"abc", b"de", b"f")])) == [(0, [b"abc", b"de"]), (2, [b"f"])]
 
 
+def test_pieces_have_the_grams_of_the_text(monkeypatch):
+    text = bytes(range(1, 200)) * 3
+    whole = bytelm.gram_codes(bytelm.cut(text))[0]
+    monkeypatch.setattr(bytelm, "PIECE_BYTES", 50)
+    pieces = bytelm.cut(text)
+    assert len(pieces) == 12 and bytelm.gram_codes(pieces)[0].tolist() == whole.tolist() and bytelm.cut(b"") == []
+
+
+def test_long_and_often_repeated_ids_are_trusted_in_all_places(spark, monkeypatch):
+    monkeypatch.setattr(bytelm, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(bytelm, "PIECE_BYTES", 500)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    docs = [(1, "en", " ".join(word() for _ in range(4000))), *[(2, "en", " ".join(word() for _ in range(60))) for _ in range(300)], (3, "en", word())]
+    df = spark.createDataFrame(docs, "doc_id bigint, lang string, text string")
+    texts, labels = bytelm.bucketed(df, spark.createDataFrame([(1,), (2,)], "doc_id bigint"))
+    got = {r["g"]: r["c"] for r in bytelm.count_grams(texts, labels).groupBy("g").agg({"c": "sum"}).toDF("g", "c").filter("c > 0").collect()}
+    assert got == Counter(bytelm.gram_codes([x for d, _, t in docs if d < 3 for x in bytelm.cut(t.encode())])[0].tolist())
+    sizes = [r["b"] for r in texts.groupBy("p").agg({"z": "count"}).toDF("p", "b").collect()]
+    assert len(sizes) > 30 and max(sizes) < 30  # pieces of 500 bytes; 4 a bucket on average
+
+
+def test_memory_of_a_bucket_does_not_follow_the_length_of_texts(monkeypatch):
+    """A bucket holds the same bytes whatever its texts, and distinct grams are merged as they come."""
+    import tracemalloc
+    import zlib
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(bytelm, "PIECE_BYTES", 1 << 17)
+    rng, peaks = np.random.default_rng(0), []
+    for words in (200, 2_000, 20_000):
+        packed, held = [], 0
+        while held < 4 << 20:
+            text = rng.integers(97, 123, words * 7, np.uint8).tobytes()
+            packed += [zlib.compress(x, 1) for x in bytelm.cut(text)]
+            held += len(text)
+        texts = pa.table({"p": pa.array([0] * len(packed), pa.int32()), "doc_id": pa.array(range(len(packed)), pa.int64()), "z": pa.array(packed, pa.binary())})
+        tracemalloc.start()
+        out = bytelm.bucket_grams(texts, pa.table({"doc_id": pa.array([], pa.int64())}))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert out.num_rows > 3 << 20
+    assert max(peaks) < 1.2 * min(peaks) and max(peaks) < 80 * (4 << 20), peaks
+
+
+def test_shuffled_words_score_worse(spark):
+    """Five bytes see the end of one word and the start of the next: the order of words counts, if less than the words."""
+    rng = random.Random(6)
+    follows = {w: rng.sample(range(60), 3) for w in range(60)}
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+
+    def clean():
+        at, out = rng.randrange(60), []
+        for _ in range(80):
+            out.append(words[at])
+            at = rng.choice(follows[at])
+        return out
+
+    texts = [clean() for _ in range(400)]
+    rows = [(i, "en", " ".join(t)) for i, t in enumerate(texts)] + [(1000 + i, "en", " ".join(rng.sample(t, len(t)))) for i, t in enumerate(texts) if i >= 300]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    got = {r["doc_id"]: r["perplexity"] for r in bytelm.perplexities(df, df.filter("doc_id < 300").select("doc_id")).collect()}
+    worse = np.mean([got[1000 + i] > got[i] for i in range(300, 400)])
+    assert worse > 0.95
+
+
 def test_tables_grow_with_the_text(spark):
     docs = spark.createDataFrame([(i, "en", " ".join(f"{random.Random(i).getrandbits(60):x}" for _ in range(1)) * 3) for i in range(300)], "doc_id bigint, lang string, text string")
     small, all_ = (bytelm.count_grams(*bytelm.bucketed(d, d.select("doc_id"))).filter("c > 0").select("g").distinct().count() for d in (docs.filter("doc_id < 30"), docs))

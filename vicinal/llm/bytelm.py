@@ -1,13 +1,15 @@
 """Interpolated modified Kneser-Ney n-grams of bytes, in sharded tables that grow with the text.
 
-A gram is ``order`` bytes read as a number; a text begins after ``order - 1`` zero bytes. Texts are dealt into buckets of about
-``BUCKET_DOCS`` texts, packed, and each bucket is reduced to its distinct grams and their counts in trusted texts before anything
-is joined: the tables of counts of all orders are sharded by gram, every bucket's distinct grams meet them in one join, and the
-log probabilities return to the bucket. Nothing of the model comes to the driver or to all tasks but the discounts of each order,
-and no gram is dropped or folded: the tables hold as many rows as there are different grams.
-
-One plan does it all, so that the texts are shuffled once and read twice. A bucket is held by one task as packed texts; rows of a
-doc_id that over one row in ``HOT_SHARE`` has are spread over buckets.
+A gram is ``order`` bytes read as a number; a text begins after ``order - 1`` zero bytes. Texts are cut into pieces of at most
+``PIECE_BYTES``, each with the bytes that its first grams begin with, and pieces are dealt into buckets of about ``BUCKET_BYTES``,
+packed. Each bucket is reduced to its distinct grams and their counts in trusted texts before anything is joined: the tables of
+counts of all orders are sharded by gram, every bucket's distinct grams meet them in one join, and the log probabilities return to
+the bucket. Nothing of the model comes to the driver or to all tasks but the discounts of each order, and no gram is dropped or
+folded: the tables hold as many rows as there are different grams.
+
+One plan does it all, so that the texts are shuffled once and read twice. A task holds one bucket: its packed pieces, and distinct
+grams that are merged as they come, so that memory follows ``BUCKET_BYTES`` and not the lengths of texts. Rows of a doc_id that
+over one row in ``HOT_SHARE`` has are spread over as many places as they have pieces' bytes.
 """
 
 from __future__ import annotations
@@ -19,20 +21,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vicinal.llm.common import HOT_SHARE, SALTS, durable, map_slices
+from vicinal.llm.common import HOT_SHARE, durable, map_slices
 
 ORDER = 5
-BUCKET_DOCS = 8192
+#: Bytes of the pieces of a bucket, on average, and of one piece at most.
+BUCKET_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
 #: Bytes of texts whose grams are sorted at once.
 _BLOCK = 1 << 20
 
 
-def gram_codes(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(code, text's number) of every gram, one for each byte of the texts."""
-    gap = b"\0" * (order - 1)
-    a = np.frombuffer(gap + gap.join(texts), np.uint8)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+def gram_codes(pieces: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(code, piece's number) of every gram of pieces that each begin with the ``order - 1`` bytes before them."""
+    a = np.frombuffer(b"".join(pieces), np.uint8)
+    owner = np.repeat(np.arange(len(pieces)), [len(x) - order + 1 for x in pieces])
     at = np.arange(len(owner)) + (order - 1) * (owner + 1)
     code = a[at].astype(np.int64)
     for back in range(1, order):
@@ -40,11 +43,17 @@ def gram_codes(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.n
     return code, owner
 
 
-def _blocks(packed: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first, texts) of runs of packed texts of about ``_BLOCK`` bytes."""
+def cut(text: bytes, order: int = ORDER) -> list[bytes]:
+    """The pieces of a text, each after the ``order - 1`` bytes before it, the first after as many zero bytes."""
+    led = b"\0" * (order - 1) + text
+    return [led[i : i + PIECE_BYTES + order - 1] for i in range(0, len(text), PIECE_BYTES)]
+
+
+def _blocks(packed: list[bytes] | pa.ChunkedArray) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, pieces) of runs of packed pieces of about ``_BLOCK`` bytes."""
     first, held, size = 0, [], 0
     for i, z in enumerate(packed):
-        held.append(zlib.decompress(z))
+        held.append(zlib.decompress(z if isinstance(z, bytes) else z.as_buffer()))
         size += len(held[-1])
         if size >= _BLOCK or i == len(packed) - 1:
             yield first, held
@@ -56,43 +65,65 @@ def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return code, np.bincount(where, np.concatenate(counts), len(code)).astype(np.int64)
 
 
-def bucketed(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts: p, doc_id, lang, z; labels: p, doc_id): the bucket of each text that is not empty and of each trusted doc_id."""
-    n = docs.count()
-    buckets = max(1, -(-n // BUCKET_DOCS))
-    often = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter((F.col("count") * HOT_SHARE > n) & (F.col("count") > 1))
-    hot = F.broadcast(durable(often.select("doc_id", F.lit(SALTS).alias("__n"))))  # fewer than HOT_SHARE
-    place = lambda own, salt: F.pmod(F.xxhash64(own, salt), F.lit(buckets)).cast("int").alias("p")
+def bucketed(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """(pieces: p, doc_id, lang, rid, z; labels: p, doc_id): the bucket of each piece of a text, and the buckets of each trusted doc_id's pieces.
+
+    rid tells rows apart that are cut into pieces.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    places = lambda bytes_: F.greatest(F.lit(1), F.ceil(bytes_ / PIECE_BYTES)).cast("int")
+    n, total, longest = docs.agg(F.count("*"), F.sum(size.cast("bigint")), F.max(size)).first()
+    buckets = max(1, -(-(total or 0) // BUCKET_BYTES))
+    often = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c"), F.sum(size.cast("bigint")).alias("w"))
+    often = often.filter((F.col("c") * HOT_SHARE > n) & (F.col("c") > 1))
+    hot = F.broadcast(durable(often.select("doc_id", places(F.col("w")).alias("__n"))))  # fewer than HOT_SHARE
+    place = lambda *of: F.pmod(F.xxhash64(*of), F.lit(buckets)).cast("int").alias("p")
     rid = F.monotonically_increasing_id()  # deals out rows of one doc_id or of none, and means nothing else
-    salt = F.pmod(F.col("rid"), F.coalesce("__n", F.lit(1)).cast("bigint")).cast("int")
+    salt = F.pmod(F.col("rid"), F.coalesce("__n", F.lit(1)).cast("bigint")).cast("int").alias("salt")
     rows = docs.select("doc_id", "lang", F.col("text").cast("binary").alias("z"), rid.alias("rid")).filter("length(z) > 0")
-    rows = rows.join(hot, "doc_id", "left").select(place(F.coalesce("doc_id", "rid"), salt), "doc_id", "lang", "z")
+    rows = rows.join(hot, "doc_id", "left").select("doc_id", "lang", "rid", salt, "z")
+    schema = T.StructType([*rows.drop("z").schema.fields, T.StructField("piece", T.IntegerType()), T.StructField("z", T.BinaryType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = pa.array([zlib.compress(t, 1) for t in batch.column(3).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], z], names=batch.schema.names)
-
-    salts = F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))
-    labels = trusted.join(hot, "doc_id", "left").withColumn("salt", salts)
-    return map_slices(rows, pack, rows.schema), labels.select(place(F.col("doc_id"), F.col("salt")), "doc_id")
+            cuts = [[zlib.compress(x, 1) for x in cut(t, order)] for t in batch.column(4).to_pylist()]
+            owner = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
+            piece = pa.array([i for c in cuts for i in range(len(c))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(owner)).columns[:4], piece, pa.array([z for c in cuts for z in c], pa.binary())], names=schema.names)
+
+    packed = map_slices(rows, pack, schema).select(place(F.coalesce("doc_id", "rid"), "salt", "piece"), "doc_id", "lang", "rid", "z")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+    labels = trusted.join(hot, "doc_id", "left").withColumn("salt", upto("__n")).withColumn("piece", F.lit(0))
+    if (longest or 0) > PIECE_BYTES:
+        long = docs.filter(size > PIECE_BYTES).groupBy("doc_id").agg(F.max(places(size)).alias("__pieces"))
+        labels = labels.join(long, "doc_id", "left").withColumn("piece", upto("__pieces"))
+    return packed, labels.select(place(F.col("doc_id"), "salt", "piece"), "doc_id")
+
+
+def bucket_grams(texts: pa.Table, labels: pa.Table, order: int = ORDER) -> pa.Table:
+    """(p, g, c) of one bucket's pieces ``texts`` (p, doc_id, z), by the trusted doc_ids of ``labels``."""
+    if not texts.num_rows:
+        return pa.table({"p": pa.array([], pa.int32()), "g": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+    trusted = np.isin(texts["doc_id"].fill_null(0).to_numpy(), labels["doc_id"].to_numpy()) & ~np.asarray(texts["doc_id"].is_null())
+    codes, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    waiting = 0
+    for first, block in _blocks(texts["z"]):
+        code, owner = gram_codes(block, order)
+        distinct, where = np.unique(code, return_inverse=True)
+        codes.append(distinct)
+        counts.append(np.bincount(where, trusted[first + owner], len(distinct)).astype(np.int64))
+        waiting += len(distinct)
+        if waiting > max(_BLOCK, len(codes[0])):
+            (codes, counts), waiting = ([x] for x in _summed(codes, counts)), 0
+    g, c = _summed(codes, counts)
+    return pa.table({"p": pa.array(np.full(len(g), texts["p"][0].as_py(), np.int32)), "g": pa.array(g), "c": pa.array(c)})
 
 
 def count_grams(texts: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """(p, g, c): the distinct grams of each bucket, and how often trusted texts have them."""
 
     def count(_key: tuple, texts: pa.Table, labels: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return pa.table({"p": pa.array([], pa.int32()), "g": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
-        trusted = np.isin(texts["doc_id"].fill_null(0).to_numpy(), labels["doc_id"].to_numpy()) & ~np.asarray(texts["doc_id"].is_null())
-        codes, counts = [], []
-        for first, block in _blocks(texts["z"].to_pylist()):
-            code, owner = gram_codes(block, order)
-            learnt, times = np.unique(code[trusted[first + owner]], return_counts=True)
-            codes += [np.unique(code), learnt]
-            counts += [np.zeros(len(codes[-2]), np.int64), times]
-        g, c = _summed(codes, counts)
-        return pa.table({"p": pa.array(np.full(len(g), texts["p"][0].as_py(), np.int32)), "g": pa.array(g), "c": pa.array(c)})
+        return bucket_grams(texts, labels, order)
 
     return texts.groupBy("p").cogroup(labels.groupBy("p")).applyInArrow(count, "p int, g bigint, c bigint")
 
@@ -136,7 +167,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
 
     Without trusted text every perplexity is 256.
     """
-    texts, labels = bucketed(docs, trusted)
+    texts, labels = bucketed(docs, trusted, order)
     grams = count_grams(texts, labels, order)
     scores = probabilities(grams.groupBy("g").agg(F.sum("c").alias("c")), order)
     told = grams.select("p", "g").join(scores.hint("merge"), "g").select("p", "g", F.log2("prob").alias("bits"))
@@ -146,12 +177,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
         size = np.ones(texts.num_rows, np.int64)
         order_of = np.argsort(told["g"].to_numpy())
         known, worth = told["g"].to_numpy()[order_of], told["bits"].to_numpy()[order_of]
-        for first, block in _blocks(texts["z"].to_pylist()):
+        for first, block in _blocks(texts["z"]):
             code, owner = gram_codes(block, order)
             both = np.sort(owner << 40 | code)  # near grams are looked up together
             row = first + (both >> 40)
             bits += np.bincount(row, worth[np.searchsorted(known, both & (1 << 40) - 1)], len(bits))
-            size[first : first + len(block)] = [len(t) for t in block]
-        return pa.table({"doc_id": texts["doc_id"], "lang": texts["lang"], "perplexity": pa.array(2.0 ** (-bits / size))})
+            size[first : first + len(block)] = [len(x) - order + 1 for x in block]
+        return pa.table({**{c: texts[c] for c in ("rid", "doc_id", "lang")}, "bits": pa.array(bits), "size": pa.array(size)})
 
-    return texts.groupBy("p").cogroup(told.groupBy("p")).applyInArrow(score, "doc_id bigint, lang string, perplexity double")
+    pieces = texts.groupBy("p").cogroup(told.groupBy("p")).applyInArrow(score, "rid bigint, doc_id bigint, lang string, bits double, size bigint")
+    whole = pieces.groupBy("rid", "doc_id", "lang").agg(F.sum("bits").alias("bits"), F.sum("size").alias("size"))
+    return whole.select("doc_id", "lang", F.pow(F.lit(2.0), -F.col("bits") / F.col("size")).alias("perplexity"))
