@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinal.functions.text import embed, embed_text, tokenize
-from vicinal.operators import bm25, fusion, hnsw, ivf, knn, mmr
+from vicinal.operators import bm25, fusion, hnsw, ivf, knn, mmr, radius
 from vicinal.schema import METRICS, HnswConfig, IvfConfig
 
 
@@ -33,7 +33,7 @@ def test_top_k_rules(spark):
     assert "vector" in knn.top_k(items, [1, 0, 0, 0], 1, include_vector=True).columns
     with pytest.raises(ValueError):
         knn.check_dimension([1], 2)
-    pairs = knn.radius_join(items, items, 1.0).collect()
+    pairs = radius.radius_join(items, items, 1.0).collect()
     assert {(r["left_id"], r["right_id"]) for r in pairs} >= {("e1", "d"), ("d", "e2"), ("e1", "e1")} and ("e1", "e2") not in {(r["left_id"], r["right_id"]) for r in pairs}
 
 

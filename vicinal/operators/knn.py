@@ -124,13 +124,4 @@ def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return want.join(hit, ["query_id", "id"], "left").agg(F.countDistinct("query_id").cast("bigint").alias("n_queries"), (F.sum(F.coalesce("hit", F.lit(0))) / (F.countDistinct("query_id") * k)).alias("recall"))
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, metric: str = "euclidean") -> DataFrame:
-    """Pairs (left_id, right_id, distance) of ``id``, ``vector`` tables within ``radius``, blocks of one side meeting blocks of the other."""
-    a = left.select(F.col("id").alias("left_id"), F.col("vector").alias("a"))
-    b = right.select(F.col("id").alias("right_id"), F.col("vector").alias("b"))
-    a, b = grid(a, b, "left_id", "right_id")
-    d = distance(metric, F.col("a"), F.col("b"))
-    return a.join(b, ["qb", "ib"]).filter(d <= radius).select("left_id", "right_id", d.alias("distance"))
-
-
-__all__ = ["METRICS", "check_dimension", "knn_join", "radius_join", "ranked", "recall_at_k", "top_k", "usable"]
+__all__ = ["METRICS", "check_dimension", "knn_join", "ranked", "recall_at_k", "top_k", "usable"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions import distance as D
 from vicinal.functions import quantize as Q
-from vicinal.operators import hnsw, ivf, knn, mmr, quantized
+from vicinal.operators import hnsw, ivf, knn, mmr, quantized, radius
 from vicinal.operators.lloyd import assign, step
 from vicinal.plans.registry import query
 from vicinal.plans.views import ITEMS, distance, dot, first_vectors, items, joined, joined_sql, rounded, score
@@ -121,6 +121,24 @@ def recall_at_k(spark, sf_dir):
     return rounded(knn.recall_at_k(found, knn.knn_join(queries, rows, K, "cosine", same_table=True), K), "recall")
 
 
+#: About one pair in 200 of the tables' vectors is closer.
+RADIUS = 1.15
+
+
+@query("radius_join", f"WITH {ITEMS}, m AS (SELECT a.id AS left_id, b.id AS right_id, round({distance('euclidean', 'a.vector', 'b.vector')}, 6) AS distance FROM items a JOIN items b ON a.id % 50 = 0) SELECT * FROM m WHERE distance <= {RADIUS}")
+def radius_join(spark, sf_dir):
+    """All vectors within the radius of those whose id is divisible by 50."""
+    rows = items(spark, sf_dir).select("id", "vector")
+    return rounded(radius.radius_join(rows.filter("id % 50 = 0"), rows, RADIUS + 5e-7), "distance").filter(F.col("distance") <= RADIUS)
+
+
+@query("radius_pruned")
+def radius_pruned(spark, sf_dir):
+    """How many pairs radius joins of the whole table with itself compare, and the share that pivots spare them."""
+    rows = items(spark, sf_dir).select("id", "vector")
+    return reduce(DataFrame.unionByName, [radius.pruned(rows, rows, r).select(F.lit(r).alias("radius"), "*") for r in (0.1, 0.35, RADIUS)])
+
+
 # quantisation
 
 _SQ = "sq AS (SELECT id, vector, list_min(vector) AS lo, list_max(vector) AS hi FROM items), coded AS (SELECT *, [CASE WHEN hi - lo <= 1e-12 THEN 0 ELSE round_even((x - lo) / (hi - lo) * 255.0::DOUBLE, 0)::INT END for x in vector] AS codes FROM sq), back AS (SELECT *, [lo + c::DOUBLE * (hi - lo) / 255.0::DOUBLE for c in codes] AS again FROM coded)"
