@@ -3,6 +3,7 @@ import json
 import threading
 import urllib.error
 import urllib.request
+from pathlib import Path
 
 import pytest
 
@@ -70,6 +71,44 @@ def test_files(made, spark, tmp_path, kind):
     assert key(again) == key(made) and again.config == made.config
 
 
+def test_one_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    rows = [(f"i{i}", [float(i), 0.5], f'{{"n": {i}}}', "x" * (i % 50) if i % 3 else None, float(i)) for i in range(1000)]
+    path = str(tmp_path / "one.vdb")
+    assert vdb.write_file(path, {"dimension": 2}, iter(rows)) == 1000
+    with open(path, "rb") as f:
+        config, count, items = vdb.unpack(f)
+        assert (config, count, [r[0] for r in items]) == ({"dimension": 2}, 1000, [r[0] for r in rows])
+    runs = vdb.splits(path, 5000)
+    assert len(runs) > 5 and sum(n for _, _, n in runs) == 1000 and vdb.splits(path, 1 << 30)[0][1:] == (0, 1000)
+    monkeypatch.setattr(vdb, "SPLIT_BYTES", 5000)
+    reader = vdb._Reader({"path": path})
+    parts = reader.partitions()
+    assert len(parts) == len(runs)
+    assert [(*r[:4], r[5]) for p in parts for r in reader.read(p)] == [(i, v, m, d or None, n) for n, (i, v, m, d, _) in enumerate(rows)]
+    vdb.write_file(path, {"dimension": 2}, iter([]))
+    assert vdb.splits(path, 10) == [] and reader.partitions() == []
+    vdb.register(spark)
+    vdb.write_file(path, {"dimension": 2}, iter(rows))
+    assert [r["id"] for r in spark.read.format("vdb").load(path).orderBy("ord").collect()] == [r[0] for r in rows]
+
+
+def test_json_is_written_as_tasks_write_it(spark, tmp_path, monkeypatch):
+    """Blocks of a few bytes give the same file; order is kept over many parts; nothing is left behind; no items give a file, too."""
+    from vicinal.session import shared_folder
+    from vicinal.sources import jsonl
+
+    monkeypatch.setattr(jsonl, "_BLOCK", 7)
+    items = spark.range(300).selectExpr("cast(id AS string) AS id", "array(1D, id) AS vector", "'{\"a\": 1}' AS metadata", "'é, \"x\"\n' AS document", "1D AS created_at", "300 - id AS ord").repartition(5)
+    path = tmp_path / "all.json"
+    before = set(Path(shared_folder(spark)).iterdir())
+    jsonl.write_json(items, {"name": "c", "dimension": 2}, str(path))
+    got = json.loads(path.read_text())
+    assert [int(r["id"]) for r in got["items"]] == list(range(299, -1, -1)) and got["items"][0]["document"] == 'é, "x"\n' and got["config"]["name"] == "c"
+    assert set(Path(shared_folder(spark)).iterdir()) == before and jsonl.read_json(spark, str(path))[1].count() == 300
+    jsonl.write_json(items.limit(0), {"name": "c"}, str(path))
+    assert json.loads(path.read_text())["items"] == []
+
+
 def test_jsonl(made, spark, tmp_path):
     path = str(tmp_path / "lines")
     assert made.export_jsonl(path) == 6

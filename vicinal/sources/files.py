@@ -7,8 +7,9 @@ import os
 import re
 import shutil
 import tempfile
+from collections.abc import Callable, Iterable
 from pathlib import Path
-from typing import Any
+from typing import Any, BinaryIO
 
 #: First bytes of the binary collection format (a fixed value).
 MAGIC = b"VDB\x01"
@@ -22,15 +23,19 @@ def safe_json_read(path: str | Path, default: Any = None) -> Any:
         return default
 
 
-def atomic_write(path: str | Path, data: str | bytes) -> None:
-    """Write beside the target, sync, and rename: readers see the old or the new file."""
+def atomic_write(path: str | Path, data: str | bytes | Iterable[bytes], mend: Callable[[BinaryIO], None] | None = None) -> None:
+    """Write beside the target, sync, and rename: readers see the old or the new file. Blocks of bytes are written as they come, and ``mend`` may change what was written."""
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     raw = data.encode("utf-8") if isinstance(data, str) else data
+    blocks = [raw] if isinstance(raw, bytes) else raw
     fd, temp = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
     try:
         with os.fdopen(fd, "wb") as f:
-            f.write(raw)
+            for block in blocks:
+                f.write(block)
+            if mend is not None:
+                mend(f)
             f.flush()
             os.fsync(f.fileno())
         os.replace(temp, path)

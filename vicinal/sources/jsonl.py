@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import time
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LINE = "id string, vector array<double>, document string, text string, metadata string, created_at double"
+#: Bytes that the driver holds of a part while it copies it.
+_BLOCK = 1 << 20
 
 
 def to_lines(items: DataFrame) -> DataFrame:
@@ -32,13 +37,55 @@ def from_lines(lines: DataFrame) -> DataFrame:
 
 
 def write_json(items: DataFrame, config: dict, path: str) -> None:
-    """``{config, items, saved_at}`` in one file, written atomically. One file is the format; large collections are kept as Parquet."""
+    """``{config, saved_at, items}`` in one file, written atomically, an item a line in order of ``ord``.
+
+    Tasks write the items' lines as parts in the shared folder; the driver copies the parts' bytes one after the other into the
+    file, so that its memory does not grow with the items. One file is the format; large collections are kept as Parquet.
+    """
     import json
 
     from vicinal.sources.files import atomic_write
-
-    rows = [json.loads(r["value"]) for r in to_lines(items.orderBy("ord") if "ord" in items.columns else items).toLocalIterator()]
-    atomic_write(path, json.dumps({"config": config, "items": rows, "saved_at": time.time()}, indent=2, ensure_ascii=False, default=str))
+    from vicinal.session import shared_folder
+
+    spark = items.sparkSession
+    lines = to_lines(items.orderBy("ord") if "ord" in items.columns else items)
+    parts = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    head = json.dumps({"config": config, "saved_at": time.time()}, ensure_ascii=False, default=str)
+    try:
+        lines.select(F.concat(F.lit(","), "value").alias("value")).write.text(parts)
+        atomic_write(path, itertools.chain([f'{head[:-1]}, "items": [\n'.encode()], _skip(_parts(spark, parts), 1), [b"]}\n"]))
+    finally:
+        _remove(spark, parts)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _parts(spark: SparkSession, folder: str) -> Iterator[bytes]:
+    """The bytes of a folder's part files by name, in blocks."""
+    fs, place = _file_system(spark, folder)
+    found = sorted((s.getPath().toString(), s.getPath()) for s in fs.listStatus(place) if s.getPath().getName().startswith("part-"))
+    for _, part in found:
+        stream = fs.open(part)
+        try:
+            while block := bytes(stream.readNBytes(_BLOCK)):
+                yield block
+        finally:
+            stream.close()
+
+
+def _skip(blocks: Iterator[bytes], n: int) -> Iterator[bytes]:
+    """All but the first ``n`` bytes of the first block, if there is one."""
+    for block in blocks:
+        yield block[n:]
+        n = 0
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    fs, place = _file_system(spark, folder)
+    fs.delete(place, True)
 
 
 def read_json(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:

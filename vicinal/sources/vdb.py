@@ -8,10 +8,12 @@ An empty document reads as null.
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
+from typing import BinaryIO
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -20,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from vicinal.sources.files import MAGIC, atomic_write
 
 VERSION = 1
+#: Bytes of a file that one task reads, about.
+SPLIT_BYTES = 64 << 20
 
 
 def header(config: dict, count: int) -> bytes:
@@ -34,34 +38,66 @@ def pack_item(id_: str, vector, metadata: str | None, document: str | None, crea
     return struct.pack("<H", len(i)) + i + struct.pack("<I", len(d)) + d + struct.pack("<I", len(m)) + m + struct.pack("<d", created_at or 0.0) + np.asarray(vector, "<f4").tobytes()
 
 
-def unpack(stream: io.BufferedIOBase) -> tuple[dict, int, Iterator[tuple]]:
-    """(config, count, items as (id, vector, metadata, document, created_at))."""
+def _opened(stream: BinaryIO) -> tuple[dict, int]:
+    """(config, count); the stream stands at the first item."""
     if stream.read(4) != MAGIC:
         raise ValueError("not a binary collection")
     version, _flags = struct.unpack("<II", stream.read(8))
     if version != VERSION:
         raise ValueError(f"unknown version {version}")
     config = json.loads(stream.read(struct.unpack("<I", stream.read(4))[0]))
-    count = struct.unpack("<I", stream.read(4))[0]
-    width = int(config["dimension"])
+    return config, struct.unpack("<I", stream.read(4))[0]
+
+
+def _items(stream: BinaryIO, width: int, count: int) -> Iterator[tuple]:
+    for _ in range(count):
+        id_ = stream.read(struct.unpack("<H", stream.read(2))[0]).decode()
+        doc = stream.read(struct.unpack("<I", stream.read(4))[0]).decode()
+        meta = stream.read(struct.unpack("<I", stream.read(4))[0]).decode()
+        created = struct.unpack("<d", stream.read(8))[0]
+        vector = np.frombuffer(stream.read(4 * width), "<f4").astype(float).tolist()
+        yield id_, vector, meta, doc or None, created
+
+
+def unpack(stream: BinaryIO) -> tuple[dict, int, Iterator[tuple]]:
+    """(config, count, items as (id, vector, metadata, document, created_at))."""
+    config, count = _opened(stream)
+    return config, count, _items(stream, int(config["dimension"]), count)
+
+
+def splits(path: str, size: int) -> list[tuple[int, int, int]]:
+    """(offset, number of the first item, items) of runs of about ``size`` bytes; only the items' lengths are read."""
+    found = []
+    with open(path, "rb") as f:
+        config, count = _opened(f)
+        width, begin, first = 4 * int(config["dimension"]), f.tell(), 0
+        for n in range(1, count + 1):
+            f.seek(struct.unpack("<H", f.read(2))[0], io.SEEK_CUR)
+            for _ in range(2):  # document, metadata
+                f.seek(struct.unpack("<I", f.read(4))[0], io.SEEK_CUR)
+            f.seek(8 + width, io.SEEK_CUR)
+            if f.tell() - begin >= size or n == count:
+                found.append((begin, first, n - first))
+                begin, first = f.tell(), n
+    return found
+
 
-    def items() -> Iterator[tuple]:
-        for _ in range(count):
-            id_ = stream.read(struct.unpack("<H", stream.read(2))[0]).decode()
-            doc = stream.read(struct.unpack("<I", stream.read(4))[0]).decode()
-            meta = stream.read(struct.unpack("<I", stream.read(4))[0]).decode()
-            created = struct.unpack("<d", stream.read(8))[0]
-            vector = np.frombuffer(stream.read(4 * width), "<f4").astype(float).tolist()
-            yield id_, vector, meta, doc or None, created
+def write_file(path: str, config: dict, rows: Iterable[tuple]) -> int:
+    """One file of item rows, written as they come; returns their number."""
+    n = 0
 
-    return config, count, items()
+    def blocks() -> Iterator[bytes]:
+        nonlocal n
+        yield header(config, 0)
+        for n, row in enumerate(rows, 1):
+            yield pack_item(*row)
 
+    def number(f: BinaryIO) -> None:
+        f.seek(len(header(config, 0)) - 4)
+        f.write(struct.pack("<I", n))
 
-def write_file(path: str, config: dict, rows) -> int:
-    """One file of item rows; returns their number."""
-    body = [pack_item(*r) for r in rows]
-    atomic_write(path, header(config, len(body)) + b"".join(body))
-    return len(body)
+    atomic_write(path, blocks(), number)
+    return n
 
 
 SCHEMA = "id string, vector array<double>, metadata string, document string, created_at double, ord bigint"
@@ -81,11 +117,14 @@ class _Reader(DataSourceReader):
 
         path = Path(self.path)
         files = sorted(path.glob("*.vdb")) if path.is_dir() else [path]
-        return [InputPartition(str(f)) for f in files]
+        return [InputPartition((str(f), *run)) for f in files for run in splits(str(f), SPLIT_BYTES)]
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
-            for n, row in enumerate(unpack(f)[2]):
+        path, offset, first, count = partition.value
+        with open(path, "rb") as f:
+            width = int(_opened(f)[0]["dimension"])
+            f.seek(offset)
+            for n, row in enumerate(_items(f, width, count), first):
                 yield (*row, n)
 
 
@@ -101,10 +140,11 @@ class _Writer(DataSourceWriter):
     def write(self, iterator):
         import uuid
 
-        rows = [(str(r["id"]), r["vector"], r["metadata"], r["document"], r["created_at"]) for r in iterator]
+        rows = ((str(r["id"]), r["vector"], r["metadata"], r["document"], r["created_at"]) for r in iterator)
         name = f"part-{uuid.uuid4().hex}.vdb"
-        if rows:
-            write_file(f"{self.path}/{name}", {"dimension": len(rows[0][1])} | self.config, rows)
+        first = next(rows, None)
+        if first is not None:
+            write_file(f"{self.path}/{name}", {"dimension": len(first[1])} | self.config, itertools.chain([first], rows))
         return _Message(name)
 
     def abort(self, messages):
