@@ -52,6 +52,7 @@ def fuse_linear(dense: DataFrame, sparse: DataFrame, k: int, alpha: float = ALPH
 
 def hybrid(items: DataFrame, query: Sequence[float], text: str, k: int, metric: str = "cosine", where: Column | None = None, fusion: str = "rrf", alpha: float = ALPHA, rrf_k: int = RRF_K, id_col: str = "id", vector_col: str = "vector", text_col: str = "document") -> DataFrame:
     """Both rankings over pools of max(3k, 20) rows under one filter, fused."""
+    _known(fusion)
     pool = pool_rows(k)
     dense = top_k(items.filter(F.col(vector_col).isNotNull()), query, pool, metric, where, id_col, vector_col)
     return fuse(dense, bm25.search(items, text, pool, where, id_col, text_col), k, fusion, alpha, rrf_k)
@@ -63,6 +64,10 @@ def pool_rows(k: int) -> int:
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int, fusion: str = "rrf", alpha: float = ALPHA, rrf_k: int = RRF_K) -> DataFrame:
+    _known(fusion)
+    return fuse_rrf(dense, sparse, k, rrf_k) if fusion == "rrf" else fuse_linear(dense, sparse, k, alpha)
+
+
+def _known(fusion: str) -> None:
     if fusion not in ("rrf", "linear"):
         raise ValueError(f"unknown fusion {fusion!r}")
-    return fuse_rrf(dense, sparse, k, rrf_k) if fusion == "rrf" else fuse_linear(dense, sparse, k, alpha)
