@@ -134,6 +134,54 @@ def test_family_below_the_threshold(spark, n, monkeypatch):
     assert len(kept) > 0.9 * n
 
 
+@pytest.mark.parametrize("n", [400, 1600])
+def test_family_half_alike(spark, n, monkeypatch):
+    """In a family of texts that are about half alike, which few hubs hold, rows that meet grow with the documents, not with their pairs."""
+    rng = random.Random(7)
+    texts = list(template(rng, n, prose(rng, 150).split(), 6))
+    texts += [text + " and more" for text in texts[::40]]
+    assert 0.4 < np.median([jaccard(texts[0], t) for t in texts[1:100]]) < 0.6
+    meet, pairs, listed = nearcopies.meet, nearcopies.similar, []
+    monkeypatch.setattr(nearcopies, "meet", lambda *args: counted(meet(*args), listed))
+    monkeypatch.setattr(nearcopies, "similar", lambda p, *more: pairs(counted(p, listed), *more))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    kept = {r["doc_id"] for r in nearcopies.near_dedup(docs).collect()}
+    assert max(listed) <= 20 * n
+    assert kept == set(range(n))
+
+
+def counted(df, counts):
+    counts.append(df.count())
+    return df
+
+
+def test_full_buckets(spark):
+    """Buckets that meet whole, cut into cells or not, connect what their pairs connect; a spanning forest comes out."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (6, 2), np.uint64)
+    flips = lambda: np.bitwise_or.reduce([np.uint64(1) << np.uint64(x) for x in rng.integers(0, 64, 9)])
+    rows = []
+    for i in range(240):
+        c1, c2 = (int(x ^ flips()) for x in base[i % 6])
+        rows.append((i, i % 4, [7], [], *[nearcopies._signed(x) for x in (c1, c2)], [], 0 if i in (0, 6) else None))
+    marked = spark.createDataFrame(rows, "cls bigint, x int, segs array<bigint>, unsure array<bigint>, c1 bigint, c2 bigint, small array<bigint>, root bigint").drop("x")
+    hubs = spark.createDataFrame([(7, 240)], "key bigint, c bigint")
+    bits = np.array([[r[4], r[5]] for r in rows]).view(np.uint64)
+    near = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2) <= nearcopies.CHECK_MOST
+
+    def groups(pairs):
+        root = list(range(240))
+        for a, b in pairs:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+        return root
+
+    for block in (nearcopies.BLOCK, 50 * nearcopies.CELL_ROWS):
+        found = [(r["a"], r["b"]) for r in nearcopies._in_full_buckets(marked, hubs, block).collect()]
+        assert groups([(0, 6), *found]) == groups([(0, 6), *np.argwhere(near).tolist()])
+        assert block < nearcopies.BLOCK or len(found) < 2 * 240  # two cells
+
+
 def test_families_of_many_cells(spark):
     """Families cut into many cells, with a group of copies that fills several, give the groups of brute force."""
     rng = random.Random(5)

@@ -3,14 +3,16 @@
 At that similarity 64 bits differ in ten, too many for Hamming balls that are the same for all. So fingerprints are wider, cut
 into as many segments as ``plan`` asks for, and each segment's ball is directed: a bit is unsure where about as many shingles
 have it set as not, and the ball flips the least sure bits of the segment only. A document probes its own balls and is stored
-under its segments, so that a pair meets if either finds the other. What meets is held against further bits of the fingerprints,
-then verified by the whole shingle sets. ``plan`` gives a pair at the threshold a chance of ``RECALL`` to meet; more similar ones
+under its segments, so that a pair meets if either finds the other. What meets is held against further bits of the fingerprints in
+the same join, then verified by the whole shingle sets. ``plan`` gives a pair at the threshold a chance of ``RECALL`` to meet; more similar ones
 have a better one. Sets of at most ``SMALL`` shingles, whose bits say little, also meet under the set and under all that lack one shingle,
 which is exact for up to nine.
 
 Documents of equal shingle sets are one class. Each class is tried against the smallest classes of its fullest buckets first; what
-passes there is a family, and the full search then tries only classes of different families, so that no large family is listed
-pair by pair. Families are verified in cells, where each whole shingle set comes once and a spanning forest is what goes out.
+passes there is a family. Hubs leave families open whose texts are about half alike, as few of them pass against any one; so buckets
+of over ``FULL`` classes then meet whole, in cells, and a spanning forest of what passes goes out: no more rows than the cells have.
+The full search tries only classes of different families, so that no large family is listed pair by pair. Families are verified
+in cells too, where each whole shingle set comes once and a spanning forest is what goes out.
 
 Null texts and texts without words are one class. Rows without a doc_id stay, and so does one row of each group: that of the
 smallest doc_id, then the smallest text hash. Texts of any length are read whole. Repeated rows are one; an empty table gives no
@@ -35,12 +37,13 @@ from vicinal.llm.simfinger import ascii_words, bit_counts, shingle_hashes, widen
 from vicinal.llm.simhash import meet
 
 WIDTH, LEAST, RECALL = 5, 0.8, 0.98
-#: Bits that only verify, and how many of the first word's and of all may differ: 3.6 standard deviations above the mean at the
-#: threshold.
-CHECK_BITS, WORD_MOST, CHECK_MOST = 128, 20, 34
+#: Bits that only verify, and how many of them may differ: 3.6 standard deviations above the mean at the threshold.
+CHECK_BITS, CHECK_MOST = 128, 34
 SMALL = 16
 #: Buckets whose smallest class each class is tried against before the full search.
 HUBS = 3
+#: Buckets of more classes meet whole, those of fewer pair by pair.
+FULL = 16
 #: Bytes of shingle sets in a cell, and how many sets it may hold at most.
 BLOCK, CELL_ROWS = 16 << 20, 4096
 _SMALL_TAG = 1 << 62
@@ -119,10 +122,15 @@ def _tagged(segment: Column, i: Column) -> Column:
     return segment.bitwiseOR(F.shiftleft(i.cast("bigint"), 40))
 
 
+def _bits(end: str) -> list[Column]:
+    """What a pair is checked by, named for the pair's ``end``."""
+    return [F.col("c1").alias(f"{end}1"), F.col("c2").alias(f"{end}2"), (F.size("small") > 0).alias(f"{end}_small")]
+
+
 def _stored(classes: DataFrame, end: str, *more: str) -> DataFrame:
     """key, the class as ``end``, its check bits and ``more``, for each segment and small key."""
     keys = F.concat(F.transform("segs", _tagged), F.col("small"))
-    return classes.select(F.explode(keys).alias("key"), F.col("cls").alias(end), F.col("c1").alias(f"{end}1"), *more)
+    return classes.select(F.explode(keys).alias("key"), F.col("cls").alias(end), *_bits(end), *more)
 
 
 def _probes(classes: DataFrame, shape: tuple[int, int, int], *more: str) -> DataFrame:
@@ -139,19 +147,13 @@ def _probes(classes: DataFrame, shape: tuple[int, int, int], *more: str) -> Data
 
     ball = F.transform(F.sequence(F.lit(0), F.lit(segments * 2**unsure - 1)), value)
     keys = F.concat(F.when(F.size("segs") > 0, ball).otherwise(F.array().cast("array<bigint>")), F.col("small"))
-    return classes.select(F.explode(keys).alias("key"), F.col("cls").alias("a"), F.col("c1").alias("a1"), *more)
+    return classes.select(F.explode(keys).alias("key"), F.col("cls").alias("a"), *_bits("a"), *more)
 
 
 def _near() -> Column:
-    return (F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= WORD_MOST) | (F.col("key") >= _SMALL_TAG)
-
-
-def _checked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) that all check bits let pass; small sets pass anyway."""
-    of = lambda end: classes.select(F.col("cls").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("c1", "c2")], (F.size("small") > 0).alias(f"{end}_small"))
-    both = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
-    differ = F.bit_count(F.col("a_c1").bitwiseXOR(F.col("b_c1"))) + F.bit_count(F.col("a_c2").bitwiseXOR(F.col("b_c2")))
-    return both.filter((differ <= CHECK_MOST) | (F.col("a_small") & F.col("b_small"))).select("a", "b")
+    """What all check bits let pass; small sets pass anyway."""
+    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    return (differ <= CHECK_MOST) | (F.col("a_small") & F.col("b_small"))
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -170,33 +172,39 @@ _CELL = ("fam", "p", "q")
 _FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
 
 
-def _forest(sets: list[np.ndarray], bits: np.ndarray, small: np.ndarray, part: np.ndarray, known: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+def _forest(sets: list[np.ndarray] | None, bits: np.ndarray, small: np.ndarray, part: np.ndarray, known: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
     """Places of similar sets, as few as connect what all similar pairs of the cell connect with what is ``known`` to be.
 
     ``bits`` has two words of check bits a set. Where a cell has two parts, only sets of different parts are compared. A set marks
-    its shingles in a table of the cell's, and those of all others that may be similar are counted there at once.
+    its shingles in a table of the cell's, and those of all others that may be similar are counted there at once. Without ``sets``
+    all that the check bits let pass is similar.
     """
-    size = np.array([len(x) for x in sets])
-    start = np.cumsum(size) - size
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mark, known, two = np.zeros(int(ids.max()) + 1, np.int32), known.copy(), part.min() != part.max()
-    for i in range(len(sets) - 1):
+    known, two = known.copy(), part.min() != part.max()
+    if sets is not None:
+        size = np.array([len(x) for x in sets])
+        start = np.cumsum(size) - size
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        mark = np.zeros(int(ids.max()) + 1, np.int32)
+    for i in range(len(bits) - 1):
         rest = slice(i + 1, None)
         near = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1) <= CHECK_MOST
         near |= small[rest] & small[i]
-        near &= (known[rest] != known[i]) & (np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i]))
+        near &= known[rest] != known[i]
+        if sets is not None:
+            near &= np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i])
         if two:
             near &= part[rest] != part[i]
-        others = np.flatnonzero(near) + i + 1
+        hits = others = np.flatnonzero(near) + i + 1
         if not len(others):
             continue
-        own = ids[start[i] : start[i] + size[i]]
-        mark[own] = 1
-        lengths = size[others]
-        begin = np.cumsum(lengths) - lengths
-        common = np.add.reduceat(mark[ids[np.repeat(start[others] - begin, lengths) + np.arange(lengths.sum())]], begin)
-        mark[own] = 0
-        hits = others[common >= least * (size[i] + lengths - common)]
+        if sets is not None:
+            own = ids[start[i] : start[i] + size[i]]
+            mark[own] = 1
+            lengths = size[others]
+            begin = np.cumsum(lengths) - lengths
+            common = np.add.reduceat(mark[ids[np.repeat(start[others] - begin, lengths) + np.arange(lengths.sum())]], begin)
+            mark[own] = 0
+            hits = others[common >= least * (size[i] + lengths - common)]
         groups, first = np.unique(known[hits], return_index=True)
         for j in hits[first].tolist():
             yield i, j
@@ -219,13 +227,13 @@ def _by_cells(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         if not last:
             continue
         done = table.slice(0, ends[last - 1]).combine_chunks()
-        raw, off = binary_views(done["set"])
+        raw, off = binary_views(done["set"]) if "set" in done.column_names else (None, None)
         cls, known, part, small = (done[c].to_numpy() for c in ("cls", "root", "part", "small"))
         bits = np.stack([done[c].to_numpy().view(np.uint64) for c in ("c1", "c2")], axis=1)
         found = []
         for s, e in zip(starts[:last].tolist(), ends):
             if e - s > 1:
-                sets = [raw[off[i] : off[i + 1]].view(np.uint64) for i in range(s, e)]
+                sets = None if raw is None else [raw[off[i] : off[i + 1]].view(np.uint64) for i in range(s, e)]
                 found += [(cls[s + i], cls[s + j]) for i, j in _forest(sets, bits[s:e], small[s:e], part[s:e], known[s:e], least)]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=_FOUND.names)
@@ -238,7 +246,7 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def _worked(cells: DataFrame, least: float) -> DataFrame:
     bound_batches(cells.sparkSession)
-    rows = cells.select(*_CELL, "part", "cls", "root", "c1", "c2", "small", "set")
+    rows = cells.select(*_CELL, "part", "cls", "root", "c1", "c2", "small", *[c for c in cells.columns if c == "set"])
     return durable(rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(lambda batches: _by_cells(batches, least), _FOUND))
 
 
@@ -256,12 +264,12 @@ def _rooted(rows: DataFrame, edges: DataFrame, how: str) -> DataFrame:
 
 def _across(rows: DataFrame, block: int) -> DataFrame:
     """Cells in which each row of a family meets all that have another root: parts of the largest root meet the other parts only."""
-    sums = rows.groupBy("fam", "root").agg(F.sum("weight").alias("w"))
-    largest = sums.groupBy("fam").agg(F.max_by("root", F.struct("w", "root")).alias("largest"), F.max("w").alias("wl"), F.sum("w").alias("w"))
+    sums = rows.groupBy("fam", "root").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    largest = sums.groupBy("fam").agg(F.max_by("root", F.struct("w", "root")).alias("largest"), F.max("w").alias("wl"), F.sum("w").alias("w"), F.sum("n").alias("n"))
     parts = lambda w: F.ceil(w / block).cast("int")
-    split = largest.filter("w > wl").select("fam", "largest", parts(F.col("w") - F.col("wl")).alias("others"), parts(F.col("wl")).alias("own"))
-    split = split.withColumn("in_all", F.col("others") + F.col("own"))
-    dealt = join_few(rows, split, ["fam"])
+    split = largest.filter("w > wl").select("fam", "n", "largest", parts(F.col("w") - F.col("wl")).alias("others"), parts(F.col("wl")).alias("own"))
+    split = durable(split.withColumn("in_all", F.col("others") + F.col("own")))
+    dealt = join_few(rows, split.drop("n"), ["fam"]) if split.count() <= SENT_ROWS else join_hot(rows, split, "fam", "n")
     is_largest, h = F.col("root") == F.col("largest"), F.xxhash64("cls", F.lit("across"))
     part = F.when(is_largest, F.col("others") + F.pmod(h, "own")).otherwise(F.pmod(h, "others")).cast("int")
     dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_largest, F.col("others")).otherwise(F.col("in_all")) - 1)))
@@ -294,22 +302,33 @@ def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float
     return edges
 
 
+def _in_full_buckets(marked: DataFrame, hubs: DataFrame, block: int) -> DataFrame:
+    """(a, b) pairs that connect what the check bits let pass in buckets of over ``FULL`` classes; ``marked`` are classes with their root.
+
+    Only a bucket's largest group is not held against itself. A bucket of k cells moves its rows, which are check bits, k times.
+    """
+    full = hubs.filter(F.col("c") > FULL).select("key", "c")
+    rows = join_hot(_stored(marked, "b", "root"), full, "key", "c")
+    rows = rows.select(F.col("key").alias("fam"), F.col("b").alias("cls"), F.coalesce("root", "b").alias("root"), F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.col("b_small").alias("small"), F.lit(block // CELL_ROWS).alias("weight"))
+    return _worked(_across(durable(rows), block), LEAST)
+
+
 def links(classes: DataFrame, texts: DataFrame, shape: tuple[int, int, int], least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(a, b) pairs of classes that connect what all similar pairs that meet connect."""
     stored = _stored(classes, "a")
-    b = F.min(F.struct(F.col("a").alias("b"), F.col("a1").alias("b1"))).alias("hub")
+    b = F.min(F.struct(*[F.col(c).alias(c.replace("a", "b", 1)) for c in ("a", "a1", "a2", "a_small")])).alias("hub")
     hubs = durable(stored.groupBy("key").agg(b, F.count("*").alias("c")).filter("c > 1").select("key", "c", F.col("c").alias("full"), "hub.*"))
     tried = join_hot(stored, hubs, "key", "c").filter(_near() & F.expr("a <> b")).groupBy("a", "b").agg(F.max("full").alias("full"))
     fullest = F.slice(F.sort_array(F.collect_list(F.struct("full", "b")), asc=False), 1, HUBS)  # of one a segment and small key
-    tried = tried.groupBy("a").agg(fullest.alias("hub")).select("a", F.explode("hub.b").alias("b"))
-    first = durable(_checked(tried, classes))
-    known = components(first).withColumnRenamed("node", "cls")
-    marked = written(classes.drop("k").join(known.withColumn("grouped", F.lit(True)), "cls", "left"))
+    first = durable(tried.groupBy("a").agg(fullest.alias("hub")).select("a", F.explode("hub.b").alias("b")))
+    marks = lambda edges: classes.drop("k").join(components(edges).withColumnRenamed("node", "cls").hint("merge"), "cls", "left")
+    first = durable(first.unionAll(_in_full_buckets(marks(first), hubs, block)))
+    marked = written(marks(first).withColumn("grouped", F.col("root").isNotNull()))
     root = F.col("root").alias("ra")
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes many: no few tasks may hold them
     dealt = marked.repartition(tasks, "cls")
     found = meet(_probes(dealt, shape, root), _probes(dealt.filter("grouped"), shape, root), _stored(marked, "b", F.col("root").alias("rb")), _near())
-    pairs = durable(first.unionAll(_checked(found, classes)))
+    pairs = durable(first.unionAll(found))
     discard(marked)
     return similar(pairs, classes, texts, least, block)
 
