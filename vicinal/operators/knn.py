@@ -14,6 +14,11 @@ from vicinal.functions.distance import distance, score
 from vicinal.operators.blocks import grid
 from vicinal.schema import METRICS, parse_metric
 
+#: Digits behind the point by which joins compare distances: sums of other orders differ beyond, and copies are to tie.
+DIGITS = 12
+#: Queries of a cell of the join, about; they are compared 256 at once.
+ASKED_ROWS = 16_384
+
 def check_dimension(query: Sequence[float], dimension: int) -> None:
     if len(query) != dimension:
         raise ValueError(f"query has {len(query)} dimensions, the collection {dimension}")
@@ -76,7 +81,7 @@ def usable(vector: Column) -> Column:
 
 
 def knn_join(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "vector", same_table: bool = False) -> DataFrame:
-    """query_id, rank, id, distance of each query's k nearest items (ties by id); ``same_table`` leaves out the query's own id.
+    """query_id, rank, id, distance of each query's k nearest items (ties by id; distances are compared by ``DIGITS`` digits); ``same_table`` leaves out the query's own id.
 
     Blocks of queries meet blocks of items in tasks, each of which keeps k candidates a query; a group-limited window merges
     them. Work is queries x items by nature; nothing is collected. Null vectors and vectors with null components meet nothing.
@@ -84,9 +89,9 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine
     metric = parse_metric(metric)
     schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("id", items.schema[id_col].dataType), T.StructField("distance", T.DoubleType())])
     slim = lambda df, key, v: df.select(F.col(key).alias("id"), F.col(v).cast("array<double>").alias("v")).filter(usable(F.col("v")))
-    asked, known = grid(slim(queries, query_id, query_vector), slim(items, id_col, vector_col), "id", "id")
+    asked, known = grid(slim(queries, query_id, query_vector), slim(items, id_col, vector_col), "id", "id", ASKED_ROWS)
     found = asked.groupBy("qb", "ib").cogroup(known.groupBy("qb", "ib")).applyInArrow(_nearest(k, metric, same_table), schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", DIGITS), "id"))
     return found.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
@@ -106,8 +111,8 @@ def _nearest(k: int, metric: str, same_table: bool):
         parts = [empty]
         for lo in range(0, len(q), 256):
             d = _distances(metric, q[lo : lo + 256], x)
-            near = np.argsort(d, axis=1, kind="stable")[:, :keep]
-            who, at = np.repeat(np.arange(lo, lo + len(d)), keep), near.reshape(-1)
+            who, at = _least(d, keep)
+            who += lo
             if same_table:
                 other = np.array([asked[w] != own[a] for w, a in zip(who, at)])
                 who, at = who[other], at[other]
@@ -117,6 +122,16 @@ def _nearest(k: int, metric: str, same_table: bool):
     return run
 
 
+def _least(d: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's ``keep`` least distances, ties by column; without sorting what is farther."""
+    far = np.partition(d, keep - 1, axis=1)[:, keep - 1 :][:, :1]
+    who, at = np.nonzero(~(d > far + 2 * 10.0**-DIGITS))
+    order = np.lexsort((at, np.round(d[who, at], DIGITS), who))
+    who, at = who[order], at[order]
+    place = np.arange(len(who)) - np.searchsorted(who, np.arange(len(d)))[who]
+    return who[place < keep], at[place < keep]
+
+
 def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """One row: n_queries and recall, the share of true neighbours (query_id, id, rank <= k) that were found."""
     want = truth.filter(F.col("rank") <= k).select("query_id", "id").distinct()
